@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup
+from . import line_dedup, packing, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +35,89 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+def _md5_int(value, start: int, digits: int):
+    return F.conv(F.substring(F.md5(value), start, digits), 16, 10).cast("long")
+
+
+def url_lists(pages: DataFrame) -> DataFrame:
+    """Dated entries made by rule from the pages' hosts, as the driver's tables hold no lists.
+
+    A host is added to `spam` or `adult` on a day of 2024 given by its md5, and
+    of some hosts the entry is withdrawn and renewed; two-label parent domains
+    are never listed.  Some hosts get a path entry in `paths`.
+    """
+    day = lambda n: F.timestamp_seconds(F.lit(1704067200) + n * 86400)
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path")).filter("host <> ''")
+    hosts = hosts.groupBy("host").agg(F.min(F.split_part("path", F.lit("/"), F.lit(2))).alias("top"))
+    h = F.col("host")
+    first = _md5_int(h, 1, 4) % 300
+    name = F.when(_md5_int(h, 5, 2) % 2 == 0, F.lit("spam")).otherwise(F.lit("adult"))
+    listed = hosts.filter(_md5_int(h, 7, 2) % 4 == 0).select(
+        F.explode(F.array(
+            F.struct(name.alias("list"), h.alias("value"), F.lit("add").alias("action"), day(first).alias("effective")),
+            F.struct(name.alias("list"), h.alias("value"), F.lit("remove").alias("action"), day(first + 20 + _md5_int(h, 9, 2)).alias("effective")),
+            F.struct(name.alias("list"), h.alias("value"), F.when(_md5_int(h, 11, 2) % 3 == 0, "add").otherwise("remove").alias("action"), day(first + 300).alias("effective")),
+        )).alias("e")
+    ).select("e.*")
+    paths = hosts.filter((_md5_int(h, 7, 2) % 4 == 1) & (F.col("top") != "")).select(
+        F.lit("paths").alias("list"), F.concat(h, F.lit("/"), "top").alias("value"), F.lit("add").alias("action"), day(first).alias("effective")
+    )
+    return listed.unionByName(paths)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.timestamp_seconds(F.lit(1704067200) + (F.col("page_id") * 7919 * 977) % 31536000))
+    out = url_filter.filter_urls(captures, url_lists(pages))
+    return out.withColumn("lists", F.array_join("lists", ","))
+
+
+OP3_SQL = r"""
+WITH captures AS (
+  SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path,
+         1704067200 + (page_id * 7919 * 977) % 31536000 AS at
+  FROM pages),
+hosts AS (
+  SELECT host, min(split_part(path, '/', 2)) AS top, CAST('0x' || substr(md5(host), 1, 4) AS BIGINT) % 300 AS first,
+         CAST('0x' || substr(md5(host), 5, 2) AS BIGINT) AS h5, CAST('0x' || substr(md5(host), 7, 2) AS BIGINT) AS h7,
+         CAST('0x' || substr(md5(host), 9, 2) AS BIGINT) AS h9, CAST('0x' || substr(md5(host), 11, 2) AS BIGINT) AS h11
+  FROM captures WHERE host <> '' GROUP BY host),
+events AS (
+  SELECT CASE WHEN h5 % 2 = 0 THEN 'spam' ELSE 'adult' END AS list, host AS value, 'add' AS action, first AS day FROM hosts WHERE h7 % 4 = 0
+  UNION ALL SELECT CASE WHEN h5 % 2 = 0 THEN 'spam' ELSE 'adult' END, host, 'remove', first + 20 + h9 FROM hosts WHERE h7 % 4 = 0
+  UNION ALL SELECT CASE WHEN h5 % 2 = 0 THEN 'spam' ELSE 'adult' END, host, CASE WHEN h11 % 3 = 0 THEN 'add' ELSE 'remove' END, first + 300 FROM hosts WHERE h7 % 4 = 0
+  UNION ALL SELECT 'paths', host || '/' || lower(top), 'add', first FROM hosts WHERE h7 % 4 = 1 AND top <> ''),
+last_event AS (
+  SELECT c.page_id, e.list, e.value, min(e.action ORDER BY e.action) AS action
+  FROM captures c JOIN events e
+    ON (c.host = e.value OR ends_with(c.host, '.' || e.value) OR (c.host || '/' || split_part(c.path, '/', 2)) = e.value)
+   AND 1704067200 + e.day * 86400 <= c.at
+  WHERE NOT EXISTS (SELECT 1 FROM events n WHERE n.list = e.list AND n.value = e.value AND n.day > e.day AND 1704067200 + n.day * 86400 <= c.at)
+  GROUP BY ALL),
+active AS (SELECT page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM last_event WHERE action = 'add' GROUP BY page_id)
+SELECT c.page_id, a.n IS NOT NULL AS blocked, coalesce(a.n, 0) AS n_active, coalesce(a.lists, '') AS lists
+FROM captures c LEFT JOIN active a USING (page_id)
+"""
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 QUERIES = {
+    "op3_url_filter": op3_url_filter,
+    "op8_packing": op8_packing,
     "op6_line_dedup": op6_line_dedup,
 }
 
 ORACLES = {
+    "op3_url_filter": OP3_SQL,
     "op6_line_dedup": OP6_SQL,
 }
