@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 BLANKS = b" \t\n\x0b\x0c\r"
 IS_BLANK = np.zeros(256, bool)
 IS_BLANK[list(BLANKS)] = True
+#: Blanks where words are runs of letters and digits; bytes of non-ASCII characters count as letters.
+IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 SEEDS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 _tables: dict[int, np.ndarray] = {}
@@ -113,11 +115,20 @@ def split_words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = IS_BL
     return Words(starts, ends, np.searchsorted(starts, offsets))
 
 
+class SpanHashes:
+    """Hashes of spans of one byte array; the prefix sums are made once."""
+
+    def __init__(self, data: np.ndarray, seed: int = SEEDS[0]):
+        self.sums = _sums(byte_values(seed)[data], seed)
+        self.inverse = powers(seed, len(data) + 1)[1]
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEEDS[0]) -> np.ndarray:
     """A hash of the bytes of each span."""
-    sums = _sums(byte_values(seed)[data], seed)
-    inverse = powers(seed, len(data) + 1)[1]
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return SpanHashes(data, seed)(starts, ends)
 
 
 def windows(hashes: np.ndarray, offsets: np.ndarray, size: int, seed: int = SEEDS[0]) -> tuple[np.ndarray, np.ndarray]:
