@@ -138,3 +138,18 @@ def windows(hashes: np.ndarray, offsets: np.ndarray, size: int, seed: int = SEED
     first = np.flatnonzero(np.arange(len(hashes)) + size <= last)
     inverse = powers(seed, len(hashes) + 1)[1]
     return first, mixed((sums[first + size] - sums[first]) * inverse[first])
+
+
+def span_hash(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEEDS[0]) -> np.ndarray:
+    """Hash of each run of word hashes; equal runs have equal hashes wherever they are."""
+    sums = _sums(hashes, seed)
+    return mixed((sums[ends] - sums[starts]) * powers(seed, len(hashes) + 1)[1][starts] + (ends - starts).astype(np.uint64))
+
+
+_lowered = np.arange(256, dtype=np.uint8)
+_lowered[65:91] += 32
+
+
+def lower_ascii(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z; other bytes unchanged."""
+    return _lowered[data]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, packing, toxicity, url_filter
+from . import decontamination, langid, line_dedup, near_dup, packing, toxicity, url_filter
 from .sampling import fold
 
 
@@ -127,7 +127,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op7_decontamination": op7_decontamination,
     "op4_language_id": op4_language_id,
     "op10_toxicity": op10_toxicity,
     "op3_url_filter": op3_url_filter,

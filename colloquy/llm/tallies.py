@@ -1,0 +1,48 @@
+"""Hashed count tables of fixed size, summed over all tasks."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+CHUNK = 1 << 15  #: cells of a row
+
+
+def tally(df: DataFrame, cells: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]], tables: int, bits: int, finish: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Counts of cells over all rows of df, finished to bytes: an array (tables, 2**bits) of uint8.
+
+    `cells` yields (table, cell of each event) of a batch.  A task keeps one
+    array of counts and sends its chunks; `finish` turns a chunk of summed
+    counts into bytes.  What a task sends and what returns is bounded by the
+    size of the tables; tasks are twice the cores at most, so that what is
+    shuffled doesn't grow with the number of input splits.
+    """
+    chunk = min(CHUNK, 1 << bits)
+    total = tables << bits
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((tables, 1 << bits), np.uint32)
+        for batch in batches:
+            for table, where in cells(batch):
+                counts[table] += np.bincount(where, minlength=1 << bits).astype(np.uint32)
+        flat = counts.ravel()
+        for at in range(0, total, chunk):
+            part = flat[at : at + chunk]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at // chunk], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["chunk", "counts"])
+
+    def summed(group: pa.Table) -> pa.Table:
+        total_of = np.zeros(chunk, np.uint64)
+        for part in group.column("counts"):
+            total_of += np.frombuffer(part.as_buffer(), np.uint32)
+        return pa.table({"chunk": group.column("chunk")[:1], "cells": pa.array([finish(total_of).astype(np.uint8).tobytes()], pa.binary())})
+
+    few = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+    rows = few.mapInArrow(counted, "chunk long, counts binary").groupBy("chunk").applyInArrow(summed, "chunk long, cells binary")
+    out = np.tile(finish(np.zeros(chunk, np.uint64)).astype(np.uint8), total // chunk)
+    for row in rows.toLocalIterator():
+        out[row.chunk * chunk : (row.chunk + 1) * chunk] = np.frombuffer(row.cells, np.uint8)
+    return out.reshape(tables, 1 << bits)
