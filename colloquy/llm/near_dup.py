@@ -14,10 +14,11 @@ candidates (similarity 0.8 is missed once in 10**4), which are verified by exact
 weighted Jaccard similarity on whole texts.
 
 No task gets a group whole.  Copies of a text are one node first.  Members of a
-band's bucket are verified against its least member; the components that follow
-leave few buckets with members not yet connected, and those are compared in
-blocks of signatures, each member outside the bucket's main component against
-all others, before the pairs that look alike are verified too.
+band's bucket are verified against its least member, and those that this leaves
+unconnected against the member with most links.  What is still apart in a bucket
+is compared in blocks of signatures, each member outside the bucket's main
+component against all others; of the pairs that look alike, each such member's
+best is verified first, then all that are not connected by now.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from .tallies import tally
 SHINGLE = 5
 BINS, BANDS = 120, 24
 CELL_BITS = 22
+WANTED_BITS = 23
 ID_BITS = 44  #: of a shingle inside a batch; the others number the batch's rows
 BLOCK = 256
 SIGNED = "doc_id long, k1 long, k2 long, bands binary, signature binary"
@@ -206,17 +208,18 @@ def _alike(least: float):
                 for i in np.flatnonzero(ca != row["main"]):
                     # a pair of two minor members is seen from its smaller node
                     other = np.flatnonzero((cb != ca[i]) & ((cb == row["main"]) | (nb > na[i])))
-                    near = other[(sb[other] == sa[i]).sum(1) >= least * BINS]
-                    found.append(np.stack([np.minimum(nb[near], na[i]), np.maximum(nb[near], na[i])]))
+                    agreeing = (sb[other] == sa[i]).sum(1)
+                    near = agreeing >= least * BINS
+                    partner = nb[other[near]]
+                    found.append(np.stack([np.minimum(partner, na[i]), np.maximum(partner, na[i]), np.full(len(partner), na[i]), agreeing[near]]))
                 if found:
-                    a, b = np.concatenate(found, 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, 1)], ["a", "b", "minor", "agreeing"])
 
     return compare
 
 
 def _residual(shared: DataFrame, parts: DataFrame, signatures: DataFrame, least: float) -> Staged:
-    """Pairs (a, b) in one bucket, in different components, whose signatures are near."""
+    """Pairs (a, b) in one bucket, in different components, whose signatures are near, with the member outside the main component."""
     at = shared.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     sizes = at.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed_keys = (
@@ -229,12 +232,39 @@ def _residual(shared: DataFrame, parts: DataFrame, signatures: DataFrame, least:
     blocks = stage(members.groupBy("key", "block").applyInArrow(_packed, schema), "blocks")
     minor = stage(members.filter("component <> main").groupBy("key", "block").applyInArrow(_packed, schema), "blocks")
     other = blocks.df.drop("main").select("key", *(F.col(c).alias(f"{c}_2") for c in ("nodes", "components", "signatures")))
-    pairs = stage(minor.df.join(other, "key").mapInArrow(_alike(least), "a long, b long").distinct(), "pairs")
+    pairs = stage(minor.df.join(other, "key").mapInArrow(_alike(least), "a long, b long, minor long, agreeing long").distinct(), "near")
     for s in (held, blocks, minor):
         s.drop()
     return pairs
 
 
+def _hub_pairs(shared: DataFrame, links: DataFrame, parts: DataFrame) -> DataFrame:
+    """In each bucket, its member with most links and those not connected to it."""
+    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    at = (
+        shared.select("key", "node").join(parts, "node", "left").join(degrees, "node", "left")
+        .select("key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    )
+    hubs = at.groupBy("key").agg(F.max(F.struct("degree", F.col("node").alias("hub"), F.col("component").alias("hub_component"))).alias("h")).select("key", "h.hub", "h.hub_component")
+    return at.join(hubs, "key").filter("component <> hub_component").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+
+
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> Staged:
+    """The rows of texts (id, text) whose ids are wanted.
+
+    A table of hashed ids, of one size, is asked before the join, so that most
+    texts that aren't wanted are not shuffled.
+    """
+    slot = lambda column: (mixed(column.cast(pa.int64()).fill_null(0).to_numpy().view(np.uint64) * np.uint64(SEEDS[0])) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
+    table = tally(wanted, lambda batch: iter([(0, slot(batch.column(0)))]), 1, WANTED_BITS, lambda c: np.minimum(c, 1))[0]
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(table[slot(batch.column(0))] > 0))
+
+    return stage(texts.mapInArrow(maybe, texts.schema).join(wanted, "id", "left_semi"), "texts")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, slack: float = 0.15) -> DataFrame:
     """(doc_id, class_id) for every row: the least doc_id of the documents linked to it, directly or through others.
 
@@ -255,17 +285,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = nodes.select("doc_id", "bands").mapInArrow(_band_rows, "key long, node long")
     several = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
     shared = stage(bands.join(several, "key"), "buckets")
-    stars = stage(shared.df.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    wanted = shared.df.select(F.col("node").alias("id")).distinct()
-    texts = stage(chosen.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi"), "texts")
-    links = stage(_verified(stars.df, texts.df, weights, threshold), "links")
-    parts = components(links.df)
-    signatures = nodes.select(F.col("doc_id").alias("node"), "signature")
-    pairs = _residual(shared.df.select("key", "node"), parts.df, signatures, threshold - slack)
-    fresh = pairs.df.join(stars.df, ["a", "b"], "left_anti")
-    more = stage(_verified(fresh, texts.df, weights, threshold), "links")
-    final = components(links.df.unionByName(more.df).unionByName(_shared_ids(copies.df)))
-    for s in (shared, stars, texts, parts, pairs, more, links):
+    texts = _texts_of(chosen.withColumnRenamed("doc_id", "id"), shared.df.select(F.col("node").alias("id")).distinct())
+    held = [shared, texts]
+    tested, links = None, None
+
+    def verify(pairs: DataFrame) -> None:
+        """Tests the pairs that have not been tested, and keeps the links."""
+        nonlocal tested, links
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        fresh = stage(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
+        found = stage(_verified(fresh.df, texts.df, weights, threshold), "links")
+        held.extend([fresh, found])
+        tested = fresh.df if tested is None else tested.unionByName(fresh.df)
+        links = found.df if links is None else links.unionByName(found.df)
+
+    def connected() -> DataFrame:
+        parts = components(links)
+        held.append(parts)
+        return parts.df
+
+    verify(shared.df.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    verify(_hub_pairs(shared.df, links, connected()))
+    residual = _residual(shared.df.select("key", "node"), connected(), nodes.select(F.col("doc_id").alias("node"), "signature"), threshold - slack)
+    held.append(residual)
+    verify(residual.df.groupBy("minor").agg(F.max(F.struct("agreeing", "a", "b")).alias("best")).select("best.*"))
+    now = connected()
+    component = lambda x: now.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    rest = residual.df.select("a", "b").distinct().join(component("a"), "a", "left").join(component("b"), "b", "left")
+    verify(rest.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")))
+    final = components(links.unionByName(_shared_ids(copies.df)))
+    for s in held:
         s.drop()
     alone = signed.df.filter("doc_id IS NULL OR k1 IS NULL").select("doc_id", F.col("doc_id").alias("rep"))
     every = copies.df.unionByName(alone)
