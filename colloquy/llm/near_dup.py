@@ -4,7 +4,9 @@ A document's shingles are its runs of five words (A-Z lower-cased); texts of
 one to four words are one shingle.  A shingle weighs its count in the document
 times an inverse document frequency, counted over all documents in 2**22 hashed
 cells, so that the table has one size for any corpus: a cell's count is the
-frequency of a common shingle, or else the even background of rare ones.
+frequency of a common shingle, or else the even background of rare ones.  The
+idf is damped (its fourth root): what thousands of near copies share is frequent
+for that very reason, and at full idf a few rare edited words would outweigh it.
 
 Each shingle falls into one of 120 bins by its hash, and each bin takes one
 ICWS sample (shingle, t) of its shingles, so a document costs one evaluation a
@@ -16,9 +18,8 @@ weighted Jaccard similarity on whole texts.
 No task gets a group whole.  Copies of a text are one node first.  Members of a
 band's bucket are verified against its least member, and those that this leaves
 unconnected against the member with most links.  What is still apart in a bucket
-is compared in blocks of signatures, each member outside the bucket's main
-component against all others; of the pairs that look alike, each such member's
-best is verified first, then all that are not connected by now.
+is compared exactly in blocks of bounded size, each member outside the bucket's
+main component against all others, so no link is lost; pairs are not emitted.
 """
 
 from __future__ import annotations
@@ -38,10 +39,11 @@ from .tallies import tally
 SHINGLE = 5
 BINS, BANDS = 120, 24
 CELL_BITS = 22
+DAMPING = 0.25
 WANTED_BITS = 23
 ID_BITS = 44  #: of a shingle inside a batch; the others number the batch's rows
-BLOCK = 256
-SIGNED = "doc_id long, k1 long, k2 long, bands binary, signature binary"
+BLOCK, BLOCK_BYTES = 1024, 4 << 20  #: of a block of a bucket's members
+SIGNED = "doc_id long, k1 long, k2 long, bands binary"
 _ID_MASK = np.uint64((1 << ID_BITS) - 1)
 
 
@@ -79,7 +81,7 @@ def _cell(shingles: np.ndarray) -> np.ndarray:
 
 
 class Weights:
-    """Idf by hashed cell, in eighths: 1 + ln((documents + 1) / (frequency + 1)), 1 at least."""
+    """Damped idf by hashed cell, in hundredths: (1 + ln((documents + 1) / (frequency + 1))) ** DAMPING, 1 at least."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
@@ -93,11 +95,11 @@ class Weights:
             for _, _, _, shingles, *_ in shingle_counts(batch.column(0)):
                 yield 0, _cell(shingles)
 
-        finish = lambda c: np.clip(np.rint(8 * (1 + np.log((n + 1) / (c + 1.0)))), 8, 255)
+        finish = lambda c: np.clip(np.rint(100 * np.maximum(1, 1 + np.log((n + 1) / (c + 1.0))) ** DAMPING), 100, 255)
         return cls(tally(docs, cells, 1, CELL_BITS, finish)[0])
 
     def of(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return counts * (self.codes[_cell(shingles)] / 8.0)
+        return counts * (self.codes[_cell(shingles)] / 100.0)
 
 
 def icws(rows: np.ndarray, shingles: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
@@ -132,12 +134,10 @@ def _sign(weights: Weights):
                 samples = icws(rows, shingles, weights.of(shingles, counts), b - a)
                 banded = samples.reshape(b - a, BANDS, BINS // BANDS) * (np.arange(BINS // BANDS, dtype=np.uint64) * np.uint64(SEEDS[0]) + np.uint64(SEEDS[1]))
                 bands = mixed(banded.sum(2) + np.arange(BANDS, dtype=np.uint64)[None])
-                short = (samples >> np.uint64(40)).astype("<u2")
-                blank = (k1 == 0).tolist()
-                as_rows = lambda x: [None if e else v.tobytes() for v, e in zip(x, blank, strict=True)]  # noqa: B023, E731
+                rows_of = [None if blank else v.tobytes() for v, blank in zip(bands, (k1 == 0).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), *(pa.array(k.view(np.int64), mask=k == 0) for k in (k1, k2)), pa.array(as_rows(bands), pa.binary()), pa.array(as_rows(short), pa.binary())],
-                    ["doc_id", "k1", "k2", "bands", "signature"],
+                    [batch.column(0).slice(a, b - a), *(pa.array(k.view(np.int64), mask=k == 0) for k in (k1, k2)), pa.array(rows_of, pa.binary())],
+                    ["doc_id", "k1", "k2", "bands"],
                 )
 
     return sign
@@ -189,53 +189,67 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: f
     return with_b.mapInArrow(check, "a long, b long")
 
 
-def _packed(table: pa.Table) -> pa.Table:
-    columns = [np.array(table.column(c).to_pylist(), np.int64).tobytes() for c in ("node", "component")]
-    return pa.table({"key": table.column("key")[:1], "main": table.column("main")[:1], "nodes": [columns[0]], "components": [columns[1]], "signatures": [b"".join(table.column("signature").to_pylist())]})
-
-
-def _alike(least: float):
-    """Pairs of two blocks of signatures in different components that agree in a share `least` of bins or more."""
-
-    def unpack(nodes: bytes, comps: bytes, signatures: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.frombuffer(nodes, np.int64), np.frombuffer(comps, np.int64), np.frombuffer(signatures, "<u2").reshape(-1, BINS)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                (na, ca, sa), (nb, cb, sb) = (unpack(*(row[c + k] for c in ("nodes", "components", "signatures"))) for k in ("", "_2"))
-                found = []
-                for i in np.flatnonzero(ca != row["main"]):
-                    # a pair of two minor members is seen from its smaller node
-                    other = np.flatnonzero((cb != ca[i]) & ((cb == row["main"]) | (nb > na[i])))
-                    agreeing = (sb[other] == sa[i]).sum(1)
-                    near = agreeing >= least * BINS
-                    partner = nb[other[near]]
-                    found.append(np.stack([np.minimum(partner, na[i]), np.maximum(partner, na[i]), np.full(len(partner), na[i]), agreeing[near]]))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, 1)], ["a", "b", "minor", "agreeing"])
-
-    return compare
-
-
-def _residual(shared: DataFrame, parts: DataFrame, signatures: DataFrame, least: float) -> Staged:
-    """Pairs (a, b) in one bucket, in different components, whose signatures are near, with the member outside the main component."""
-    at = shared.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    sizes = at.groupBy("key", "component").agg(F.count("*").alias("n"))
+def _cell_links(weights: Weights, threshold: float):
+    """Links between a bucket's members of block i outside its main component and all members of block j."""
+
+    def entries(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [(rows + a, shingles, weights.of(shingles, counts)) for a, _, rows, shingles, counts, *_ in shingle_counts(texts)]
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0))
+
+    def link(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        column = {c: group.column(c).to_numpy() for c in ("i", "j", "block", "node", "component", "main")}
+        ask = np.flatnonzero((column["block"] == column["i"]) & (column["component"] != column["main"]))
+        told = np.flatnonzero(column["block"] == column["j"])
+        texts = group.column("text")
+        ask_row, ask_shingle, ask_weight = entries(texts.take(pa.array(ask)))
+        row, shingle, weight = entries(texts.take(pa.array(told)))
+        ask_total, total = np.bincount(ask_row, ask_weight, len(ask)), np.bincount(row, weight, len(told))
+        order = np.argsort(shingle, kind="stable")
+        row, shingle, weight = row[order], shingle[order], weight[order]
+        low = np.searchsorted(shingle, ask_shingle, "left")
+        many = np.searchsorted(shingle, ask_shingle, "right") - low
+        reach = np.cumsum(np.bincount(ask_row, many, len(ask)))
+        first = np.searchsorted(ask_row, np.arange(len(ask) + 1))
+        links: list[np.ndarray] = []
+        at = 0
+        while at < len(ask):  # so many members at a time as meet about 2**21 shingles
+            end = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + (1 << 21), "right")))
+            part = slice(first[at], first[end])
+            n = many[part]
+            met = np.repeat(low[part], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pair = np.repeat(ask_row[part] - at, n) * len(told) + row[met]
+            both = np.bincount(pair, np.minimum(np.repeat(ask_weight[part], n), weight[met]), (end - at) * len(told)).reshape(end - at, len(told))
+            x, y = np.nonzero(both >= threshold * (ask_total[at:end, None] + total[None] - both))
+            links.append(np.stack([ask[x + at], told[y]]))
+            at = end
+        x, y = np.concatenate(links, 1) if links else np.zeros((2, 0), np.int64)
+        apart = column["component"][x] != column["component"][y]
+        x, y = column["node"][x[apart]], column["node"][y[apart]]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)}).group_by(["a", "b"]).aggregate([])
+
+    return link
+
+
+def _residual_links(shared: DataFrame, parts: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """Links (a, b) between members of one bucket that are in different components."""
+    at = (
+        shared.join(parts, "node", "left").join(texts.select(F.col("id").alias("node"), F.octet_length("text").alias("size")), "node")
+        .select("key", "node", "size", F.coalesce("component", "node").alias("component"))
+    )
+    sizes = at.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     mixed_keys = (
-        sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", F.col("component").alias("main"))).alias("top"))
-        .filter("parts > 1").select("key", F.col("top.main").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
+        sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts"), F.max(F.struct("n", F.col("component").alias("main"))).alias("top"))
+        .filter("parts > 1")
+        .select("key", F.col("top.main").alias("main"), F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES, F.lit(1))).cast("int").alias("blocks"))
     )
-    held = stage(at.join(mixed_keys, "key").join(signatures, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")), "members")
-    members = held.df
-    schema = "key long, main long, nodes binary, components binary, signatures binary"
-    blocks = stage(members.groupBy("key", "block").applyInArrow(_packed, schema), "blocks")
-    minor = stage(members.filter("component <> main").groupBy("key", "block").applyInArrow(_packed, schema), "blocks")
-    other = blocks.df.drop("main").select("key", *(F.col(c).alias(f"{c}_2") for c in ("nodes", "components", "signatures")))
-    pairs = stage(minor.df.join(other, "key").mapInArrow(_alike(least), "a long, b long, minor long, agreeing long").distinct(), "near")
-    for s in (held, blocks, minor):
-        s.drop()
-    return pairs
+    members = at.select("key", "node", "component").join(mixed_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    told = F.transform(every, lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
+    ask = F.transform(every, lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
+    cells = members.withColumn("cell", F.explode(F.when(F.col("component") != F.col("main"), F.array_union(told, ask)).otherwise(told)))
+    rows = cells.select("key", "cell.i", "cell.j", "block", "node", "component", "main").join(texts.withColumnRenamed("id", "node"), "node")
+    return rows.groupBy("key", "i", "j").applyInArrow(_cell_links(weights, threshold), "a long, b long").distinct()
 
 
 def _hub_pairs(shared: DataFrame, links: DataFrame, parts: DataFrame) -> DataFrame:
@@ -246,7 +260,7 @@ def _hub_pairs(shared: DataFrame, links: DataFrame, parts: DataFrame) -> DataFra
         .select("key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
     )
     hubs = at.groupBy("key").agg(F.max(F.struct("degree", F.col("node").alias("hub"), F.col("component").alias("hub_component"))).alias("h")).select("key", "h.hub", "h.hub_component")
-    return at.join(hubs, "key").filter("component <> hub_component").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    return at.join(hubs, "key").filter("component <> hub_component").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
 
 def _texts_of(texts: DataFrame, wanted: DataFrame) -> Staged:
@@ -265,15 +279,13 @@ def _texts_of(texts: DataFrame, wanted: DataFrame) -> Staged:
     return stage(texts.mapInArrow(maybe, texts.schema).join(wanted, "id", "left_semi"), "texts")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, slack: float = 0.15) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """(doc_id, class_id) for every row: the least doc_id of the documents linked to it, directly or through others.
 
     Two documents are linked if their weighted Jaccard similarity is at least
-    `threshold`; `slack`: pairs whose signatures agree in fewer bins than
-    threshold - slack are taken as unlike (four standard deviations).  Rows
-    that share an id count as one document.  A text that is null or has no
-    word is a class of its own, as is a row with a null id (class null).  An
-    empty table gives an empty one.
+    `threshold` and they share a band.  Rows that share an id count as one
+    document.  A text that is null or has no word is a class of its own, as is
+    a row with a null id (class null).  An empty table gives an empty one.
     """
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     weights = Weights.count(chosen.select("text"))
@@ -286,35 +298,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
     shared = stage(bands.join(several, "key"), "buckets")
     texts = _texts_of(chosen.withColumnRenamed("doc_id", "id"), shared.df.select(F.col("node").alias("id")).distinct())
-    held = [shared, texts]
-    tested, links = None, None
-
-    def verify(pairs: DataFrame) -> None:
-        """Tests the pairs that have not been tested, and keeps the links."""
-        nonlocal tested, links
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = stage(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
-        found = stage(_verified(fresh.df, texts.df, weights, threshold), "links")
-        held.extend([fresh, found])
-        tested = fresh.df if tested is None else tested.unionByName(fresh.df)
-        links = found.df if links is None else links.unionByName(found.df)
-
-    def connected() -> DataFrame:
-        parts = components(links)
-        held.append(parts)
-        return parts.df
-
-    verify(shared.df.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    verify(_hub_pairs(shared.df, links, connected()))
-    residual = _residual(shared.df.select("key", "node"), connected(), nodes.select(F.col("doc_id").alias("node"), "signature"), threshold - slack)
-    held.append(residual)
-    verify(residual.df.groupBy("minor").agg(F.max(F.struct("agreeing", "a", "b")).alias("best")).select("best.*"))
-    now = connected()
-    component = lambda x: now.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-    rest = residual.df.select("a", "b").distinct().join(component("a"), "a", "left").join(component("b"), "b", "left")
-    verify(rest.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")))
-    final = components(links.unionByName(_shared_ids(copies.df)))
-    for s in held:
+    pivots = stage(shared.df.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    to_pivots = stage(_verified(pivots.df, texts.df, weights, threshold), "links")
+    first = components(to_pivots.df)
+    hubs = stage(_hub_pairs(shared.df, to_pivots.df, first.df).join(pivots.df, ["a", "b"], "left_anti"), "pairs")
+    to_hubs = stage(_verified(hubs.df, texts.df, weights, threshold), "links")
+    links = to_pivots.df.unionByName(to_hubs.df)
+    second = components(links)
+    rest = stage(_residual_links(shared.df.select("key", "node"), second.df, texts.df, weights, threshold), "links")
+    final = components(links.unionByName(rest.df).unionByName(_shared_ids(copies.df)))
+    for s in (shared, texts, pivots, to_pivots, first, hubs, to_hubs, second, rest):
         s.drop()
     alone = signed.df.filter("doc_id IS NULL OR k1 IS NULL").select("doc_id", F.col("doc_id").alias("rep"))
     every = copies.df.unionByName(alone)

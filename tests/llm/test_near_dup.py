@@ -59,7 +59,8 @@ def brute_force(docs, threshold=0.8):
     for _, t in docs:
         for _, _, _, found, *_ in shingle_counts(pa.array([t], pa.string())):
             cells.update(near_dup._cell(found).tolist())
-    codes = np.clip(np.rint(8 * (1 + np.log((n + 1) / (np.array([cells.get(i, 0) for i in range(1 << near_dup.CELL_BITS)]) + 1.0)))), 8, 255).astype(np.uint8)
+    frequency = np.array([cells.get(i, 0) for i in range(1 << near_dup.CELL_BITS)])
+    codes = np.rint(100 * np.maximum(1, 1 + np.log((n + 1) / (frequency + 1.0))) ** 0.25).astype(np.uint8)
     weights = Weights(codes)
     texts = pa.array([t for _, t in docs], pa.string())
     pairs = []
@@ -88,7 +89,7 @@ def test_buckets_in_many_blocks(spark, monkeypatch):
 
 
 def test_weighted_jaccard_is_that_of_multisets():
-    weights = Weights(np.full(1 << near_dup.CELL_BITS, 8, np.uint8))
+    weights = Weights(np.full(1 << near_dup.CELL_BITS, 100, np.uint8))
     left, right = "a b c d e f a b c d e f", "a b c d e f g a b c d e"
     a, b = shingles(left), shingles(right)
     expected = sum((a & b).values()) / sum((a | b).values())
