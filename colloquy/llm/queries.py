@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, line_dedup, near_dup, neighbours, packing, toxicity, url_filter
+from . import decontamination, langid, line_dedup, near_dup, neighbours, packing, passages, toxicity, url_filter
 from .sampling import fold
 
 
@@ -139,7 +139,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = passages.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op9_substring_dedup": op9_substring_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op7_decontamination": op7_decontamination,
