@@ -8,7 +8,8 @@ of one size, with their places in 16 bits: six bytes a word.  The hits are then
 extended: every window of 13 words around one is looked up by a 64-bit hash, and
 runs of windows that a document with a smaller id has too are the maximal exact
 repeats.  Counts of a window are combined before the shuffle, so a passage in
-very many documents is a few rows.
+very many documents is a few rows.  Copies of a whole text are found by a hash of
+it: all of such a copy is covered, and only the least id's text is looked into.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lexing import SEEDS, SpanHashes, Words, slices, split_words, text_bytes, windows
+from .lexing import SEEDS, SpanHashes, Words, slices, span_hash, split_words, text_bytes, windows
 from .storage import stage
 
 SHARD_BYTES = 24 << 20  #: of text that a shard has the probes of
-PROBES = "shard long, slice long, hashes binary, places binary, highs binary"
-HITS = "slice long, places binary, ids binary, firsts binary"
+PROBES = "shard long, slice long, hashes binary, places binary, highs binary, texts binary"
+HITS = "slice long, places binary, ids binary, firsts binary, texts binary"
+SPOTS = "doc_id long, k1 long, k2 long, spots binary"
 
 
 def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
@@ -36,6 +38,11 @@ def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
     return words, SpanHashes(data, SEEDS[1])(words.starts, words.ends)
 
 
+def _whole(words: Words, hashes: np.ndarray) -> np.ndarray:
+    """(document, 2): two hashes of each document's words."""
+    return np.stack([span_hash(hashes, words.offsets[:-1], words.offsets[1:], s) for s in SEEDS], 1).view(np.int64)
+
+
 def _probes(shards: int, window: int, block: int):
     """A slice's rolling windows by shard, and the slice's directory: its documents and their first windows."""
 
@@ -44,7 +51,7 @@ def _probes(shards: int, window: int, block: int):
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b in slices(data, offsets, 1 << 23):
+            for a, b in slices(data, offsets, 1 << 21):
                 words, hashes = _hashed(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 first, found = windows(hashes, words.offsets, block)
                 document = np.searchsorted(words.offsets, first, "right") - 1
@@ -58,13 +65,13 @@ def _probes(shards: int, window: int, block: int):
                 short = ((found & np.uint64(0x7FFFFFFF)).astype(np.uint32) << np.uint32(1) | reference)[order].astype(np.uint32)
                 place = order
                 ends = np.searchsorted(shard[order], np.arange(shards + 1))
-                rows = [(-1 - number % 64, number, ids[a:b].astype("<i8").tobytes(), np.searchsorted(document, np.arange(b - a)).astype("<i8").tobytes(), (first - words.offsets[document]).astype("<u4").tobytes())]
+                rows = [(-1 - number % 64, number, ids[a:b].astype("<i8").tobytes(), np.searchsorted(document, np.arange(b - a)).astype("<i8").tobytes(), (first - words.offsets[document]).astype("<u4").tobytes(), _whole(words, hashes).tobytes())]
                 for s in range(shards):
                     own = place[ends[s] : ends[s + 1]]
                     if len(own):
                         highs = np.searchsorted(own, np.arange(0, own[-1] + 1, 1 << 16)).astype("<u4")
-                        rows.append((s, number, short[ends[s] : ends[s + 1]].tobytes(), (own & 0xFFFF).astype("<u2").tobytes(), highs.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["shard", "slice", "hashes", "places", "highs"])
+                        rows.append((s, number, short[ends[s] : ends[s + 1]].tobytes(), (own & 0xFFFF).astype("<u2").tobytes(), highs.tobytes(), None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["shard", "slice", "hashes", "places", "highs", "texts"])
                 number += 1
 
     return probe
@@ -72,9 +79,9 @@ def _probes(shards: int, window: int, block: int):
 
 def _hits(group: pa.Table) -> pa.Table:
     """Places of the windows whose hash a reference block and another window have; a directory passes as it is."""
-    slice_of, columns = group.column("slice").to_pylist(), [group.column(c).to_pylist() for c in ("hashes", "places", "highs")]
+    slice_of, columns = group.column("slice").to_pylist(), [group.column(c).to_pylist() for c in ("hashes", "places", "highs", "texts")]
     if group.column("shard")[0].as_py() < 0:
-        return pa.table([pa.array(slice_of, pa.int64()), *(pa.array(columns[k], pa.binary()) for k in (2, 0, 1))], ["slice", "places", "ids", "firsts"])
+        return pa.table([pa.array(slice_of, pa.int64()), *(pa.array(columns[k], pa.binary()) for k in (2, 0, 1, 3))], ["slice", "places", "ids", "firsts", "texts"])
     sizes = np.array([len(h) // 4 for h in columns[0]])
     hashes = np.frombuffer(b"".join(columns[0]), "<u4").astype(np.uint64)
     entries = ((hashes >> np.uint64(1)) << np.uint64(33)) | (np.arange(len(hashes), dtype=np.uint64) << np.uint64(1)) | (hashes & np.uint64(1))
@@ -94,20 +101,21 @@ def _hits(group: pa.Table) -> pa.Table:
             low = np.frombuffer(columns[1][k], "<u2")[at]
             rows.append((slice_of[k], (high.astype(np.uint32) << np.uint32(16) | low).astype("<u4").tobytes()))
     none = pa.nulls(len(rows), pa.binary())
-    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), none, none], ["slice", "places", "ids", "firsts"])
+    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), none, none, none], ["slice", "places", "ids", "firsts", "texts"])
 
 
 def _spots(group: pa.Table) -> pa.Table:
-    """Of one slice: (doc_id, word positions of hits in the document)."""
-    directory = next((r for r in group.select(["places", "ids", "firsts"]).to_pylist() if r["ids"] is not None), None)
+    """Of one slice: its documents of a window or more, with hashes of their texts and the word positions of hits."""
+    directory = next(r for r in group.select(["places", "ids", "firsts", "texts"]).to_pylist() if r["ids"] is not None)
     hits = [h for h, i in zip(group.column("places").to_pylist(), group.column("ids").to_pylist(), strict=True) if i is None]
-    if directory is None or not hits:
-        return pa.table({"doc_id": pa.array([], pa.int64()), "spots": pa.array([], pa.binary())})
     at = np.sort(np.frombuffer(b"".join(hits), "<u4").astype(np.int64))
     ids, firsts, position = (np.frombuffer(directory[k], t) for k, t in (("ids", "<i8"), ("firsts", "<i8"), ("places", "<u4")))
-    document = np.searchsorted(firsts, at, "right") - 1
-    own, starts = np.unique(document, return_index=True)
-    return pa.table({"doc_id": pa.array(ids[own]), "spots": pa.array([p.tobytes() for p in np.split(position[at], starts[1:])], pa.binary())})
+    texts = np.frombuffer(directory["texts"], "<i8").reshape(-1, 2)
+    ends = np.append(firsts[1:], len(position))
+    bounds = np.searchsorted(at, np.append(firsts, len(position)))
+    long = np.flatnonzero(ends > firsts)
+    spots = [position[at[bounds[d] : bounds[d + 1]]].tobytes() for d in long]
+    return pa.table([pa.array(ids[long]), pa.array(texts[long, 0]), pa.array(texts[long, 1]), pa.array(spots, pa.binary())], ["doc_id", "k1", "k2", "spots"])
 
 
 def _candidates(window: int, block: int):
@@ -137,17 +145,23 @@ def _rewritten(names: list[str], text: int, window: int):
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = batch.column(text).cast(pa.binary()).to_pylist()
-            repeats = batch.column(batch.num_columns - 1)
-            some = np.flatnonzero(repeats.is_valid())
+            repeats, copies = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist()
+            some = np.flatnonzero(batch.column(batch.num_columns - 3).is_valid())
             masks: dict[int, np.ndarray] = {}
             if len(some):
                 words, hashes = _hashed(*text_bytes(batch.column(text).take(pa.array(some))))
+                whole = _whole(words, hashes).tolist()
                 first, found = windows(hashes, words.offsets, window)
                 by_word = np.zeros(len(hashes), np.uint64)
                 by_word[first] = found
-                for k, d in enumerate(some):
+                for k, d in enumerate(some.tolist()):
                     low, n = int(words.offsets[k]), int(words.counts[k])
-                    listed = repeats[int(d)].values
+                    if n >= window and copies[d] and any([c["k1"], c["k2"]] == whole[k] for c in copies[d]):
+                        masks[d] = np.zeros(n, bool)
+                        continue
+                    if not repeats[d].is_valid:
+                        continue
+                    listed = repeats[d].values
                     start, expected = listed.field(0).to_numpy(), listed.field(1).to_numpy().view(np.uint64)
                     inside = start + window <= n
                     start, expected = start[inside], expected[inside]
@@ -155,7 +169,7 @@ def _rewritten(names: list[str], text: int, window: int):
                     cover = np.zeros(n + 1, np.int64)
                     np.add.at(cover, start, 1)
                     np.add.at(cover, start + window, -1)
-                    masks[int(d)] = np.cumsum(cover[:-1]) == 0
+                    masks[d] = np.cumsum(cover[:-1]) == 0
             kept, n_words, n_removed = [], [], []
             for d, body in enumerate(bodies):
                 own = (body or b"").split()
@@ -163,7 +177,7 @@ def _rewritten(names: list[str], text: int, window: int):
                 kept.append(None if body is None else b" ".join(rest))
                 n_words.append(len(own))
                 n_removed.append(len(own) - len(rest))
-            columns = [*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
+            columns = [*batch.columns[:-3], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
             columns[text] = pa.array(kept, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -188,15 +202,21 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shards = max(1, -(-size // SHARD_BYTES))
     probes = chosen.mapInArrow(_probes(shards, window, block), PROBES)
     hits = stage(probes.groupBy("shard").applyInArrow(_hits, HITS), "hits")
-    spots = stage(hits.df.groupBy("slice").applyInArrow(_spots, "doc_id long, spots binary").groupBy("doc_id").agg(F.collect_list("spots").alias("spots")), "spots")
+    long = stage(hits.df.groupBy("slice").applyInArrow(_spots, SPOTS), "spots")
     hits.drop()
-    found = stage(chosen.join(spots.df.hint("shuffle_hash"), "doc_id").mapInArrow(_candidates(window, block), "doc_id long, start int, hash long"), "windows")
-    spots.drop()
-    firsts = found.df.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("hash", "owner")
-    repeats = stage(
-        found.df.join(firsts, "hash").filter("doc_id > owner").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "hash")).alias("__repeats")), "repeats"
+    least = long.df.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("k1", "k2", "owner")
+    copies = stage(long.df.select("doc_id", "k1", "k2").join(least, ["k1", "k2"]).filter("doc_id > owner").drop("owner"), "copies")
+    spots = (
+        long.df.filter(F.octet_length("spots") > 0).join(copies.df, ["doc_id", "k1", "k2"], "left_anti")
+        .groupBy("doc_id").agg(F.collect_list("spots").alias("spots"))
     )
-    found.drop()
-    joined = docs.join(repeats.df.hint("shuffle_hash"), docs[id_col].cast("long") == F.col("__id"), "left").drop("__id")
+    found = stage(chosen.join(spots.hint("shuffle_hash"), "doc_id").mapInArrow(_candidates(window, block), "doc_id long, start int, hash long"), "windows")
+    firsts = found.df.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("hash", "owner")
+    repeated = found.df.join(firsts, "hash").filter("doc_id > owner").groupBy("doc_id").agg(F.collect_list(F.struct("start", "hash")).alias("__repeats"))
+    whole = copies.df.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("__copies"))
+    marked = stage(repeated.join(whole, "doc_id", "full").select(F.col("doc_id").alias("__id"), "__repeats", "__copies"), "repeats")
+    for s in (long, copies, found):
+        s.drop()
+    joined = docs.join(marked.df.hint("shuffle_hash"), docs[id_col].cast("long") == F.col("__id"), "left").select(*docs.columns, "__id", "__repeats", "__copies")
     schema = T.StructType([*docs.withColumn(text_col, F.col(text_col).cast("string")).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     return joined.mapInArrow(_rewritten(schema.names, docs.columns.index(text_col), window), schema)
