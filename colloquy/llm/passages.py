@@ -143,7 +143,7 @@ def _candidates(window: int, block: int):
 
 def _rewritten(names: list[str], text: int, window: int):
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(low, high - low) for b in batches for low, high in slices(*text_bytes(b.column(text)), 1 << 21)):
             bodies = batch.column(text).cast(pa.binary()).to_pylist()
             repeats, copies = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist()
             some = np.flatnonzero(batch.column(batch.num_columns - 3).is_valid())
