@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .lexing import SEEDS, SpanHashes, Words, slices, span_hash, split_words, text_bytes, windows
 from .storage import stage
 
-SHARD_BYTES = 24 << 20  #: of text that a shard has the probes of
+SHARD_BYTES = 8 << 20  #: of text that a shard has the probes of
 PROBES = "shard long, slice long, hashes binary, places binary, highs binary, texts binary"
 HITS = "slice long, places binary, ids binary, firsts binary, texts binary"
 SPOTS = "doc_id long, k1 long, k2 long, spots binary"

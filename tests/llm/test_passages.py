@@ -40,7 +40,7 @@ def corpus(n=120, seed=2):
     return docs
 
 
-@pytest.mark.parametrize("shard_bytes", [24 << 20, 500])
+@pytest.mark.parametrize("shard_bytes", [8 << 20, 500])
 def test_against_brute_force(spark, monkeypatch, shard_bytes):
     monkeypatch.setattr(passages, "SHARD_BYTES", shard_bytes)
     docs = corpus()
