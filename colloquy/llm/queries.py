@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, line_dedup, near_dup, neighbours, packing, passages, toxicity, url_filter
+from . import context_mixing, decontamination, langid, line_dedup, near_dup, neighbours, packing, passages, toxicity, url_filter
 from .sampling import fold
 
 
@@ -144,7 +144,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), fold(F.col("doc_id"), 5) == 1)
+
+
 QUERIES = {
+    "op1_context_mixing": op1_context_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op5_nearest_neighbours": op5_nearest_neighbours,
