@@ -2,7 +2,7 @@
 
 A text is coded as binary decisions, along Huffman codes of a byte after each
 byte, which take a third less of them than plain bits would.  Hashed contexts
-(the last 2 and 4 bytes, and the word so far) each predict a decision from
+(the last 3 and 5 bytes, and the word so far) each predict a decision from
 counts gathered over all training texts; a logistic mixer joins the predictions
 in the stretched domain.  Its weights are gated: which set is used depends on
 whether the word context is sure.  While a text is coded
@@ -32,9 +32,9 @@ from .lexing import IS_BLANK, SEEDS, SpanHashes, lower_ascii, slices, split_word
 from .storage import stage
 from .tallies import tally
 
-ORDERS = (2, 4)
+ORDERS = (3, 5)
 INPUTS = len(ORDERS) + 1
-CELL_BITS = 20
+CELL_BITS = 21
 END = 0xFF  #: a byte that no UTF-8 text has ends every text
 GAP = 8
 BLOCK = 64
@@ -210,7 +210,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, key, n): of tokens, kind 0, and of pairs of bytes, kind 1."""
     for batch in batches:
         data, offsets = text_bytes(batch.column(0))
-        for a, b in slices(data, offsets, 1 << 22):
+        for a, b in slices(data, offsets, 1 << 21):
             part = data[offsets[a] : offsets[b]]
             keys, counts = np.unique(_tokens(part, offsets[a : b + 1] - offsets[a])[0], return_counts=True)
             buffer, places, _ = laid_out(part, offsets[a : b + 1] - offsets[a])
@@ -226,7 +226,7 @@ def train(texts: DataFrame, code: Code) -> Mixer:
 
     def cells(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         data, offsets = text_bytes(batch.column(0))
-        for a, b in slices(data, offsets, 1 << 21):
+        for a, b in slices(data, offsets, 1 << 20):
             made = decisions(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], code)
             for k in range(INPUTS):
                 yield k, (made.cells[k] << np.uint32(1)) | made.bits
@@ -243,7 +243,7 @@ def _scored(mixer: Mixer, keys: np.ndarray, counts: np.ndarray, end_count: int):
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            for a, b in slices(data, offsets, 1 << 21):
+            for a, b in slices(data, offsets, 1 << 20):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 found, first = _tokens(part, at)
                 text = np.repeat(np.arange(b - a), np.diff(first))
