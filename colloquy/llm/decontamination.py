@@ -125,9 +125,8 @@ class PieceIndex:
 
     def passages(self, column: pa.Array) -> Iterator[tuple[int, int, int]]:
         """(row, item, distance) of the items that a row holds within their error budgets."""
-        data, offsets = normalised(column)
-        for a, b in slices(data, offsets, 1 << 21):
-            part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        for a, b in slices(*text_bytes(column), 1 << 21):
+            part, at = normalised(column.slice(a, b - a))
             position, piece = self.hits(keys_at(part))
             if not len(position):
                 continue
