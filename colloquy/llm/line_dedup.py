@@ -38,6 +38,7 @@ class LineRuns:
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout = spark, fanout
         self.levels: list[list[Staged]] = []
+        self.merged: list[Staged] = []  #: into a higher level; deleted at the next batch
 
     def runs(self) -> DataFrame:
         out = self.spark.createDataFrame([], RUN_SCHEMA)
@@ -46,7 +47,8 @@ class LineRuns:
         return out
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Adds a batch (key, doc_id); returns its fresh keys with their owners."""
+        """Adds a batch (key, doc_id); returns its fresh keys with their owners, to be read before the next batch."""
+        self._tidy()
         run = (
             batch.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
             .groupBy("key").agg(F.max("doc_id").alias("owner"), F.count("*").alias("n_docs"))
@@ -74,14 +76,19 @@ class LineRuns:
             rows = rows.unionByName(r.df)
         rows = rows.groupBy("key").agg(F.max("owner").alias("owner"), F.sum("n_docs").alias("n_docs"))
         out = stage(rows.sortWithinPartitions("key"), "line-run")
-        for r in runs:
-            r.drop()
+        self.merged += runs
         return out
 
+    def _tidy(self) -> None:
+        for run in self.merged:
+            run.drop()
+        self.merged = []
+
     def compacted(self) -> DataFrame:
         """All runs as one: key, owner (largest doc_id that holds it), n_docs."""
         every = [r for level in self.levels for r in level]
         self.levels = [[self._merged(every)]] if len(every) > 1 else self.levels
+        self._tidy()
         return self.runs()
 
 
@@ -138,7 +145,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
     held = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(_keys_of(min_chars), "doc_id long, key binary"), "line-keys")
-    cuts = sorted(set(held.df.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)), reverse=True)
+    cuts = sorted(set(held.df.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)) if batches > 1 else [], reverse=True)
     runs = LineRuns(spark, fanout)
     for low, high in zip([*cuts, None], [None, *cuts], strict=True):
         runs.add(held.df.filter(_within("doc_id", low, high)))

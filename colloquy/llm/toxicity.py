@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labelled = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("double").alias("__label"))
     bounded = F.broadcast(first_by_hash(labelled, "__id", sample))  # at most `sample` rows of two numbers
     rows = docs.join(bounded, docs[id_col] == F.col("__id")).select(F.col(text_col).cast("string"), "__label")
-    table = rows.mapInArrow(_distinct_terms, "label double, terms binary").limit(2 * sample).toArrow()
+    table = rows.mapInArrow(_distinct_terms, "label double, terms binary").limit(2 * sample).toArrow().sort_by([("label", "ascending"), ("terms", "ascending")])
     return fit(table.column("label").to_numpy(), [np.frombuffer(t, "<i4").astype(np.int64) for t in table.column("terms").to_pylist()], features, factors, epochs)
 
 
