@@ -65,7 +65,7 @@ def _probes(shards: int, window: int, block: int):
                 short = ((found & np.uint64(0x7FFFFFFF)).astype(np.uint32) << np.uint32(1) | reference)[order].astype(np.uint32)
                 place = order
                 ends = np.searchsorted(shard[order], np.arange(shards + 1))
-                rows = [(-1 - number % 64, number, ids[a:b].astype("<i8").tobytes(), np.searchsorted(document, np.arange(b - a)).astype("<i8").tobytes(), (first - words.offsets[document]).astype("<u4").tobytes(), _whole(words, hashes).tobytes())]
+                rows = [(-1 - number, number, ids[a:b].astype("<i8").tobytes(), np.searchsorted(document, np.arange(b - a)).astype("<i8").tobytes(), (first - words.offsets[document]).astype("<u4").tobytes(), _whole(words, hashes).tobytes())]
                 for s in range(shards):
                     own = place[ends[s] : ends[s + 1]]
                     if len(own):

@@ -57,3 +57,9 @@ def test_empty_table_and_bad_block(spark):
     assert dedup_passages(frame).count() == 0
     with pytest.raises(ValueError):
         dedup_passages(frame, block=8)
+
+
+def test_each_directory_is_a_group_of_its_own(spark):
+    docs = spark.createDataFrame([(i, f"{i} " * 20) for i in range(64)], "doc_id long, text string").repartition(8)
+    rows = docs.mapInArrow(passages._probes(2, 13, 7), passages.PROBES).filter("shard < 0").groupBy("shard").count().collect()
+    assert len(rows) == 8 and all(r["count"] == 1 for r in rows)
