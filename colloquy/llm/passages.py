@@ -3,8 +3,10 @@
 Of every document the non-overlapping blocks of 7 words are the reference
 blocks.  A run of 13 words or more that two documents share holds a whole block
 of either, so every rolling window of 7 words is probed against the blocks.
-Probes and blocks travel as 32-bit hashes, dealt by further hash bits to shards
-of one size, with their places in 16 bits: six bytes a word.  The hits are then
+Probes and blocks travel as 30-bit hashes, dealt by further hash bits to shards
+of one size, with their places in 16 bits: six bytes a word.  A slice sends a
+hash once, however often it has it, and keeps the other places in its directory,
+so that a shard gets a very common window once a slice.  The hits are then
 extended: every window of 13 words around one is looked up by a 64-bit hash, and
 runs of windows that a document with a smaller id has too are the maximal exact
 repeats.  Counts of a window are combined before the shuffle, so a passage in
@@ -28,8 +30,9 @@ from .lexing import SEEDS, SpanHashes, Words, slices, span_hash, split_words, te
 from .storage import stage
 
 SHARD_BYTES = 8 << 20  #: of text that a shard has the probes of
-PROBES = "shard long, slice long, hashes binary, places binary, highs binary, texts binary"
-HITS = "slice long, places binary, ids binary, firsts binary, texts binary"
+PROBES = "shard long, slice long, hashes binary, places binary, highs binary, texts binary, again binary"
+HITS = "slice long, places binary, ids binary, firsts binary, texts binary, again binary"
+SEVERAL, REFERENCE = np.uint32(2), np.uint32(1)  #: of a hash in a slice: it has more places than one; one is a block
 SPOTS = "doc_id long, k1 long, k2 long, spots binary"
 
 
@@ -43,6 +46,16 @@ def _whole(words: Words, hashes: np.ndarray) -> np.ndarray:
     return np.stack([span_hash(hashes, words.offsets[:-1], words.offsets[1:], s) for s in SEEDS], 1).view(np.int64)
 
 
+def _standing(keys: np.ndarray, reference: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a place for each key, its flags, (2, n): every other place and the one that stands for it)."""
+    order = np.argsort(keys)
+    fresh = np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]])
+    starts = np.flatnonzero(fresh)
+    one = order[starts]
+    flags = np.maximum.reduceat(reference[order].astype(np.uint32), starts) * REFERENCE | (np.diff(np.append(starts, len(order))) > 1) * SEVERAL
+    return one, flags.astype(np.uint32), np.stack([order[~fresh], one[(np.cumsum(fresh) - 1)[~fresh]]])
+
+
 def _probes(shards: int, window: int, block: int):
     """A slice's rolling windows by shard, and the slice's directory: its documents and their first windows."""
 
@@ -60,18 +73,22 @@ def _probes(shards: int, window: int, block: int):
                 if not len(first):
                     continue
                 reference = (first - words.offsets[document]) % block == 0
-                shard = ((found >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                short = ((found & np.uint64(0x7FFFFFFF)).astype(np.uint32) << np.uint32(1) | reference)[order].astype(np.uint32)
-                place = order
-                ends = np.searchsorted(shard[order], np.arange(shards + 1))
-                rows = [(-1 - number, number, ids[a:b].astype("<i8").tobytes(), np.searchsorted(document, np.arange(b - a)).astype("<i8").tobytes(), (first - words.offsets[document]).astype("<u4").tobytes(), _whole(words, hashes).tobytes())]
+                shard = ((found >> np.uint64(32)) % np.uint64(shards)).astype(np.min_scalar_type(shards))
+                low = found & np.uint64(0x3FFFFFFF)
+                one, flags, again = _standing((shard.astype(np.uint64) << np.uint64(30)) | low, reference)
+                entry = np.zeros(len(found), np.uint32)
+                entry[one] = low[one].astype(np.uint32) << np.uint32(2) | flags
+                place = np.sort(one)
+                place = place[np.argsort(shard[place], kind="stable")]
+                short = entry[place]
+                ends = np.searchsorted(shard[place], np.arange(shards + 1))
+                rows = [(-1 - number, number, ids[a:b].astype("<i8").tobytes(), np.searchsorted(document, np.arange(b - a)).astype("<i8").tobytes(), (first - words.offsets[document]).astype("<u4").tobytes(), _whole(words, hashes).tobytes(), again.astype("<u4").tobytes())]
                 for s in range(shards):
                     own = place[ends[s] : ends[s + 1]]
                     if len(own):
                         highs = np.searchsorted(own, np.arange(0, own[-1] + 1, 1 << 16)).astype("<u4")
-                        rows.append((s, number, short[ends[s] : ends[s + 1]].tobytes(), (own & 0xFFFF).astype("<u2").tobytes(), highs.tobytes(), None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["shard", "slice", "hashes", "places", "highs", "texts"])
+                        rows.append((s, number, short[ends[s] : ends[s + 1]].tobytes(), (own & 0xFFFF).astype("<u2").tobytes(), highs.tobytes(), None, None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 5), strict=True)], ["shard", "slice", "hashes", "places", "highs", "texts", "again"])
                 number += 1
 
     return probe
@@ -79,18 +96,19 @@ def _probes(shards: int, window: int, block: int):
 
 def _hits(group: pa.Table) -> pa.Table:
     """Places of the windows whose hash a reference block and another window have; a directory passes as it is."""
-    slice_of, columns = group.column("slice").to_pylist(), [group.column(c).to_pylist() for c in ("hashes", "places", "highs", "texts")]
+    slice_of, columns = group.column("slice").to_pylist(), [group.column(c).to_pylist() for c in ("hashes", "places", "highs", "texts", "again")]
     if group.column("shard")[0].as_py() < 0:
-        return pa.table([pa.array(slice_of, pa.int64()), *(pa.array(columns[k], pa.binary()) for k in (2, 0, 1, 3))], ["slice", "places", "ids", "firsts", "texts"])
+        return pa.table([pa.array(slice_of, pa.int64()), *(pa.array(columns[k], pa.binary()) for k in (2, 0, 1, 3, 4))], ["slice", "places", "ids", "firsts", "texts", "again"])
     sizes = np.array([len(h) // 4 for h in columns[0]])
     hashes = np.frombuffer(b"".join(columns[0]), "<u4").astype(np.uint64)
-    entries = ((hashes >> np.uint64(1)) << np.uint64(33)) | (np.arange(len(hashes), dtype=np.uint64) << np.uint64(1)) | (hashes & np.uint64(1))
+    entries = ((hashes >> np.uint64(2)) << np.uint64(34)) | (np.arange(len(hashes), dtype=np.uint64) << np.uint64(2)) | (hashes & np.uint64(3))
     entries.sort()
-    key = entries >> np.uint64(33)
+    key = entries >> np.uint64(34)
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     counts = np.diff(np.append(starts, len(key)))
-    shared = (counts > 1) & (np.add.reduceat((entries & np.uint64(1)).astype(np.int64), starts) > 0)
-    hit = np.sort(((entries[np.repeat(shared, counts)] >> np.uint64(1)) & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    flags = np.bitwise_or.reduceat((entries & np.uint64(3)).astype(np.uint32), starts)
+    shared = ((counts > 1) | (flags & SEVERAL > 0)) & (flags & REFERENCE > 0)
+    hit = np.sort(((entries[np.repeat(shared, counts)] >> np.uint64(2)) & np.uint64(0xFFFFFFFF)).astype(np.int64))
     ends = np.cumsum(sizes)
     parts = np.split(hit, np.searchsorted(hit, ends))
     rows = []
@@ -101,14 +119,16 @@ def _hits(group: pa.Table) -> pa.Table:
             low = np.frombuffer(columns[1][k], "<u2")[at]
             rows.append((slice_of[k], (high.astype(np.uint32) << np.uint32(16) | low).astype("<u4").tobytes()))
     none = pa.nulls(len(rows), pa.binary())
-    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), none, none, none], ["slice", "places", "ids", "firsts", "texts"])
+    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), none, none, none, none], ["slice", "places", "ids", "firsts", "texts", "again"])
 
 
 def _spots(group: pa.Table) -> pa.Table:
     """Of one slice: its documents of a window or more, with hashes of their texts and the word positions of hits."""
-    directory = next(r for r in group.select(["places", "ids", "firsts", "texts"]).to_pylist() if r["ids"] is not None)
+    directory = next(r for r in group.select(["places", "ids", "firsts", "texts", "again"]).to_pylist() if r["ids"] is not None)
     hits = [h for h, i in zip(group.column("places").to_pylist(), group.column("ids").to_pylist(), strict=True) if i is None]
-    at = np.sort(np.frombuffer(b"".join(hits), "<u4").astype(np.int64))
+    at = np.frombuffer(b"".join(hits), "<u4")
+    other, standing = np.frombuffer(directory["again"], "<u4").reshape(2, -1)
+    at = np.sort(np.concatenate([at, other[np.isin(standing, at)]]).astype(np.int64))
     ids, firsts, position = (np.frombuffer(directory[k], t) for k, t in (("ids", "<i8"), ("firsts", "<i8"), ("places", "<u4")))
     texts = np.frombuffer(directory["texts"], "<i8").reshape(-1, 2)
     ends = np.append(firsts[1:], len(position))

@@ -63,3 +63,12 @@ def test_each_directory_is_a_group_of_its_own(spark):
     docs = spark.createDataFrame([(i, f"{i} " * 20) for i in range(64)], "doc_id long, text string").repartition(8)
     rows = docs.mapInArrow(passages._probes(2, 13, 7), passages.PROBES).filter("shard < 0").groupBy("shard").count().collect()
     assert len(rows) == 8 and all(r["count"] == 1 for r in rows)
+
+
+def test_a_common_window_is_one_entry_of_a_slice(spark):
+    texts = ["a " * 3000] + [" ".join(f"w{k}" for k in range(40))] * 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = docs.mapInArrow(passages._probes(2, 13, 7), passages.PROBES).filter("shard >= 0").collect()
+    assert sum(len(r["hashes"]) // 4 for r in rows) == 1 + 34
+    got = [(r.doc_id, r.n_removed) for r in dedup_passages(docs).collect()]
+    assert sorted(got) == [(0, 0), (1, 0)] + [(d, 40) for d in range(2, 51)]
