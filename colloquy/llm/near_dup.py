@@ -2,10 +2,11 @@
 
 A document's shingles are its runs of five words (A-Z lower-cased); texts of
 one to four words are one shingle.  A shingle weighs its count in the document
-times an inverse document frequency, counted over all documents in 2**22 hashed
-cells, so that the table has one size for any corpus: a cell's count is the
-frequency of a common shingle, or else the even background of rare ones.  The
-idf is damped (its fourth root): what thousands of near copies share is frequent
+times an inverse document frequency, counted over all documents for every
+shingle: slices of text send their shingles to shards by hash, once each, and get
+back those that other documents have too, so that no task holds all frequencies.
+A document keeps its shingles' weights beside its text, a byte each.  The idf is
+damped (its fourth root): what thousands of near copies share is frequent
 for that very reason, and at full idf a few rare edited words would outweigh it.
 
 Each shingle falls into one of 120 bins by its hash, and each bin takes one
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +44,13 @@ CELL_BITS = 22
 DAMPING = 0.25
 WANTED_BITS = 23
 ID_BITS = 44  #: of a shingle inside a batch; the others number the batch's rows
+KEY_BYTES = 6  #: that hold a shingle's ID_BITS
 BLOCK, BLOCK_BYTES = 1024, 4 << 20  #: of a block of a bucket's members
-SIGNED = "doc_id long, k1 long, k2 long, bands binary"
+SHARD_BYTES = 8 << 20  #: of text that a shard counts the shingles of
+SLICED = "slice long, doc_id long, text string"
+ASKED = "shard long, slice long, keys binary, counts binary"
+TOLD = "slice long, keys binary, codes binary"
+SIGNED = "doc_id long, text string, k1 long, k2 long, bands binary, codes binary"
 _ID_MASK = np.uint64((1 << ID_BITS) - 1)
 
 
@@ -80,8 +87,71 @@ def _cell(shingles: np.ndarray) -> np.ndarray:
     return (shingles & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
 
 
+def _codes(documents: int, frequency: np.ndarray) -> np.ndarray:
+    """Damped idf in hundredths, from 1 on: (1 + ln((documents + 1) / (frequency + 1))) ** DAMPING."""
+    return np.clip(np.rint(100 * np.maximum(1, 1 + np.log((documents + 1) / (frequency + 1.0))) ** DAMPING), 100, 255).astype(np.uint8)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their slice."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for a, b in slices(*text_bytes(batch.column(1)), 1 << 21):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, number)), *(c.slice(a, b - a) for c in batch.columns)], ["slice", "doc_id", "text"])
+            number += 1
+
+
+def _asked(shards: int):
+    """The shingles of a slice, once each, by shard, with the number of its documents that have them."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slice_of = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(slice_of)) + 1).tolist(), len(slice_of)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                for _, _, _, shingles, *_ in shingle_counts(batch.column(2).slice(low, high - low)):
+                    keys, counts = np.unique(shingles, return_counts=True)
+                    shard = (keys % np.uint64(shards)).astype(np.min_scalar_type(shards))
+                    order = np.argsort(shard, kind="stable")
+                    keys, counts = keys[order] // np.uint64(shards), counts[order].astype("<u4")
+                    ends = np.searchsorted(shard[order], np.arange(shards + 1))
+                    parts = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+                    used = np.flatnonzero(np.diff(ends))
+                    rows = [(int(s), int(slice_of[low]), parts[ends[s] : ends[s + 1]].tobytes(), counts[ends[s] : ends[s + 1]].tobytes()) for s in used]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "slice", "keys", "counts"])
+
+    return ask
+
+
+def _told(shards: int, documents: int):
+    """For each slice the codes of its shingles that differ from that of a shingle of one document."""
+
+    def tell(group: pa.Table) -> pa.Table:
+        rows = group.column("keys").to_pylist()
+        ends = np.cumsum([len(r) // KEY_BYTES for r in rows])
+        wide = np.zeros((int(ends[-1]), 8), np.uint8)
+        wide[:, :KEY_BYTES] = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, KEY_BYTES)
+        keys = wide.view("<u8")[:, 0]
+        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u4")
+        _, of = np.unique(keys, return_inverse=True)
+        codes = _codes(documents, np.bincount(of, counts))[of]
+        keys = keys * np.uint64(shards) + np.uint64(group.column("shard")[0].as_py())
+        some = codes != _codes(documents, np.ones(1))
+        told = [(keys[a:b][some[a:b]].astype("<u8").tobytes(), codes[a:b][some[a:b]].tobytes()) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return pa.table({"slice": group.column("slice"), "keys": pa.array([t[0] for t in told], pa.binary()), "codes": pa.array([t[1] for t in told], pa.binary())}).filter(pa.array([bool(t[1]) for t in told]))
+
+    return tell
+
+
+def _worth(weights: Weights | pa.Array, a: int, b: int, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Weights of the shingles of rows a to b; `weights` may hold the codes of each row's shingles."""
+    if isinstance(weights, Weights):
+        return weights.of(shingles, counts)
+    return counts * (np.frombuffer(b"".join(weights.slice(a, b - a).to_pylist()), np.uint8) / 100.0)
+
+
 class Weights:
-    """Damped idf by hashed cell, in hundredths: (1 + ln((documents + 1) / (frequency + 1))) ** DAMPING, 1 at least."""
+    """For texts in memory, without counting every shingle: damped idf by hashed cell, in hundredths: (1 + ln((documents + 1) / (frequency + 1))) ** DAMPING, 1 at least."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
@@ -95,8 +165,7 @@ class Weights:
             for _, _, _, shingles, *_ in shingle_counts(batch.column(0)):
                 yield 0, _cell(shingles)
 
-        finish = lambda c: np.clip(np.rint(100 * np.maximum(1, 1 + np.log((n + 1) / (c + 1.0))) ** DAMPING), 100, 255)
-        return cls(tally(docs, cells, 1, CELL_BITS, finish)[0])
+        return cls(tally(docs, cells, 1, CELL_BITS, lambda c: _codes(n, c))[0])
 
     def of(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return counts * (self.codes[_cell(shingles)] / 100.0)
@@ -127,22 +196,46 @@ def icws(rows: np.ndarray, shingles: np.ndarray, weights: np.ndarray, n: int) ->
     return out
 
 
-def _sign(weights: Weights):
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, rows, shingles, counts, k1, k2 in shingle_counts(batch.column(1)):
-                samples = icws(rows, shingles, weights.of(shingles, counts), b - a)
-                banded = samples.reshape(b - a, BANDS, BINS // BANDS) * (np.arange(BINS // BANDS, dtype=np.uint64) * np.uint64(SEEDS[0]) + np.uint64(SEEDS[1]))
-                bands = mixed(banded.sum(2) + np.arange(BANDS, dtype=np.uint64)[None])
-                rows_of = [None if blank else v.tobytes() for v, blank in zip(bands, (k1 == 0).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), *(pa.array(k.view(np.int64), mask=k == 0) for k in (k1, k2)), pa.array(rows_of, pa.binary())],
-                    ["doc_id", "k1", "k2", "bands"],
-                )
+def _sign(documents: int):
+    """Bands of a slice's documents, and the codes of their shingles."""
+
+    def sign(rows_of: pa.Table, told: pa.Table) -> pa.Table:
+        known, first = np.unique(np.frombuffer(b"".join(told.column("keys").to_pylist()), "<u8"), return_index=True)
+        known_codes = np.frombuffer(b"".join(told.column("codes").to_pylist()), np.uint8)[first]
+        alone = _codes(documents, np.ones(1))[0]
+        rows_of = rows_of.combine_chunks()
+        text = rows_of.column("text").combine_chunks()
+        out = []
+        for a, b, rows, shingles, counts, k1, k2 in shingle_counts(text):
+            codes = np.full(len(shingles), alone, np.uint8)
+            if len(known):
+                place = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+                codes = np.where(known[place] == shingles, known_codes[place], alone).astype(np.uint8)
+            samples = icws(rows, shingles, counts * (codes / 100.0), b - a)
+            banded = samples.reshape(b - a, BANDS, BINS // BANDS) * (np.arange(BINS // BANDS, dtype=np.uint64) * np.uint64(SEEDS[0]) + np.uint64(SEEDS[1]))
+            bands = mixed(banded.sum(2) + np.arange(BANDS, dtype=np.uint64)[None])
+            banded_of = [None if blank else v.tobytes() for v, blank in zip(bands, (k1 == 0).tolist(), strict=True)]
+            ends = np.searchsorted(rows, np.arange(b - a + 1))
+            codes_of = [codes[ends[k] : ends[k + 1]].tobytes() for k in range(b - a)]
+            columns = [rows_of.column("doc_id").slice(a, b - a), text.slice(a, b - a), *(pa.array(k.view(np.int64), mask=k == 0) for k in (k1, k2)), pa.array(banded_of, pa.binary()), pa.array(codes_of, pa.binary())]
+            out.append(pa.table(columns, ["doc_id", "text", "k1", "k2", "bands", "codes"]))
+        return pa.concat_tables(out)
 
     return sign
 
 
+def signed_documents(chosen: DataFrame) -> Staged:
+    """chosen (doc_id, text) with hashes of the texts, their bands, and their shingles' weights in hundredths, in order of shingle."""
+    held = stage(chosen.mapInArrow(_numbered, SLICED), "slices")
+    documents, size = held.df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = max(1, -(-size // SHARD_BYTES))
+    told = stage(held.df.mapInArrow(_asked(shards), ASKED).groupBy("shard").applyInArrow(_told(shards, documents), TOLD), "frequencies")
+    signed = stage(held.df.groupBy("slice").cogroup(told.df.groupBy("slice")).applyInArrow(_sign(documents), SIGNED), "signed")
+    held.drop()
+    told.drop()
+    return signed
+
+
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
@@ -150,8 +243,9 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes)], ["key", "node"])
 
 
-def weighted_jaccard(left: pa.Array, right: pa.Array, weights: Weights) -> np.ndarray:
-    """Of the texts in each row; 0 where one has no words."""
+def weighted_jaccard(left: pa.Array, right: pa.Array, weights: Weights | tuple[pa.Array, pa.Array]) -> np.ndarray:
+    """Of the texts in each row, 0 where one has no words.  weights: those of all shingles, or the codes of left and right."""
+    sides_of = (weights, weights) if isinstance(weights, Weights) else weights
     out = np.zeros(len(left))
     size = np.maximum(1, np.maximum(np.diff(text_bytes(left)[1]), np.diff(text_bytes(right)[1])))
     at = 0
@@ -159,11 +253,11 @@ def weighted_jaccard(left: pa.Array, right: pa.Array, weights: Weights) -> np.nd
     while at < len(left):
         end = max(at + 1, int(np.searchsorted(total, total[at] + (1 << 20), "right")) - 1)
         sides = []
-        for column in (left, right):
+        for column, known in zip((left, right), sides_of, strict=True):
             keys, worth = [], []
-            for a, _, rows, shingles, counts, *_ in shingle_counts(column.slice(at, end - at)):
+            for a, b, rows, shingles, counts, *_ in shingle_counts(column.slice(at, end - at)):
                 keys.append(((rows + a).astype(np.uint64) << np.uint64(ID_BITS)) | shingles)
-                worth.append(weights.of(shingles, counts))
+                worth.append(_worth(known, at + a, at + b, shingles, counts))
             sides.append((np.concatenate(keys), np.concatenate(worth)))
         (ka, wa), (kb, wb) = sides
         _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
@@ -176,24 +270,24 @@ def weighted_jaccard(left: pa.Array, right: pa.Array, weights: Weights) -> np.nd
     return out
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Of pairs (a, b), those whose texts are alike.  The joins split where a node has many pairs."""
-    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta"), F.col("codes").alias("ca")), "a")
+    with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb"), F.col("codes").alias("cb")), "b").select("a", "b", "ta", "tb", "ca", "cb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = pa.array(weighted_jaccard(batch.column(2), batch.column(3), weights) >= threshold)
+            alike = pa.array(weighted_jaccard(batch.column(2), batch.column(3), (batch.column(4), batch.column(5))) >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(alike), batch.column(1).filter(alike)], ["a", "b"])
 
     return with_b.mapInArrow(check, "a long, b long")
 
 
-def _cell_links(weights: Weights, threshold: float):
+def _cell_links(threshold: float):
     """Links between a bucket's members of block i outside its main component and all members of block j."""
 
-    def entries(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = [(rows + a, shingles, weights.of(shingles, counts)) for a, _, rows, shingles, counts, *_ in shingle_counts(texts)]
+    def entries(texts: pa.Array, codes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [(rows + a, shingles, _worth(codes, a, b, shingles, counts)) for a, b, rows, shingles, counts, *_ in shingle_counts(texts)]
         return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0))
 
     def link(group: pa.Table) -> pa.Table:
@@ -201,9 +295,9 @@ def _cell_links(weights: Weights, threshold: float):
         column = {c: group.column(c).to_numpy() for c in ("i", "j", "block", "node", "component", "main")}
         ask = np.flatnonzero((column["block"] == column["i"]) & (column["component"] != column["main"]))
         told = np.flatnonzero(column["block"] == column["j"])
-        texts = group.column("text")
-        ask_row, ask_shingle, ask_weight = entries(texts.take(pa.array(ask)))
-        row, shingle, weight = entries(texts.take(pa.array(told)))
+        texts, codes = group.column("text"), group.column("codes")
+        ask_row, ask_shingle, ask_weight = entries(texts.take(pa.array(ask)), codes.take(pa.array(ask)))
+        row, shingle, weight = entries(texts.take(pa.array(told)), codes.take(pa.array(told)))
         ask_total, total = np.bincount(ask_row, ask_weight, len(ask)), np.bincount(row, weight, len(told))
         order = np.argsort(shingle, kind="stable")
         row, shingle, weight = row[order], shingle[order], weight[order]
@@ -231,7 +325,7 @@ def _cell_links(weights: Weights, threshold: float):
     return link
 
 
-def _residual_links(shared: DataFrame, parts: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+def _residual_links(shared: DataFrame, parts: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between members of one bucket that are in different components."""
     at = (
         shared.join(parts, "node", "left").join(texts.select(F.col("id").alias("node"), F.octet_length("text").alias("size")), "node")
@@ -249,7 +343,7 @@ def _residual_links(shared: DataFrame, parts: DataFrame, texts: DataFrame, weigh
     ask = F.transform(every, lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
     cells = members.withColumn("cell", F.explode(F.when(F.col("component") != F.col("main"), F.array_union(told, ask)).otherwise(told)))
     rows = cells.select("key", "cell.i", "cell.j", "block", "node", "component", "main").join(texts.withColumnRenamed("id", "node"), "node")
-    return rows.groupBy("key", "i", "j").applyInArrow(_cell_links(weights, threshold), "a long, b long").distinct()
+    return rows.groupBy("key", "i", "j").applyInArrow(_cell_links(threshold), "a long, b long").distinct()
 
 
 def _hub_pairs(shared: DataFrame, links: DataFrame, parts: DataFrame) -> DataFrame:
@@ -264,7 +358,7 @@ def _hub_pairs(shared: DataFrame, links: DataFrame, parts: DataFrame) -> DataFra
 
 
 def _texts_of(texts: DataFrame, wanted: DataFrame) -> Staged:
-    """The rows of texts (id, text) whose ids are wanted.
+    """The rows of texts (id and others) whose ids are wanted.
 
     A table of hashed ids, of one size, is asked before the join, so that most
     texts that aren't wanted are not shuffled.
@@ -288,8 +382,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a row with a null id (class null).  An empty table gives an empty one.
     """
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    weights = Weights.count(chosen.select("text"))
-    signed = stage(chosen.mapInArrow(_sign(weights), SIGNED), "signed")
+    signed = signed_documents(chosen)
     known = signed.df.filter("doc_id IS NOT NULL AND k1 IS NOT NULL")
     least = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     copies = stage(known.select("doc_id", "k1", "k2").join(least, ["k1", "k2"]).select("doc_id", "rep"), "copies")
@@ -297,15 +390,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = nodes.select("doc_id", "bands").mapInArrow(_band_rows, "key long, node long")
     several = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
     shared = stage(bands.join(several, "key"), "buckets")
-    texts = _texts_of(chosen.withColumnRenamed("doc_id", "id"), shared.df.select(F.col("node").alias("id")).distinct())
+    texts = _texts_of(signed.df.select(F.col("doc_id").alias("id"), "text", "codes"), shared.df.select(F.col("node").alias("id")).distinct())
     pivots = stage(shared.df.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    to_pivots = stage(_verified(pivots.df, texts.df, weights, threshold), "links")
+    to_pivots = stage(_verified(pivots.df, texts.df, threshold), "links")
     first = components(to_pivots.df)
     hubs = stage(_hub_pairs(shared.df, to_pivots.df, first.df).join(pivots.df, ["a", "b"], "left_anti"), "pairs")
-    to_hubs = stage(_verified(hubs.df, texts.df, weights, threshold), "links")
+    to_hubs = stage(_verified(hubs.df, texts.df, threshold), "links")
     links = to_pivots.df.unionByName(to_hubs.df)
     second = components(links)
-    rest = stage(_residual_links(shared.df.select("key", "node"), second.df, texts.df, weights, threshold), "links")
+    rest = stage(_residual_links(shared.df.select("key", "node"), second.df, texts.df, threshold), "links")
     final = components(links.unionByName(rest.df).unionByName(_shared_ids(copies.df)))
     for s in (shared, texts, pivots, to_pivots, first, hubs, to_hubs, second, rest):
         s.drop()

@@ -118,3 +118,20 @@ def test_rows_without_ids_and_shared_ids(spark):
     assert rows == [(5, 5), (5, 5), (7, 5), (9, 9), (None, None), (None, None)]
     assert drop_near_duplicates(frame).count() == 5
     assert near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_weights_are_of_exact_frequencies(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "CELL_BITS", 1)  # in so few cells all shingles would weigh the same, and the pair be 0.78 alike
+    monkeypatch.setattr(near_dup, "SHARD_BYTES", 20_000)
+    run = lambda name, n: [f"{name}{k}" for k in range(n)]
+    base, ends = run("base", 124), [run("x", 17), run("y", 17)]
+    docs = [(i, " ".join(base + ends[i])) for i in (0, 1)]
+    docs += [(2 + i, " ".join(run(f"d{i}w", 60) + ends[i % 2])) for i in range(396)] + [(None, None), (900, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    frequency = Counter(s for _, t in docs for s in shingles(t))
+    signed = near_dup.signed_documents(frame).df.collect()
+    assert len(signed) == len(docs)
+    for r in signed:
+        expected = near_dup._codes(len(docs), np.array([frequency[s] for s in shingles(r.text)]))
+        assert sorted(r.codes) == sorted(expected.tolist())
+    assert {r.doc_id: r.class_id for r in near_duplicates(frame).collect()} == {d: 0 if d == 1 else d for d, _ in docs}
