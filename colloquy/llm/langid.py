@@ -41,7 +41,7 @@ def subwords(column: pa.Array) -> Iterator[tuple[int, np.ndarray, list[np.ndarra
         found = []
         gram = codes.copy()
         for n in range(2, max(SIZES) + 1):
-            gram[: len(codes) - n + 1] |= codes[n - 1 :] << np.uint32(8 * (n - 1))
+            gram[: max(0, len(codes) - n + 1)] |= codes[n - 1 :] << np.uint32(8 * (n - 1))
             if n in SIZES:
                 buckets = ((gram * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)
                 for k in range(1, n):

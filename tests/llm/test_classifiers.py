@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +52,10 @@ def test_pairs_of_terms_count(spark):
     one_class = toxicity.train(docs, labels.filter("toxic = 1"))
     assert toxicity.score(docs, one_class).count() == docs.count()
     assert toxicity.score(docs, toxicity.train(docs, labels.limit(0))).filter("predicted = 1").count() == 0
+
+
+@pytest.mark.parametrize("texts", [["ab"], ["é"], ["a", "b"], [None, "ab", ""], ["x" * (1 << 20), "ab"]])
+def test_a_slice_of_two_bytes_has_subwords(texts):
+    grams = [found for _, _, found in langid.subwords(pa.array(texts, pa.string()))]
+    assert [len(g) for g in grams[-1]] == [2] * len(langid.SIZES)
+    assert (grams[-1][0] >= 0).sum() == (max(len((t or "").encode()) for t in texts) >= 2) and all((g == -1).all() for g in grams[-1][1:])
