@@ -1,3 +1,7 @@
+import itertools
+import random
+
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -59,3 +63,44 @@ def test_a_slice_of_two_bytes_has_subwords(texts):
     grams = [found for _, _, found in langid.subwords(pa.array(texts, pa.string()))]
     assert [len(g) for g in grams[-1]] == [2] * len(langid.SIZES)
     assert (grams[-1][0] >= 0).sum() == (max(len((t or "").encode()) for t in texts) >= 2) and all((g == -1).all() for g in grams[-1][1:])
+
+
+def sample_of(rows):
+    """rows: (set of buckets, label)."""
+    sizes = np.cumsum([0] + [len(t) for t, _ in rows])
+    return toxicity.Sample(np.array([float(y) for _, y in rows]), sizes, np.array([b for t, _ in rows for b in sorted(t)], np.int32))
+
+
+@pytest.mark.parametrize("label", [lambda a, b: a != b, lambda a, b: a == b])
+def test_terms_that_tell_nothing_alone(label):
+    """Exactly one of two terms, or both or none: neither term is associated with the label by itself."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(8000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append(({10 * a, 20 * b, *(rng.randrange(100, 400) for _ in range(12))}, label(a, b)))
+    model = toxicity.fit(sample_of(rows[:6000]))
+    z = [model.logits(1, np.zeros(len(f), int), f)[0] for f in ([i for i in (model.index[b] for b in t) if i >= 0] for t, _ in rows[6000:])]
+    assert np.mean([(x > 0) == y for x, (_, y) in zip(z, rows[6000:], strict=True)]) > 0.95
+
+
+def test_logits_are_sums_over_pairs():
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(np.arange(50), -0.3, rng.normal(size=50), rng.normal(size=(50, 8)))
+    docs = [rng.choice(50, n, replace=False) for n in (0, 1, 2, 7, 50)]
+    rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    expected = [-0.3 + sum(model.weights[i] for i in d) + sum(sum(model.factors[i][f] * model.factors[j][f] for f in range(8)) for i, j in itertools.combinations(d, 2)) for d in docs]
+    assert np.allclose(model.logits(len(docs), rows, np.concatenate(docs)), expected)
+
+
+def test_scores_of_whole_long_texts_repeated_rows_and_empty_tables(spark):
+    rows = [(i, f"word{i % 13} " + ("awful people" if i % 4 == 0 else "awful weather"), int(i % 4 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    long = "calm " * 600_000
+    odd = spark.createDataFrame([(1, long + "awful people"), (1, long), (2, "awful people"), (2, "awful people"), (None, "awful people")], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.predicted, r.score) for r in toxicity.score(odd, model).collect()))
+    assert [(d, p) for d, p, _ in got] == [(0, 1), (1, 0), (1, 1), (2, 1), (2, 1)] and got[0][2] == got[3][2] == got[4][2]
+    assert toxicity.score(odd.limit(0), model).count() == 0
+    untaught = toxicity.train(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert {r.predicted for r in toxicity.score(odd, untaught).collect()} == {0}
