@@ -3,7 +3,7 @@
 Tasks tokenize whole texts.  An overlong document is cut into full windows
 first, of which only place and checksum travel; what is left of each document
 is packed best-fit decreasing within groups of about `group_docs` documents,
-dealt by a hash of doc_id.  Where many pieces are over half a window, best fit
+dealt by a hash of all that a piece is, so that an id on very many rows is split.  Where many pieces are over half a window, best fit
 alone leaves much slack, so the emptiest windows are then cut up to fill the
 slack of the fullest, down to `least_cut` tokens a window.  A group's padding
 doesn't depend on the size of the corpus.
@@ -36,17 +36,19 @@ PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes; repeated chunks are encoded once.
 
-    The ids are those of the tokenizer file.  Chunks that aren't cached go
-    through tiktoken with the vocabulary of that file, which gives the same ids
-    as `tokenizers` in a tenth of its time; the two are compared at the start,
-    and on any difference `tokenizers` encodes.
+    The ids are those of the tokenizer file, the strings of its special tokens
+    included, which are one id wherever a text holds them.  Other chunks that
+    aren't cached go through tiktoken with the vocabulary of that file, which
+    gives the same ids as `tokenizers` in a tenth of its time; the two are
+    compared at the start, and on any difference `tokenizers` encodes.
     """
 
     def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = {t.content: struct.pack("<I", i) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.one = self._by_tokenizers
         fast = self._by_ranks(path)
         if fast and all(fast(t) == self._by_tokenizers(t) for t in PROBES):
@@ -74,19 +76,26 @@ class Encoder:
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.known) > self.keep:
             self.known.clear()
-        known, one = self.known, self.one
         for text in texts:
-            chunks = CHUNKS.findall(text)
-            for c in {c for c in chunks if c not in known}:
-                ids = one(c)
-                known[c] = struct.pack(f"<{len(ids)}I", *ids)
-            yield b"".join([known[c] for c in chunks])
-            if len(known) > 2 * self.keep:
-                known.clear()
+            if any(s in text for s in self.special):
+                yield b"".join([self.special.get(part) or self._ordinary(part) for part in self.at_special.split(text)])
+            else:
+                yield self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
+        known, one = self.known, self.one
+        chunks = CHUNKS.findall(text)
+        for c in {c for c in chunks if c not in known}:
+            ids = one(c)
+            known[c] = struct.pack(f"<{len(ids)}I", *ids)
+        out = b"".join([known[c] for c in chunks])
+        if len(known) > 2 * self.keep:
+            known.clear()
+        return out
 
 
 #: Texts on which both encoders must agree.
-PROBES = ("Hello  there,\n\n it's 12345 o'clock\t ", "\u00e9t\u00e9 \u4f60\u597d \U0001f600!\x00\x1c ~~~ <|endoftext|>", "  ", "ThWhouedre onerth\r\n\u00df\u00fc\u00f1")
+PROBES = ("Hello  there,\n\n it's 12345 o'clock\t ", "\u00e9t\u00e9 \u4f60\u597d \U0001f600!\x00\x1c ~~~ <|endof", "  ", "ThWhouedre onerth\r\n\u00df\u00fc\u00f1")
 
 _encoders: dict[str, Encoder] = {}
 
@@ -232,5 +241,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     """
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_cut(tokenizer, end_id, window), CUT_SCHEMA)
     groups = max(1, -(-docs.count() // group_docs))
-    grouped = pieces.withColumn("__group", F.pmod(F.xxhash64(F.coalesce("doc_id", F.col("doc_tokens"))), F.lit(groups)))
+    grouped = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens", "ids_crc32", "ids"), F.lit(groups)))
     return grouped.groupBy("__group").applyInArrow(_pack(window, least_cut), PACKED_SCHEMA)

@@ -12,12 +12,10 @@ from colloquy.llm.queries import tokenizer_path
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
-TEXTS = [*PROBES, "", "x" * 5000, "a  b\n\n c ", "word " * 3000, "\x1c!\x1c x", "   z　　w", None, "word " * 3000]
+TEXTS = [*PROBES, "a <|endoftext|> b", "<|endoftext|><|endoftext|>x  <|endoftext|>", "<|endoftext", "", "x" * 5000, "a  b\n\n c ", "word " * 3000, "\x1c!\x1c x", "   z　　w", None, "word " * 3000]
 
 
 def test_encoder_gives_the_tokenizers_ids(tokenizer):
