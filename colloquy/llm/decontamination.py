@@ -3,8 +3,9 @@
 Texts are normalised: lower-cased, every run of ASCII non-alphanumerics one
 blank.  An item of m bytes may differ in e = floor(error_rate * m) bytes, and is
 split into e + 1 pieces: a passage within e edits holds at least one piece
-unchanged.  Tasks find exact piece hits by 8-byte keys and verify the stretch
-around each with Myers' bit-parallel distance.  Documents are read once and
+unchanged.  Tasks find exact piece hits by keys of 8 bytes, or of the whole of a
+shorter piece, and verify the stretch around each with Myers' bit-parallel
+distance.  Short items are looked for with the blanks around them, as whole words.  Documents are read once and
 never shuffled; the items, in blocks of bounded size, travel with the task.
 """
 
@@ -28,8 +29,10 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normalised(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of the lower-cased texts with each run of marks as one blank."""
-    data, offsets = text_bytes(pc.utf8_lower(column.cast(pa.large_string())))
+    """(bytes, offsets) of the lower-cased texts with each run of marks as one blank, and one blank at both ends."""
+    blank = pa.scalar(" ", pa.large_string())
+    low = pc.fill_null(pc.utf8_lower(column.cast(pa.large_string())), "")
+    data, offsets = text_bytes(pc.binary_join_element_wise(blank, low, blank, pa.scalar("", pa.large_string())))
     mark = IS_MARK[data]
     keep = ~mark
     keep[1:] |= ~mark[:-1]
@@ -40,11 +43,9 @@ def normalised(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keys_at(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position on, as one integer."""
-    if len(data) < KEY:
-        return np.zeros(0, np.uint64)
-    flat = np.ascontiguousarray(data)
-    return np.ndarray((len(flat) - KEY + 1,), "<u8", flat, strides=(1,)).copy()
+    """The 8 bytes from each position on, as one integer; zeros follow the end."""
+    flat = np.concatenate([data, np.zeros(KEY, np.uint8)])
+    return np.ndarray((len(data),), "<u8", flat, strides=(1,)).copy()
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
@@ -59,11 +60,11 @@ class Pattern:
     masks: dict[int, int]
 
     @classmethod
-    def of(cls, item: int, text: bytes, error_rate: float) -> Pattern:
+    def of(cls, item: int, text: bytes, errors: int) -> Pattern:
         masks: dict[int, int] = {}
         for i, c in enumerate(text):
             masks[c] = masks.get(c, 0) | 1 << i
-        return cls(item, len(text), int(len(text) * error_rate), masks)
+        return cls(item, len(text), errors, masks)
 
     def distance(self, text: bytes) -> int:
         """Least edit distance of the pattern to any part of the text (Myers, one long word)."""
@@ -86,42 +87,53 @@ class Pattern:
 
 
 class PieceIndex:
-    """Pieces of a bounded block of items, looked up by their first 8 bytes."""
+    """Pieces of a bounded block of items, looked up by their first 8 bytes or, if shorter, by all of them."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, whole_words_below: int):
         self.patterns: list[Pattern] = []
         pieces = []
         for item, text in items:
-            data, offsets = normalised(pa.array([text], pa.string()))
+            data, _ = normalised(pa.array([text], pa.string()))
             body = data.tobytes().strip()
-            if len(body) < min_chars:
+            if not body:
                 continue
-            p = Pattern.of(item, body, error_rate)
-            n = p.errors + 1
-            cuts = [k * p.size // n for k in range(n + 1)]
-            pieces += [(body[a : a + KEY], body[b - KEY : b], len(self.patterns), a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+            errors = int(len(body) * error_rate)
+            if len(body) < whole_words_below:
+                body = b" " + body + b" "
+            p = Pattern.of(item, body, errors)
+            cuts = [k * p.size // (errors + 1) for k in range(errors + 2)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                n = min(KEY, b - a)
+                pieces.append((n, *(int.from_bytes(body[i : i + n], "little") for i in (a, b - n)), len(self.patterns), a, b - a))
             self.patterns.append(p)
         pieces.sort()
-        word = lambda k: np.frombuffer(b"".join(p[k] for p in pieces), "<u8")
-        self.first, self.last = word(0), word(1)
-        order = np.argsort(self.first, kind="stable")
-        self.first, self.last = self.first[order], self.last[order]
-        self.pattern, self.offset, self.length = (np.array([p[k] for p in pieces], np.int64)[order] for k in (2, 3, 4))
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[_slot(self.first)] = True
+        column = lambda k, t: np.array([p[k] for p in pieces], t)
+        self.key_size, self.first, self.last = column(0, np.int64), column(1, np.uint64), column(2, np.uint64)
+        self.pattern, self.offset, self.length = (column(k, np.int64) for k in (3, 4, 5))
+        self.groups = []  #: of one key size: (mask, pieces from, pieces to, filter)
+        for n in np.unique(self.key_size).tolist():
+            low, high = np.searchsorted(self.key_size, [n, n + 1]).tolist()
+            some = np.zeros(1 << FILTER_BITS, bool)
+            some[_slot(self.first[low:high])] = True
+            self.groups.append((np.uint64((1 << 8 * n) - 1), low, high, some))
 
     def hits(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, piece) of every exact piece in the text with these keys."""
-        at = np.flatnonzero(self.filter[_slot(keys)])
-        low, high = np.searchsorted(self.first, keys[at], "left"), np.searchsorted(self.first, keys[at], "right")
-        many = high - low
-        position = np.repeat(at, many)
-        piece = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        end = position + self.length[piece] - KEY
-        good = end < len(keys)
-        position, piece, end = position[good], piece[good], end[good]
-        good = keys[end] == self.last[piece]
-        return position[good], piece[good]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for mask, low, high, some in self.groups:
+            own = keys if mask == ~np.uint64(0) else keys & mask
+            at = np.flatnonzero(some[_slot(own)])
+            first = self.first[low:high]
+            a, b = np.searchsorted(first, own[at], "left"), np.searchsorted(first, own[at], "right")
+            many = b - a
+            position = np.repeat(at, many)
+            piece = low + np.repeat(a, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            end = position + self.length[piece] - self.key_size[piece]
+            good = position + self.length[piece] <= len(keys)
+            position, piece, end = position[good], piece[good], end[good]
+            good = (keys[end] & mask) == self.last[piece]
+            found.append((position[good], piece[good]))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
     def passages(self, column: pa.Array) -> Iterator[tuple[int, int, int]]:
         """(row, item, distance) of the items that a row holds within their error budgets."""
@@ -156,31 +168,33 @@ class PieceIndex:
                 found[r, p] = min(d, found.get((r, p), d))
 
 
-def _blocks(items: DataFrame, item_col: str, text_col: str, error_rate: float, min_chars: int, block_bytes: int) -> Iterator[PieceIndex]:
+def _blocks(items: DataFrame, item_col: str, text_col: str, error_rate: float, whole_words_below: int, block_bytes: int) -> Iterator[PieceIndex]:
     """Indexes over blocks of about block_bytes of item text: what a task holds doesn't grow with the benchmark."""
     known = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
     for k in range(n):
         block = known.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).distinct()
-        yield PieceIndex(sorted((r.item, r.text) for r in block.toLocalIterator()), error_rate, min_chars)
+        yield PieceIndex(sorted((r.item, r.text) for r in block.toLocalIterator()), error_rate, whole_words_below)
 
 
 def find_passages(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    error_rate: float = 0.08, min_chars: int = 25, block_bytes: int = 8 << 20,
+    error_rate: float = 0.08, whole_words_below: int = 25, block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """(doc_id, item_id, distance) for every item found in a document, with its least distance in bytes.
 
-    Items under min_chars bytes after normalisation are contained in ordinary
-    text by chance and are left out, as are items with a null id or text; a
-    null or empty document holds none.  Rows that share a doc_id count as one
-    document.  No items or no documents give no rows.
+    Items under whole_words_below bytes after normalisation are contained in
+    longer words by chance and are searched for as whole words, blanks and all;
+    items with a null id or text, or without a letter or digit, are in no text.
+    A null or empty document holds none; long texts are searched whole.  Rows
+    that share a doc_id count as one document; of rows with an equal item id
+    each text is searched for.  No items or no documents give no rows.
     """
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("distance", T.LongType())])
     out = docs.sparkSession.createDataFrame([], schema)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    for index in _blocks(items, item_col, item_text_col, error_rate, min_chars, block_bytes):
+    for index in _blocks(items, item_col, item_text_col, error_rate, whole_words_below, block_bytes):
 
         def search(batches: Iterator[pa.RecordBatch], index: PieceIndex = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -194,12 +208,12 @@ def find_passages(
 
 def drop_contaminated(
     docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    error_rate: float = 0.08, min_chars: int = 25, block_bytes: int = 8 << 20,
+    error_rate: float = 0.08, whole_words_below: int = 25, block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """docs without the rows that hold an item, as find_passages finds them; one pass per block of items, no shuffle."""
     out = docs
     place = docs.columns.index(text_col)
-    for index in _blocks(items, item_col, item_text_col, error_rate, min_chars, block_bytes):
+    for index in _blocks(items, item_col, item_text_col, error_rate, whole_words_below, block_bytes):
 
         def keep(batches: Iterator[pa.RecordBatch], index: PieceIndex = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -133,12 +133,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fits on about `sample` documents (twice that at most), the same number of each language where it has so many.
 
     The bound holds at any size.  Rows with a null text or language teach
-    nothing.  Raises ValueError if no row is left.
+    nothing; repeated rows and ids teach as often as they occur.  Without a row
+    to learn from the model has no language, and every text is `und`.
     """
     known = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
     if not counts:
-        raise ValueError("no labelled text to learn from")
+        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     quota = max(1, sample // len(counts))
     languages = sorted(counts)
     unit = F.pmod(F.xxhash64(F.coalesce(F.col(id_col), F.xxhash64(text_col))), F.lit(1 << 30)) / float(1 << 30)
@@ -156,8 +157,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score (its probability) and rejected (the probability is under the calibrated bound).
 
-    A text that is null or has no letter is `und` with score 0, and rejected.
-    Input columns of the three names are replaced.
+    A text that is null or has no letter is `und` with score 0, and rejected,
+    as is every text if the model has no language.  Ties go to the language
+    that is first in alphabetical order.  Texts are read whole; each row is
+    predicted from its text alone, so repeated texts get equal answers, and
+    rows with a null id stay.  An empty table gives an empty one.  Input
+    columns of the three names are replaced.
     """
     docs = docs.drop("lang_pred", "score", "rejected")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
@@ -166,6 +171,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(place)
+            if not model.languages:
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([UNKNOWN] * n), pa.array(np.zeros(n)), pa.array(np.ones(n, bool))], schema.names)
+                continue
             p = model.probabilities(column)
             written = pc.fill_null(pc.match_substring_regex(column, LETTER), False).to_numpy(zero_copy_only=False)
             names = np.where(written, np.array(model.languages, object)[p.argmax(1)], UNKNOWN)

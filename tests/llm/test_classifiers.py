@@ -38,8 +38,9 @@ def test_unusual_texts_of_languages(spark, labelled):
     assert [got[i].lang_pred for i in (1, 2, 3, 4, 5, 6, None)] == ["und", "und", "und", "en", "fr", "en", "fr"]
     assert all(got[i].rejected and got[i].score == 0 for i in (1, 2, 3))
     assert langid.predict(odd.limit(0), model).count() == 0
-    with pytest.raises(ValueError):
-        langid.train(labelled.limit(0))
+    for none in (labelled.limit(0), labelled.withColumn("lang", F.lit(None).cast("string"))):
+        rows = langid.predict(odd, langid.train(none)).collect()
+        assert len(rows) == 7 and {(r.lang_pred, r.score, r.rejected) for r in rows} == {("und", 0.0, True)}
 
 
 def test_pairs_of_terms_count(spark):
@@ -104,3 +105,32 @@ def test_scores_of_whole_long_texts_repeated_rows_and_empty_tables(spark):
     assert toxicity.score(odd.limit(0), model).count() == 0
     untaught = toxicity.train(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.predicted for r in toxicity.score(odd, untaught).collect()} == {0}
+
+
+def naive_probabilities(model, text):
+    """Softmax of the mean of the rows of all byte n-grams, one by one."""
+    folded = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode())
+    rows = []
+    for n in (2, 3, 4):
+        for i in range(len(folded) - n + 1):
+            gram = int.from_bytes(folded[i : i + n], "little")
+            rows.append(model.table[((gram * 2654435761 + n * 40503) % 2**32) >> (32 - langid.BUCKET_BITS)])
+    z = (np.mean(np.array(rows, float), axis=0) if rows else 0) + model.bias
+    e = np.exp((z - z.max()) / model.temperature)
+    return e / e.sum()
+
+
+def test_probabilities_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(docs.filter("doc_id % 3 <> 1"), sample=300)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()] + ["", "a", "ab", "Ünï  12", "x" * 3000]
+    expected = np.array([naive_probabilities(model, t) for t in texts])
+    assert np.allclose(model.probabilities(pa.array(texts)), expected, atol=1e-5)
+    rows = langid.predict(spark.createDataFrame([(i % 9, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string"), model).collect()
+    assert len(rows) == 2 * len(texts)  # repeated ids and rows stay
+    by_text = {t: p for t, p in zip(texts, expected, strict=True)}
+    for r in rows:
+        if any(c.isalpha() for c in r.text):
+            assert abs(r.score - by_text[r.text].max()) < 1e-4 and (r.lang_pred == model.languages[by_text[r.text].argmax()] or np.ptp(np.sort(by_text[r.text])[-2:]) < 1e-4)
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)

@@ -1,9 +1,9 @@
 import random
+import re
 
-import pyarrow as pa
 import pytest
 
-from colloquy.llm.decontamination import Pattern, drop_contaminated, find_passages, normalised
+from colloquy.llm.decontamination import Pattern, drop_contaminated, find_passages
 
 
 def edit_distance_inside(pattern: bytes, text: bytes) -> int:
@@ -23,12 +23,23 @@ def test_myers_equals_the_table():
     for _ in range(200):
         pattern = bytes(rng.choices(b"abc", k=rng.randint(1, 90)))
         text = bytes(rng.choices(b"abc", k=rng.randint(0, 120)))
-        assert Pattern.of(0, pattern, 0.1).distance(text) == edit_distance_inside(pattern, text)
+        assert Pattern.of(0, pattern, 0).distance(text) == edit_distance_inside(pattern, text)
 
 
 def plain(text):
-    data, _ = normalised(pa.array([text], pa.string()))
-    return data.tobytes()
+    return re.sub(rb"[^a-z0-9\x80-\xff]+", b" ", text.lower().encode())
+
+
+def found_in(item, text):
+    """The item's distance in the text where that is within its budget; short items stand between blanks."""
+    pattern = plain(item or "").strip()
+    budget = int(len(pattern) * 0.08)
+    if not pattern:
+        return None
+    if len(pattern) < 25:
+        pattern = b" " + pattern + b" "
+    n = edit_distance_inside(pattern, re.sub(rb" +", b" ", b" " + plain(text or "") + b" "))
+    return n if n <= budget else None
 
 
 @pytest.fixture(scope="module")
@@ -57,11 +68,7 @@ def test_against_brute_force(spark, case, block_bytes):
     expected = {}
     for d, text in docs:
         for i, item in items:
-            pattern = plain(item or "").strip()
-            if i is None or len(pattern) < 25:
-                continue
-            n = edit_distance_inside(pattern, plain(text or ""))
-            if n <= int(len(pattern) * 0.08):
+            if i is not None and (n := found_in(item, text)) is not None:
                 expected[d, i] = min(n, expected.get((d, i), n))
     frame = spark.createDataFrame([(d, t, i) for (d, t), i in zip(docs, range(len(docs)), strict=True)], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
@@ -69,7 +76,7 @@ def test_against_brute_force(spark, case, block_bytes):
     assert {(r.doc_id, r.item_id): r.distance for r in found} == expected and len(found) == len(expected) > 30
     kept = drop_contaminated(frame, bench, block_bytes=block_bytes)
     assert kept.columns == frame.columns
-    bad = {i for i, (d, t) in enumerate(docs) if any(edit_distance_inside(plain(x).strip(), plain(t or "")) <= int(len(plain(x).strip()) * 0.08) for j, x in items if j is not None and x and len(plain(x).strip()) >= 25)}
+    bad = {i for i, (_, t) in enumerate(docs) if any(j is not None and found_in(x, t) is not None for j, x in items)}
     assert {r.item_id for r in kept.collect()} == set(range(len(docs))) - bad
 
 
@@ -79,3 +86,20 @@ def test_empty_tables(spark):
     assert find_passages(docs, items).count() == 0
     assert find_passages(items.withColumnRenamed("item_id", "doc_id"), items.limit(0)).count() == 0
     assert drop_contaminated(items, items.limit(0)).count() == 1
+
+
+def test_short_items_are_whole_words(spark):
+    items = spark.createDataFrame([(1, "The quick, brown fox"), (2, "cat"), (3, "42"), (4, "?!"), (5, "x")], "item_id long, text string")
+    texts = ["see the quick brown fox!", "the quick browm fox", "education", "a Cat.", "cat", "1423", "n=42", "", None, "quick brown", "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r.distance for r in find_passages(docs, items).collect()}
+    assert found == {(0, 1): 0, (1, 1): 1, (3, 2): 0, (4, 2): 0, (6, 3): 0, (10, 5): 0}
+    assert {r.doc_id for r in drop_contaminated(docs, items).collect()} == {2, 5, 7, 8, 9}
+
+
+def test_long_texts_are_searched_whole(spark):
+    item = "which of these nine planets is the nearest to the sun and why is that so"
+    filler = "plain filler words without end " * 120_000
+    docs = spark.createDataFrame([(1, filler + item), (2, filler), (2, item + filler), (3, filler[:-3] + item.replace("nine", "nin") + filler)], "doc_id long, text string")
+    rows = find_passages(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.distance) for r in rows) == [(1, 0), (2, 0), (3, 1)]
