@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def iso_time(at: Column) -> Column:
+    """Microseconds only where there are some, as ISO writers do."""
+    return F.when(F.date_format(at, "SSSSSS") == "000000", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
 def contains_ignoring_case(text: Column, part: Column) -> Column:
     """False where either is null or the part is empty."""
     return F.coalesce((part != "") & F.contains(F.lower(text), F.lower(part)), F.lit(False))
@@ -41,6 +46,11 @@ def decoded(code: Column, names: dict[int, str], default: str | None = None) ->
     return F.coalesce(F.create_map(*pairs)[code], F.lit(default))
 
 
+def identity(code: Column) -> Column:
+    """Kind of a user; null for an unknown code."""
+    return decoded(code, {1: "STUDENT", 2: "TEACHER", 3: "ADMIN"})
+
+
 def group_role(roles_json: Column, group_id: Column) -> Column:
     """Role of a group in a JSON map of group to code; bad JSON and missing groups are no members."""
     code = F.element_at(F.from_json(roles_json, "map<string,int>"), group_id)
@@ -117,10 +127,45 @@ def front_list(head: Column, name: str) -> Column:
     return F.transform(F.regexp_extract_all(block, F.lit(r"-[ \t]*([^\r\n]+)"), F.lit(1)), lambda t: F.trim(F.regexp_replace(F.trim(t), "^[\"']|[\"']$", "")))
 
 
-def skill_document(skills: DataFrame) -> DataFrame:
-    """Skills as text: a heading and a line for each trigger."""
-    lines = F.transform(F.filter("triggers", lambda t: t != ""), lambda t: F.concat(F.lit("- "), t))
-    return skills.select("skill_id", "version", F.concat_ws("\n", F.concat(F.lit("skill "), "skill_id"), F.array_join(lines, "\n")).alias("document"))
+def skill_document() -> Column:
+    """A skill (skill_id, version, display_name, skill_md, assets) as text: head, body, and a line for each asset if it has any."""
+    line = lambda a: F.format_string("* %s (%s, %d bytes): %s", a["path"], a["kind"], a["size_bytes"], F.coalesce(a["description"], F.lit("")))
+    assets = F.when(F.size("assets") > 0, F.concat(F.lit("\nassets:\n"), F.array_join(F.transform("assets", line), "\n")))
+    head = F.format_string("skill %s, version %s\nname: %s\n", F.col("skill_id"), F.col("version"), F.col("display_name"))
+    return F.concat_ws("\n", head, F.lit("--- body ---"), F.rtrim("skill_md"), F.lit("--- end ---"), assets)
+
+
+def listed(names: Column) -> Column:
+    """Names in order, or `none`."""
+    return F.coalesce(F.nullif(F.array_join(F.array_sort(names), ", "), F.lit("")), F.lit("none"))
+
+
+def skill_metadata(skill_id: Column, version: Column, head: Column) -> Column:
+    """Metadata of a bundle from its front matter: names fall back on the id, switches on true; the folder's version stands."""
+    enabled = F.lower(F.coalesce(front_value(head, "enabled"), F.lit("true")))
+    return F.struct(
+        skill_id.alias("skill_id"), F.coalesce(front_value(head, "display_name"), front_value(head, "name"), skill_id).alias("display_name"), F.coalesce(front_value(head, "description"), F.lit("")).alias("description"),
+        front_list(head, "triggers").alias("triggers"), (~enabled.isin("false", "no", "off", "0")).alias("enabled"), version.alias("version"), F.coalesce(front_value(head, "version"), version).alias("declared_version"),
+    )
+
+
+def message_json(role: Column, content: Column, tool_calls: Column, tool_call_id: Column, name: Column) -> Column:
+    """A message as a model's interface takes it: role and content always, the others where they hold something."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    rest = F.to_json(F.struct(F.when(F.size(tool_calls) > 0, tool_calls).alias("tool_calls"), some(tool_call_id).alias("tool_call_id"), some(name).alias("name")))
+    both = F.to_json(F.struct(role.alias("role"), content.alias("content")), {"ignoreNullFields": "false"})
+    return F.when(rest == "{}", both).otherwise(F.concat(F.regexp_replace(both, r"\}$", ","), F.substr(rest, F.lit(2))))
+
+
+def summary_request(lines: Column, summary: Column) -> Column:
+    """The text that asks for a summary: the old one where there is one, the new lines, and the task, with blank lines between."""
+    old = F.when(F.coalesce(summary, F.lit("")) != "", F.concat(F.lit("Summary so far:\n"), summary))
+    return F.concat_ws("\n\n", old, F.concat(F.lit("New messages:\n"), lines), F.lit("Write one summary of all of this."))
+
+
+def expired(modified: Column, now: Column, seconds: int) -> Column:
+    """Whether a cached file is older than its time to live."""
+    return modified < now - F.make_dt_interval(secs=F.lit(seconds))
 
 
 def asset_document(path: Column, data: Column, limit: int = 4000) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import tool_arguments
+
 EVENTS = ("reasoning-start", "reasoning-delta", "reasoning-end", "text-start", "text-delta", "reasoning-end", "text-end")
 
 
@@ -50,11 +52,67 @@ def events(deltas: DataFrame) -> DataFrame:
     return seen.select("step", "seq", "e.*")
 
 
-def frames(events_: DataFrame, order: list[str]) -> DataFrame:
-    """Events as server-sent frames with a start before and a finish and `[DONE]` after each step."""
-    payload = F.to_json(F.struct("type", F.col("step").cast("string").alias("id"), "delta"))
-    body = events_.select("step", F.lit(1).alias("part"), *order, F.concat(F.lit("data: "), payload, F.lit("\n\n")).alias("frame"))
-    steps = events_.select("step").distinct()
+def parsed_calls(calls: DataFrame) -> DataFrame:
+    """Assembled calls in order of slot, with their arguments as JSON ({} where they are none) and their place."""
+    place = F.row_number().over(Window.partitionBy("step").orderBy("slot")) - 1
+    return calls.withColumn("input", tool_arguments(F.col("call_arguments"))).withColumn("place", place)
+
+
+def call_results(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
+    """Tool rows of parsed calls: each call meets the result at its place, in the order of the calls.
+
+    results: (step, place, output, error).  An error becomes text, as does a
+    call of a tool that isn't in tools (name, ephemeral); the flag of the tool
+    goes along.
+    """
+    known = tools.select(F.col("name").alias("call_name"), "ephemeral").withColumn("__known", F.lit(True))
+    met = calls.join(results, ["step", "place"], "left").join(known, "call_name", "left")
+    output = F.when(F.col("__known").isNull(), F.format_string("[no tool named %s]", "call_name")).when(F.col("error").isNotNull(), F.concat(F.lit("[tool failed] "), "error")).otherwise(F.coalesce("output", F.lit("")))
+    return met.select("step", "place", "call_id", F.col("call_name").alias("name"), "input", output.alias("output"), F.coalesce("ephemeral", F.lit(False)).alias("ephemeral"))
+
+
+def tool_events(rows: DataFrame) -> DataFrame:
+    """(step, ord, type, call_id, tool_name, input, output): of each call its start and input, in order, then the outputs."""
+    none = F.lit(None).cast("string")
+    event = lambda phase, type_, name, value, output: F.struct(
+        (F.lit(phase * 1_000_000) + F.col("place") * 2 + F.lit(int(type_ == "tool-input-available"))).cast("long").alias("ord"), F.lit(type_).alias("type"), F.col("call_id"), name.alias("tool_name"), value.alias("input"), output.alias("output")
+    )
+    made = F.array(
+        event(0, "tool-input-start", F.col("name"), none, none), event(0, "tool-input-available", F.col("name"), F.col("input"), none), event(1, "tool-output-available", none, none, F.col("output")),
+    )
+    return rows.select("step", F.explode(made).alias("e")).select("step", "e.*")
+
+
+#: The event types of the stream protocol.
+TYPES = (
+    "start-step", "finish-step", "text-start", "text-delta", "text-end", "reasoning-start", "reasoning-delta", "reasoning-end",
+    "tool-input-start", "tool-input-available", "tool-output-available", "source-url",
+)
+
+
+def frames(events_: DataFrame, order: list[str], outcomes: DataFrame) -> DataFrame:
+    """Events as server-sent frames: a start before each step, and after it what its outcome asks for.
+
+    events: (step, *order, type) and whichever of id, delta, call_id, tool_name,
+    input (JSON), output, source_id and url there are; an unknown type fails.
+    outcomes: (step, outcome, message) for every step, also those without
+    events: ok ends with a finish, cancelled with an abort, failed with an
+    error; all end with [DONE].
+    """
+    column = lambda name: F.col(name) if name in events_.columns else F.lit(None).cast("string")
+    known = F.when(F.col("type").isin(*TYPES), F.col("type")).otherwise(F.raise_error(F.concat(F.lit("unknown event: "), "type")))
+    payload = F.struct(
+        known.alias("type"), column("id").alias("id"), column("delta").alias("delta"), column("call_id").alias("toolCallId"), column("tool_name").alias("toolName"),
+        F.try_parse_json(column("input")).alias("input"), column("output").alias("output"), column("source_id").alias("sourceId"), column("url").alias("url"),
+    )
+    framed = lambda text: F.concat(F.lit("data: "), text, F.lit("\n\n")).alias("frame")
+    body = events_.select("step", F.lit(1).alias("part"), *order, framed(F.to_json(payload)))
     none = [F.lit(None).cast(events_.schema[c].dataType).alias(c) for c in order]
-    fixed = lambda part, text: steps.select("step", F.lit(part).alias("part"), *none, F.lit(f"data: {text}\n\n").alias("frame"))
-    return fixed(0, '{"type":"start"}').unionByName(body).unionByName(fixed(2, '{"type":"finish"}')).unionByName(fixed(3, "[DONE]"))
+    fixed = lambda part, text: outcomes.select("step", F.lit(part).alias("part"), *none, framed(text))
+    start = F.to_json(F.struct(F.lit("start").alias("type"), F.concat(F.lit("msg_"), F.col("step").cast("string")).alias("messageId")))
+    end = (
+        F.when(F.col("outcome") == "ok", F.lit('{"type":"finish"}'))
+        .when(F.col("outcome") == "cancelled", F.to_json(F.struct(F.lit("abort").alias("type"), F.coalesce("message", F.lit("user_cancelled")).alias("reason"))))
+        .otherwise(F.to_json(F.struct(F.lit("error").alias("type"), F.coalesce("message", F.lit("")).alias("errorText"))))
+    )
+    return fixed(0, start).unionByName(body).unionByName(fixed(2, end)).unionByName(fixed(3, F.lit("[DONE]")))

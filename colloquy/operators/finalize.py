@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import estimated_tokens, search_tokens
+from ..functions.text import estimated_tokens, iso_time, search_tokens
 
 
 def redacted(messages: DataFrame, placeholder: str = "[output of %s omitted]") -> DataFrame:
     """Ephemeral assistant rows go; ephemeral tool rows keep a placeholder; other ephemeral rows lose the flag."""
-    kept = messages.filter(~(F.col("ephemeral") & (F.col("role") == "assistant")))
-    tool = F.col("ephemeral") & (F.col("role") == "tool")
+    flagged = F.coalesce("ephemeral", F.lit(False))  # a missing flag is none
+    kept = messages.filter(~(flagged & (F.col("role") == "assistant")))
+    tool = flagged & (F.col("role") == "tool")
     content = F.when(tool, F.format_string(placeholder, F.coalesce("name", F.lit("unknown")))).otherwise(F.col("content"))
     return kept.withColumn("content", content).withColumn("ephemeral", tool)
 
@@ -32,9 +33,16 @@ def usage(messages: DataFrame, models: DataFrame) -> DataFrame:
     return named.withColumn("type", F.coalesce("type", F.lit(3))).withColumn("billing_ratio", F.coalesce("billing_ratio", F.lit(1)))
 
 
-def billing_events(billed: DataFrame) -> DataFrame:
-    """The rows as JSON, for a message queue."""
-    return billed.select(F.col("session_id").alias("key"), F.to_json(F.struct(*billed.columns), {"ignoreNullFields": "false"}).alias("value"))
+def billing_events(billed: DataFrame, turns: DataFrame) -> DataFrame:
+    """Events for a message queue, as JSON: billed rows with the user, group, trace id and time of their session's turn.
+
+    turns: (session_id, user_id, group_id, trace_id, requested_at).  Tokens are raw; the ratio is sent along, not multiplied.
+    """
+    value = F.struct(
+        F.col("user_id").alias("userId"), F.col("group_id").alias("groupId"), F.col("usage_tokens").alias("usageTokens"), F.col("billing_ratio").alias("billingRatio"), F.col("trace_id").alias("traceId"),
+        F.col("model_name").alias("modelName"), F.col("type").alias("modelType"), iso_time(F.col("requested_at")).alias("requestTime"),
+    )
+    return billed.join(turns, "session_id").select("trace_id", F.to_json(value, {"ignoreNullFields": "false"}).alias("value"))
 
 
 def updated_sessions(sessions: DataFrame, changes: DataFrame) -> DataFrame:
@@ -68,23 +76,59 @@ def upserted_skills(existing: DataFrame, bundles: DataFrame, by_number: bool = F
     return rows.select("skill_id", F.coalesce("__version", "version").alias("version"), F.coalesce("created_at", "__at").alias("created_at"), F.coalesce("__at", "updated_at").alias("updated_at"))
 
 
+def active_states(states: Column) -> Column:
+    """Of states (key, value, disabled) those that are not disabled and hold something."""
+    return F.filter(states, lambda s: ~F.coalesce(s["disabled"], F.lit(False)) & (F.coalesce(s["value"], F.lit("")) != ""))
+
+
 def prompt(messages: DataFrame, sessions: DataFrame, skills: DataFrame, queries: DataFrame, limit: int, chronological: bool = False) -> DataFrame:
-    """Rows of each session's prompt in order (section, place): instructions, summary, skills, history, query.
+    """Rows of each session's prompt in order (section, place): instructions with facts, summary, skills, history, states, query.
 
+    queries: (session_id, query, facts, states); facts are remembered texts.
     History is the kept window before the older rows unless `chronological`.
     """
-    from .history import token_window
+    from .history import by_session, token_window
 
     window = token_window(messages, limit)
-    rank = F.when(F.lit(chronological) | F.col("kept"), 0).otherwise(1) * 1_000_000 + F.col("seq")
+    rank = F.row_number().over(by_session(F.lit(0) if chronological else F.desc("kept"), "seq"))
+    facts = F.transform(F.coalesce("facts", F.array().cast("array<string>")), lambda f: F.concat(F.lit("\n* "), f))
+    told = F.when(F.size(facts) > 0, F.concat(F.lit("\nKnown facts:"), F.array_join(facts, ""))).otherwise("")
+    active = active_states(F.col("states"))
+    shown = F.array_join(F.transform(active, lambda s: F.format_string("\n%s = %s", s["key"], s["value"])), "")
     body = [
-        sessions.select("session_id", F.lit(0).alias("section"), F.lit(0).cast("long").alias("place"), F.lit("system").alias("role"), F.lit("You are a helpful assistant.").alias("content")),
+        queries.select("session_id", F.lit(0).alias("section"), F.lit(0).cast("long").alias("place"), F.lit("system").alias("role"), F.concat(F.lit("You are a helpful assistant."), told).alias("content")),
         sessions.filter("current_summary <> ''").select("session_id", F.lit(1), F.lit(0).cast("long"), F.lit("system"), F.concat(F.lit("Earlier: "), "current_summary")),
         skills.select("session_id", F.lit(2), F.lit(0).cast("long"), F.lit("system"), F.concat(F.lit("Skills: "), F.array_join("names", ", "))),
         window.select("session_id", F.lit(3), rank.cast("long"), "role", "content"),
+        queries.filter(F.size(active) > 0).select("session_id", F.lit(4), F.lit(0).cast("long"), F.lit("system"), F.concat(F.lit("State of the interface:"), shown)),
         queries.select("session_id", F.lit(5), F.lit(0).cast("long"), F.lit("user"), "query"),
     ]
     out = body[0]
     for part in body[1:]:
         out = out.union(part)
     return out
+
+
+def appended(rows: DataFrame, path: str) -> bool:
+    """Appends rows to a table of Parquet files; no rows, no files.  Whether anything was written."""
+    if rows.isEmpty():
+        return False
+    rows.write.mode("append").parquet(path)
+    return True
+
+
+def memory_rows(messages: DataFrame) -> DataFrame:
+    """What a turn adds to its user's long-term memory: role and content of each row."""
+    return messages.select("user_id", "role", "content")
+
+
+def memory_items(memories: DataFrame) -> DataFrame:
+    """A user's memories as an interface shows them: "" and an empty map for what is missing."""
+    return memories.select("user_id", F.coalesce(F.col("memory_id").cast("string"), F.lit("")).alias("id"), F.coalesce("memory", F.lit("")).alias("memory"), F.coalesce("metadata", F.lit("{}")).alias("metadata"))
+
+
+def memory_deletions(requests: DataFrame, memories: DataFrame) -> DataFrame:
+    """requests (request_id, memory_id, user_id): deleted, absent (no error), or refused where the memory is another's."""
+    found = requests.join(memories.select("memory_id", F.col("user_id").alias("__owner")), "memory_id", "left")
+    outcome = F.when(F.col("__owner").isNull(), "absent").when(F.col("__owner") == F.col("user_id"), "deleted").otherwise("refused")
+    return found.select("request_id", "memory_id", "user_id", outcome.alias("outcome"))

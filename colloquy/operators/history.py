@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import iso_time, tool_arguments
+
 VISIBLE = ("user", "assistant", "tool")
 
 
@@ -28,11 +30,17 @@ def history(messages: DataFrame, session_id: str | None = None, after: Column |
 
 
 def history_since_summary(messages: DataFrame, sessions: DataFrame, limit: int = 20) -> DataFrame:
-    """Per session the oldest `limit` rows, of those after its summary where it has one."""
-    joined = messages.join(sessions.select("session_id", "summary_updated_at"), "session_id").filter("summary_updated_at IS NULL OR created_at > summary_updated_at")
+    """Per session the oldest `limit` rows, of those after its summary where it has one; a session that isn't known has none."""
+    joined = messages.join(sessions.select("session_id", "summary_updated_at"), "session_id", "left").filter("summary_updated_at IS NULL OR created_at > summary_updated_at")
     return joined.withColumn("rank", F.row_number().over(by_session("created_at", "seq"))).filter(F.col("rank") <= limit).drop("summary_updated_at")
 
 
+def history_after(messages: DataFrame, bounds: DataFrame, limit: int = 50) -> DataFrame:
+    """Of each session in bounds (session_id, after) its oldest `limit` rows later than `after`."""
+    later = messages.join(bounds, "session_id").filter("created_at > after").drop("after")
+    return later.withColumn("rank", F.row_number().over(by_session("created_at", "seq"))).filter(F.col("rank") <= limit)
+
+
 def last_rows(messages: DataFrame, n: int = 50) -> DataFrame:
     """The newest n rows of every session."""
     return messages.withColumn("age", F.row_number().over(by_session(F.desc("created_at"), F.desc("seq")))).filter(F.col("age") <= n)
@@ -75,40 +83,82 @@ def islands(messages: DataFrame, *keys: str) -> DataFrame:
     return messages.withColumn("__start", starts.cast("long")).withColumn("group_no", F.sum("__start").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__start")
 
 
-def _part(kind: int, type_: str, pos: Column | None = None, text: Column | None = None, call: Column | None = None) -> Column:
+def _part(kind: int, type_: str, state: str | None = None, pos: Column | None = None, text: Column | None = None, call: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
     return F.struct(
-        F.lit(kind).cast("long").alias("kind"), (F.lit(0) if pos is None else pos).cast("long").alias("pos"), F.lit(type_).alias("type"), (none if text is None else text).alias("text"),
-        (none if call is None else call["id"]).alias("tool_call_id"), (none if call is None else call["arguments"]).alias("input"),
+        F.lit(kind).cast("long").alias("kind"), (F.lit(0) if pos is None else pos).cast("long").alias("pos"), (F.lit(type_) if call is None else F.concat(F.lit(type_ + "-"), F.coalesce(call["name"], F.lit("unknown")))).alias("type"), F.lit(state).cast("string").alias("state"), (none if text is None else text).alias("text"),
+        (none if call is None else F.coalesce(call["id"], F.lit(""))).alias("tool_call_id"), (none if call is None else tool_arguments(call["arguments"])).alias("input"),
     )
 
 
 def message_parts(grouped: DataFrame, *keys: str) -> DataFrame:
-    """One row for each UI part of rows with a group_no: steps, reasoning, tool calls with their last result, and texts, in order (seq, kind, pos)."""
+    """One row for each UI part of rows with a group_no: steps, reasoning, tool calls with their last result, and texts, in order (seq, kind, pos).
+
+    A call's arguments that are not JSON become {}.  first_at is the time of the group's first row.
+    """
     content = F.col("content")
-    said = F.when(F.coalesce(content, F.lit("")) != "", F.array(_part(3, "text", text=content)))
-    empty = F.array().cast(said_type := "array<struct<kind bigint,pos bigint,type string,text string,tool_call_id string,input string>>")
+    said = F.when(F.coalesce(content, F.lit("")) != "", F.array(_part(3, "text", "done", text=content)))
+    empty = F.array().cast(said_type := "array<struct<kind bigint,pos bigint,type string,state string,text string,tool_call_id string,input string>>")
     said = F.coalesce(said, empty)
     calls, reasoning = empty, empty
     if "tool_calls" in grouped.columns:
-        calls = F.coalesce(F.transform("tool_calls", lambda c, i: _part(2, "tool", pos=i, call=c)), empty)
+        calls = F.coalesce(F.transform("tool_calls", lambda c, i: _part(2, "tool", "output-available", pos=i, call=c)), empty)
     if "reasoning_content" in grouped.columns:
-        reasoning = F.coalesce(F.when(F.col("reasoning_content") != "", F.array(_part(1, "reasoning", text=F.col("reasoning_content")))), empty)
+        reasoning = F.coalesce(F.when(F.col("reasoning_content") != "", F.array(_part(1, "reasoning", "done", text=F.col("reasoning_content")))), empty)
     step = F.array(_part(0, "step-start")).cast(said_type)
     parts = F.when(F.col("role") == "user", said).when(F.col("role") == "assistant", F.concat(step, reasoning, calls, said))
     group = ["session_id", *keys, "group_no"]
-    rows = grouped.select(*group, "seq", "role", F.explode(parts).alias("p")).select(*group, "seq", "role", "p.*")
+    timed = grouped.withColumn("first_at", F.first("created_at").over(Window.partitionBy(*group).orderBy("seq")))
+    rows = timed.select(*group, "seq", "role", "first_at", F.explode(parts).alias("p")).select(*group, "seq", "role", "first_at", "p.*")
     if "tool_call_id" not in grouped.columns:
         return rows.withColumn("output", F.lit(None).cast("string"))
     results = grouped.filter("role = 'tool' AND tool_call_id IS NOT NULL").groupBy(*group, "tool_call_id").agg(F.max_by(F.coalesce("content", F.lit("")), "seq").alias("output"))
     joined = rows.join(results, [*group, "tool_call_id"], "left")
-    return joined.withColumn("output", F.when(F.col("type") == "tool", F.coalesce("output", F.lit(""))))
+    return joined.withColumn("output", F.when(F.col("kind") == 2, F.coalesce("output", F.lit(""))))
 
 
 def ui_messages(parts: DataFrame, *keys: str) -> DataFrame:
     """One row for each UI message, its parts as an ordered array; the id is the last row's seq."""
-    part = F.struct("seq", "kind", "pos", "type", "text", "tool_call_id", "input", "output")
-    return parts.groupBy("session_id", *keys, "group_no").agg(F.max("seq").alias("id"), F.first("role").alias("role"), F.array_sort(F.collect_list(part)).alias("parts"))
+    part = F.struct("seq", "kind", "pos", "type", "state", "text", "tool_call_id", "input", "output")
+    return parts.groupBy("session_id", *keys, "group_no").agg(
+        F.max("seq").alias("id"), F.first("role").alias("role"), iso_time(F.min("first_at")).alias("created_at"), F.array_sort(F.collect_list(part)).alias("parts")
+    )
+
+
+def session_rows(sessions: DataFrame) -> DataFrame:
+    """Sessions as an interface shows them: texts only, times in ISO form, "" for a null id."""
+    return sessions.select(F.coalesce("session_id", F.lit("")).alias("id"), "user_id", "title", iso_time(F.col("created_at")).alias("created_at"), iso_time(F.col("updated_at")).alias("updated_at"))
+
+
+def session_totals(sessions: DataFrame, size: int) -> DataFrame:
+    """Per user the number of sessions and of pages of `size`."""
+    return sessions.groupBy("user_id").agg(F.count("*").alias("total")).withColumn("pages", page_count(F.col("total"), size))
+
+
+def owned_sessions(requests: DataFrame, sessions: DataFrame) -> DataFrame:
+    """requests (request_id, session_id, user_id): code 200 and the title of the user's own session; 40001 for one that is missing or another's, alike."""
+    found = requests.join(sessions.select("session_id", "user_id", "title"), ["session_id", "user_id"], "left")
+    return found.select("request_id", F.when(F.col("title").isNull(), 40001).otherwise(200).alias("code"), "title")
+
+
+def replaced(hot: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Recent rows with all those of the sessions in `fresh` replaced; sessions without fresh rows keep theirs, and nothing is trimmed."""
+    return hot.join(fresh.select("session_id").distinct(), "session_id", "left_anti").unionByName(fresh)
+
+
+def repopulated(hot: DataFrame, messages: DataFrame, sessions: DataFrame, limit: int = 20) -> DataFrame:
+    """Recent rows; sessions that have none get their stored history since the summary instead."""
+    cold = messages.join(hot.select("session_id").distinct(), "session_id", "left_anti")
+    return replaced(hot, history_since_summary(cold, sessions, limit).select(hot.columns))
+
+
+def as_json(messages: DataFrame) -> DataFrame:
+    """Rows as JSON beside their session, nulls written out, without the row's id."""
+    return messages.select("session_id", "seq", F.to_json(F.struct(*(c for c in messages.columns if c != "id")), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def from_json(rows: DataFrame, schema: str) -> DataFrame:
+    return rows.select(F.from_json("value", schema).alias("v")).select("v.*")
 
 
 def session_page(sessions: DataFrame, user_id: int | None, page: int, size: int) -> DataFrame:

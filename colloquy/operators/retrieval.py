@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import search_tokens, truncated
+from ..functions.text import parsed_range, search_tokens, truncated
 
-#: A skill table of more bytes than this is joined without a hint.
+#: Bytes of triggers in a block; each block is one pass over the queries.
 SKILL_BYTES = 10 << 20
 
 
@@ -23,29 +23,56 @@ def search(messages: DataFrame, keyword: str, session_id: str | None = None, sta
     return rows
 
 
+def search_requests(messages: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests (request_id, session_id, keyword, start, end; bounds as text): the rows of the session that hold a term and are within the bounds.
+
+    A keyword is trimmed; bounds are closed, and those that aren't times are dropped as `parsed_range` says.
+    """
+    start, end = parsed_range(F.col("start"), F.col("end"))
+    asked = requests.select("request_id", "session_id", search_tokens(F.trim("keyword")).alias("__terms"), start.alias("__start"), end.alias("__end"))
+    hits = messages.join(asked, "session_id").filter(F.arrays_overlap(search_tokens(F.col("content")), "__terms"))
+    within = (F.col("__start").isNull() | (F.col("created_at") >= F.col("__start"))) & (F.col("__end").isNull() | (F.col("created_at") <= F.col("__end")))
+    return hits.filter(within).drop("__terms", "__start", "__end")
+
+
+def answered(hits: DataFrame, requests: DataFrame, n: int = 10, limit: int = 4000) -> DataFrame:
+    """(request_id, text): the oldest n hits of each request as lines, or a text that says there are none."""
+    first = hits.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy("created_at", "seq"))).filter(F.col("rank") <= n)
+    texts = rendered(first, limit, "request_id")
+    return requests.select("request_id").join(texts, "request_id", "left").select("request_id", F.coalesce("text", F.lit("no messages found")).alias("text"))
+
+
 def first_hits(hits: DataFrame, n: int = 10) -> DataFrame:
     """The oldest n hits of every session."""
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("session_id").orderBy("created_at", "seq"))).filter(F.col("rank") <= n)
 
 
-def rendered(hits: DataFrame, limit: int = 4000) -> DataFrame:
-    """Per session its hits as lines, cut at `limit` characters."""
+def rendered(hits: DataFrame, limit: int = 4000, key: str = "session_id") -> DataFrame:
+    """Per session (or other key) its hits as lines, cut at `limit` characters."""
     line = F.format_string("[%s] (%s): %s", "role", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"), F.coalesce("content", F.lit("")))
     lines = F.array_sort(F.collect_list(F.struct("created_at", "seq", line.alias("line"))))
-    return hits.groupBy("session_id").agg(truncated(F.array_join(F.transform(lines, lambda s: s["line"]), "\n"), limit).alias("text"))
+    return hits.groupBy(key).agg(truncated(F.array_join(F.transform(lines, lambda s: s["line"]), "\n"), limit).alias("text"))
 
 
 def match_skills(queries: DataFrame, skills: DataFrame, k: int = 2, distinct: bool = False) -> DataFrame:
     """(query_id, skill_id, hits, rank): enabled skills by the number of triggers that a query holds, whatever the case; repeated triggers count again unless `distinct`.
 
     Triggers become rows and meet each query in a nested loop against the
-    skills alone, a dimension of hundreds of rows whose size is checked.
+    skills alone, a dimension of hundreds of rows.  Their size is checked: what
+    is over SKILL_BYTES goes in further blocks, each a pass of its own.
     """
     triggers = skills.filter("enabled").select("skill_id", F.posexplode(F.array_distinct("triggers") if distinct else F.col("triggers")).alias("pos", "t")).filter("t <> ''").select("skill_id", F.lower("t").alias("t"))
     size = triggers.agg(F.coalesce(F.sum(F.octet_length("t") + F.octet_length("skill_id") + 32), F.lit(0))).first()[0]
-    side = F.broadcast(triggers) if size <= SKILL_BYTES else triggers
+    blocks = max(1, -(-size // SKILL_BYTES))
     lowered = queries.select("query_id", F.lower("text").alias("__q"))
-    hits = lowered.join(side, F.contains("__q", "t")).groupBy("query_id", "skill_id").agg(F.count("*").alias("hits"))
+    met = []
+    for number in range(blocks):
+        block = triggers if blocks == 1 else triggers.filter(F.pmod(F.xxhash64("skill_id", "t"), F.lit(blocks)) == number)
+        met.append(lowered.join(F.broadcast(block), F.contains("__q", "t")).select("query_id", "skill_id"))
+    found = met[0]
+    for more in met[1:]:
+        found = found.unionByName(more)
+    hits = found.groupBy("query_id", "skill_id").agg(F.count("*").alias("hits"))
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "skill_id"))).filter(F.col("rank") <= max(1, k))
 
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import listed, skill_document
+
+REQUEST_BLOCK = 100_000  #: ids of a block of requests
+
 
 def route(mappings: DataFrame, providers: DataFrame) -> DataFrame:
     """Per model its preferred mapping, else any (the least id), and whether its provider can serve; there is no second choice."""
@@ -20,6 +24,24 @@ def model_catalogue(models: DataFrame, default_id: int) -> DataFrame:
     return models.filter("is_active").select("model_id", kind.alias("kind"), (F.col("model_id") == default_id).alias("is_default"))
 
 
+def model_rows(models: DataFrame, default_id: int) -> DataFrame:
+    """Active models as an interface shows them."""
+    kinds = model_catalogue(models, default_id)
+    named = models.select("model_id", F.col("model_name").alias("name"), "type", F.col("billing_ratio").alias("ratio"))
+    return kinds.join(named, "model_id").select(F.col("model_id").alias("id"), "name", "type", "ratio", "kind", "is_default")
+
+
+def overlaid_tools(registered: DataFrame, runtime: DataFrame) -> DataFrame:
+    """Registered tools and those found at run time; of a name the later one, a run-time tool always, with the place of the first.
+
+    Both: (seq, name, ...) of the same columns.
+    """
+    both = registered.withColumn("__late", F.lit(0)).unionByName(runtime.withColumn("__late", F.lit(1)))
+    own = Window.partitionBy("name")
+    ranked = both.withColumn("__rank", F.row_number().over(own.orderBy(F.desc("__late"), F.desc("seq")))).withColumn("place", F.min(F.struct("__late", "seq")).over(own))
+    return ranked.filter("__rank = 1").withColumn("place", F.col("place.__late") * F.lit(1 << 32) + F.col("place.seq")).drop("__rank", "__late")
+
+
 def visible_tools(tools: DataFrame) -> DataFrame:
     """tools (name, reserved, exposed, allow, deny): reserved tools are seen where exposed; others where no list is given, the allow list has them, or the deny list doesn't."""
     name, allow, deny = F.col("name"), F.col("allow"), F.col("deny")
@@ -43,23 +65,58 @@ def weighted_shares(instances: DataFrame) -> DataFrame:
 
 
 def pick_weighted(instances: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests (request_id, service, draw in [0, 1)): the instance whose share holds the draw."""
-    shares = weighted_shares(instances)
-    return requests.join(shares, "service").filter("draw >= low AND draw < high").select("request_id", "service", "address")
+    """requests (request_id, service, draw in [0, 1)): the instance whose share holds the draw.
+
+    A service's shares are one row with an array, so a request is one row throughout.
+    """
+    share = F.struct("low", "high", "address")
+    shares = weighted_shares(instances).groupBy("service").agg(F.collect_list(share).alias("shares"))
+    hit = F.filter("shares", lambda s: (F.col("draw") >= s["low"]) & (F.col("draw") < s["high"]))
+    return requests.join(shares, "service").select("request_id", "service", F.get(hit, F.lit(0))["address"].alias("address")).filter("address IS NOT NULL")
 
 
 def pick_in_turn(instances: DataFrame, requests: DataFrame) -> DataFrame:
-    """Round robin: the n-th request of a service goes to instance n modulo their number, in order of address."""
+    """Round robin: the n-th request of a service goes to instance n modulo their number, in order of address.
+
+    Requests are numbered in blocks of ids, whose counts are then summed, so a
+    busy service is spread over many tasks.  request_id is a number, of which
+    a service has each once.
+    """
     own = Window.partitionBy("service")
-    numbered = instances.withColumn("place", F.row_number().over(own.orderBy("address")) - 1).withColumn("n", F.count("*").over(own))
-    asked = requests.withColumn("turn", F.row_number().over(own.orderBy("request_id")) - 1)
-    sizes = numbered.select("service", "n").distinct()
-    turns = asked.join(sizes, "service").withColumn("place", F.col("turn") % F.col("n"))
-    return turns.join(numbered.select("service", "place", "address"), ["service", "place"]).select("request_id", "service", "address")
+    services = instances.groupBy("service").agg(F.array_sort(F.collect_list("address")).alias("addresses"))
+    blocked = requests.withColumn("__block", F.col("request_id") - F.pmod("request_id", F.lit(REQUEST_BLOCK)))
+    before = F.coalesce(F.sum("n").over(own.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = blocked.groupBy("service", "__block").agg(F.count("*").alias("n")).withColumn("before", before).drop("n")
+    turn = F.col("before") + F.row_number().over(Window.partitionBy("service", "__block").orderBy("request_id")) - 1
+    turns = blocked.join(firsts, ["service", "__block"]).withColumn("turn", turn).join(services, "service")
+    return turns.select("request_id", "service", F.get("addresses", (F.col("turn") % F.size("addresses")).cast("int")).alias("address"))
 
 
 def manifest_lookup(requests: DataFrame, manifests: DataFrame) -> DataFrame:
-    """requests (request_id, skill_id, path) against manifests (skill_id, path, object_key): outcome ok, unknown_path or no_key."""
+    """requests (request_id, skill_id, path) against manifests (skill_id, path, object_key): outcome ok, unknown_path or no_key, and a text that says so."""
     found = requests.join(manifests.withColumn("__known", F.lit(True)), ["skill_id", "path"], "left")
+    paths = manifests.groupBy("skill_id").agg(F.collect_set("path").alias("paths"))
     outcome = F.when(F.col("__known").isNull(), "unknown_path").when(F.coalesce("object_key", F.lit("")) == "", "no_key").otherwise("ok")
-    return found.select("request_id", outcome.alias("outcome"), F.when(outcome == "ok", F.col("object_key")).alias("object_key"))
+    said = F.when(outcome == "unknown_path", F.concat(F.lit("no such path; there are: "), listed(F.coalesce("paths", F.array().cast("array<string>"))))).when(outcome == "no_key", "the path has no object")
+    return found.join(paths, "skill_id", "left").select("request_id", outcome.alias("outcome"), F.when(outcome == "ok", F.col("object_key")).alias("object_key"), said.alias("message"))
+
+
+def skill_by_id(skills: DataFrame, skill_id: str) -> DataFrame:
+    return skills.filter(F.col("skill_id") == skill_id).limit(1)
+
+
+def loaded_skills(requests: DataFrame, skills: DataFrame) -> DataFrame:
+    """requests (request_id, skill_id, allowed): the document of an allowed skill, or a text that says why there is none.
+
+    skills: one row an id, with the columns of `skill_document`.
+    """
+    documents = skills.select("skill_id", skill_document().alias("__document"))
+    wanted = F.trim(F.coalesce("skill_id", F.lit("")))
+    rows = requests.withColumn("skill_id", wanted).join(documents, "skill_id", "left")
+    allowed = F.coalesce("allowed", F.array().cast("array<string>"))
+    text = (
+        F.when(F.col("skill_id") == "", "a skill id is needed")
+        .when(~F.array_contains(allowed, F.col("skill_id")), F.concat(F.lit("not allowed now; allowed: "), listed(allowed)))
+        .when(F.col("__document").isNull(), "no such skill").otherwise(F.col("__document"))
+    )
+    return rows.select("request_id", "skill_id", text.alias("text"))

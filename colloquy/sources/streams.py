@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming.hot_context import OUTPUT, hot_context
+from .shared import shared_folder
 
 NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -20,8 +21,7 @@ def run_to_end(spark: SparkSession, stream: DataFrame, schema: str, key: str, or
     The rows of each batch are appended to a table in the shared folder, with
     the batch's number, so that a repeated batch replaces itself.
     """
-    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    folder = f"{root}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     before = {k: spark.conf.get(k, None) for k in (NO_DATA_BATCHES, PROVIDER)}
     spark.conf.set(NO_DATA_BATCHES, "false")
     spark.conf.set(PROVIDER, ROCKSDB)

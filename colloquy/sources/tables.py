@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import asset_kind, object_key
+from ..functions.text import asset_kind, object_key, parsed_key, safe_path
 
 EPOCH = 1704067200
 
@@ -37,7 +37,7 @@ def agent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "click", F.array(call(0), call(1))).alias("tool_calls"),
         F.when(kind == "purchase", F.concat(F.lit("c"), k % 5)).alias("tool_call_id"),
         F.when(e % 2 == 0, F.concat(F.lit("tool"), k % 3)).alias("name"),
-        (e % 3 == 0).alias("ephemeral"), F.col("ts").alias("created_at"), (k % 4).cast("int").alias("model_id"),
+        F.when(e % 13 != 0, e % 3 == 0).alias("ephemeral"), F.col("ts").alias("created_at"), (k % 4).cast("int").alias("model_id"),
     )
 
 
@@ -64,6 +64,24 @@ def skills(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "skill_id string, display_name string, triggers array<string>, version string, enabled boolean").coalesce(1)
 
 
+def read_assets(spark: SparkSession, root: str, requests: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """requests (request_id, object_key): the bytes of `<root>/<skill>/<version>/<path>`, else those of stored (object_key, data).
+
+    Keys that leave the skill's folder, or are none, are `bad_key`; what is in neither place is `not_found`.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    pattern = r"^.*?" + root.rstrip("/").rsplit("/", 1)[-1] + r"/([^/]+)/([^/]+)/(.+)$"
+    part = lambda n: F.regexp_extract("path", pattern, n)
+    local = files.select(object_key(part(1), part(2), part(3)).alias("object_key"), F.col("content").alias("__local"))
+    parsed = parsed_key(F.col("object_key"))
+    good = parsed.isNotNull() & safe_path(parsed["path"]) & safe_path(parsed["skill_id"]) & safe_path(parsed["version"])
+    rows = requests.withColumn("__good", F.coalesce(good, F.lit(False))).join(local, "object_key", "left")
+    rows = rows.join(stored.select("object_key", F.col("data").alias("__stored")), "object_key", "left") if stored is not None else rows.withColumn("__stored", F.lit(None).cast("binary"))
+    data = F.when(F.col("__good"), F.coalesce("__local", "__stored"))
+    outcome = F.when(~F.col("__good"), "bad_key").when(data.isNull(), "not_found").when(F.col("__local").isNotNull(), "local").otherwise("stored")
+    return rows.select("request_id", outcome.alias("outcome"), data.alias("data"))
+
+
 def read_bundles(spark: SparkSession, root: str) -> DataFrame:
     """Files of skill bundles `<root>/<skill>/<version>/...` but SKILL.md: skill_id, version, path, kind, object_key, size_bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")

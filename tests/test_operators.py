@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
 from colloquy.operators import deltas, finalize, history, retrieval, routing
-from colloquy.sources.tables import read_bundles
+from colloquy.sources.tables import read_assets, read_bundles
 from colloquy.streaming.hot_context import LatestTable
 
 
@@ -125,6 +125,74 @@ def test_redaction(spark):
     assert got == [(2, "[output of find omitted]", True), (3, "[output of unknown omitted]", True), (4, "u", False), (5, "b", False)]
 
 
+def test_rows_without_a_flag_are_kept(spark):
+    rows = [("s", 1, "assistant", "a", None, None), ("s", 2, "tool", "t", None, None), ("s", 3, "assistant", "x", None, True)]
+    frame = spark.createDataFrame(rows, "session_id string, seq long, role string, content string, name string, ephemeral boolean")
+    assert [(r.seq, r.content, r.ephemeral) for r in finalize.redacted(frame).orderBy("seq").collect()] == [(1, "a", False), (2, "t", False)]
+
+
+def test_prompt_order_holds_for_large_numbers(spark):
+    rows = [("s", 5, "user", "old", 90), ("s", 1_500_000, "assistant", "new", 10), ("s", 1_500_001, "user", "newest", 10)]
+    messages = spark.createDataFrame(rows, "session_id string, seq long, role string, content string, token_count long")
+    sessions = spark.createDataFrame([("s", None)], "session_id string, current_summary string")
+    queries = spark.createDataFrame([("s", "q", None, [("k", "v", None), ("off", "v", True), ("none", "", False)])], "session_id string, query string, facts array<string>, states array<struct<key:string,value:string,disabled:boolean>>")
+    skills = spark.createDataFrame([], "session_id string, names array<string>")
+    read = lambda **how: [r.content for r in finalize.prompt(messages, sessions, skills, queries, 100, **how).orderBy("section", "place").collect()]
+    assert read()[1:] == ["new", "newest", "old", "State of the interface:\nk = v", "q"]
+    assert read(chronological=True)[1:4] == ["old", "new", "newest"]
+
+
+def test_unknown_events_fail_and_every_step_ends(spark):
+    outcomes = spark.createDataFrame([(1, "ok", None), (2, "cancelled", None), (3, "failed", "why")], "step long, outcome string, message string")
+    events = spark.createDataFrame([(1, 0, "start-step"), (1, 1, "finish-step")], "step long, ord long, type string")
+    got = [r.frame for r in deltas.frames(events, ["ord"], outcomes).orderBy("step", "part", "ord").collect()]
+    ends = [g.removeprefix("data: ").strip() for g in got]
+    assert ends == [
+        '{"type":"start","messageId":"msg_1"}', '{"type":"start-step"}', '{"type":"finish-step"}', '{"type":"finish"}', "[DONE]",
+        '{"type":"start","messageId":"msg_2"}', '{"type":"abort","reason":"user_cancelled"}', "[DONE]", '{"type":"start","messageId":"msg_3"}', '{"type":"error","errorText":"why"}', "[DONE]",
+    ]
+    with pytest.raises(Exception, match="unknown event"):
+        deltas.frames(events.withColumn("type", F.lit("noise")), ["ord"], outcomes).collect()
+
+
+def test_appends_assets_and_lookups(spark, tmp_path):
+    rows = spark.createDataFrame([("u", "user", "hi")], "user_id string, role string, content string")
+    path = str(tmp_path / "store")
+    assert finalize.appended(finalize.memory_rows(rows), path) and finalize.appended(rows, path) and not finalize.appended(rows.limit(0), path)
+    assert spark.read.parquet(path).count() == 2
+    for name in ("demo/1.0/references/a.md", "demo/1.0/b.txt"):
+        file = tmp_path / "bundles" / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(name)
+    keys = ["skills/demo/1.0/references/a.md", "skills/demo/1.0/../1.0/b.txt", "nonsense", "skills/demo/2.0/c", "skills/demo/2.0/d", None]
+    requests = spark.createDataFrame(list(enumerate(keys)), "request_id int, object_key string")
+    stored = spark.createDataFrame([("skills/demo/2.0/c", bytearray(b"far"))], "object_key string, data binary")
+    got = {r.request_id: (r.outcome, bytes(r.data) if r.data else None) for r in read_assets(spark, str(tmp_path / "bundles"), requests, stored).collect()}
+    assert got == {0: ("local", b"demo/1.0/references/a.md"), 1: ("bad_key", None), 2: ("bad_key", None), 3: ("stored", b"far"), 4: ("not_found", None), 5: ("bad_key", None)}
+    skills = spark.createDataFrame([("a",), ("b",)], "skill_id string")
+    assert routing.skill_by_id(skills, "a").count() == 1 and routing.skill_by_id(skills, "x").count() == 0
+
+
+def test_many_triggers_go_in_blocks(spark, monkeypatch):
+    skills = spark.createDataFrame([(f"s{i}", [f"t{i}", "all"], True) for i in range(30)], "skill_id string, triggers array<string>, enabled boolean")
+    queries = spark.createDataFrame([(1, "all t7 t12"), (2, "t29")], "query_id long, text string")
+    read = lambda: sorted(map(tuple, retrieval.match_skills(queries, skills, 40).collect()))
+    whole = read()
+    monkeypatch.setattr(retrieval, "SKILL_BYTES", 400)
+    assert read() == whole and len(whole) == 32
+
+
+def test_requests_in_turn_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(routing, "REQUEST_BLOCK", 7)
+    rng = random.Random(2)
+    ids = sorted(rng.sample(range(500), 150))
+    requests = spark.createDataFrame([(i, "ab"[i % 2]) for i in ids], "request_id long, service string")
+    instances = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z"), ("a", "w")], "service string, address string")
+    got = {r.request_id: r.address for r in routing.pick_in_turn(instances, requests).collect()}
+    order = {"a": ["w", "x", "y"], "b": ["z"]}
+    assert got == {i: order[s][n % len(order[s])] for s in "ab" for n, i in enumerate(i for i in ids if "ab"[i % 2] == s)}
+
+
 def test_skill_matching_counts_repeated_triggers(spark):
     skills = spark.createDataFrame([("b", ["X", "x", ""], True), ("a", ["x"], True), ("c", ["x"], False)], "skill_id string, triggers array<string>, enabled boolean")
     queries = spark.createDataFrame([(1, "an X"), (2, ""), (3, None)], "query_id long, text string")
