@@ -1,11 +1,14 @@
 """Line dedup: levelled sorted runs of line hashes, merge-anti-joined batch by batch.
 
 Documents come in batches of descending doc_id.  A batch's line keys become a
-sorted run of (key, owner, n_docs).  Before it is added, the run is
-merge-anti-joined with all runs so far: keys that no run holds are fresh, and
-their largest document in the batch owns them; known keys only add to n_docs.
-When a level holds `fanout` runs they are compacted into one run of the next.
-Runs are small tables (16-byte keys), kept in the shared folder.
+sorted run of (key, owner, n_docs), which is merge-anti-joined with the runs so
+far: a key that no run holds is fresh, and its largest document in the batch is
+its owner, for good.  The batch then marks what would go: every line of a known
+key, and of a fresh one all but the owner's.  Known keys add to n_docs only.
+When a level holds `fanout` runs they are compacted into one run of the next;
+of a key's rows one has the owner, and the counts are summed.  At the end marks
+whose key has enough documents count.  Runs are small tables (16-byte keys),
+kept in the shared folder.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lexing import BLANKS
+from .lexing import BLANKS, slices, text_bytes
 from .storage import Staged, stage
 
 RUN_SCHEMA = "key binary, owner long, n_docs long"
@@ -40,27 +43,31 @@ class LineRuns:
         self.levels: list[list[Staged]] = []
         self.merged: list[Staged] = []  #: into a higher level; deleted at the next batch
 
+    def held(self) -> list[Staged]:
+        return [r for level in self.levels for r in level]
+
     def runs(self) -> DataFrame:
         out = self.spark.createDataFrame([], RUN_SCHEMA)
-        for run in (r for level in self.levels for r in level):
+        for run in self.held():
             out = out.unionByName(run.df)
         return out
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Adds a batch (key, doc_id); returns its fresh keys with their owners, to be read before the next batch."""
+        """Adds a batch (key, doc_id), distinct; returns its marks: the rows that don't own their keys.
+
+        Batches come in descending order of doc_id.  The marks are to be read
+        before the next batch.
+        """
         self._tidy()
-        run = (
-            batch.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
-            .groupBy("key").agg(F.max("doc_id").alias("owner"), F.count("*").alias("n_docs"))
-        )
+        run = batch.groupBy("key").agg(F.max("doc_id").alias("owner"), F.count("*").alias("n_docs"))
         if self.levels:
-            known = self.runs().select("key")
-            run = run.hint("merge").join(known, "key", "left_anti").unionByName(
-                run.hint("merge").join(known, "key", "left_semi").withColumn("owner", F.lit(None).cast("long"))
-            )
+            known = self.runs().select("key").distinct()
+            fresh = run.hint("merge").join(known, "key", "left_anti")
+            run = fresh.unionByName(run.hint("merge").join(known, "key", "left_semi").withColumn("owner", F.lit(None).cast("long")))
         added = stage(run.sortWithinPartitions("key"), "line-run")
         self._push(0, added)
-        return added.df.filter(F.col("owner").isNotNull())
+        several = added.df.filter("owner IS NULL OR n_docs > 1").select("key", "owner")
+        return batch.join(several, "key").filter("owner IS NULL OR doc_id <> owner").select("key", "doc_id")
 
     def _push(self, level: int, run: Staged) -> None:
         while len(self.levels) <= level:
@@ -74,7 +81,7 @@ class LineRuns:
         rows = runs[0].df
         for r in runs[1:]:
             rows = rows.unionByName(r.df)
-        rows = rows.groupBy("key").agg(F.max("owner").alias("owner"), F.sum("n_docs").alias("n_docs"))
+        rows = rows.groupBy("key").agg(F.any_value("owner", True).alias("owner"), F.sum("n_docs").alias("n_docs"))
         out = stage(rows.sortWithinPartitions("key"), "line-run")
         self.merged += runs
         return out
@@ -85,9 +92,9 @@ class LineRuns:
         self.merged = []
 
     def compacted(self) -> DataFrame:
-        """All runs as one: key, owner (largest doc_id that holds it), n_docs."""
-        every = [r for level in self.levels for r in level]
-        self.levels = [[self._merged(every)]] if len(every) > 1 else self.levels
+        """All runs as one: key, owner, n_docs."""
+        if len(every := self.held()) > 1:
+            self.levels = [[self._merged(every)]]
         self._tidy()
         return self.runs()
 
@@ -95,30 +102,27 @@ class LineRuns:
 def _keys_of(min_chars: int):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                if doc_id is None or text is None:
-                    continue
-                own = {k for line in text.split(b"\n") if (k := line_key(line, min_chars))}
-                ids += [doc_id] * len(own)
-                found += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "key"])
+            for a, b in slices(*text_bytes(batch.column(1))):
+                ids, found = [], []
+                for doc_id, text in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).cast(pa.binary()).to_pylist(), strict=True):
+                    if doc_id is None or text is None:
+                        continue
+                    own = {k for line in text.split(b"\n") if (k := line_key(line, min_chars))}
+                    ids += [doc_id] * len(own)
+                    found += own
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "key"])
 
     return keys
 
 
-def _rewritten(text: str, dropped: str, min_chars: int, names: list[str]):
+def _rewritten(text: int, dropped: int, min_chars: int, names: list[str]):
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(low, high - low) for b in batches for low, high in slices(*text_bytes(b.column(text)))):
             out, lines_in, lines_off = [], [], []
-            for body, keys in zip(
-                batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist(),
-                batch.column(batch.schema.get_field_index(dropped)).to_pylist(),
-                strict=True,
-            ):
+            for body, keys in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column(dropped).to_pylist(), strict=True):
                 n = 1 + (body or b"").count(b"\n")
                 gone = 0
-                if keys:
+                if keys and body is not None:
                     keys = set(keys)
                     kept = [line for line in body.split(b"\n") if line_key(line, min_chars) not in keys]
                     gone = n - len(kept)
@@ -126,8 +130,9 @@ def _rewritten(text: str, dropped: str, min_chars: int, names: list[str]):
                 out.append(body)
                 lines_in.append(n)
                 lines_off.append(gone)
-            new = {text: pa.array(out, pa.binary()).cast(pa.string()), "n_lines": pa.array(lines_in, pa.int64()), "n_dropped": pa.array(lines_off, pa.int64())}
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(batch.schema.get_field_index(c)) for c in names], names)
+            columns = [c for i, c in enumerate(batch.columns) if i != dropped]
+            columns[text] = pa.array(out, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines_in, pa.int64()), pa.array(lines_off, pa.int64())], names)
 
     return rewrite
 
@@ -144,19 +149,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
-    held = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(_keys_of(min_chars), "doc_id long, key binary"), "line-keys")
+    keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(_keys_of(min_chars), "doc_id long, key binary")
+    shared = docs.groupBy(F.col(id_col).cast("long")).count().filter("count > 1")  # a row's keys are distinct; ids on several rows need more
+    held = stage(keys if shared.isEmpty() else keys.distinct(), "line-keys")
     cuts = sorted(set(held.df.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)) if batches > 1 else [], reverse=True)
-    runs = LineRuns(spark, fanout)
+    runs, marked = LineRuns(spark, fanout), []
     for low, high in zip([*cuts, None], [None, *cuts], strict=True):
-        runs.add(held.df.filter(_within("doc_id", low, high)))
-    common = runs.compacted().filter(F.col("n_docs") >= min_docs).select("key", "owner")
-    drops = (
-        held.df.join(common, "key").filter(F.col("doc_id") != F.col("owner"))
-        .groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("key").alias("__drop"))
-    )
-    joined = docs.join(drops.hint("shuffle_hash"), docs[id_col].cast("long") == drops["__id"], "left").drop("__id")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.mapInArrow(_rewritten(text_col, "__drop", min_chars, schema.names), schema)
+        marked.append(stage(runs.add(held.df.filter(_within("doc_id", low, high))), "line-marks"))
+    held.drop()
+    marks = marked[0].df
+    for m in marked[1:]:
+        marks = marks.unionByName(m.df)
+    common = runs.compacted().filter(F.col("n_docs") >= min_docs).select("key")
+    drops = stage(marks.join(common, "key", "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("key").alias("__drop")), "line-drops")
+    for s in (*marked, *runs.held()):
+        s.drop()
+    joined = docs.join(drops.df.hint("shuffle_hash"), docs[id_col].cast("long") == F.col("__id"), "left").select(*docs.columns, "__drop")
+    schema = T.StructType([*docs.withColumn(text_col, F.col(text_col).cast("string")).schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    return joined.mapInArrow(_rewritten(docs.columns.index(text_col), len(docs.columns), min_chars, schema.names), schema)
 
 
 def _within(name: str, low: float | None, high: float | None) -> Column:

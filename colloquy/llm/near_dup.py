@@ -360,17 +360,22 @@ def _hub_pairs(shared: DataFrame, links: DataFrame, parts: DataFrame) -> DataFra
 def _texts_of(texts: DataFrame, wanted: DataFrame) -> Staged:
     """The rows of texts (id and others) whose ids are wanted.
 
-    A table of hashed ids, of one size, is asked before the join, so that most
-    texts that aren't wanted are not shuffled.
+    A bitmap of hashed ids, of one size (2**WANTED_BITS bits), is asked before
+    the join, so that most texts that aren't wanted are not shuffled.
     """
-    slot = lambda column: (mixed(column.cast(pa.int64()).fill_null(0).to_numpy().view(np.uint64) * np.uint64(SEEDS[0])) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
-    table = tally(wanted, lambda batch: iter([(0, slot(batch.column(0)))]), 1, WANTED_BITS, lambda c: np.minimum(c, 1))[0]
+    slot = F.shiftrightunsigned(F.xxhash64("id"), 64 - WANTED_BITS) + 1  # the bitmap functions count from 1
+    parts = wanted.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
+    bitmap = np.zeros((1 << WANTED_BITS) // 8, np.uint8)
+    for r in parts:  # 2**(WANTED_BITS - 15) rows of 4 KB
+        bitmap[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(table[slot(batch.column(0))] > 0))
+            s = batch.column(batch.num_columns - 1).to_numpy() - 1
+            hit = (bitmap[s >> 3] >> (s & 7).astype(np.uint8)) & 1
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(hit.astype(bool)))
 
-    return stage(texts.mapInArrow(maybe, texts.schema).join(wanted, "id", "left_semi"), "texts")
+    return stage(texts.withColumn("__slot", slot).mapInArrow(maybe, texts.schema).join(wanted, "id", "left_semi"), "texts")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:

@@ -184,18 +184,24 @@ def _ranked(dims: int, k: int):
 
 def nearest(
     vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, recall: float = 0.97,
-    centroids: int = 32, sample: int = 8192, block: int = 2048, pack: int = 256,
+    centroids: int | None = None, sample: int = 8192, block: int = 2048, pack: int = 256,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by cosine of every row for which `queries` holds.
 
     Candidates are all rows but those with the query's id; fewer than k of
-    them are all returned.  Ties go to the smaller id.  The codebooks and the
-    share to visit come from the `sample` vectors with the smallest id hashes;
-    every vector is indexed.  Rows with a null id, and vectors that are null,
+    them are all returned.  Ties go to the smaller id.  Rows that share an id
+    are candidates of their own, so an id can take several ranks; queries that
+    share one are ranked together.  Each half has `centroids`, by default 32 or,
+    for many rows, twice their fourth root, so that the vectors of a cell grow
+    with the square root of the rows only.  The codebooks and the share to visit
+    come from the `sample` vectors (64 a centroid at least) with the smallest id
+    hashes; every vector is indexed.  Rows with a null id, and vectors that are null,
     zero, hold a null or non-finite component or have another number of
     components than most of the sample, take no part.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.coalesce(queries, F.lit(False)).alias("query"), F.col(vector_col).alias("vector")).filter("id IS NOT NULL")
+    centroids = centroids or max(32, round(2 * vectors.count() ** 0.25))
+    sample = max(sample, 64 * centroids)
     taken = first_by_hash(rows.filter("vector IS NOT NULL"), "id", sample).select("vector").toArrow().column("vector").combine_chunks()
     none = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not len(taken):

@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_own_folder: str | None = None
-
+from ..sources.shared import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is set (tests)."""
-    global _own_folder
-    configured = spark.conf.get(CHECKPOINT_DIR, None)
-    if configured:
-        return configured.rstrip("/")
-    if _own_folder is None:
-        _own_folder = "file://" + tempfile.mkdtemp(prefix="colloquy-")
-    return _own_folder
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_live: list[Staged] = []
 
 
 @contextmanager
@@ -39,16 +30,24 @@ def _shuffles_removed(spark: SparkSession):
 
 
 class Staged:
-    """A DataFrame written as Parquet; `df` rereads it, `drop()` deletes it."""
+    """A DataFrame written as Parquet; `df` rereads it, `drop()` deletes it.
+
+    What a returned DataFrame still reads can't be dropped by the operator: it
+    goes at the end of the `scratch` block that it was made in, or else when
+    the driver's Python ends.
+    """
 
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/{label}-{uuid.uuid4().hex}"
+        _live.append(self)
         with _shuffles_removed(self.spark):
             df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
+        if self in _live:
+            _live.remove(self)
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
@@ -56,3 +55,26 @@ class Staged:
 
 def stage(df: DataFrame, label: str) -> Staged:
     return Staged(df, label)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[Staged], Staged]]:
+    """Tables that are staged inside and not passed to the yielded function are dropped at the end."""
+    before, kept = set(map(id, _live)), set()
+
+    def keep(staged: Staged) -> Staged:
+        kept.add(id(staged))
+        return staged
+
+    try:
+        yield keep
+    finally:
+        for staged in [s for s in _live if id(s) not in before | kept]:
+            staged.drop()
+
+
+@atexit.register
+def _drop_the_rest() -> None:
+    for staged in list(_live):
+        with suppress(Exception):  # the session may have ended
+            staged.drop()

@@ -42,11 +42,21 @@ def test_against_brute_force(spark):
 def test_levels_are_compacted(spark):
     runs = LineRuns(spark, fanout=2)
     for i in range(5):
-        fresh = runs.add(spark.createDataFrame([(bytes([i]), 10 - i), (b"x", 10 - i)], "key binary, doc_id long"))
-        assert {bytes(r.key) for r in fresh.collect()} == {bytes([i])} | ({b"x"} if i == 0 else set())
+        marks = runs.add(spark.createDataFrame([(bytes([i]), 10 - i), (b"x", 10 - i)], "key binary, doc_id long"))
+        assert [(bytes(r.key), r.doc_id) for r in marks.collect()] == ([(b"x", 10 - i)] if i else [])
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     assert {(bytes(r.key), r.owner, r.n_docs) for r in runs.compacted().collect()} == {(bytes([i]), 10 - i, 1) for i in range(5)} | {(b"x", 10, 5)}
 
 
+def test_runs_decide_who_owns_a_key(spark):
+    """A known key's owner is the one of its first batch, whatever a later batch holds."""
+    batch = lambda *rows: spark.createDataFrame([(k.encode(), d) for k, d in rows], "key binary, doc_id long")
+    runs = LineRuns(spark, fanout=2)
+    assert [r.doc_id for r in runs.add(batch(("a", 9), ("a", 8), ("b", 9))).collect()] == [8]
+    assert sorted((bytes(r.key), r.doc_id) for r in runs.add(batch(("a", 7), ("c", 6), ("c", 7))).collect()) == [(b"a", 7), (b"c", 6)]
+    assert [r.doc_id for r in runs.add(batch(("b", 99))).collect()] == [99]
+    assert {(bytes(r.key), r.owner, r.n_docs) for r in runs.compacted().collect()} == {(b"a", 9, 3), (b"b", 9, 2), (b"c", 7, 2)}
+
+
 def test_empty_table(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
