@@ -1,19 +1,28 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is coded as binary decisions, along Huffman codes of a byte after each
-byte, which take a third less of them than plain bits would.  Hashed contexts
-(the last 3 and 5 bytes, and the word so far) each predict a decision from
-counts gathered over all training texts; a logistic mixer joins the predictions
-in the stretched domain.  Its weights are gated: which set is used depends on
-whether the word context is sure.  While a text is coded
-the weights follow the gradient of its coding cost, and an adaptive map from
-predicted to observed probabilities refines the result.  The sum of log2 p is
-the size of the text in bits.
-
-Counts are tables of one size, summed over tasks.  Texts are coded side by side,
-a block of decisions at a time: a block sees the weights that the blocks before
-it have left.  Texts longer than 2**14 decisions start afresh there, but keep
-their contexts, so a text's score doesn't depend on its neighbours in a batch.
+byte, which take less than half as many as plain bits would.  Hashed contexts
+(the last 3 and 4 bytes, the word so far, and the word so far with the word
+before it or, further into a word, the last 5 bytes) each predict a decision
+from how often either way was taken there in all training texts; a logistic
+mixer joins the predictions in the stretched domain.  Its weights are gated:
+which set is used depends on whether the longest context is sure.  While a
+text is coded the weights follow the gradient of its coding cost, from its
+beginning to its end, and an adaptive map from predicted to observed
+probabilities refines the result.  The sum of log2 p is the size of the text in
+bits.
+
+What is gathered grows with the corpus: every context has counts of its own,
+found by a hash whose bits follow the size of the corpus.  Texts go in slices.
+A slice sends the shards its pairs of context and byte, once each, with how
+often the texts to learn from have them; a shard sums the counts of its range of
+hashes and tells each slice what the contexts say of the decisions that lead to
+its bytes.  No task holds all counts, and none of them pass the driver.
+
+Texts of a slice are coded side by side, a block of decisions at a time: a block
+sees the weights that the blocks before it have left.  Blocks begin small and
+depend on the place in the text only, so a text's score doesn't depend on its
+neighbours.
 """
 
 from __future__ import annotations
@@ -28,24 +37,28 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lexing import IS_BLANK, SEEDS, SpanHashes, lower_ascii, slices, split_words, text_bytes
+from .lexing import IS_BLANK, SEEDS, SpanHashes, lower_ascii, mixed, slices, split_words, text_bytes
 from .storage import stage
-from .tallies import tally
 
-ORDERS = (3, 5)
-INPUTS = len(ORDERS) + 1
-CELL_BITS = 21
+ORDERS = (3, 4)
+INPUTS = len(ORDERS) + 2
+BEGINNING, LATER = 3, 5  #: bytes of a word that the word before it helps to predict; order of the context after them
 END = 0xFF  #: a byte that no UTF-8 text has ends every text
 GAP = 8
-BLOCK = 64
-SEGMENT = 1 << 14
+BLOCKS = ((1 << 8, 16), (1 << 12, 64), (1 << 62, 256))  #: decisions of a block, up to a place in the text
 STEPS = 16.0  #: of the stretched domain, for one byte from -8 to 8
 GATES = 2
 SURE = 24  #: steps from which on a context counts as sure
 RATE, REFINE_RATE = 0.0005, 0.02
-START = 0.35  #: weight of each input at first
+START = 0.3  #: weight of each input at first
 CURVE = 33  #: points of the refinement
 END_KEY = 1  #: in the counts of tokens, the end of a text; words have other keys
+SLICE_BYTES, PART_BYTES = 6 << 20, 1 << 20  #: of text that asks together, and that is coded together
+SHARD_BYTES = 16 << 20  #: of text that a shard has the contexts of
+SPARE_BITS = 6  #: of hash for each byte of the corpus
+UNITS = "slice long, texts binary"
+ASKED = "shard long, slice long, entries binary"
+TOLD = "slice long, shard long, said binary"
 
 
 def _huffman(counts: list[int]) -> list[list[int]]:
@@ -70,7 +83,7 @@ class Code:
 
     lengths: np.ndarray
     first: np.ndarray
-    noise: np.ndarray  #: of each step's node
+    nodes: np.ndarray  #: of each step
     bits: np.ndarray
 
     @classmethod
@@ -80,10 +93,17 @@ class Code:
         paths = [path for row in pairs for path in (_huffman(row.tolist()) if row.any() else plain)]
         lengths = np.array([len(p) for p in paths], np.int32)
         flat = np.array([step for path in paths for step in path], np.int64)
-        return cls(lengths, (np.cumsum(lengths) - lengths).astype(np.int32), _NODE_NOISE[flat >> 1], (flat & 1).astype(np.uint8))
+        return cls(lengths, (np.cumsum(lengths) - lengths).astype(np.int32), (flat >> 1).astype(np.uint8), (flat & 1).astype(np.uint8))
 
-
-_NODE_NOISE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(SEEDS[1]) >> np.uint64(64 - CELL_BITS)).astype(np.uint32)
+    def steps(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first decision of each pair of bytes, and their number; for each decision its pair's place; its step)."""
+        lengths = self.lengths[pairs]
+        starts = np.zeros(len(pairs) + 1, np.int64)
+        np.cumsum(lengths, out=starts[1:])
+        of = np.repeat(np.arange(len(pairs), dtype=np.int32), lengths)
+        step = (self.first[pairs] - starts[:-1]).astype(np.int32)[of]
+        step += np.arange(len(of), dtype=np.int32)
+        return starts, of, step
 
 
 def laid_out(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,100 +123,136 @@ def laid_out(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, places, np.concatenate([[0], np.cumsum(sizes + 1)])
 
 
-def contexts(data: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
-    """For each input a hash of the context of each place, of CELL_BITS bits."""
+def pairs_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The byte before each place and the byte there, as one number."""
+    return data[places - 1].astype(np.int32) << 8 | data[places]
+
+
+def contexts(data: np.ndarray, places: np.ndarray) -> Iterator[np.ndarray]:
+    """For each input a hash of the context of each place."""
     before = np.ndarray((len(data) - GAP + 1,), "<u8", data, strides=(1,))[places - GAP]
-    out = []
-    for k, order in enumerate(ORDERS):
-        tail = before >> np.uint64(8 * (8 - order))
-        out.append(((tail + np.uint64(k + 1)) * np.uint64(SEEDS[0]) >> np.uint64(64 - CELL_BITS)).astype(np.uint32))
+    tail = lambda order: mixed((before >> np.uint64(8 * (8 - order))) + np.uint64(order << 56))
+    for order in ORDERS:
+        yield tail(order)
     begins = np.maximum.accumulate(np.where(IS_BLANK[data] | (data == 0), np.arange(1, len(data) + 1), 0))
-    out.append((SpanHashes(data)(np.minimum(begins[places - 1], places), places) >> np.uint64(64 - CELL_BITS)).astype(np.uint32))
-    return out
+    spans = SpanHashes(data)
+    start = np.minimum(begins[places - 1], places)
+    word = spans(start, places)
+    yield word
+    early = np.flatnonzero(places - start < BEGINNING)
+    out = tail(LATER)
+    last = start[early] - 1
+    out[early] = mixed(word[early] + np.uint64(SEEDS[1]) + np.uint64(3) * spans(np.minimum(begins[np.maximum(last - 1, 0)], last), last))
+    yield out
+
+
+def keys_of(data: np.ndarray, places: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """For each input a key of each place: so many bits of its context's hash, the byte before, and the byte."""
+    low = pairs_at(data, places).astype(np.uint64)
+    for hashes in contexts(data, places):
+        yield (hashes >> np.uint64(64 - bits)) << np.uint64(16) | low
 
 
 @dataclass
-class Decisions:
-    cells: list[np.ndarray]  #: for each input
-    bits: np.ndarray
-    first: np.ndarray  #: first decision of each text, and their number
-
-
-def decisions(data: np.ndarray, offsets: np.ndarray, code: Code) -> Decisions:
-    buffer, places, first = laid_out(data, offsets)
-    pairs = buffer[places - 1].astype(np.int32) << 8 | buffer[places]
-    lengths = code.lengths[pairs]
-    ends = np.cumsum(lengths)
-    of = np.repeat(np.arange(len(pairs), dtype=np.int32), lengths)
-    step = (code.first[pairs] - (ends - lengths)).astype(np.int32)[of]
-    step += np.arange(len(of), dtype=np.int32)
-    noise = code.noise[step]
-    cells = []
-    for c in contexts(buffer, places):
-        cell = c[of]
-        cell ^= noise
-        cells.append(cell)
-    return Decisions(cells, code.bits[step], np.concatenate([[0], ends])[first])
-
-
-def _stretched(counts: np.ndarray) -> np.ndarray:
-    """Summed counts, of bit 0 and bit 1 in turn, as stretched probabilities in steps around 128, in the even places."""
-    zero, one = counts[0::2].astype(float), counts[1::2].astype(float)
-    out = np.zeros(len(counts))
-    out[0::2] = np.clip(np.rint(STEPS * np.log((one + 0.4) / (zero + 0.4))), -127, 127) + 128
-    return out
+class Asked:
+    """Distinct keys of each input, all in ascending order, and for each input the entry of each place."""
+
+    keys: np.ndarray
+    entries: list[np.ndarray]
+
+    @classmethod
+    def of(cls, data: np.ndarray, places: np.ndarray, bits: int) -> Asked:
+        found, entries, sizes = [], [], [0]
+        for keys in keys_of(data, places, bits):
+            encoded = pa.array(keys.view(np.int64)).dictionary_encode()
+            entries.append(encoded.indices.to_numpy())
+            found.append(encoded.dictionary.to_numpy().view(np.uint64))
+            sizes.append(sizes[-1] + len(found[-1]))
+        every = np.concatenate(found)
+        order = np.argsort(every, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        return cls(every[order], [rank[a:b][e] for e, a, b in zip(entries, sizes, sizes[1:], strict=False)])
+
+    def counts(self, which: np.ndarray) -> np.ndarray:
+        """How often each key occurs at the places for which `which` is 1."""
+        return sum(np.bincount(e[which], minlength=len(self.keys)) for e in self.entries)
+
+
+def _stretched(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Counts of bit 0 and bit 1 as a stretched probability in steps."""
+    return np.clip(np.rint(STEPS * np.log((one + 0.4) / (zero + 0.4))), -127, 127).astype(np.int8)
+
+
+def said(code: Code, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first value of each key, and their number; what its context says of each decision that leads to its byte).
+
+    keys: distinct, ascending, all that are known of each context; counts: in the training texts.
+    """
+    starts, of, step = code.steps((keys & np.uint64(0xFFFF)).astype(np.int32))
+    context = np.cumsum(np.diff(keys >> np.uint64(8), prepend=np.uint64(0)) != 0)[of]  # with the byte before, whose code it is
+    place = context << 8 | code.nodes[step]
+    taken = counts[of]
+    order = np.argsort(place, kind="stable")
+    firsts = np.flatnonzero(np.diff(place[order], prepend=-1))
+    bit = code.bits[step][order].astype(bool)
+    sums = [np.add.reduceat(np.where(bit == b, taken[order], 0), firsts) if len(firsts) else np.zeros(0) for b in (False, True)]
+    values = np.empty(len(place), np.int8)
+    values[order] = np.repeat(_stretched(*sums), np.diff(np.append(firsts, len(place))))
+    return starts, values
 
 
 class Mixer:
-    """Codes texts with the given tables (input, cell), of stretched probabilities in steps around 128."""
-
-    def __init__(self, code: Code, tables: np.ndarray):
-        self.code, self.tables = code, (tables.astype(np.int16) - 128).astype(np.int8)
-
-    def log2(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log2 of the probability of each text."""
-        made = decisions(data, offsets, self.code)
-        sizes = np.diff(made.first)
-        segments = -(-sizes // SEGMENT)
-        text = np.repeat(np.arange(len(sizes)), segments)
-        part = np.arange(len(text)) - np.repeat(np.cumsum(segments) - segments, segments)
-        size = np.minimum(SEGMENT, sizes[text] - part * SEGMENT)
-        start = made.first[text] + part * SEGMENT
-        order = np.argsort(-size, kind="stable")
-        text, size, start = text[order], size[order], start[order]
-        blocks = -(-size // BLOCK)
-        inputs = np.zeros((len(made.bits) + BLOCK, 4), np.int8)  # of a decision: what each input says, and its bit
+    """Codes texts; keeps nothing between them."""
+
+    def __init__(self, code: Code):
+        self.code = code
+
+    def log2(self, pairs: np.ndarray, first: np.ndarray, entries: list[np.ndarray], starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """log2 of the probability of each text, whose places begin at `first`.
+
+        entries: for each input the key of each place; starts: first of a key's values.
+        """
+        decided, of, step = self.code.steps(pairs)
+        inside = step - self.code.first[pairs].astype(np.int32)[of]
+        inputs = np.zeros((len(of) + BLOCKS[-1][1], 8), np.int8)  # of a decision: what each input says, and its bit
         for k in range(INPUTS):
-            inputs[: len(made.bits), k] = self.tables[k][made.cells[k]]
-        inputs[: len(made.bits), 3] = made.bits
-        packed = inputs.view(np.int32)[:, 0]
-        inside = np.arange(BLOCK)
+            at = starts[entries[k]].astype(np.int32)[of]
+            at += inside
+            inputs[: len(of), k] = values[at]
+        inputs[: len(of), 7] = self.code.bits[step]
+        packed = inputs.view(np.int64)[:, 0]
+        begin, size = decided[first[:-1]], np.diff(decided[first])
+        order = np.argsort(-size, kind="stable")
+        begin, size = begin[order], size[order]
         weights = np.full((len(size), INPUTS, GATES), START, np.float32)
         knots = np.linspace(-8, 8, CURVE, dtype=np.float32)
         curve = np.tile(1 / (1 + np.exp(-knots)), len(size)).astype(np.float32)
         bits_of = np.zeros(len(size))
-        for s in range(int(blocks.max(initial=0))):
-            n = int(np.searchsorted(-blocks, -s))  # segments that have a block s
-            lane = np.arange(n)[:, None]
-            said = packed[(start[:n] + s * BLOCK)[:, None] + inside].view(np.int8).reshape(n, BLOCK, 4)
-            live = (inside + s * BLOCK < size[:n, None]).astype(np.float32)
-            sure = np.abs(said[:, :, INPUTS - 1]) >= SURE
-            bit = said[:, :, 3].astype(np.float32)
-            x = said[:, :, :INPUTS] * np.float32(1 / STEPS)
+        at, longest = 0, int(size[0]) if len(size) else 0
+        while at < longest:
+            block = next(b for end, b in BLOCKS if at < end)
+            n = int(np.searchsorted(-size, -at))  # texts that are longer
+            told = packed[(begin[:n] + at)[:, None] + np.arange(block)].view(np.int8).reshape(n, block, 8)
+            live = (np.arange(at, at + block) < size[:n, None]).astype(np.float32)
+            bit = told[:, :, 7].astype(np.float32)
+            sure = np.abs(told[:, :, INPUTS - 1]) >= SURE
+            x = told[:, :, :INPUTS] * np.float32(1 / STEPS)
             both = x @ weights[:n]  # for each gate
             z = np.clip(np.where(sure, both[:, :, 1], both[:, :, 0]), -7.99, 7.99)
             p = 1 / (1 + np.exp(-z))
-            point = lane * CURVE + np.rint((z + 8) * np.float32((CURVE - 1) / 16)).astype(np.int32)
+            point = np.arange(n)[:, None] * CURVE + np.rint((z + 8) * np.float32((CURVE - 1) / 16)).astype(np.int32)
             seen = curve[point]
             final = (p + seen) * np.float32(0.5)
-            cost = np.log2(np.abs(1 - bit - final)) * live
-            bits_of[:n] += cost.sum(1, dtype=np.float64)
-            error = (bit - p) * live
-            gated = np.stack([error * ~sure, error * sure], 2) * np.float32(RATE * STEPS)
-            weights[:n] += x.transpose(0, 2, 1) @ gated
-            np.add.at(curve, point, np.float32(REFINE_RATE) * (bit - seen) * live)
+            bits_of[:n] += (np.log2(np.abs(1 - bit - final)) * live).sum(1, dtype=np.float64)
+            error = (bit - p) * live * np.float32(RATE * STEPS)
+            weights[:n] += x.transpose(0, 2, 1) @ np.stack([error * ~sure, error * sure], 2)
+            curve[: n * CURVE] += np.bincount(point.ravel(), (np.float32(REFINE_RATE) * (bit - seen) * live).ravel(), n * CURVE).astype(np.float32)
             np.clip(curve[: n * CURVE], 1e-4, 1 - 1e-4, out=curve[: n * CURVE])
-        return np.bincount(text, bits_of, len(sizes))
+            at += block
+        out = np.zeros(len(size))
+        out[order] = bits_of
+        return out
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,45 +277,119 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.array(c.astype(np.int64)) for c in columns)], ["kind", "key", "n"])
 
 
-def train(texts: DataFrame, code: Code) -> Mixer:
-    """Counts the decisions of all texts (one column) in their contexts."""
+def _squeezed(data: bytes) -> bytes:
+    """Compressed, after its size."""
+    return len(data).to_bytes(4, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _spread(data: bytes) -> bytes:
+    return pa.decompress(data[4:], int.from_bytes(data[:4], "little"), "zstd", asbytes=True)
+
+
+def _packed(rel: np.ndarray, low: np.ndarray, counts: np.ndarray) -> bytes:
+    """Entries in ascending order as compressed planes of bytes: gaps between contexts, both bytes, counts."""
+    gaps = np.diff(rel, prepend=np.uint64(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    many = counts.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    planes = np.concatenate([gaps, low.astype("<u2").view(np.uint8).reshape(-1, 2).T, many])
+    return _squeezed(planes.tobytes())
 
-    def cells(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        data, offsets = text_bytes(batch.column(0))
-        for a, b in slices(data, offsets, 1 << 20):
-            made = decisions(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], code)
-            for k in range(INPUTS):
-                yield k, (made.cells[k] << np.uint32(1)) | made.bits
 
-    return Mixer(code, tally(texts, cells, INPUTS, CELL_BITS + 1, _stretched)[:, 0::2])
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(keys within the shard, counts)."""
+    planes = np.frombuffer(_spread(blob), np.uint8).reshape(10, -1)
+    number = lambda part, kind: np.ascontiguousarray(part.T).view(kind)[:, 0].astype(np.uint64)
+    rel = np.cumsum(number(planes[:4], "<u4"))
+    return rel << np.uint64(16) | number(planes[4:6], "<u2"), number(planes[6:], "<u4")
 
 
-def _scored(mixer: Mixer, keys: np.ndarray, counts: np.ndarray, end_count: int):
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of rows (doc_id, text, held_out), each as one compressed value."""
+    number = TaskContext.get().partitionId() << 20
+    for batch in batches:
+        for a, b in slices(*text_bytes(batch.column(1)), SLICE_BYTES):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(batch.slice(a, b - a))
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["slice", "texts"])
+            number += 1
+
+
+def _read(unit: bytes) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(the slice's rows, bytes and offsets of their texts, and these laid out: bytes, places) and the first place of each text."""
+    table = pa.ipc.open_stream(unit).read_all().combine_chunks()
+    data, offsets = text_bytes(table.column("text"))
+    return table, data, offsets, *laid_out(data, offsets)
+
+
+def _asked(bits: int, shard_bits: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, unit in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                table, _, _, buffer, places, first = _read(unit.as_buffer())
+                asked = Asked.of(buffer, places, bits)
+                counts = asked.counts(np.repeat(~np.array(table.column("held_out")), np.diff(first)))
+                context = asked.keys >> np.uint64(16)
+                shard, inner = context >> np.uint64(bits - shard_bits), np.uint64((1 << (bits - shard_bits)) - 1)
+                starts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1])
+                rows = []
+                for s, a, b in zip(shard[starts].tolist(), starts, [*starts[1:], len(shard)], strict=True):
+                    rows.append((s, number, _packed(context[a:b] & inner, asked.keys[a:b] & np.uint64(0xFFFF), counts[a:b])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "slice", "entries"])
+
+    return ask
+
+
+def _told(code: Code):
+    def tell(group: pa.Table) -> pa.Table:
+        parts = [_unpacked(e.as_py()) for e in group.column("entries")]
+        ends = np.cumsum([len(k) for k, _ in parts])
+        keys, of = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        starts, values = said(code, keys, np.bincount(of, np.concatenate([c for _, c in parts])))
+        lengths = np.diff(starts)
+        out = []
+        for own in np.split(of, ends[:-1]):
+            n = lengths[own]
+            at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out.append(_squeezed(values[at].tobytes()))
+        return pa.table({"slice": group.column("slice"), "shard": group.column("shard"), "said": pa.array(out, pa.binary())})
+
+    return tell
+
+
+def _scored(code: Code, bits: int, keys: np.ndarray, counts: np.ndarray, end_count: int):
     """keys, counts: frequent tokens in ascending order of key; the keys of other words go along for the join."""
     worth = np.log10(counts + 0.5)
     end_worth = float(np.log10(end_count + 0.5))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            for a, b in slices(data, offsets, 1 << 20):
-                part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                found, first = _tokens(part, at)
-                text = np.repeat(np.arange(b - a), np.diff(first))
-                place = np.minimum(np.searchsorted(keys, found), max(0, len(keys) - 1))
-                hit = keys[place] == found if len(keys) else np.zeros(len(found), bool)
-                known = np.bincount(text[hit], minlength=b - a) + (end_count > 0)
-                base = np.bincount(text[hit], worth[place[hit]], b - a) + end_worth
-                rare = np.concatenate([[0], np.cumsum(np.bincount(text[~hit], minlength=b - a))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(row, row + b - a)), *(batch.column(c).slice(a, b - a) for c in (0, 2)), pa.array(np.diff(first) + 1), pa.array(known.astype(np.int64)), pa.array(base),
-                        pa.ListArray.from_arrays(pa.array(rare), pa.array(found[~hit])), pa.array(mixer.log2(part, at)), pa.array(np.diff(at)),
-                    ],
-                    SCORED_NAMES,
-                )
-                row += b - a
+    mixer = Mixer(code)
+
+    def score(units: pa.Table, told: pa.Table) -> pa.Table:
+        number = units.column("slice")[0].as_py()
+        table, data, offsets, buffer, places, first = _read(units.column("texts")[0].as_buffer())
+        asked = Asked.of(buffer, places, bits)
+        pairs = pairs_at(buffer, places)
+        starts = np.zeros(len(asked.keys) + 1, np.int64)
+        np.cumsum(code.lengths[(asked.keys & np.uint64(0xFFFF)).astype(np.int32)], out=starts[1:])
+        values = np.concatenate([np.frombuffer(_spread(v.as_py()), np.int8) for v in told.sort_by("shard").column("said")])
+        out = []
+        for a, b in slices(data, offsets, PART_BYTES):
+            low, high = int(first[a]), int(first[b])
+            log2 = mixer.log2(pairs[low:high], first[a : b + 1] - low, [e[low:high] for e in asked.entries], starts, values)
+            at = offsets[a : b + 1] - offsets[a]
+            found, words = _tokens(data[offsets[a] : offsets[b]], at)
+            text = np.repeat(np.arange(b - a), np.diff(words))
+            place = np.minimum(np.searchsorted(keys, found), max(0, len(keys) - 1))
+            hit = keys[place] == found if len(keys) else np.zeros(len(found), bool)
+            known = np.bincount(text[hit], minlength=b - a) + (end_count > 0)
+            base = np.bincount(text[hit], worth[place[hit]], b - a) + end_worth
+            rare = np.concatenate([[0], np.cumsum(np.bincount(text[~hit], minlength=b - a))]).astype(np.int32)
+            out.append(pa.table(
+                [
+                    pa.array((number << 14) + np.arange(a, b)), *(table.column(c).slice(a, b - a) for c in ("doc_id", "held_out")), pa.array(np.diff(words) + 1), pa.array(known.astype(np.int64)), pa.array(base),
+                    pa.ListArray.from_arrays(pa.array(rare), pa.array(found[~hit])), pa.array(log2), pa.array(np.diff(at)),
+                ],
+                SCORED_NAMES,
+            ))
+        return pa.concat_tables(out)
 
     return score
 
@@ -289,9 +419,16 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         letters[r.key] = r.n
     ends = tokens.filter(F.col("key") == END_KEY).first()
     common = tokens.filter(F.col("key") != END_KEY).orderBy(F.desc("n"), "key").limit(frequent).toArrow().sort_by("key")
-    mixer = train(taught, Code.of(letters.reshape(256, 256)))
-    score = _scored(mixer, common.column("key").to_numpy(), common.column("n").to_numpy(), ends.n if ends else 0)
-    held = stage(chosen.select("doc_id", "text", "held_out").mapInArrow(score, SCORED), "scored")
+    code = Code.of(letters.reshape(256, 256))
+    rows, size = chosen.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    bits = SPARE_BITS + (rows + size + SHARD_BYTES).bit_length()
+    shard_bits = max(0, bits - SPARE_BITS - SHARD_BYTES.bit_length())
+    units = stage(chosen.mapInArrow(_units, UNITS), "slices")
+    told = stage(units.df.mapInArrow(_asked(bits, shard_bits), ASKED).groupBy("shard").applyInArrow(_told(code), TOLD), "told")
+    score = _scored(code, bits, common.column("key").to_numpy(), common.column("n").to_numpy(), ends.n if ends else 0)
+    held = stage(units.df.groupBy("slice").cogroup(told.df.groupBy("slice")).applyInArrow(score, SCORED), "scored")
+    units.drop()
+    told.drop()
     rare = held.df.select("row", F.explode("rare").alias("key")).join(tokens, "key", "left")
     rest = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.count("n").alias("more_known"))
     joined = held.df.drop("rare").join(rest, "row", "left")

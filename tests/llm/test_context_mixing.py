@@ -8,17 +8,76 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from colloquy.llm import context_mixing as cm
-from colloquy.llm.context_mixing import Code, Mixer, decisions, laid_out, score_texts
+from colloquy.llm.context_mixing import Asked, Code, Mixer, laid_out, pairs_at, said, score_texts
 from colloquy.llm.lexing import text_bytes
 
 
-def trained(texts):
-    data, offsets = text_bytes(pa.array(texts, pa.string()))
-    buffer, places, _ = laid_out(data, offsets)
-    code = Code.of(np.bincount(buffer[places - 1].astype(np.int64) << 8 | buffer[places], minlength=1 << 16).reshape(256, 256))
-    made = decisions(data, offsets, code)
-    tables = [cm._stretched(np.bincount(c.astype(np.int64) << 1 | made.bits, minlength=2 << cm.CELL_BITS).astype(np.uint64))[0::2] for c in made.cells]
-    return Mixer(code, np.stack(tables).astype(np.uint8))
+class Trained:
+    """Code and counts of texts; what `score_texts` does with tables, in one process."""
+
+    def __init__(self, texts, bits=40):
+        data, offsets = text_bytes(pa.array(texts, pa.string()))
+        buffer, places, _ = laid_out(data, offsets)
+        self.code = Code.of(np.bincount(pairs_at(buffer, places), minlength=1 << 16).reshape(256, 256))
+        self.bits, self.asked = bits, Asked.of(buffer, places, bits)
+        self.counts = self.asked.counts(np.ones(len(places), bool))
+
+    def log2(self, data, offsets):
+        buffer, places, first = laid_out(data, offsets)
+        asked = Asked.of(buffer, places, self.bits)
+        keys = np.union1d(asked.keys, self.asked.keys)
+        counts = np.zeros(len(keys), np.int64)
+        counts[np.searchsorted(keys, self.asked.keys)] = self.counts
+        starts, values = said(self.code, keys, counts)
+        return Mixer(self.code).log2(pairs_at(buffer, places), first, asked.entries, starts[np.searchsorted(keys, asked.keys)], values)
+
+
+trained = Trained
+
+
+def twin_places(text):
+    """(contexts of each input, byte before, byte) at each place of a text, from its bytes alone."""
+    b = bytes(8) + (text or "").encode() + b"\xff"
+    blank = lambda i: b[i] in b"\0 \t\n\x0b\x0c\r"
+    start = before = last = 8
+    for i in range(8, len(b)):
+        if i == 8 or blank(i - 1):
+            start, last = i, i - 1
+            before = last
+            while before > 0 and not blank(before - 1):
+                before -= 1
+        word = b[start:i]
+        deep = ("after", b[before:last], word) if i - start < 3 else ("five", b[i - 5 : i])
+        yield [("three", b[i - 3 : i]), ("four", b[i - 4 : i]), ("word", word), deep], b[i - 1], b[i]
+
+
+def twin_log2(code, texts, text):
+    """One decision after another; counts are looked up by the contexts themselves."""
+    path = lambda before, byte: [(int(code.nodes[s]), int(code.bits[s])) for k in [before << 8 | byte] for s in range(code.first[k], code.first[k] + code.lengths[k])]
+    counts = Counter()
+    for t in texts:
+        for contexts, before, byte in twin_places(t):
+            counts.update((c, before, node, bit) for c in contexts for node, bit in path(before, byte))
+    stretch = lambda c, before, node: max(-127, min(127, round(16 * math.log((counts[c, before, node, 1] + 0.4) / (counts[c, before, node, 0] + 0.4))))) / 16
+    decided = [([stretch(c, before, node) for c in contexts], bit) for contexts, before, byte in twin_places(text) for node, bit in path(before, byte)]
+    weights = [[cm.START] * 4 for _ in range(2)]
+    curve = [1 / (1 + math.exp(-(k / 2 - 8))) for k in range(33)]
+    total, at = 0.0, 0
+    while at < len(decided):
+        block = 16 if at < 256 else 64 if at < 4096 else 256
+        changes = []
+        for x, bit in decided[at : at + block]:
+            gate = int(abs(x[3]) >= 24 / 16)
+            z = max(-7.99, min(7.99, sum(a * b for a, b in zip(x, weights[gate], strict=True))))
+            p, k = 1 / (1 + math.exp(-z)), round((z + 8) * 2)
+            total += math.log2(abs(1 - bit - (p + curve[k]) / 2))
+            changes.append((gate, [cm.RATE * 16 * (bit - p) * a for a in x], k, cm.REFINE_RATE * (bit - curve[k])))
+        for gate, step, k, move in changes:
+            weights[gate] = [w + s for w, s in zip(weights[gate], step, strict=True)]
+            curve[k] += move
+        curve = [max(1e-4, min(1 - 1e-4, c)) for c in curve]
+        at += block
+    return total
 
 
 def corpus(n=300, seed=1):
@@ -70,3 +129,26 @@ def test_nothing_to_learn_from(spark):
     got = score_texts(frame, F.lit(True)).orderBy("doc_id").collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
     assert score_texts(frame.limit(0), F.lit(False)).count() == 0
+
+
+def test_against_one_decision_after_another():
+    rng = random.Random(6)
+    texts = corpus(25, seed=6)[:26] + ["a b a b\tc", "éa éb"]
+    model = trained(texts)
+    for text in [texts[3], texts[7], "", "abc  abc\n\nd", "unseen ~~~ words 12", " ".join(rng.choices("ab abc é d".split(), k=4000))]:  # the last has over 2**14 decisions
+        expected = twin_log2(model.code, texts, text)
+        got = model.log2(*text_bytes(pa.array([text])))[0]
+        assert abs(got - expected) < 1e-3 * abs(expected) + 1e-3, (text[:30], got, expected)
+
+
+def test_tables_give_what_one_process_gives(spark, monkeypatch):
+    """Slices and shards of a few hundred bytes, some texts not learnt from."""
+    monkeypatch.setattr(cm, "SLICE_BYTES", 600)
+    monkeypatch.setattr(cm, "PART_BYTES", 200)
+    monkeypatch.setattr(cm, "SHARD_BYTES", 1 << 10)
+    monkeypatch.setattr(cm, "SPARE_BITS", 20)  # the gaps of so small a corpus leave room for more bits
+    texts = corpus(60, seed=8)
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score_texts(frame, F.col("doc_id") % 5 == 1).collect()}
+    expected = trained([t for i, t in enumerate(texts) if i % 5 != 1]).log2(*text_bytes(pa.array(texts, pa.string()))) * math.log10(2)
+    assert len(got) == len(texts) and np.allclose([got[i] for i in range(len(texts))], expected, rtol=1e-4, atol=1e-3)
