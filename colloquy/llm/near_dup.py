@@ -36,11 +36,9 @@ from pyspark.sql import functions as F
 from .components import components
 from .lexing import SEEDS, SpanHashes, lower_ascii, mixed, slices, span_hash, split_words, text_bytes, windows
 from .storage import Staged, stage
-from .tallies import tally
 
 SHINGLE = 5
 BINS, BANDS = 120, 24
-CELL_BITS = 22
 DAMPING = 0.25
 WANTED_BITS = 23
 ID_BITS = 44  #: of a shingle inside a batch; the others number the batch's rows
@@ -83,10 +81,6 @@ def shingle_counts(column: pa.Array, size: int = SHINGLE) -> Iterator[tuple[int,
         yield a, b, (keys >> np.uint64(ID_BITS)).astype(np.int64), keys & _ID_MASK, counts, *whole
 
 
-def _cell(shingles: np.ndarray) -> np.ndarray:
-    return (shingles & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
-
-
 def _codes(documents: int, frequency: np.ndarray) -> np.ndarray:
     """Damped idf in hundredths, from 1 on: (1 + ln((documents + 1) / (frequency + 1))) ** DAMPING."""
     return np.clip(np.rint(100 * np.maximum(1, 1 + np.log((documents + 1) / (frequency + 1.0))) ** DAMPING), 100, 255).astype(np.uint8)
@@ -143,32 +137,9 @@ def _told(shards: int, documents: int):
     return tell
 
 
-def _worth(weights: Weights | pa.Array, a: int, b: int, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Weights of the shingles of rows a to b; `weights` may hold the codes of each row's shingles."""
-    if isinstance(weights, Weights):
-        return weights.of(shingles, counts)
-    return counts * (np.frombuffer(b"".join(weights.slice(a, b - a).to_pylist()), np.uint8) / 100.0)
-
-
-class Weights:
-    """For texts in memory, without counting every shingle: damped idf by hashed cell, in hundredths: (1 + ln((documents + 1) / (frequency + 1))) ** DAMPING, 1 at least."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-
-    @classmethod
-    def count(cls, docs: DataFrame) -> Weights:
-        """docs: one column of texts; all of them are counted."""
-        n = docs.count()
-
-        def cells(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-            for _, _, _, shingles, *_ in shingle_counts(batch.column(0)):
-                yield 0, _cell(shingles)
-
-        return cls(tally(docs, cells, 1, CELL_BITS, lambda c: _codes(n, c))[0])
-
-    def of(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return counts * (self.codes[_cell(shingles)] / 100.0)
+def _worth(codes: pa.Array, a: int, b: int, counts: np.ndarray) -> np.ndarray:
+    """Weights of the shingles of rows a to b; `codes` holds those of each row's shingles in order."""
+    return counts * (np.frombuffer(b"".join(codes.slice(a, b - a).to_pylist()), np.uint8) / 100.0)
 
 
 def icws(rows: np.ndarray, shingles: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
@@ -243,9 +214,8 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes)], ["key", "node"])
 
 
-def weighted_jaccard(left: pa.Array, right: pa.Array, weights: Weights | tuple[pa.Array, pa.Array]) -> np.ndarray:
-    """Of the texts in each row, 0 where one has no words.  weights: those of all shingles, or the codes of left and right."""
-    sides_of = (weights, weights) if isinstance(weights, Weights) else weights
+def weighted_jaccard(left: pa.Array, right: pa.Array, left_codes: pa.Array, right_codes: pa.Array) -> np.ndarray:
+    """Of the texts in each row, 0 where one has no words; the codes are weights in hundredths, in order of shingle."""
     out = np.zeros(len(left))
     size = np.maximum(1, np.maximum(np.diff(text_bytes(left)[1]), np.diff(text_bytes(right)[1])))
     at = 0
@@ -253,11 +223,11 @@ def weighted_jaccard(left: pa.Array, right: pa.Array, weights: Weights | tuple[p
     while at < len(left):
         end = max(at + 1, int(np.searchsorted(total, total[at] + (1 << 20), "right")) - 1)
         sides = []
-        for column, known in zip((left, right), sides_of, strict=True):
+        for column, known in ((left, left_codes), (right, right_codes)):
             keys, worth = [], []
             for a, b, rows, shingles, counts, *_ in shingle_counts(column.slice(at, end - at)):
                 keys.append(((rows + a).astype(np.uint64) << np.uint64(ID_BITS)) | shingles)
-                worth.append(_worth(known, at + a, at + b, shingles, counts))
+                worth.append(_worth(known, at + a, at + b, counts))
             sides.append((np.concatenate(keys), np.concatenate(worth)))
         (ka, wa), (kb, wb) = sides
         _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
@@ -277,7 +247,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = pa.array(weighted_jaccard(batch.column(2), batch.column(3), (batch.column(4), batch.column(5))) >= threshold)
+            alike = pa.array(weighted_jaccard(*(batch.column(k) for k in (2, 3, 4, 5))) >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(alike), batch.column(1).filter(alike)], ["a", "b"])
 
     return with_b.mapInArrow(check, "a long, b long")
@@ -287,7 +257,7 @@ def _cell_links(threshold: float):
     """Links between a bucket's members of block i outside its main component and all members of block j."""
 
     def entries(texts: pa.Array, codes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = [(rows + a, shingles, _worth(codes, a, b, shingles, counts)) for a, b, rows, shingles, counts, *_ in shingle_counts(texts)]
+        found = [(rows + a, shingles, _worth(codes, a, b, counts)) for a, b, rows, shingles, counts, *_ in shingle_counts(texts)]
         return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0))
 
     def link(group: pa.Table) -> pa.Table:
@@ -384,7 +354,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents are linked if their weighted Jaccard similarity is at least
     `threshold` and they share a band.  Rows that share an id count as one
     document.  A text that is null or has no word is a class of its own, as is
-    a row with a null id (class null).  An empty table gives an empty one.
+    a row with a null id (class null).  Texts are compared whole, however long;
+    equal texts are always of one class.  Of documents that are equally good
+    the least doc_id stands for the class.  An empty table gives an empty one.
     """
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = signed_documents(chosen)

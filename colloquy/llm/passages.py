@@ -7,7 +7,7 @@ Probes and blocks travel as 30-bit hashes, dealt by further hash bits to shards
 of one size, with their places in 16 bits: six bytes a word.  A slice sends a
 hash once, however often it has it, and keeps the other places in its directory,
 so that a shard gets a very common window once a slice.  The hits are then
-extended: every window of 13 words around one is looked up by a 64-bit hash, and
+extended: every window of 13 words around one is looked up by 95 bits of hash, and
 runs of windows that a document with a smaller id has too are the maximal exact
 repeats.  Counts of a window are combined before the shuffle, so a passage in
 very many documents is a few rows.  Copies of a whole text are found by a hash of
@@ -138,8 +138,13 @@ def _spots(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids[long]), pa.array(texts[long, 0]), pa.array(texts[long, 1]), pa.array(spots, pa.binary())], ["doc_id", "k1", "k2", "spots"])
 
 
+def _more(hashes: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """31 further bits of hash of the windows that begin at `first`."""
+    return (span_hash(hashes, first, first + size, SEEDS[1]) >> np.uint64(33)).astype(np.int32)
+
+
 def _candidates(window: int, block: int):
-    """(doc_id, start, hash) of every window of a document that holds a hit."""
+    """(doc_id, start, hash, more of the hash) of every window of a document that holds a hit."""
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,8 +160,9 @@ def _candidates(window: int, block: int):
                 first, found = windows(hashes, words.offsets, window)
                 held = near[first + window - block + 1] > near[first]
                 first, found = first[held], found[held]
+                more = _more(hashes, first, window)
                 document = np.searchsorted(words.offsets, first, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a + document]), pa.array((first - words.offsets[document]).astype(np.int32)), pa.array(found.view(np.int64))], ["doc_id", "start", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a + document]), pa.array((first - words.offsets[document]).astype(np.int32)), pa.array(found.view(np.int64)), pa.array(more)], ["doc_id", "start", "hash", "more"])
 
     return candidates
 
@@ -230,9 +236,9 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         long.df.filter(F.octet_length("spots") > 0).join(copies.df, ["doc_id", "k1", "k2"], "left_anti")
         .groupBy("doc_id").agg(F.collect_list("spots").alias("spots"))
     )
-    found = stage(chosen.join(spots.hint("shuffle_hash"), "doc_id").mapInArrow(_candidates(window, block), "doc_id long, start int, hash long"), "windows")
-    firsts = found.df.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("hash", "owner")
-    repeated = found.df.join(firsts, "hash").filter("doc_id > owner").groupBy("doc_id").agg(F.collect_list(F.struct("start", "hash")).alias("__repeats"))
+    found = stage(chosen.join(spots.hint("shuffle_hash"), "doc_id").mapInArrow(_candidates(window, block), "doc_id long, start int, hash long, more int"), "windows")
+    firsts = found.df.groupBy("hash", "more").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("hash", "more", "owner")
+    repeated = found.df.join(firsts, ["hash", "more"]).filter("doc_id > owner").groupBy("doc_id").agg(F.collect_list(F.struct("start", "hash")).alias("__repeats"))
     whole = copies.df.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("__copies"))
     marked = stage(repeated.join(whole, "doc_id", "full").select(F.col("doc_id").alias("__id"), "__repeats", "__copies"), "repeats")
     for s in (long, copies, found):

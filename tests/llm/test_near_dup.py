@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 from collections import Counter
 
@@ -6,7 +8,7 @@ import pyarrow as pa
 
 from colloquy.llm import near_dup
 from colloquy.llm.components import components
-from colloquy.llm.near_dup import BINS, Weights, drop_near_duplicates, icws, near_duplicates, shingle_counts
+from colloquy.llm.near_dup import BINS, drop_near_duplicates, icws, near_duplicates
 
 
 def union_find(pairs, nodes):
@@ -54,27 +56,24 @@ def corpus(seed=4):
 
 
 def brute_force(docs, threshold=0.8):
-    n = len(docs)
-    cells = Counter()
-    for _, t in docs:
-        for _, _, _, found, *_ in shingle_counts(pa.array([t], pa.string())):
-            cells.update(near_dup._cell(found).tolist())
-    frequency = np.array([cells.get(i, 0) for i in range(1 << near_dup.CELL_BITS)])
-    codes = np.rint(100 * np.maximum(1, 1 + np.log((n + 1) / (frequency + 1.0))) ** 0.25).astype(np.uint8)
-    weights = Weights(codes)
-    texts = pa.array([t for _, t in docs], pa.string())
+    """Classes by the weighted Jaccard similarity of all pairs of multisets of shingles; weights as documented, from plain counts."""
+    bags = {i: shingles(t) for i, (_, t) in enumerate(docs)}
+    frequency = Counter(s for bag in bags.values() for s in bag)
+    worth = {s: round(100 * max(1.0, 1 + math.log((len(docs) + 1) / (f + 1))) ** 0.25) / 100 for s, f in frequency.items()}
+    size = {i: sum(n * worth[s] for s, n in bag.items()) for i, bag in bags.items()}
     pairs = []
-    for i in range(n):
-        one = pa.array([docs[i][1]] * n, pa.string())
-        pairs += [(docs[i][0], docs[j][0]) for j in np.flatnonzero(near_dup.weighted_jaccard(one, texts, weights) >= threshold) if j != i]
-    return union_find(pairs, [d for d, _ in docs]), weights
+    for i, j in itertools.combinations(bags, 2):
+        small, large = sorted((i, j), key=lambda k: len(bags[k]))
+        both = sum(min(n, bags[large][s]) * worth[s] for s, n in bags[small].items() if s in bags[large])
+        if both and both >= threshold * (size[i] + size[j] - both) - 1e-9:
+            pairs.append((docs[i][0], docs[j][0]))
+    return union_find(pairs, [d for d, _ in docs])
 
 
 def test_against_all_pairs(spark):
     docs = corpus()
-    expected, weights = brute_force(docs)
+    expected = brute_force(docs)
     frame = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, class_id string")
-    assert (Weights.count(frame.select("text")).codes == weights.codes).all()
     rows = near_duplicates(frame).collect()
     assert {r.doc_id: r.class_id for r in rows} == expected and len(rows) == len(docs)
     kept = drop_near_duplicates(frame)
@@ -85,15 +84,15 @@ def test_buckets_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 3)
     docs = corpus(6)
     rows = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.class_id for r in rows} == brute_force(docs)[0]
+    assert {r.doc_id: r.class_id for r in rows} == brute_force(docs)
 
 
 def test_weighted_jaccard_is_that_of_multisets():
-    weights = Weights(np.full(1 << near_dup.CELL_BITS, 100, np.uint8))
     left, right = "a b c d e f a b c d e f", "a b c d e f g a b c d e"
     a, b = shingles(left), shingles(right)
     expected = sum((a & b).values()) / sum((a | b).values())
-    assert np.allclose(near_dup.weighted_jaccard(pa.array([left, "", None]), pa.array([right, "", "x"]), weights), [expected, 0, 0])
+    plain = lambda *texts: pa.array([bytes([100]) * len(shingles(t)) for t in texts], pa.binary())
+    assert np.allclose(near_dup.weighted_jaccard(pa.array([left, "", None]), pa.array([right, "", "x"]), plain(left, "", None), plain(right, "", "x")), [expected, 0, 0])
 
 
 def test_samples_agree_as_often_as_texts_are_alike():
@@ -121,7 +120,6 @@ def test_rows_without_ids_and_shared_ids(spark):
 
 
 def test_weights_are_of_exact_frequencies(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "CELL_BITS", 1)  # in so few cells all shingles would weigh the same, and the pair be 0.78 alike
     monkeypatch.setattr(near_dup, "SHARD_BYTES", 20_000)
     run = lambda name, n: [f"{name}{k}" for k in range(n)]
     base, ends = run("base", 124), [run("x", 17), run("y", 17)]
@@ -135,3 +133,13 @@ def test_weights_are_of_exact_frequencies(spark, monkeypatch):
         expected = near_dup._codes(len(docs), np.array([frequency[s] for s in shingles(r.text)]))
         assert sorted(r.codes) == sorted(expected.tolist())
     assert {r.doc_id: r.class_id for r in near_duplicates(frame).collect()} == {d: 0 if d == 1 else d for d, _ in docs}
+
+
+def test_long_texts_are_compared_whole(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150_000)]
+    other = base[:40_000] + [f"v{rng.randrange(5000)}" for _ in range(110_000)]  # alike at the beginning only
+    near = base[:-2000] + ["x"] * 2000
+    docs = [(3, " ".join(base)), (4, " ".join(other)), (5, " ".join(near)), (6, " ".join(base)), (7, "short text of six words only")]
+    rows = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {3: 3, 4: 4, 5: 3, 6: 3, 7: 7}

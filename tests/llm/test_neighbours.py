@@ -53,6 +53,20 @@ def test_traversal_is_in_order_of_summed_distance():
         assert set(np.flatnonzero(seen)) == set(order[:n].tolist())
 
 
+def test_rows_that_share_an_id(spark):
+    """Each row is a candidate of its own; the rows of a query id are ranked together, and none is its own neighbour."""
+    frame = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [0.1, 1.0])], "vec_id long, embedding array<float>")
+    got = [(r.rank, r.vec_id) for r in nearest(frame, F.col("vec_id") == 0, k=3).orderBy("rank").collect()]
+    assert got == [(1, 1), (2, 1), (3, 2)]
+
+
+def test_codebooks_grow_with_the_rows(spark):
+    rng = np.random.default_rng(4)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 4)))], "vec_id long, embedding array<double>")
+    few, many = ({(r.query_id, r.vec_id) for r in nearest(frame, F.col("vec_id") % 50 == 0, centroids=c, sample=500).collect()} for c in (32, 60))
+    assert len(few & many) > 0.9 * len(few)
+
+
 def test_few_and_no_vectors(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = nearest(frame, F.col("vec_id") == 0).collect()

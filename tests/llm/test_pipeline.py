@@ -55,7 +55,7 @@ def test_stages_against_brute_force(spark, sf_dir):
             expected = {d: t for d, t, _, _ in line_twin(list(held.items()), 20, 3)}
             assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
         elif name == "near_dedup":
-            classes, _ = near_twin(list(held.items()))
+            classes = near_twin(list(held.items()))
             expected = {d: t for d, t in held.items() if classes[d] == d}
         else:
             expected = {d: t for d, t in held.items() if found_in(item, t) is None}
