@@ -45,7 +45,7 @@ INPUTS = len(ORDERS) + 2
 BEGINNING, LATER = 3, 5  #: bytes of a word that the word before it helps to predict; order of the context after them
 END = 0xFF  #: a byte that no UTF-8 text has ends every text
 GAP = 8
-BLOCKS = ((1 << 8, 16), (1 << 12, 64), (1 << 62, 256))  #: decisions of a block, up to a place in the text
+BLOCKS = ((1 << 8, 32), (1 << 12, 128), (1 << 62, 512))  #: decisions of a block, up to a place in the text
 STEPS = 16.0  #: of the stretched domain, for one byte from -8 to 8
 GATES = 2
 SURE = 24  #: steps from which on a context counts as sure
@@ -53,8 +53,8 @@ RATE, REFINE_RATE = 0.0005, 0.02
 START = 0.3  #: weight of each input at first
 CURVE = 33  #: points of the refinement
 END_KEY = 1  #: in the counts of tokens, the end of a text; words have other keys
-SLICE_BYTES, PART_BYTES = 6 << 20, 1 << 20  #: of text that asks together, and that is coded together
-SHARD_BYTES = 16 << 20  #: of text that a shard has the contexts of
+SLICE_BYTES, PART_BYTES = 10 << 20, 1 << 20  #: of text that asks together, and that is coded together
+SHARD_BYTES = 8 << 20  #: of text that a shard has the contexts of
 SPARE_BITS = 6  #: of hash for each byte of the corpus
 UNITS = "slice long, texts binary"
 ASKED = "shard long, slice long, entries binary"
@@ -155,7 +155,7 @@ def keys_of(data: np.ndarray, places: np.ndarray, bits: int) -> Iterator[np.ndar
 
 @dataclass
 class Asked:
-    """Distinct keys of each input, all in ascending order, and for each input the entry of each place."""
+    """Distinct keys of each input, and for each input the entry of each place."""
 
     keys: np.ndarray
     entries: list[np.ndarray]
@@ -168,17 +168,42 @@ class Asked:
             entries.append(encoded.indices.to_numpy())
             found.append(encoded.dictionary.to_numpy().view(np.uint64))
             sizes.append(sizes[-1] + len(found[-1]))
-        every = np.concatenate(found)
-        order = np.argsort(every, kind="stable")
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
-        return cls(every[order], [rank[a:b][e] for e, a, b in zip(entries, sizes, sizes[1:], strict=False)])
+        return cls(np.concatenate(found), [e + np.int32(a) for e, a in zip(entries, sizes, strict=False)])
 
     def counts(self, which: np.ndarray) -> np.ndarray:
         """How often each key occurs at the places for which `which` is 1."""
         return sum(np.bincount(e[which], minlength=len(self.keys)) for e in self.entries)
 
 
+def _merged(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values in ascending order, the place there of each value)."""
+    every = np.concatenate(runs)
+    order = np.argsort(every)
+    every = every[order]
+    fresh = np.ones(len(every), bool)
+    fresh[1:] = every[1:] != every[:-1]
+    place = np.empty(len(every), np.int32)
+    place[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return every[fresh], place
+
+
+@dataclass
+class Part:
+    """Texts a to b of a slice, laid out, and what they ask."""
+
+    a: int
+    b: int
+    pairs: np.ndarray
+    first: np.ndarray
+    asked: Asked
+
+
+def _parts(data: np.ndarray, offsets: np.ndarray, bits: int) -> Iterator[Part]:
+    for a, b in slices(data, offsets, PART_BYTES):
+        buffer, places, first = laid_out(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        yield Part(a, b, pairs_at(buffer, places), first, Asked.of(buffer, places, bits))
+
+
 def _stretched(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     """Counts of bit 0 and bit 1 as a stretched probability in steps."""
     return np.clip(np.rint(STEPS * np.log((one + 0.4) / (zero + 0.4))), -127, 127).astype(np.int8)
@@ -233,21 +258,34 @@ class Mixer:
         while at < longest:
             block = next(b for end, b in BLOCKS if at < end)
             n = int(np.searchsorted(-size, -at))  # texts that are longer
-            told = packed[(begin[:n] + at)[:, None] + np.arange(block)].view(np.int8).reshape(n, block, 8)
-            live = (np.arange(at, at + block) < size[:n, None]).astype(np.float32)
+            told = np.lib.stride_tricks.sliding_window_view(packed, block)[begin[:n] + at].view(np.int8).reshape(n, block, 8)
+            live = np.arange(at, at + block) < size[:n, None]
             bit = told[:, :, 7].astype(np.float32)
             sure = np.abs(told[:, :, INPUTS - 1]) >= SURE
             x = told[:, :, :INPUTS] * np.float32(1 / STEPS)
             both = x @ weights[:n]  # for each gate
-            z = np.clip(np.where(sure, both[:, :, 1], both[:, :, 0]), -7.99, 7.99)
-            p = 1 / (1 + np.exp(-z))
-            point = np.arange(n)[:, None] * CURVE + np.rint((z + 8) * np.float32((CURVE - 1) / 16)).astype(np.int32)
+            z = np.where(sure, both[:, :, 1], both[:, :, 0])
+            np.clip(z, -7.99, 7.99, out=z)
+            point = np.rint((z + 8) * np.float32((CURVE - 1) / 16)).astype(np.int32)
+            point += np.arange(0, n * CURVE, CURVE, dtype=np.int32)[:, None]
+            np.negative(z, out=z)
+            np.exp(z, out=z)
+            z += 1
+            p = np.reciprocal(z, out=z)
             seen = curve[point]
             final = (p + seen) * np.float32(0.5)
-            bits_of[:n] += (np.log2(np.abs(1 - bit - final)) * live).sum(1, dtype=np.float64)
-            error = (bit - p) * live * np.float32(RATE * STEPS)
-            weights[:n] += x.transpose(0, 2, 1) @ np.stack([error * ~sure, error * sure], 2)
-            curve[: n * CURVE] += np.bincount(point.ravel(), (np.float32(REFINE_RATE) * (bit - seen) * live).ravel(), n * CURVE).astype(np.float32)
+            np.abs(1 - bit - final, out=final)
+            bits_of[:n] += np.log2(final, out=final).sum(1, dtype=np.float64, where=live)
+            error = bit - p
+            error *= np.float32(RATE * STEPS)
+            error *= live
+            gated = np.empty((n, block, GATES), np.float32)
+            np.multiply(error, sure, out=gated[:, :, 1])
+            np.subtract(error, gated[:, :, 1], out=gated[:, :, 0])
+            weights[:n] += x.transpose(0, 2, 1) @ gated
+            bit -= seen
+            bit *= live
+            curve[: n * CURVE] += np.float32(REFINE_RATE) * np.bincount(point.ravel(), bit.ravel(), n * CURVE).astype(np.float32)
             np.clip(curve[: n * CURVE], 1e-4, 1 - 1e-4, out=curve[: n * CURVE])
             at += block
         out = np.zeros(len(size))
@@ -297,9 +335,10 @@ def _packed(rel: np.ndarray, low: np.ndarray, counts: np.ndarray) -> bytes:
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(keys within the shard, counts)."""
     planes = np.frombuffer(_spread(blob), np.uint8).reshape(10, -1)
-    number = lambda part, kind: np.ascontiguousarray(part.T).view(kind)[:, 0].astype(np.uint64)
-    rel = np.cumsum(number(planes[:4], "<u4"))
-    return rel << np.uint64(16) | number(planes[4:6], "<u2"), number(planes[6:], "<u4")
+    number = lambda part, kind: np.ascontiguousarray(part.T).view(kind)[:, 0]
+    keys = np.cumsum(number(planes[:4], "<u4"), dtype=np.uint64) << np.uint64(16)
+    keys |= number(planes[4:6], "<u2")
+    return keys, number(planes[6:], "<u4")
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,26 +353,30 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number += 1
 
 
-def _read(unit: bytes) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(the slice's rows, bytes and offsets of their texts, and these laid out: bytes, places) and the first place of each text."""
+def _read(unit: pa.Buffer) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(the slice's rows, bytes and offsets of their texts)."""
     table = pa.ipc.open_stream(unit).read_all().combine_chunks()
-    data, offsets = text_bytes(table.column("text"))
-    return table, data, offsets, *laid_out(data, offsets)
+    return table, *text_bytes(table.column("text"))
 
 
 def _asked(bits: int, shard_bits: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, unit in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                table, _, _, buffer, places, first = _read(unit.as_buffer())
-                asked = Asked.of(buffer, places, bits)
-                counts = asked.counts(np.repeat(~np.array(table.column("held_out")), np.diff(first)))
-                context = asked.keys >> np.uint64(16)
+                table, data, offsets = _read(unit.as_buffer())
+                taught = ~np.array(table.column("held_out"))
+                runs, counts = [], []
+                for part in _parts(data, offsets, bits):
+                    runs.append(part.asked.keys)
+                    counts.append(part.asked.counts(np.repeat(taught[part.a : part.b], np.diff(part.first))))
+                keys, place = _merged(runs)
+                counts = np.bincount(place, np.concatenate(counts), len(keys))
+                context = keys >> np.uint64(16)
                 shard, inner = context >> np.uint64(bits - shard_bits), np.uint64((1 << (bits - shard_bits)) - 1)
                 starts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1])
                 rows = []
                 for s, a, b in zip(shard[starts].tolist(), starts, [*starts[1:], len(shard)], strict=True):
-                    rows.append((s, number, _packed(context[a:b] & inner, asked.keys[a:b] & np.uint64(0xFFFF), counts[a:b])))
+                    rows.append((s, number, _packed(context[a:b] & inner, keys[a:b] & np.uint64(0xFFFF), counts[a:b])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "slice", "entries"])
 
     return ask
@@ -343,7 +386,7 @@ def _told(code: Code):
     def tell(group: pa.Table) -> pa.Table:
         parts = [_unpacked(e.as_py()) for e in group.column("entries")]
         ends = np.cumsum([len(k) for k, _ in parts])
-        keys, of = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        keys, of = _merged([k for k, _ in parts])
         starts, values = said(code, keys, np.bincount(of, np.concatenate([c for _, c in parts])))
         lengths = np.diff(starts)
         out = []
@@ -364,16 +407,18 @@ def _scored(code: Code, bits: int, keys: np.ndarray, counts: np.ndarray, end_cou
 
     def score(units: pa.Table, told: pa.Table) -> pa.Table:
         number = units.column("slice")[0].as_py()
-        table, data, offsets, buffer, places, first = _read(units.column("texts")[0].as_buffer())
-        asked = Asked.of(buffer, places, bits)
-        pairs = pairs_at(buffer, places)
-        starts = np.zeros(len(asked.keys) + 1, np.int64)
-        np.cumsum(code.lengths[(asked.keys & np.uint64(0xFFFF)).astype(np.int32)], out=starts[1:])
+        table, data, offsets = _read(units.column("texts")[0].as_buffer())
+        parts = list(_parts(data, offsets, bits))
+        asked, places = _merged([part.asked.keys for part in parts])
+        starts = np.zeros(len(asked) + 1, np.int64)
+        np.cumsum(code.lengths[(asked & np.uint64(0xFFFF)).astype(np.int32)], out=starts[1:])
         values = np.concatenate([np.frombuffer(_spread(v.as_py()), np.int8) for v in told.sort_by("shard").column("said")])
-        out = []
-        for a, b in slices(data, offsets, PART_BYTES):
-            low, high = int(first[a]), int(first[b])
-            log2 = mixer.log2(pairs[low:high], first[a : b + 1] - low, [e[low:high] for e in asked.entries], starts, values)
+        out, seen = [], 0
+        for part in parts:
+            a, b = part.a, part.b
+            own = starts[places[seen : seen + len(part.asked.keys)]]
+            seen += len(part.asked.keys)
+            log2 = mixer.log2(part.pairs, part.first, part.asked.entries, own, values)
             at = offsets[a : b + 1] - offsets[a]
             found, words = _tokens(data[offsets[a] : offsets[b]], at)
             text = np.repeat(np.arange(b - a), np.diff(words))

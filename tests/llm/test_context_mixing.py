@@ -64,7 +64,7 @@ def twin_log2(code, texts, text):
     curve = [1 / (1 + math.exp(-(k / 2 - 8))) for k in range(33)]
     total, at = 0.0, 0
     while at < len(decided):
-        block = 16 if at < 256 else 64 if at < 4096 else 256
+        block = 32 if at < 256 else 128 if at < 4096 else 512
         changes = []
         for x, bit in decided[at : at + block]:
             gate = int(abs(x[3]) >= 24 / 16)
