@@ -267,3 +267,16 @@ def test_stream_state_equals_the_batch_form(spark):
     sf = "/root/testdata/sf0.001"
     stream = {(r.session_id, r.seq) for r in QUERIES["hot_context_stream"](spark, sf).collect()}
     assert stream == {(r.session_id, r.seq) for r in QUERIES["hot_context_last_n"](spark, sf).collect()}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Thing
+
+    from colloquy.sources.shared import shared_folder
+
+    session = lambda folder, master: Thing(conf=Thing(get=lambda key, default: folder), sparkContext=Thing(master=master))
+    assert shared_folder(session("hdfs://store/tmp/", "yarn")) == "hdfs://store/tmp"
+    assert shared_folder(session(None, "local[4]")).startswith("file://")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_folder(session(None, master))
