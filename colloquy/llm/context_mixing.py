@@ -2,9 +2,9 @@
 
 A text is coded as binary decisions, along Huffman codes of a byte after each
 byte, which take less than half as many as plain bits would.  Hashed contexts
-(the last 3 and 4 bytes, the word so far, and the word so far with the word
-before it or, further into a word, the last 5 bytes) each predict a decision
-from how often either way was taken there in all training texts; a logistic
+(the last 4 bytes, the word so far, and the last 6 bytes or, at the beginning of
+a word, the word before it) each predict a decision from how often either way
+was taken there in all training texts; a logistic
 mixer joins the predictions in the stretched domain.  Its weights are gated:
 which set is used depends on whether the longest context is sure.  While a
 text is coded the weights follow the gradient of its coding cost, from its
@@ -40,12 +40,12 @@ from pyspark.sql import functions as F
 from .lexing import IS_BLANK, SEEDS, SpanHashes, lower_ascii, mixed, slices, split_words, text_bytes
 from .storage import stage
 
-ORDERS = (3, 4)
+ORDERS = (4,)
 INPUTS = len(ORDERS) + 2
-BEGINNING, LATER = 3, 5  #: bytes of a word that the word before it helps to predict; order of the context after them
+BEGINNING, LATER = 1, 6  #: bytes of a word that the word before it helps to predict; order of the context after them
 END = 0xFF  #: a byte that no UTF-8 text has ends every text
 GAP = 8
-BLOCKS = ((1 << 8, 32), (1 << 12, 128), (1 << 62, 512))  #: decisions of a block, up to a place in the text
+BLOCKS = ((1 << 8, 16), (1 << 12, 64), (1 << 62, 256))  #: decisions of a block, up to a place in the text
 STEPS = 16.0  #: of the stretched domain, for one byte from -8 to 8
 GATES = 2
 SURE = 24  #: steps from which on a context counts as sure
@@ -54,6 +54,7 @@ START = 0.3  #: weight of each input at first
 CURVE = 33  #: points of the refinement
 END_KEY = 1  #: in the counts of tokens, the end of a text; words have other keys
 SLICE_BYTES, PART_BYTES = 10 << 20, 1 << 20  #: of text that asks together, and that is coded together
+SLICE_ROWS = 1 << 14  #: rows of a slice at most
 SHARD_BYTES = 8 << 20  #: of text that a shard has the contexts of
 SPARE_BITS = 6  #: of hash for each byte of the corpus
 UNITS = "slice long, texts binary"
@@ -240,13 +241,13 @@ class Mixer:
         """
         decided, of, step = self.code.steps(pairs)
         inside = step - self.code.first[pairs].astype(np.int32)[of]
-        inputs = np.zeros((len(of) + BLOCKS[-1][1], 8), np.int8)  # of a decision: what each input says, and its bit
+        inputs = np.zeros((len(of) + BLOCKS[-1][1], 4), np.int8)  # of a decision: what each input says, and its bit
         for k in range(INPUTS):
             at = starts[entries[k]].astype(np.int32)[of]
             at += inside
             inputs[: len(of), k] = values[at]
-        inputs[: len(of), 7] = self.code.bits[step]
-        packed = inputs.view(np.int64)[:, 0]
+        inputs[: len(of), 3] = self.code.bits[step]
+        packed = inputs.view(np.int32)[:, 0]
         begin, size = decided[first[:-1]], np.diff(decided[first])
         order = np.argsort(-size, kind="stable")
         begin, size = begin[order], size[order]
@@ -258,9 +259,9 @@ class Mixer:
         while at < longest:
             block = next(b for end, b in BLOCKS if at < end)
             n = int(np.searchsorted(-size, -at))  # texts that are longer
-            told = np.lib.stride_tricks.sliding_window_view(packed, block)[begin[:n] + at].view(np.int8).reshape(n, block, 8)
+            told = np.lib.stride_tricks.sliding_window_view(packed, block)[begin[:n] + at].view(np.int8).reshape(n, block, 4)
             live = np.arange(at, at + block) < size[:n, None]
-            bit = told[:, :, 7].astype(np.float32)
+            bit = told[:, :, 3].astype(np.float32)
             sure = np.abs(told[:, :, INPUTS - 1]) >= SURE
             x = told[:, :, :INPUTS] * np.float32(1 / STEPS)
             both = x @ weights[:n]  # for each gate
@@ -345,7 +346,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of rows (doc_id, text, held_out), each as one compressed value."""
     number = TaskContext.get().partitionId() << 20
     for batch in batches:
-        for a, b in slices(*text_bytes(batch.column(1)), SLICE_BYTES):
+        cuts = [(i, min(i + SLICE_ROWS, b)) for a, b in slices(*text_bytes(batch.column(1)), SLICE_BYTES) for i in range(a, b, SLICE_ROWS)]
+        for a, b in cuts:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
                 stream.write_batch(batch.slice(a, b - a))
@@ -429,7 +431,7 @@ def _scored(code: Code, bits: int, keys: np.ndarray, counts: np.ndarray, end_cou
             rare = np.concatenate([[0], np.cumsum(np.bincount(text[~hit], minlength=b - a))]).astype(np.int32)
             out.append(pa.table(
                 [
-                    pa.array((number << 14) + np.arange(a, b)), *(table.column(c).slice(a, b - a) for c in ("doc_id", "held_out")), pa.array(np.diff(words) + 1), pa.array(known.astype(np.int64)), pa.array(base),
+                    pa.array(number * SLICE_ROWS + np.arange(a, b)), *(table.column(c).slice(a, b - a) for c in ("doc_id", "held_out")), pa.array(np.diff(words) + 1), pa.array(known.astype(np.int64)), pa.array(base),
                     pa.ListArray.from_arrays(pa.array(rare), pa.array(found[~hit])), pa.array(log2), pa.array(np.diff(at)),
                 ],
                 SCORED_NAMES,
@@ -448,7 +450,8 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
 
     Rows for which held_out is not true are learnt from.  score: log10 of the
     model's probability of the whole text with its end; bits_per_byte: the same
-    in bits, a byte (the end counts as one).  base_score: of a unigram model of
+    in bits, a byte (the end counts as one).  Texts are read whole, however long;
+    rows with equal texts get equal scores.  base_score: of a unigram model of
     tokens, with add-half smoothing, over the same rows.  The `frequent` most
     frequent tokens go to every task, all others are joined.  A null text is
     an empty one; rows may share an id, and a null id is kept.  With no row to

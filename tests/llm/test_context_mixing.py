@@ -47,8 +47,8 @@ def twin_places(text):
             while before > 0 and not blank(before - 1):
                 before -= 1
         word = b[start:i]
-        deep = ("after", b[before:last], word) if i - start < 3 else ("five", b[i - 5 : i])
-        yield [("three", b[i - 3 : i]), ("four", b[i - 4 : i]), ("word", word), deep], b[i - 1], b[i]
+        deep = ("after", b[before:last], word) if i == start else ("six", b[i - 6 : i])
+        yield [("four", b[i - 4 : i]), ("word", word), deep], b[i - 1], b[i]
 
 
 def twin_log2(code, texts, text):
@@ -60,14 +60,14 @@ def twin_log2(code, texts, text):
             counts.update((c, before, node, bit) for c in contexts for node, bit in path(before, byte))
     stretch = lambda c, before, node: max(-127, min(127, round(16 * math.log((counts[c, before, node, 1] + 0.4) / (counts[c, before, node, 0] + 0.4))))) / 16
     decided = [([stretch(c, before, node) for c in contexts], bit) for contexts, before, byte in twin_places(text) for node, bit in path(before, byte)]
-    weights = [[cm.START] * 4 for _ in range(2)]
+    weights = [[cm.START] * 3 for _ in range(2)]
     curve = [1 / (1 + math.exp(-(k / 2 - 8))) for k in range(33)]
     total, at = 0.0, 0
     while at < len(decided):
-        block = 32 if at < 256 else 128 if at < 4096 else 512
+        block = 16 if at < 256 else 64 if at < 4096 else 256
         changes = []
         for x, bit in decided[at : at + block]:
-            gate = int(abs(x[3]) >= 24 / 16)
+            gate = int(abs(x[2]) >= 24 / 16)
             z = max(-7.99, min(7.99, sum(a * b for a, b in zip(x, weights[gate], strict=True))))
             p, k = 1 / (1 + math.exp(-z)), round((z + 8) * 2)
             total += math.log2(abs(1 - bit - (p + curve[k]) / 2))
