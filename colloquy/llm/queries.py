@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mixing, decontamination, langid, line_dedup, near_dup, neighbours, packing, passages, toxicity, url_filter
+from . import context_mixing, decontamination, divergence, langid, line_dedup, near_dup, neighbours, packing, passages, periodic, quality, toxicity, url_filter
 from .sampling import fold
 
 
@@ -148,6 +152,71 @@ def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), fold(F.col("doc_id"), 5) == 1)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH terms AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents)),
+groups AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+kept AS (SELECT lang, term FROM terms GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM groups g LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+own AS (
+  SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (t.total + 2 * s.v) AS p
+  FROM totals t JOIN kept k USING (lang) JOIN sizes s USING (lang) LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+whole AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 2) // (any_value(total) + 2 * any_value(v)) AS q
+  FROM own JOIN (SELECT lang, sum(total) AS total FROM totals GROUP BY lang) USING (lang) JOIN sizes USING (lang) GROUP BY lang, term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN own x ON x.lang = a.lang AND x.source = a.source LEFT JOIN own y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL),
+best AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM best)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def periodic_tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text): of documents whose crc32 ends in 0, the words from a place on become repeats of the first of them."""
+    for batch in batches:
+        ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+        for k, (doc_id, text) in enumerate(zip(ids, texts, strict=True)):
+            h = zlib.crc32(str(doc_id).encode())
+            if doc_id is None or h % 10 or not (words := (text or b"").split()):
+                continue
+            g, n = h // 10, len(words)
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            texts[k] = b" ".join([*words[:a], *(words[a : a + p] * -(-(n - a) // p))[: n - a]])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = periodic.collapse_runs(docs.mapInArrow(periodic_tails, "doc_id long, text string"))
+    first = F.sort_array(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"))))
+    best = F.get(first, F.lit(0))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n"))))
+    return found.select("doc_id", "runs", best.alias("best"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("collapsed_sha256")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.shorter")).alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * -best.shorter div best.period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), "collapsed_sha256",
+    )
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) == 1)
+    return quality.judge(docs, model).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 QUERIES = {
     "op1_context_mixing": op1_context_mixing,
     "op9_substring_dedup": op9_substring_dedup,
@@ -159,9 +228,13 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op8_packing": op8_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLES = {
     "op3_url_filter": OP3_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op11_source_divergence": OP11_SQL,
 }
