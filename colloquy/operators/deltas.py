@@ -72,13 +72,13 @@ def call_results(calls: DataFrame, results: DataFrame, tools: DataFrame) -> Data
 
 
 def tool_events(rows: DataFrame) -> DataFrame:
-    """(step, ord, type, call_id, tool_name, input, output): of each call its start and input, in order, then the outputs."""
+    """(step, phase, place, k, type, call_id, tool_name, input, output): phase 0 is of each call its start and input, phase 1 the outputs; in order of phase, place and k."""
     none = F.lit(None).cast("string")
-    event = lambda phase, type_, name, value, output: F.struct(
-        (F.lit(phase * 1_000_000) + F.col("place") * 2 + F.lit(int(type_ == "tool-input-available"))).cast("long").alias("ord"), F.lit(type_).alias("type"), F.col("call_id"), name.alias("tool_name"), value.alias("input"), output.alias("output")
+    event = lambda phase, k, type_, name, value, output: F.struct(
+        F.lit(phase).alias("phase"), F.col("place").cast("long").alias("place"), F.lit(k).alias("k"), F.lit(type_).alias("type"), F.col("call_id"), name.alias("tool_name"), value.alias("input"), output.alias("output")
     )
     made = F.array(
-        event(0, "tool-input-start", F.col("name"), none, none), event(0, "tool-input-available", F.col("name"), F.col("input"), none), event(1, "tool-output-available", none, none, F.col("output")),
+        event(0, 0, "tool-input-start", F.col("name"), none, none), event(0, 1, "tool-input-available", F.col("name"), F.col("input"), none), event(1, 0, "tool-output-available", none, none, F.col("output")),
     )
     return rows.select("step", F.explode(made).alias("e")).select("step", "e.*")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,22 +30,25 @@ def with_search_tokens(messages: DataFrame) -> DataFrame:
 
 
 def usage(messages: DataFrame, models: DataFrame) -> DataFrame:
-    """Billing rows: tokens of a session and model, with the model's name, type and ratio (3 and 1 where unknown); none for no tokens."""
-    tokens = messages.groupBy("session_id", "model_id").agg(F.sum(F.coalesce("token_count", F.lit(0))).alias("usage_tokens")).filter("usage_tokens > 0")
+    """Billing rows: tokens of a session's turn and model, with the model's name, type and ratio (3 and 1 where unknown); none for no tokens.
+
+    messages has a column turn, which says what each row was stored with.
+    """
+    tokens = messages.groupBy("session_id", "turn", "model_id").agg(F.sum(F.coalesce("token_count", F.lit(0))).alias("usage_tokens")).filter("usage_tokens > 0")
     named = tokens.join(models.select("model_id", "model_name", "type", "billing_ratio"), "model_id", "left")
     return named.withColumn("type", F.coalesce("type", F.lit(3))).withColumn("billing_ratio", F.coalesce("billing_ratio", F.lit(1)))
 
 
 def billing_events(billed: DataFrame, turns: DataFrame) -> DataFrame:
-    """Events for a message queue, as JSON: billed rows with the user, group, trace id and time of their session's turn.
+    """Events for a message queue, as JSON: billed rows with the user, group, trace id and time of their turn, so that each is sent once.
 
-    turns: (session_id, user_id, group_id, trace_id, requested_at).  Tokens are raw; the ratio is sent along, not multiplied.
+    turns: (session_id, turn, user_id, group_id, trace_id, requested_at), one row a turn.  Tokens are raw; the ratio is sent along, not multiplied.
     """
     value = F.struct(
         F.col("user_id").alias("userId"), F.col("group_id").alias("groupId"), F.col("usage_tokens").alias("usageTokens"), F.col("billing_ratio").alias("billingRatio"), F.col("trace_id").alias("traceId"),
         F.col("model_name").alias("modelName"), F.col("type").alias("modelType"), iso_time(F.col("requested_at")).alias("requestTime"),
     )
-    return billed.join(turns, "session_id").select("trace_id", F.to_json(value, {"ignoreNullFields": "false"}).alias("value"))
+    return billed.join(turns, ["session_id", "turn"]).select("trace_id", F.to_json(value, {"ignoreNullFields": "false"}).alias("value"))
 
 
 def updated_sessions(sessions: DataFrame, changes: DataFrame) -> DataFrame:
@@ -69,8 +75,9 @@ def without(rows: DataFrame, deletions: DataFrame, *keys: str) -> DataFrame:
 
 
 def upserted_skills(existing: DataFrame, bundles: DataFrame, by_number: bool = False) -> DataFrame:
-    """Skills after a seeding run: of each skill the last version in text order (or by its numbers) replaces what exists, and keeps created_at."""
-    order = F.transform(F.split("version", r"\."), lambda p: F.coalesce(F.try_to_number(p, F.lit("999999999")), F.lit(0))) if by_number else F.col("version")
+    """Skills after a seeding run: of each skill the last version in text order (or by its numbers, of any length) replaces what exists, and keeps created_at."""
+    digits = lambda p: F.when(F.rlike(p, F.lit("^[0-9]+$")), F.regexp_replace(p, "^0+", "")).otherwise("")
+    order = F.transform(F.split("version", r"\."), lambda p: F.struct(F.length(digits(p)).alias("n"), digits(p).alias("digits"))) if by_number else F.col("version")
     last = bundles.withColumn("__rank", F.row_number().over(Window.partitionBy("skill_id").orderBy(order.desc()))).filter("__rank = 1").select("skill_id", F.col("version").alias("__version"), F.col("at").alias("__at"))
     rows = existing.join(last, "skill_id", "full")
     return rows.select("skill_id", F.coalesce("__version", "version").alias("version"), F.coalesce("created_at", "__at").alias("created_at"), F.coalesce("__at", "updated_at").alias("updated_at"))
@@ -85,6 +92,7 @@ def prompt(messages: DataFrame, sessions: DataFrame, skills: DataFrame, queries:
     """Rows of each session's prompt in order (section, place): instructions with facts, summary, skills, history, states, query.
 
     queries: (session_id, query, facts, states); facts are remembered texts.
+    skills: (session_id, skills), an array of (skill_id, description), in order of preference.
     History is the kept window before the older rows unless `chronological`.
     """
     from .history import by_session, token_window
@@ -95,10 +103,11 @@ def prompt(messages: DataFrame, sessions: DataFrame, skills: DataFrame, queries:
     told = F.when(F.size(facts) > 0, F.concat(F.lit("\nKnown facts:"), F.array_join(facts, ""))).otherwise("")
     active = active_states(F.col("states"))
     shown = F.array_join(F.transform(active, lambda s: F.format_string("\n%s = %s", s["key"], s["value"])), "")
+    offered = F.array_join(F.transform("skills", lambda s: F.format_string('\n* "%s": %s', s["skill_id"], F.coalesce(s["description"], F.lit("")))), "")
     body = [
         queries.select("session_id", F.lit(0).alias("section"), F.lit(0).cast("long").alias("place"), F.lit("system").alias("role"), F.concat(F.lit("You are a helpful assistant."), told).alias("content")),
         sessions.filter("current_summary <> ''").select("session_id", F.lit(1), F.lit(0).cast("long"), F.lit("system"), F.concat(F.lit("Earlier: "), "current_summary")),
-        skills.select("session_id", F.lit(2), F.lit(0).cast("long"), F.lit("system"), F.concat(F.lit("Skills: "), F.array_join("names", ", "))),
+        skills.filter(F.size("skills") > 0).select("session_id", F.lit(2), F.lit(0).cast("long"), F.lit("system"), F.concat(F.lit("Skills that may help; load one by its id if it is needed:"), offered)),
         window.select("session_id", F.lit(3), rank.cast("long"), "role", "content"),
         queries.filter(F.size(active) > 0).select("session_id", F.lit(4), F.lit(0).cast("long"), F.lit("system"), F.concat(F.lit("State of the interface:"), shown)),
         queries.select("session_id", F.lit(5), F.lit(0).cast("long"), F.lit("user"), "query"),
@@ -117,9 +126,26 @@ def appended(rows: DataFrame, path: str) -> bool:
     return True
 
 
-def memory_rows(messages: DataFrame) -> DataFrame:
-    """What a turn adds to its user's long-term memory: role and content of each row."""
-    return messages.select("user_id", "role", "content")
+def memory_rows(messages: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+    """What a turn adds to its user's long-term memory: role and content of each row, and its embedding where a model is given.
+
+    embed gives a vector for each of a list of texts; a null content is embedded as ''.
+    """
+    rows = messages.select("user_id", "role", "content")
+    if embed is None:
+        return rows
+
+    def embedded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = embed([t or "" for t in batch.column(2).to_pylist()]) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float64()))], ["user_id", "role", "content", "embedding"])
+
+    return rows.mapInArrow(embedded, f"user_id {rows.schema['user_id'].dataType.simpleString()}, role string, content string, embedding array<double>")
+
+
+def remembered(memories: DataFrame, path: str, batch: int) -> None:
+    """Adds a batch of memories to a table of Parquet files; a batch that is written again replaces itself."""
+    memories.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
 
 
 def memory_items(memories: DataFrame) -> DataFrame:

@@ -137,8 +137,8 @@ def session_totals(sessions: DataFrame, size: int) -> DataFrame:
 
 def owned_sessions(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     """requests (request_id, session_id, user_id): code 200 and the title of the user's own session; 40001 for one that is missing or another's, alike."""
-    found = requests.join(sessions.select("session_id", "user_id", "title"), ["session_id", "user_id"], "left")
-    return found.select("request_id", F.when(F.col("title").isNull(), 40001).otherwise(200).alias("code"), "title")
+    found = requests.join(sessions.select("session_id", "user_id", "title", F.lit(True).alias("__owned")), ["session_id", "user_id"], "left")
+    return found.select("request_id", F.when(F.col("__owned"), 200).otherwise(40001).alias("code"), "title")
 
 
 def replaced(hot: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -34,12 +34,14 @@ def model_rows(models: DataFrame, default_id: int) -> DataFrame:
 def overlaid_tools(registered: DataFrame, runtime: DataFrame) -> DataFrame:
     """Registered tools and those found at run time; of a name the later one, a run-time tool always, with the place of the first.
 
-    Both: (seq, name, ...) of the same columns.
+    Both: (seq, name, ...) of the same columns.  The place is two columns, in
+    whose order tools go: place_late (1 where the name is of run-time tools
+    only) and place_seq.
     """
     both = registered.withColumn("__late", F.lit(0)).unionByName(runtime.withColumn("__late", F.lit(1)))
     own = Window.partitionBy("name")
-    ranked = both.withColumn("__rank", F.row_number().over(own.orderBy(F.desc("__late"), F.desc("seq")))).withColumn("place", F.min(F.struct("__late", "seq")).over(own))
-    return ranked.filter("__rank = 1").withColumn("place", F.col("place.__late") * F.lit(1 << 32) + F.col("place.seq")).drop("__rank", "__late")
+    ranked = both.withColumn("__rank", F.row_number().over(own.orderBy(F.desc("__late"), F.desc("seq")))).withColumn("__place", F.min(F.struct("__late", "seq")).over(own))
+    return ranked.filter("__rank = 1").withColumn("place_late", F.col("__place.__late")).withColumn("place_seq", F.col("__place.seq")).drop("__rank", "__late", "__place")
 
 
 def visible_tools(tools: DataFrame) -> DataFrame:
@@ -95,10 +97,11 @@ def pick_in_turn(instances: DataFrame, requests: DataFrame) -> DataFrame:
 def manifest_lookup(requests: DataFrame, manifests: DataFrame) -> DataFrame:
     """requests (request_id, skill_id, path) against manifests (skill_id, path, object_key): outcome ok, unknown_path or no_key, and a text that says so."""
     found = requests.join(manifests.withColumn("__known", F.lit(True)), ["skill_id", "path"], "left")
-    paths = manifests.groupBy("skill_id").agg(F.collect_set("path").alias("paths"))
+    paths = manifests.groupBy("skill_id").agg(F.collect_set("path").alias("paths"))  # goes to unknown paths only
     outcome = F.when(F.col("__known").isNull(), "unknown_path").when(F.coalesce("object_key", F.lit("")) == "", "no_key").otherwise("ok")
     said = F.when(outcome == "unknown_path", F.concat(F.lit("no such path; there are: "), listed(F.coalesce("paths", F.array().cast("array<string>"))))).when(outcome == "no_key", "the path has no object")
-    return found.join(paths, "skill_id", "left").select("request_id", outcome.alias("outcome"), F.when(outcome == "ok", F.col("object_key")).alias("object_key"), said.alias("message"))
+    asking = found.withColumn("__skill", F.when(F.col("__known").isNull(), F.col("skill_id"))).join(paths.withColumnRenamed("skill_id", "__skill"), "__skill", "left")
+    return asking.select("request_id", outcome.alias("outcome"), F.when(outcome == "ok", F.col("object_key")).alias("object_key"), said.alias("message"))
 
 
 def skill_by_id(skills: DataFrame, skill_id: str) -> DataFrame:

@@ -175,7 +175,7 @@ def skill_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH q AS (SELECT label AS user_id, min(vec_id) AS query_id FROM embeddings GROUP BY label), m AS (SELECT e.vec_id AS memory_id, q.query_id, e.embedding::DOUBLE[] AS a, v.embedding::DOUBLE[] AS b
  FROM embeddings e JOIN q ON q.user_id = e.label JOIN embeddings v ON v.vec_id = q.query_id),
-s AS (SELECT query_id, memory_id, round(list_sum(list_transform(list_zip(a, b), lambda x: x[1] * x[2])) / sqrt(list_sum(list_transform(a, lambda x: x * x)) * list_sum(list_transform(b, lambda x: x * x))), 9) AS score FROM m),
+s AS (SELECT query_id, memory_id, list_sum(list_transform(list_zip(a, b), lambda x: x[1] * x[2])) / sqrt(list_sum(list_transform(a, lambda x: x * x)) * list_sum(list_transform(b, lambda x: x * x))) AS score FROM m),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM s)
 SELECT query_id, rank, memory_id, round(score, 6) AS score FROM r WHERE rank <= 10 AND score >= 0.3""")
 def memory_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,20 +202,22 @@ def redact_ephemeral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.with_tokens(Z.redacted(S.agent_messages(spark, sf_dir))).select("session_id", "seq", "role", "content", "ephemeral", "token_count")
 
 
-@query(f"""WITH {AGENT}, {REDACTED}, {COUNTED}, {MODELS}, u AS (SELECT session_id, model_id, CAST(sum(token_count) AS BIGINT) AS usage_tokens FROM counted GROUP BY ALL HAVING sum(token_count) > 0)
-SELECT session_id, CAST(u.model_id AS INT) AS model_id, usage_tokens, model_name, coalesce(type, 3) AS type, coalesce(billing_ratio, 1) AS billing_ratio FROM u LEFT JOIN models m ON m.model_id = u.model_id""")
+@query(f"""WITH {AGENT}, {REDACTED}, {COUNTED}, {MODELS}, u AS (SELECT session_id, seq % 2 AS turn, model_id, CAST(sum(token_count) AS BIGINT) AS usage_tokens FROM counted GROUP BY ALL HAVING sum(token_count) > 0)
+SELECT session_id, turn, CAST(u.model_id AS INT) AS model_id, usage_tokens, model_name, coalesce(type, 3) AS type, coalesce(billing_ratio, 1) AS billing_ratio FROM u LEFT JOIN models m ON m.model_id = u.model_id""")
 def billing_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Z.usage(Z.with_tokens(Z.redacted(S.agent_messages(spark, sf_dir))), _models(spark))
+    """Every session has two turns: its even and its odd rows."""
+    stored = Z.with_tokens(Z.redacted(S.agent_messages(spark, sf_dir))).withColumn("turn", F.col("seq") % 2)
+    return Z.usage(stored, _models(spark)).select("session_id", "turn", "model_id", "usage_tokens", "model_name", "type", "billing_ratio")
 
 
-@query(f"""WITH {AGENT}, {REDACTED}, {COUNTED}, {MODELS}, u AS (SELECT session_id, model_id, CAST(sum(token_count) AS BIGINT) AS usage_tokens FROM counted GROUP BY ALL HAVING sum(token_count) > 0)
-SELECT 'trace' || session_id AS trace_id, '{{"userId":"u' || session_id || '","groupId":' || CASE WHEN CAST(session_id AS BIGINT) % 2 = 0 THEN '"g1"' ELSE 'null' END || ',"usageTokens":' || usage_tokens
- || ',"billingRatio":' || coalesce(billing_ratio, 1) || ',"traceId":"trace' || session_id || '","modelName":' || coalesce('"' || model_name || '"', 'null') || ',"modelType":' || coalesce(type, 3)
- || ',"requestTime":"2024-01-01T00:00:00"}}' AS value FROM u LEFT JOIN models m ON m.model_id = u.model_id""")
+@query(f"""WITH {AGENT}, {REDACTED}, {COUNTED}, {MODELS}, u AS (SELECT session_id, seq % 2 AS turn, model_id, CAST(sum(token_count) AS BIGINT) AS usage_tokens FROM counted GROUP BY ALL HAVING sum(token_count) > 0)
+SELECT 'trace' || session_id || '-' || turn AS trace_id, '{{"userId":"u' || session_id || '","groupId":' || CASE WHEN CAST(session_id AS BIGINT) % 2 = 0 THEN '"g1"' ELSE 'null' END || ',"usageTokens":' || usage_tokens
+ || ',"billingRatio":' || coalesce(billing_ratio, 1) || ',"traceId":"trace' || session_id || '-' || turn || '","modelName":' || coalesce('"' || model_name || '"', 'null') || ',"modelType":' || coalesce(type, 3)
+ || ',"requestTime":"2024-01-01T00:00:0' || turn || '"}}' AS value FROM u LEFT JOIN models m ON m.model_id = u.model_id""")
 def billing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("session_id")
-    turns = S.agent_messages(spark, sf_dir).select("session_id").distinct().select(
-        s, F.concat(F.lit("u"), s).alias("user_id"), F.when(s.cast("long") % 2 == 0, "g1").alias("group_id"), F.concat(F.lit("trace"), s).alias("trace_id"), F.timestamp_seconds(F.lit(S.EPOCH)).alias("requested_at")
+    s, turn = F.col("session_id"), F.col("turn")
+    turns = S.agent_messages(spark, sf_dir).select("session_id", (F.col("seq") % 2).alias("turn")).distinct().select(
+        s, turn, F.concat(F.lit("u"), s).alias("user_id"), F.when(s.cast("long") % 2 == 0, "g1").alias("group_id"), F.concat(F.lit("trace"), s, F.lit("-"), turn).alias("trace_id"), F.timestamp_seconds(F.lit(S.EPOCH) + turn).alias("requested_at")
     )
     return Z.billing_events(billing_usage(spark, sf_dir), turns)
 
@@ -370,24 +372,26 @@ def tool_call_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _call_rows(spark, sf_dir)
 
 
-@query(f"""WITH {CALLS} SELECT step, CAST(place * 2 AS BIGINT) AS ord, 'data: {{"type":"tool-input-start","toolCallId":"' || call_id || '","toolName":"' || name || '"}}' || chr(10) || chr(10) AS frame FROM called
-UNION ALL SELECT step, place * 2 + 1, 'data: {{"type":"tool-input-available","toolCallId":"' || call_id || '","toolName":"' || name || '","input":' || input || '}}' || chr(10) || chr(10) FROM called
-UNION ALL SELECT step, 1000000 + place * 2, 'data: {{"type":"tool-output-available","toolCallId":"' || call_id || '","output":"' || output || '"}}' || chr(10) || chr(10) FROM called""")
+@query(f"""WITH {CALLS} SELECT step, 0 AS phase, place, 0 AS k, 'data: {{"type":"tool-input-start","toolCallId":"' || call_id || '","toolName":"' || name || '"}}' || chr(10) || chr(10) AS frame FROM called
+UNION ALL SELECT step, 0, place, 1, 'data: {{"type":"tool-input-available","toolCallId":"' || call_id || '","toolName":"' || name || '","input":' || input || '}}' || chr(10) || chr(10) FROM called
+UNION ALL SELECT step, 1, place, 0, 'data: {{"type":"tool-output-available","toolCallId":"' || call_id || '","output":"' || output || '"}}' || chr(10) || chr(10) FROM called""")
 def tool_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = D.tool_events(_call_rows(spark, sf_dir))
-    return D.frames(events, ["ord"], events.select("step", F.lit("ok").alias("outcome"), F.lit(None).cast("string").alias("message")).distinct()).filter("part = 1").select("step", "ord", "frame")
+    return D.frames(events, ["phase", "place", "k"], events.select("step", F.lit("ok").alias("outcome"), F.lit(None).cast("string").alias("message")).distinct()).filter("part = 1").select("step", "phase", "place", "k", "frame")
 
 
 @query(f"""WITH {MESSAGES}, {SESSIONS}, w AS (SELECT *, sum(token_count) OVER (PARTITION BY session_id ORDER BY seq DESC ROWS UNBOUNDED PRECEDING) <= 150 AS kept FROM messages)
 SELECT session_id, 0 AS section, 0 AS place, 'system' AS role, 'You are a helpful assistant.' || CASE WHEN user_id = 3 THEN chr(10) || 'Known facts:' || chr(10) || '* likes tea' || chr(10) || '* is ' || session_id ELSE '' END AS content FROM sessions
 UNION ALL SELECT session_id, 1, 0, 'system', 'Earlier: ' || current_summary FROM sessions WHERE current_summary <> ''
-UNION ALL SELECT session_id, 2, 0, 'system', 'Skills: alpha, beta' FROM sessions WHERE user_id = 1
+UNION ALL SELECT session_id, 2, 0, 'system', 'Skills that may help; load one by its id if it is needed:' || chr(10) || '* "alpha": about ' || title || chr(10) || '* "beta": ' FROM sessions WHERE user_id = 1
 UNION ALL SELECT session_id, 3, row_number() OVER (PARTITION BY session_id ORDER BY kept DESC, seq), role, content FROM w
 UNION ALL SELECT session_id, 4, 0, 'system', 'State of the interface:' || chr(10) || 'page = ' || session_id FROM sessions WHERE user_id <> 2
 UNION ALL SELECT session_id, 5, 0, 'user', 'question ' || session_id FROM sessions""")
 def prompt_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions = _sessions(spark, sf_dir)
-    matched = sessions.filter("user_id = 1").select("session_id", F.array(F.lit("alpha"), F.lit("beta")).alias("names"))
+    skill = lambda skill_id, said: F.struct(F.lit(skill_id).alias("skill_id"), said.alias("description"))
+    both = F.array(skill("alpha", F.concat(F.lit("about "), "title")), skill("beta", F.lit(None).cast("string")))
+    matched = sessions.select("session_id", F.when(F.col("user_id") == 1, both).when(F.col("user_id") == 2, F.array().cast("array<struct<skill_id string, description string>>")).alias("skills"))
     state = lambda key, value, disabled: F.struct(F.lit(key).alias("key"), value.alias("value"), disabled.alias("disabled"))
     states = F.array(state("page", F.col("session_id"), F.col("user_id") == 2), state("none", F.lit(""), F.lit(None).cast("boolean")), state("off", F.lit("x"), F.lit(True)))
     facts = F.when(F.col("user_id") == 3, F.array(F.lit("likes tea"), F.concat(F.lit("is "), "session_id")))
@@ -473,9 +477,18 @@ DOCUMENTS = SKILLS + """, documents_ AS (SELECT skill_id, version, enabled, 'ski
  || upper(skill_id[1]) || skill_id[2:] || chr(10) || 'do it' || chr(10) || '--- end ---' || CASE WHEN skill_id = 'beta' THEN chr(10) || chr(10) || 'assets:' || chr(10) || '* references/a.md (reference, 7 bytes): notes' || chr(10) || '* x.txt (other, 0 bytes): ' ELSE '' END AS document FROM skills)"""
 
 
-@query(f"WITH {DOCUMENTS} SELECT skill_id, version, document FROM documents_ WHERE enabled")
+@query("""WITH a AS (SELECT l_partkey, string_agg('* references/' || l_orderkey || '-' || l_linenumber || '.md (reference, ' || CAST(l_quantity AS BIGINT) || ' bytes): ' || CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE '' END, chr(10) ORDER BY 'references/' || l_orderkey || '-' || l_linenumber || '.md') AS lines FROM lineitem GROUP BY ALL)
+SELECT 'p' || p_partkey AS skill_id, '1.' || p_size AS version, 'skill p' || p_partkey || ', version 1.' || p_size || chr(10) || 'name: ' || p_name || chr(10) || chr(10) || '--- body ---' || chr(10) || '# ' || p_brand || chr(10) || 'do it' || chr(10) || '--- end ---'
+ || coalesce(chr(10) || chr(10) || 'assets:' || chr(10) || lines, '') AS document FROM part LEFT JOIN a ON l_partkey = p_partkey""")
 def skill_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _skill_rows(spark).filter("enabled").select("skill_id", "version", X.skill_document().alias("document"))
+    """Parts as skills, their line items as assets."""
+    path = F.concat(F.lit("references/"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit(".md"))
+    asset = F.struct(path.alias("path"), X.asset_kind(path).alias("kind"), F.col("l_quantity").cast("long").alias("size_bytes"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).alias("description"))
+    assets = S.read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.array_sort(F.collect_list(asset)).alias("assets"))
+    skills = S.read(spark, sf_dir, "part").join(assets, "p_partkey", "left").select(
+        F.concat(F.lit("p"), "p_partkey").alias("skill_id"), F.concat(F.lit("1."), "p_size").alias("version"), F.col("p_name").alias("display_name"), F.format_string("# %s\ndo it", "p_brand").alias("skill_md"), "assets"
+    )
+    return skills.select("skill_id", "version", X.skill_document().alias("document"))
 
 
 @query(f"""WITH {DOCUMENTS}, q AS (SELECT event_id AS request_id, CASE event_id % 6 WHEN 0 THEN ' alpha ' WHEN 1 THEN 'gamma' WHEN 2 THEN 'lost' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE 'beta' END AS asked, event_id % 4 = 0 AS bare FROM events)
@@ -537,17 +550,19 @@ def search_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.answered(R.search_requests(S.messages(spark, sf_dir), requests), requests, 2, 400)
 
 
-@query(f"""WITH {MODELS} SELECT CAST(model_id AS INT) AS id, model_name AS name, type, billing_ratio AS ratio, CASE type WHEN 1 THEN 'standard' WHEN 2 THEN 'advanced' ELSE 'other' END AS kind, model_id = 1 AS is_default FROM models WHERE is_active""")
+@query("""SELECT p_partkey AS id, p_name AS name, p_size % 4 AS type, p_size AS ratio, CASE p_size % 4 WHEN 1 THEN 'standard' WHEN 2 THEN 'advanced' ELSE 'other' END AS kind, p_partkey = 1 AS is_default FROM part WHERE p_brand <> 'Brand#11'""")
 def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.model_rows(_models(spark), 1)
+    """Parts as models."""
+    models = S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("model_id"), F.col("p_name").alias("model_name"), (F.col("p_size") % 4).alias("type"), F.col("p_size").alias("billing_ratio"), (F.col("p_brand") != "Brand#11").alias("is_active"))
+    return G.model_rows(models, 1)
 
 
 @query("""WITH t AS (SELECT 't' || (p_partkey % 40) AS name, p_partkey AS seq, p_partkey % 6 = 0 AS late FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY late DESC, seq DESC) AS rank FROM t),
-f AS (SELECT name, min(CASE WHEN late THEN 4294967296 + seq ELSE seq END) AS place FROM t GROUP BY name) SELECT name, seq, place FROM r JOIN f USING (name) WHERE rank = 1""")
+f AS (SELECT name, CAST(min(late) AS INT) AS place_late, coalesce(min(seq) FILTER (WHERE NOT late), min(seq)) AS place_seq FROM t GROUP BY name) SELECT name, seq, place_late, place_seq FROM r JOIN f USING (name) WHERE rank = 1""")
 def overlaid_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     tools = S.read(spark, sf_dir, "part").select(key.alias("seq"), F.concat(F.lit("t"), key % 40).alias("name"))
-    return G.overlaid_tools(tools.filter("seq % 6 <> 0"), tools.filter("seq % 6 = 0")).select("name", "seq", "place")
+    return G.overlaid_tools(tools.filter("seq % 6 <> 0"), tools.filter("seq % 6 = 0")).select("name", "seq", "place_late", "place_seq")
 
 
 @query(f"""WITH {AGENT} SELECT session_id, seq, '{{"role":"' || role || '","content":' || CASE WHEN content IS NULL THEN 'null' ELSE '"' || content || '"' END || CASE WHEN calls THEN ',"n":2' ELSE '' END
@@ -595,3 +610,6 @@ def _memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memory_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = S.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), (F.col("o_custkey") + 20).alias("memory_id"), (F.col("o_orderkey") % 25).alias("user_id"))
     return Z.memory_deletions(requests, _memories(spark, sf_dir))
+
+
+from . import turn_queries  # noqa: E402,F401  registers its queries

@@ -26,3 +26,25 @@ def shared_folder(spark: SparkSession) -> str:
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="colloquy-")
     return _own_folder
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _file_system(spark, path)
+    return files.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder; one that isn't there is no error."""
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder."""
+    files, at = _file_system(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(at)]

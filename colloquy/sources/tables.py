@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,20 +73,61 @@ def read_assets(spark: SparkSession, root: str, requests: DataFrame, stored: Dat
     """requests (request_id, object_key): the bytes of `<root>/<skill>/<version>/<path>`, else those of stored (object_key, data).
 
     Keys that leave the skill's folder, or are none, are `bad_key`; what is in neither place is `not_found`.
+    Files are listed without their bytes; only those that a request names are read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     pattern = r"^.*?" + root.rstrip("/").rsplit("/", 1)[-1] + r"/([^/]+)/([^/]+)/(.+)$"
     part = lambda n: F.regexp_extract("path", pattern, n)
-    local = files.select(object_key(part(1), part(2), part(3)).alias("object_key"), F.col("content").alias("__local"))
     parsed = parsed_key(F.col("object_key"))
     good = parsed.isNotNull() & safe_path(parsed["path"]) & safe_path(parsed["skill_id"]) & safe_path(parsed["version"])
-    rows = requests.withColumn("__good", F.coalesce(good, F.lit(False))).join(local, "object_key", "left")
+    rows = requests.withColumn("__good", F.coalesce(good, F.lit(False)))
+    listed = files.select("path", object_key(part(1), part(2), part(3)).alias("object_key"))
+    wanted = listed.join(rows.filter("__good").select("object_key").distinct(), "object_key", "left_semi")
+    local = wanted.select("object_key", "path").mapInArrow(_contents, "object_key string, __local binary")
+    rows = rows.join(local, "object_key", "left")
     rows = rows.join(stored.select("object_key", F.col("data").alias("__stored")), "object_key", "left") if stored is not None else rows.withColumn("__stored", F.lit(None).cast("binary"))
     data = F.when(F.col("__good"), F.coalesce("__local", "__stored"))
     outcome = F.when(~F.col("__good"), "bad_key").when(data.isNull(), "not_found").when(F.col("__local").isNotNull(), "local").otherwise("stored")
     return rows.select("request_id", outcome.alias("outcome"), data.alias("data"))
 
 
+def _opened(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    return pa.fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if re.match("file:/[^/]", uri) else uri if "://" in uri else "file://" + uri)
+
+
+def write_assets(assets: DataFrame, root: str) -> int:
+    """Writes assets (object_key, data) as files `<root>/<skill>/<version>/<path>`; how many.  Keys that are none, or unsafe, are left out."""
+    parsed = parsed_key(F.col("object_key"))
+    good = parsed.isNotNull() & safe_path(parsed["path"]) & safe_path(parsed["skill_id"]) & safe_path(parsed["version"])
+    files = assets.filter(good).select(F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace("object_key", "^skills/", "")).alias("path"), "data")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, at = _opened(path)
+                store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(at) as stream:
+                    stream.write(data or b"")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return files.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(object_key, path) to (object_key, bytes), one file at a time; a file that has gone since it was listed is null."""
+    for batch in batches:
+        for key, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            try:
+                files, at = _opened(path)
+                with files.open_input_stream(at) as stream:
+                    data = stream.readall()
+            except FileNotFoundError:
+                data = None
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([data], pa.binary())], ["object_key", "__local"])
+
+
 def read_bundles(spark: SparkSession, root: str) -> DataFrame:
     """Files of skill bundles `<root>/<skill>/<version>/...` but SKILL.md: skill_id, version, path, kind, object_key, size_bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 STATE = "seq long, created_at timestamp, content string"
@@ -21,7 +22,7 @@ class RecentMessages(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getListState("recent", STATE, self.ttl_ms) if self.ttl_ms else handle.getListState("recent", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fresh = [(int(r.seq), r.created_at.to_pydatetime(), r.content) for frame in rows for r in frame.itertuples()]
         held = [(int(s), t, c) for s, t, c in self.recent.get()] if self.recent.exists() else []
         held = sorted(held + fresh, key=lambda r: (r[1], r[0]))[-self.size :]
@@ -41,6 +42,71 @@ def hot_context(stream: DataFrame, size: int = 50, ttl_ms: int | None = 86_400_0
     return stream.groupBy("session_id").transformWithStateInPandas(RecentMessages(size, ttl_ms), OUTPUT, "Update", "ProcessingTime" if ttl_ms else "None")
 
 
+class LiveContext(StatefulProcessor):
+    """Recent messages by event time: after `ttl` without a message a session's list is gone, and it starts again from its stored history.
+
+    Stored history is the session's oldest `limit` messages; those of before
+    the stream come as initial state.  A session that has none yet begins with
+    it too.
+    """
+
+    def __init__(self, size: int = 50, ttl_ms: int = 86_400_000, limit: int = 20):
+        self.size, self.ttl_ms, self.limit = size, ttl_ms, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.recent, self.stored = handle.getListState("recent", STATE), handle.getListState("stored", STATE)
+        self.last = handle.getValueState("last", "at long")
+
+    def _first(self, rows: list[tuple]) -> list[tuple]:
+        return sorted(rows, key=lambda r: (r[1], r[0]))[: self.limit]
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        old = [(int(s), t, c) for s, t, c in self.stored.get()] if self.stored.exists() else []
+        self.stored.put(self._first(old + [(int(r.seq), r.created_at.to_pydatetime(), r.content) for r in initialState.itertuples()]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = [(int(s), t, c) for s, t, c in self.recent.get()] if self.recent.exists() else []
+        stored = [(int(s), t, c) for s, t, c in self.stored.get()] if self.stored.exists() else []
+        last = self.last.get()[0] if self.last.exists() else None
+        fresh = sorted(((int(r.seq), r.created_at.to_pydatetime(), r.content) for frame in rows for r in frame.itertuples()), key=lambda r: (r[1], r[0]))
+        for row in fresh:
+            at = int(pd.Timestamp(row[1]).value // 1_000_000)
+            if last is None or at - last >= self.ttl_ms:
+                held = list(stored)
+            held = [*held, row][-self.size :]
+            stored = self._first([*stored, row]) if len(stored) < self.limit else stored
+            last = at if last is None else max(last, at)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last + self.ttl_ms)
+        self.recent.put(held)
+        self.stored.put(stored)
+        self.last.update((last,))
+        yield pd.DataFrame({"session_id": key[0], "seq": [r[0] for r in held], "created_at": [r[1] for r in held], "content": [r[2] for r in held], "n": len(held)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.recent.clear()
+        yield pd.DataFrame({"session_id": [key[0]], "seq": pd.array([None], "Int64"), "created_at": [pd.NaT], "content": [None], "n": [0]})
+
+    def close(self) -> None:
+        pass
+
+
+def live_context(stream: DataFrame, stored: DataFrame | None = None, size: int = 50, ttl_ms: int = 86_400_000, limit: int = 20) -> DataFrame:
+    """stream (session_id, seq, created_at, content), with a watermark on created_at, to the recent messages of the sessions that changed.
+
+    A session whose last message is `ttl_ms` or more before the watermark sends
+    one row with n = 0.  stored: messages of before, in the same columns, whose
+    oldest `limit` by session are given along as initial state.
+    """
+    if stored is not None:
+        first = Window.partitionBy("session_id").orderBy("created_at", "seq")
+        kept = stored.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= limit)
+        stored = kept.select("session_id", "seq", "created_at", "content").groupBy("session_id")
+    return stream.groupBy("session_id").transformWithStateInPandas(LiveContext(size, ttl_ms, limit), OUTPUT, "Update", "EventTime", stored)
+
+
 class LatestTable:
     """A view that every refresh replaces, unless it fails or brings no rows: then the last good one stays."""
 

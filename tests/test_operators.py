@@ -136,7 +136,7 @@ def test_prompt_order_holds_for_large_numbers(spark):
     messages = spark.createDataFrame(rows, "session_id string, seq long, role string, content string, token_count long")
     sessions = spark.createDataFrame([("s", None)], "session_id string, current_summary string")
     queries = spark.createDataFrame([("s", "q", None, [("k", "v", None), ("off", "v", True), ("none", "", False)])], "session_id string, query string, facts array<string>, states array<struct<key:string,value:string,disabled:boolean>>")
-    skills = spark.createDataFrame([], "session_id string, names array<string>")
+    skills = spark.createDataFrame([("s", [])], "session_id string, skills array<struct<skill_id:string,description:string>>")
     read = lambda **how: [r.content for r in finalize.prompt(messages, sessions, skills, queries, 100, **how).orderBy("section", "place").collect()]
     assert read()[1:] == ["new", "newest", "old", "State of the interface:\nk = v", "q"]
     assert read(chronological=True)[1:4] == ["old", "new", "newest"]
