@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lexing import IS_MARK, slices, text_bytes
+from .storage import stage
 
 KEY = 8  #: bytes of a piece's key
 FILTER_BITS = 21
@@ -185,14 +186,17 @@ def find_passages(
     """(doc_id, item_id, distance) for every item found in a document, with its least distance in bytes.
 
     Items under whole_words_below bytes after normalisation are contained in
-    longer words by chance and are searched for as whole words, blanks and all;
+    longer words by chance and are searched for with a blank on either side.
+    These blanks are bytes like others: an item of 13 bytes or more, whose
+    budget is an edit, may spend it on one of them.  An index of block_bytes is
+    in the driver and the tasks at a time; each block is a pass over docs.
     items with a null id or text, or without a letter or digit, are in no text.
     A null or empty document holds none; long texts are searched whole.  Rows
     that share a doc_id count as one document; of rows with an equal item id
     each text is searched for.  No items or no documents give no rows.
     """
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("distance", T.LongType())])
-    out = docs.sparkSession.createDataFrame([], schema)
+    out, held = docs.sparkSession.createDataFrame([], schema), None
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     for index in _blocks(items, item_col, item_text_col, error_rate, whole_words_below, block_bytes):
 
@@ -202,7 +206,10 @@ def find_passages(
                 ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array([f[k] for f in found], pa.int64()) for k in (1, 2))], schema.names)
 
-        out = out.unionByName(chosen.mapInArrow(search, schema))
+        if held is not None:  # of a block before: its rows are written before its index goes
+            out = out.unionByName(stage(held, "passages").df)
+        held = chosen.mapInArrow(search, schema)
+    out = out if held is None else out.unionByName(held)
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
@@ -210,8 +217,11 @@ def drop_contaminated(
     docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     error_rate: float = 0.08, whole_words_below: int = 25, block_bytes: int = 8 << 20,
 ) -> DataFrame:
-    """docs without the rows that hold an item, as find_passages finds them; one pass per block of items, no shuffle."""
-    out = docs
+    """docs without the rows that hold an item, as find_passages finds them; one pass per block of items, no shuffle.
+
+    Where there are several blocks the rows that are left are written after each.
+    """
+    out, written, before = docs, None, 0
     place = docs.columns.index(text_col)
     for index in _blocks(items, item_col, item_text_col, error_rate, whole_words_below, block_bytes):
 
@@ -221,5 +231,10 @@ def drop_contaminated(
                 clean[[row for row, _, _ in index.passages(batch.column(place))]] = False
                 yield batch.filter(pa.array(clean))
 
-        out = out.mapInArrow(keep, docs.schema)
+        if before:
+            last, written = written, stage(out, "uncontaminated")
+            out = written.df
+            if last:
+                last.drop()
+        out, before = out.mapInArrow(keep, docs.schema), before + 1
     return out

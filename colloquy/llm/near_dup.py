@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .lexing import SEEDS, SpanHashes, lower_ascii, mixed, slices, span_hash, split_words, text_bytes, windows
-from .storage import Staged, stage
+from .storage import Staged, free_name, stage
 
 SHINGLE = 5
 BINS, BANDS = 120, 24
@@ -108,10 +108,10 @@ def _asked(shards: int):
                     shard = (keys % np.uint64(shards)).astype(np.min_scalar_type(shards))
                     order = np.argsort(shard, kind="stable")
                     keys, counts = keys[order] // np.uint64(shards), counts[order].astype("<u4")
-                    ends = np.searchsorted(shard[order], np.arange(shards + 1))
+                    shard = shard[order]
+                    starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))  # of the shards that the slice has shingles of
                     parts = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
-                    used = np.flatnonzero(np.diff(ends))
-                    rows = [(int(s), int(slice_of[low]), parts[ends[s] : ends[s + 1]].tobytes(), counts[ends[s] : ends[s + 1]].tobytes()) for s in used]
+                    rows = [(int(shard[a]), int(slice_of[low]), parts[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(shard)], strict=True) if b > a]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "slice", "keys", "counts"])
 
     return ask
@@ -393,5 +393,6 @@ def _shared_ids(copies: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """docs without the documents that are not the least id of their class; rows with a null id stay."""
     classes = near_duplicates(docs, id_col, text_col, threshold)
-    gone = stage(classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone.df.hint("shuffle_hash"), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    name = free_name("__gone", docs)
+    gone = stage(classes.filter("doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(gone.df.hint("shuffle_hash"), docs[id_col].cast("long") == F.col(name), "left_anti")

@@ -3,7 +3,8 @@
 Tasks tokenize whole texts.  An overlong document is cut into full windows
 first, of which only place and checksum travel; what is left of each document
 is packed best-fit decreasing within groups of about `group_docs` documents,
-dealt by a hash of all that a piece is, so that an id on very many rows is split.  Where many pieces are over half a window, best fit
+dealt by a hash of all that a piece is and of how many equal rows its task had
+before, so that rows of one id and text are split too.  Where many pieces are over half a window, best fit
 alone leaves much slack, so the emptiest windows are then cut up to fill the
 slack of the fullest, down to `least_cut` tokens a window.  A group's padding
 doesn't depend on the size of the corpus.
@@ -29,7 +30,7 @@ CHUNKS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 CUT_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
 PACKED_NAMES = [*CUT_NAMES[:5], "sequence_id", "offset"]
-CUT_SCHEMA = PIECE_SCHEMA + ", ids binary"
+CUT_SCHEMA = PIECE_SCHEMA + ", ids binary, again long"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 
 
@@ -107,20 +108,22 @@ def _cut(tokenizer: str, end_id: int, window: int):
         if tokenizer not in _encoders:
             _encoders[tokenizer] = Encoder(tokenizer)
         encode = _encoders[tokenizer]
+        seen: dict[int, int] = {}  # rows so far by hash: equal rows are told apart by their number, in whatever order they come
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows: list[tuple] = []
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
+                texts, doc_ids = [t or "" for t in part.column(1).to_pylist()], part.column(0).to_pylist()
+                for doc_id, text, ids in zip(doc_ids, texts, encode(texts), strict=True):
+                    again = seen[hash((doc_id, text))] = seen.get(hash((doc_id, text)), -1) + 1
                     ids += end
                     n = len(ids) // 4
                     full = n - n % window
-                    rows += [(doc_id, i, window, zlib.crc32(ids[4 * i : 4 * (i + window)]), n, None) for i in range(0, full, window)]
+                    rows += [(doc_id, i, window, zlib.crc32(ids[4 * i : 4 * (i + window)]), n, None, again) for i in range(0, full, window)]
                     if n > full:
-                        rows.append((doc_id, full, n - full, None, n, ids[4 * full :]))
+                        rows.append((doc_id, full, n - full, None, n, ids[4 * full :], again))
                 columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())], CUT_NAMES)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary()), pa.array(columns[6], pa.int64())], [*CUT_NAMES, "again"])
 
     return pieces
 
@@ -241,5 +244,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     """
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_cut(tokenizer, end_id, window), CUT_SCHEMA)
     groups = max(1, -(-docs.count() // group_docs))
-    grouped = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens", "ids_crc32", "ids"), F.lit(groups)))
+    grouped = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens", "ids_crc32", "ids", "again"), F.lit(groups))).drop("again")
     return grouped.groupBy("__group").applyInArrow(_pack(window, least_cut), PACKED_SCHEMA)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lexing import SEEDS, SpanHashes, Words, slices, span_hash, split_words, text_bytes, windows
-from .storage import stage
+from .storage import free_name, stage
 
 SHARD_BYTES = 8 << 20  #: of text that a shard has the probes of
 PROBES = "shard long, slice long, hashes binary, places binary, highs binary, texts binary, again binary"
@@ -81,13 +81,13 @@ def _probes(shards: int, window: int, block: int):
                 place = np.sort(one)
                 place = place[np.argsort(shard[place], kind="stable")]
                 short = entry[place]
-                ends = np.searchsorted(shard[place], np.arange(shards + 1))
+                dealt = shard[place]
+                starts = np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1]]))  # only of the shards that the slice has windows of
                 rows = [(-1 - number, number, ids[a:b].astype("<i8").tobytes(), np.searchsorted(document, np.arange(b - a)).astype("<i8").tobytes(), (first - words.offsets[document]).astype("<u4").tobytes(), _whole(words, hashes).tobytes(), again.astype("<u4").tobytes())]
-                for s in range(shards):
-                    own = place[ends[s] : ends[s + 1]]
-                    if len(own):
-                        highs = np.searchsorted(own, np.arange(0, own[-1] + 1, 1 << 16)).astype("<u4")
-                        rows.append((s, number, short[ends[s] : ends[s + 1]].tobytes(), (own & 0xFFFF).astype("<u2").tobytes(), highs.tobytes(), None, None))
+                for low_end, high_end in zip(starts.tolist(), [*starts[1:].tolist(), len(place)], strict=True):
+                    own = place[low_end:high_end]
+                    highs = np.searchsorted(own, np.arange(0, own[-1] + 1, 1 << 16)).astype("<u4")
+                    rows.append((int(dealt[low_end]), number, short[low_end:high_end].tobytes(), (own & 0xFFFF).astype("<u2").tobytes(), highs.tobytes(), None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 5), strict=True)], ["shard", "slice", "hashes", "places", "highs", "texts", "again"])
                 number += 1
 
@@ -214,7 +214,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Removes the words covered by a window of 13 words that also starts in a document with a smaller id.
 
     Returns docs' columns, the text being the kept words joined by one blank,
-    with n_words and n_removed (input columns of these names are replaced).
+    with n_words and n_removed (input columns of these names are replaced; any other names are free).
     Words are runs of bytes outside `[\\x20\\x09-\\x0D]`, compared as they are.
     A null text stays null and has no words; rows with a null id are compared
     with nothing; rows that share an id are not compared with each other.  An
@@ -240,9 +240,10 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = found.df.groupBy("hash", "more").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("hash", "more", "owner")
     repeated = found.df.join(firsts, ["hash", "more"]).filter("doc_id > owner").groupBy("doc_id").agg(F.collect_list(F.struct("start", "hash")).alias("__repeats"))
     whole = copies.df.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("__copies"))
-    marked = stage(repeated.join(whole, "doc_id", "full").select(F.col("doc_id").alias("__id"), "__repeats", "__copies"), "repeats")
+    own, repeats, copied = (free_name(n, docs) for n in ("__id", "__repeats", "__copies"))
+    marked = stage(repeated.join(whole, "doc_id", "full").select(F.col("doc_id").alias(own), F.col("__repeats").alias(repeats), F.col("__copies").alias(copied)), "repeats")
     for s in (long, copies, found):
         s.drop()
-    joined = docs.join(marked.df.hint("shuffle_hash"), docs[id_col].cast("long") == F.col("__id"), "left").select(*docs.columns, "__id", "__repeats", "__copies")
+    joined = docs.join(marked.df.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col(own), "left").select(*docs.columns, own, repeats, copied)
     schema = T.StructType([*docs.withColumn(text_col, F.col(text_col).cast("string")).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     return joined.mapInArrow(_rewritten(schema.names, docs.columns.index(text_col), window), schema)

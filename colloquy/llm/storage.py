@@ -48,10 +48,40 @@ class Staged:
     def drop(self) -> None:
         if self in _live:
             _live.remove(self)
+        self._forget()
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
+    def _forget(self) -> None:
+        """What there is besides the files."""
+
+
+class Bucketed(Staged):
+    """A staged table in `buckets` files by hash of a key, sorted in each: joins and sums by the key read it without a shuffle."""
+
+    def __init__(self, df: DataFrame, label: str, key: str, buckets: int):
+        self.spark = df.sparkSession
+        self.name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(self.spark)}/{self.name}"
+        _live.append(self)
+        with _shuffles_removed(self.spark):
+            df.write.option("compression", "zstd").option("path", self.path).bucketBy(buckets, key).sortBy(key).saveAsTable(self.name)
+        self.df = self.spark.table(self.name)
+        #: The rows without their buckets, for unions, which aren't to be taken for bucketed.
+        self.plain = self.spark.read.schema(self.df.schema).parquet(self.path)
+
+    def _forget(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def free_name(base: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while base in taken:
+        base += "_"
+    return base
+
 
 def stage(df: DataFrame, label: str) -> Staged:
     return Staged(df, label)

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from .lexing import IS_MARK, SpanHashes, slices, split_words, text_bytes
 from .sampling import first_by_hash
+from .storage import free_name
 
 BUCKET_BITS = 18
 BEGINNINGS = (4, 5, 6)  #: bytes
@@ -184,9 +185,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample.  With labels of one class only, every score is their share; without
     any, it is 0.02.
     """
-    labelled = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("double").alias("__label"))
-    bounded = F.broadcast(first_by_hash(labelled, "__id", sample))  # at most `sample` rows of two numbers
-    rows = docs.join(bounded, docs[id_col] == F.col("__id")).select(F.col(text_col).cast("string"), "__label")
+    own, known = free_name("__id", docs), free_name("__label", docs)
+    labelled = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(own)).agg(F.max(label_col).cast("double").alias(known))
+    bounded = F.broadcast(first_by_hash(labelled, own, sample))  # at most `sample` rows of two numbers
+    rows = docs.join(bounded, docs[id_col] == F.col(own)).select(F.col(text_col).cast("string"), known)
     table = rows.mapInArrow(_distinct_terms, "label double, terms binary").limit(2 * sample).toArrow()
     table = table.sort_by([("label", "ascending"), ("terms", "ascending")]).combine_chunks()
     labels_of = table.column("label").to_numpy()

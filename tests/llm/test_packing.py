@@ -79,3 +79,16 @@ def test_pieces_hold_every_id_once(spark, tokenizer):
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
+
+
+def test_many_equal_rows_are_split(spark):
+    docs = spark.createDataFrame([(1, "one two three")] * 3000 + [(None, None)] * 1000, "doc_id long, text string").coalesce(1)
+    rows = pack_documents(docs, tokenizer_path(), group_docs=400).collect()
+    by_group = {}
+    for r in rows:
+        by_group[r.sequence_id >> 32] = by_group.get(r.sequence_id >> 32, 0) + 1
+    assert len(by_group) == 10 and max(by_group.values()) < 700
+    whole = {}
+    for r in rows:
+        whole[r.doc_id] = whole.get(r.doc_id, 0) + r.length
+    assert whole == {1: 3000 * rows[[r.doc_id for r in rows].index(1)].doc_tokens, None: 1000}
