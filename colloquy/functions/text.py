@@ -116,15 +116,38 @@ def front_matter(text: Column) -> Column:
     return F.struct(F.when(closed, F.regexp_extract(text, pattern, 1)).otherwise("").alias("head"), F.when(closed, F.regexp_extract(text, pattern, 2)).otherwise(text).alias("body"))
 
 
+#: A scalar in double or single quotes, or plain up to a comment; in lists, plain up to a comma or bracket.
+QUOTED = r"""\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'"""
+PLAIN, PLAIN_ITEM = r"(?:[^\s#\r\n]|(?<=\S)#|[ \t]+(?=[^\s#]))*", r"[^,\[\]\r\n]*"
+
+
+def _scalar(text: Column) -> Column:
+    """A YAML scalar without its quotes: '' is a quote inside single ones, a backslash keeps a quote or backslash inside double ones."""
+    inner = F.substr(text, F.lit(2), F.length(text) - 2)
+    double = F.regexp_replace(inner, r'\\(["\\])', "$1")
+    single = F.regexp_replace(inner, "''", "'")
+    long = F.length(text) > 1
+    return F.when(long & F.startswith(text, F.lit('"')), double).when(long & F.startswith(text, F.lit("'")), single).otherwise(F.trim(text))
+
+
 def front_value(head: Column, name: str) -> Column:
-    """A scalar entry of a front matter head; null where it is absent."""
-    return F.nullif(F.trim(F.regexp_replace(F.regexp_extract(head, rf"(?m)^{name}:[ \t]*(.*)$", 1), "^[\"']|[\"']$", "")), F.lit(""))
+    """A scalar entry of a front matter head, quoted or plain, without comments; null where it is absent or empty.
+
+    Only entries at the margin count; of repeated ones the first.
+    """
+    return F.nullif(_scalar(F.regexp_extract(head, rf"(?m)^{name}:[ \t]*({QUOTED}|{PLAIN})[ \t]*(?:#.*)?\r?$", 1)), F.lit(""))
 
 
 def front_list(head: Column, name: str) -> Column:
-    """The entries of a block list `name:` of a front matter head; empty where there is none."""
-    block = F.regexp_extract(head, rf"(?m)^{name}:[ \t]*((?:\r?\n[ \t]*-[^\r\n]*)+)", 1)
-    return F.transform(F.regexp_extract_all(block, F.lit(r"-[ \t]*([^\r\n]+)"), F.lit(1)), lambda t: F.trim(F.regexp_replace(F.trim(t), "^[\"']|[\"']$", "")))
+    """The entries of a list `name:` of a front matter head, in block form or in brackets; empty where there is none.
+
+    Entries are scalars as in `front_value`; empty ones go.
+    """
+    block = F.regexp_extract(head, rf"(?m)^{name}:[ \t]*(?:#.*)?((?:\r?\n[ \t]*(?:-[ \t][^\r\n]*|#[^\r\n]*|(?=\r?\n)))+)", 1)
+    dashed = F.regexp_extract_all(block, F.lit(rf"(?m)^[ \t]*-[ \t]+({QUOTED}|{PLAIN})"), F.lit(1))
+    inside = F.regexp_extract(head, rf"(?m)^{name}:[ \t]*\[((?:{QUOTED}|[^\]])*)\]", 1)
+    bracketed = F.regexp_extract_all(inside, F.lit(rf"\s*({QUOTED}|{PLAIN_ITEM})\s*(?:,|$)"), F.lit(1))
+    return F.filter(F.transform(F.concat(dashed, bracketed), _scalar), lambda t: t != "")
 
 
 def skill_document() -> Column:

@@ -25,8 +25,14 @@ def with_tokens(messages: DataFrame) -> DataFrame:
     return messages.withColumn("token_count", F.when(F.col("content").isNull(), F.lit(0)).otherwise(F.coalesce("token_count", estimated_tokens(F.col("content")))).cast("long"))
 
 
-def with_search_tokens(messages: DataFrame) -> DataFrame:
-    return messages.withColumn("search_tokens", F.when(F.col("content") != "", F.array_join(search_tokens(F.col("content")), " ")))
+def with_search_tokens(messages: DataFrame, dictionary: DataFrame | None = None, *keys: str) -> DataFrame:
+    """search_tokens: the tokens of a content, joined by blanks, by the dictionary (word, freq) where one is given; null for no content."""
+    if dictionary is None:
+        return messages.withColumn("search_tokens", F.when(F.col("content") != "", F.array_join(search_tokens(F.col("content")), " ")))
+    from .segmentation import with_terms
+
+    cut = with_terms(messages, dictionary, *keys, out_col="search_tokens")
+    return cut.withColumn("search_tokens", F.when(F.col("content") != "", F.array_join("search_tokens", " ")))
 
 
 def usage(messages: DataFrame, models: DataFrame) -> DataFrame:

@@ -38,6 +38,23 @@ def search_requests(messages: DataFrame, requests: DataFrame) -> DataFrame:
     return hits.filter(within).drop("__terms", "__start", "__end")
 
 
+def indexed_requests(index, messages: DataFrame, requests: DataFrame, dictionary: DataFrame | None = None, n: int = 10) -> DataFrame:
+    """The oldest n rows of messages for each request, as `search_requests` finds them, out of an index of them.
+
+    requests as there, with a session or null for all.  Messages are met by
+    (session_id, seq) after the index has answered, so only what is shown is
+    read; keywords are cut as `segmentation.with_terms` cuts texts.
+    """
+    from .segmentation import with_terms
+
+    start, end = parsed_range(F.col("start"), F.col("end"))
+    asked = requests.select("request_id", "session_id", F.trim("keyword").alias("keyword"), start.alias("start"), end.alias("end"))
+    asked = asked.withColumn("terms", search_tokens(F.col("keyword"))) if dictionary is None else with_terms(asked, dictionary, "request_id", text_col="keyword")
+    oldest = Window.partitionBy("request_id").orderBy("created_at", "seq")
+    first = index.search(asked).withColumn("__rank", F.row_number().over(oldest)).filter(F.col("__rank") <= n).select("request_id", "session_id", "seq")
+    return messages.join(first, ["session_id", "seq"])
+
+
 def answered(hits: DataFrame, requests: DataFrame, n: int = 10, limit: int = 4000) -> DataFrame:
     """(request_id, text): the oldest n hits of each request as lines, or a text that says there are none."""
     first = hits.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy("created_at", "seq"))).filter(F.col("rank") <= n)

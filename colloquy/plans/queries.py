@@ -477,7 +477,7 @@ DOCUMENTS = SKILLS + """, documents_ AS (SELECT skill_id, version, enabled, 'ski
  || upper(skill_id[1]) || skill_id[2:] || chr(10) || 'do it' || chr(10) || '--- end ---' || CASE WHEN skill_id = 'beta' THEN chr(10) || chr(10) || 'assets:' || chr(10) || '* references/a.md (reference, 7 bytes): notes' || chr(10) || '* x.txt (other, 0 bytes): ' ELSE '' END AS document FROM skills)"""
 
 
-@query("""WITH a AS (SELECT l_partkey, string_agg('* references/' || l_orderkey || '-' || l_linenumber || '.md (reference, ' || CAST(l_quantity AS BIGINT) || ' bytes): ' || CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE '' END, chr(10) ORDER BY 'references/' || l_orderkey || '-' || l_linenumber || '.md') AS lines FROM lineitem GROUP BY ALL)
+@query("""WITH a AS (SELECT l_partkey, string_agg('* references/' || l_orderkey || '-' || l_linenumber || '.md (reference, ' || CAST(l_quantity AS BIGINT) || ' bytes): ' || CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE '' END, chr(10) ORDER BY 'references/' || l_orderkey || '-' || l_linenumber || '.md', CAST(l_quantity AS BIGINT), l_returnflag) AS lines FROM lineitem GROUP BY ALL)
 SELECT 'p' || p_partkey AS skill_id, '1.' || p_size AS version, 'skill p' || p_partkey || ', version 1.' || p_size || chr(10) || 'name: ' || p_name || chr(10) || chr(10) || '--- body ---' || chr(10) || '# ' || p_brand || chr(10) || 'do it' || chr(10) || '--- end ---'
  || coalesce(chr(10) || chr(10) || 'assets:' || chr(10) || lines, '') AS document FROM part LEFT JOIN a ON l_partkey = p_partkey""")
 def skill_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -543,11 +543,16 @@ hits AS (SELECT q.request_id, m.*, row_number() OVER (PARTITION BY q.request_id
 joined AS (SELECT request_id, string_agg('[' || role || '] (' || strftime(created_at, '%Y-%m-%dT%H:%M:%S') || '): ' || content, chr(10) ORDER BY created_at, seq) AS text FROM hits WHERE rank <= 2 GROUP BY request_id)
 SELECT request_id, CASE WHEN text IS NULL THEN 'no messages found' WHEN length(text) > 400 THEN substr(text, 1, 400) || chr(10) || '[truncated]' ELSE text END AS text FROM q LEFT JOIN joined USING (request_id)""")
 def search_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = search_asked(spark, sf_dir)
+    return R.answered(R.search_requests(S.messages(spark, sf_dir), requests), requests, 2, 400)
+
+
+def search_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request of each session."""
     n = F.col("conv_id")
     keyword = F.when(n % 3 == 0, " The des ").when(n % 3 == 1, "QUE?").otherwise("zzzz")
     start, end = F.when(n % 4 == 1, "2024-01-01T00:00:01").when(n % 4 == 2, "never"), F.when(n % 4 == 1, "2024-01-01T00:00:05").when(n % 4 == 2, "2024-01-01T00:00:00")
-    requests = S.read(spark, sf_dir, "conversations").select("conv_id").distinct().select(n.alias("request_id"), n.cast("string").alias("session_id"), keyword.alias("keyword"), start.alias("start"), end.alias("end"))
-    return R.answered(R.search_requests(S.messages(spark, sf_dir), requests), requests, 2, 400)
+    return S.read(spark, sf_dir, "conversations").select("conv_id").distinct().select(n.alias("request_id"), n.cast("string").alias("session_id"), keyword.alias("keyword"), start.alias("start"), end.alias("end"))
 
 
 @query("""SELECT p_partkey AS id, p_name AS name, p_size % 4 AS type, p_size AS ratio, CASE p_size % 4 WHEN 1 THEN 'standard' WHEN 2 THEN 'advanced' ELSE 'other' END AS kind, p_partkey = 1 AS is_default FROM part WHERE p_brand <> 'Brand#11'""")

@@ -23,7 +23,7 @@ from ..sources import tables as S
 from ..sources.shared import shared_folder
 from ..streaming import answer_events, compression, instances
 from ..streaming.hot_context import LatestTable
-from .queries import AGENT, CALLS, COUNTED, DELTAS, EVENTS, MESSAGES, MODELS, QUERIES, REDACTED, TOKENS, query
+from .queries import AGENT, CALLS, COUNTED, DELTAS, EVENTS, MESSAGES, MODELS, ORACLES, QUERIES, REDACTED, TOKENS, query, search_asked
 
 
 def _own_path(spark: SparkSession, label: str) -> str:
@@ -155,6 +155,16 @@ def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(requests)
 
 
+@query(ORACLES["search_answers"])
+def indexed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search_answers out of an index."""
+    rows = S.messages(spark, sf_dir)
+    index = search_index.SearchIndex(spark, _own_path(spark, "index"))
+    index.append(rows.withColumn("terms", X.search_tokens(F.col("content"))), 0)
+    requests = search_asked(spark, sf_dir)
+    return R.answered(R.indexed_requests(index, rows, requests, n=2), requests, 2, 400)
+
+
 def unspaced(text):
     """Letters as characters of a script without blanks, by rule, and no blanks between words of a sentence."""
     letters = "abcdefghijklmnopqrstuvwxyzäöüßéèêçñíóáàôœù"

@@ -235,6 +235,12 @@ def test_front_matter(spark):
     got = value(spark, X.front_matter(F.lit(whole)))
     assert got.body == "Body\n" and value(spark, X.front_value(F.lit(got.head), "skill_id")) == "demo" and value(spark, X.front_value(F.lit(got.head), "missing")) is None
     assert value(spark, X.front_list(F.lit(got.head), "triggers")) == ["one", "two words"]
+    heads = {
+        'a: "x # y"  # note\nl: [a, "b, c", \'d\'\'e\', ]\n': ("x # y", ["a", "b, c", "d'e"]), 'a: plain text # c\nl:\n  - one # c\n  # comment\n  - "two: x"\n  -   \n\nb: 2\n': ("plain text", ["one", "two: x"]),
+        "a: 'it''s'\nl: []\n": ("it's", []), 'a: "say \\"hi\\""\r\nl:\r\n- x\r\n- y\r\nz: 1\r\n': ('say "hi"', ["x", "y"]), "a:\nl: nothing": (None, []), "  a: nested\nl:\n  - q": (None, ["q"]), "a: x#y\nl: [one]": ("x#y", ["one"]), "": (None, []),
+    }
+    for head, expected in heads.items():
+        assert (value(spark, X.front_value(F.lit(head), "a")), value(spark, X.front_list(F.lit(head), "l"))) == expected
     for text in ("no head", "---\nunclosed: 1\n"):
         assert tuple(value(spark, X.front_matter(F.lit(text)))) == ("", text)
 

@@ -397,3 +397,17 @@ def test_a_term_in_a_script_without_blanks_is_found(spark):
     found = segmentation.with_terms(rows, dictionary).join(terms.withColumnRenamed("terms", "wanted"), F.arrays_overlap("terms", "wanted"))
     assert [r.seq for r in found.collect()] == [1]
     assert X.search_tokens is not None
+
+
+def test_answers_out_of_an_index_with_a_dictionary(spark, tmp_path):
+    dictionary = spark.createDataFrame([("天气", 5), ("今天", 9)], "word string, freq long")
+    rows = spark.createDataFrame([("s", 1, "今天天气很好"), ("s", 2, "今天"), ("t", 1, "Weather 天气"), ("s", 3, "weather")], "session_id string, seq long, content string")
+    rows = rows.withColumn("created_at", F.timestamp_seconds(F.lit(10) - F.col("seq"))).withColumn("role", F.lit("user"))
+    stored = finalize.with_search_tokens(rows, dictionary)
+    assert [r.search_tokens for r in stored.orderBy("session_id", "seq").collect()] == ["今天 天气", "今天", "weather", "weather 天气"]
+    index = search_index.SearchIndex(spark, str(tmp_path / "index"))
+    index.append(stored.withColumn("terms", F.split("search_tokens", " ")), 0)
+    asked = spark.createDataFrame([(1, "s", " 天气 weather!", None, None), (2, None, "天气", "1970-01-01T00:00:09", None), (3, "s", "天", None, None)], "request_id int, session_id string, keyword string, start string, end string")
+    found = retrieval.indexed_requests(index, rows, asked, dictionary)
+    assert sorted((r.request_id, r.session_id, r.seq) for r in found.collect()) == [(1, "s", 1), (1, "s", 3), (2, "s", 1), (2, "t", 1)]
+    assert [(r.request_id, r.session_id, r.seq) for r in retrieval.indexed_requests(index, rows, asked, dictionary, 1).filter("request_id = 1").collect()] == [(1, "s", 3)]
