@@ -1,23 +1,26 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is coded as binary decisions, along Huffman codes of a byte after each
-byte, which take less than half as many as plain bits would.  Hashed contexts
-(the last 4 bytes, the word so far, and the last 6 bytes or, at the beginning of
-a word, the word before it) each predict a decision from how often either way
-was taken there in all training texts; a logistic
-mixer joins the predictions in the stretched domain.  Its weights are gated:
-which set is used depends on whether the longest context is sure.  While a
-text is coded the weights follow the gradient of its coding cost, from its
-beginning to its end, and an adaptive map from predicted to observed
+byte, which take less than half as many as plain bits would.  Six hashed contexts
+each predict a decision from how often either way was taken there in all
+training texts: the last two, three, four and five bytes, the word so far, and
+the word so far after the word before.  A logistic mixer joins the predictions
+in the stretched domain.  Its weights are gated: which set is used depends on
+whether the two contexts of words have been seen, and how surely they speak.
+While a text is coded the weights follow the gradient of its coding cost, from
+its beginning to its end, and an adaptive map from predicted to observed
 probabilities refines the result.  The sum of log2 p is the size of the text in
 bits.
 
-What is gathered grows with the corpus: every context has counts of its own,
-found by a hash whose bits follow the size of the corpus.  Texts go in slices.
-A slice sends the shards its pairs of context and byte, once each, with how
-often the texts to learn from have them; a shard sums the counts of its range of
-hashes and tells each slice what the contexts say of the decisions that lead to
-its bytes.  No task holds all counts, and none of them pass the driver.
+The contexts of words grow with the corpus: each has counts of its own, found by
+a hash whose bits follow the size of the corpus.  Texts go in slices.  In a
+slice a word, and a word after a word, is looked at once however often it comes;
+what differs is asked: a slice sends the shards its pairs of context and byte,
+once each, with how often the texts to learn from have them; a shard sums the
+counts of its range of hashes and tells each slice what the contexts say of the
+decisions that lead to its bytes.  No task holds all counts, and none of them
+pass the driver.  The contexts of a few bytes, which any corpus fills, are
+counted in tables of one size that go to every task.
 
 Texts of a slice are coded side by side, a block of decisions at a time: a block
 sees the weights that the blocks before it have left.  Blocks begin small and
@@ -33,24 +36,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lexing import IS_BLANK, SEEDS, SpanHashes, lower_ascii, mixed, slices, split_words, text_bytes
 from .storage import stage
 
-ORDERS = (4,)
+ORDERS = (2, 3, 4, 5)  #: bytes of the contexts that are counted in tables
 INPUTS = len(ORDERS) + 2
-BEGINNING, LATER = 1, 6  #: bytes of a word that the word before it helps to predict; order of the context after them
+TABLE_BITS = 21  #: of the slots of an order's table
+TABLE_BLOCK, SALTS = 4096, 64  #: slots that are summed together, in so many groups first
 END = 0xFF  #: a byte that no UTF-8 text has ends every text
 GAP = 8
 BLOCKS = ((1 << 8, 16), (1 << 12, 64), (1 << 62, 256))  #: decisions of a block, up to a place in the text
 STEPS = 16.0  #: of the stretched domain, for one byte from -8 to 8
-GATES = 2
-SURE = 24  #: steps from which on a context counts as sure
-RATE, REFINE_RATE = 0.0005, 0.02
-START = 0.3  #: weight of each input at first
+SURE = 40  #: steps from which on a context has been seen to go one way more than once
+RATE, REFINE_RATE = 0.0003, 0.02
+#: Weights at first, for each gate and input: no context of words seen; the word so far; the word after a word; that, and sure.
+START = ((0.25, 0.35, 0.3, 0.25, 0.25, 0.25), (0.1, 0.2, 0.25, 0.25, 0.15, 0.25), (0.05, 0.1, 0.15, 0.2, 0.2, 0.6), (0.1, 0.1, 0.2, 0.25, 0.25, 0.6))
+GATES = len(START)
+PRIOR = 0.15  #: added to the counts of either way
 CURVE = 33  #: points of the refinement
 END_KEY = 1  #: in the counts of tokens, the end of a text; words have other keys
 SLICE_BYTES, PART_BYTES = 10 << 20, 1 << 20  #: of text that asks together, and that is coded together
@@ -129,47 +135,71 @@ def pairs_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
     return data[places - 1].astype(np.int32) << 8 | data[places]
 
 
-def contexts(data: np.ndarray, places: np.ndarray) -> Iterator[np.ndarray]:
-    """For each input a hash of the context of each place."""
+def tails(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """(order, place): a hash of the last bytes before each place."""
     before = np.ndarray((len(data) - GAP + 1,), "<u8", data, strides=(1,))[places - GAP]
-    tail = lambda order: mixed((before >> np.uint64(8 * (8 - order))) + np.uint64(order << 56))
-    for order in ORDERS:
-        yield tail(order)
-    begins = np.maximum.accumulate(np.where(IS_BLANK[data] | (data == 0), np.arange(1, len(data) + 1), 0))
-    spans = SpanHashes(data)
-    start = np.minimum(begins[places - 1], places)
-    word = spans(start, places)
-    yield word
-    early = np.flatnonzero(places - start < BEGINNING)
-    out = tail(LATER)
-    last = start[early] - 1
-    out[early] = mixed(word[early] + np.uint64(SEEDS[1]) + np.uint64(3) * spans(np.minimum(begins[np.maximum(last - 1, 0)], last), last))
-    yield out
-
-
-def keys_of(data: np.ndarray, places: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """For each input a key of each place: so many bits of its context's hash, the byte before, and the byte."""
-    low = pairs_at(data, places).astype(np.uint64)
-    for hashes in contexts(data, places):
-        yield (hashes >> np.uint64(64 - bits)) << np.uint64(16) | low
+    out = np.empty((len(ORDERS), len(places)), np.uint32)
+    for k, order in enumerate(ORDERS):
+        out[k] = ((before >> np.uint64(8 * (8 - order))) * np.uint64(SEEDS[0])) >> np.uint64(32)
+    return out
+
+
+def slots(tail: np.ndarray, of: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The slot of each decision in its order's table."""
+    out = tail[of]
+    out += node * np.uint32(0x9E3779B1)
+    out *= np.uint32(0x85EBCA6B)
+    out >>= np.uint32(32 - TABLE_BITS)
+    return out
 
 
 @dataclass
 class Asked:
-    """Distinct keys of each input, and for each input the entry of each place."""
+    """Distinct keys of the contexts of words, and for both of these the entry of each place.
+
+    A word with the blanks around it is a segment.  Equal segments have equal
+    contexts at each byte, as have equal segments after equal words, so keys are
+    made for one of each only.
+    """
 
     keys: np.ndarray
     entries: list[np.ndarray]
 
     @classmethod
     def of(cls, data: np.ndarray, places: np.ndarray, bits: int) -> Asked:
-        found, entries, sizes = [], [], [0]
-        for keys in keys_of(data, places, bits):
-            encoded = pa.array(keys.view(np.int64)).dictionary_encode()
-            entries.append(encoded.indices.to_numpy())
-            found.append(encoded.dictionary.to_numpy().view(np.uint64))
-            sizes.append(sizes[-1] + len(found[-1]))
-        return cls(np.concatenate(found), [e + np.int32(a) for e, a in zip(entries, sizes, strict=False)])
+        spans = SpanHashes(data)
+        opens = IS_BLANK[data] | (data == 0)
+        first = np.flatnonzero(opens[places - 1])  # of each segment, among the places
+        sizes = np.diff(np.append(first, len(places)))
+        starts = places[first]
+        word = spans(starts, starts + sizes - 1)
+        whole = spans(starts - 1, starts + sizes)
+        fresh = np.diff(places, prepend=-1)[first] != 1  # the first of a text, where no word is before
+        before = np.concatenate([word[:1], word[:-1]]) if len(word) else word
+        before = np.where(fresh, spans(starts[:1], starts[:1]) if len(starts) else before, before)
+        low = pairs_at(data, places)
+        found, entries, known = [], [], 0
+        for unit, seed in ((whole, None), (mixed(whole + np.uint64(SEEDS[1]) + np.uint64(3) * before), before)):
+            encoded = pa.array(unit.view(np.int64)).dictionary_encode().indices.to_numpy()
+            units = int(encoded.max(initial=-1)) + 1
+            model = np.empty(units, np.int64)
+            model[encoded[::-1]] = np.arange(len(encoded) - 1, -1, -1)  # the first segment of each
+            lengths = sizes[model]
+            ends = np.cumsum(lengths)
+            inside = np.arange(int(ends[-1]) if units else 0) - np.repeat(ends - lengths, lengths)
+            at = np.repeat(first[model], lengths) + inside
+            context = spans(np.repeat(starts[model], lengths), places[at])
+            if seed is not None:
+                context = mixed(context + np.uint64(SEEDS[1]) + np.uint64(3) * np.repeat(seed[model], lengths))
+            keys = (context >> np.uint64(64 - bits)) << np.uint64(16) | low[at].astype(np.uint64)
+            distinct = pa.array(keys.view(np.int64)).dictionary_encode()
+            key_of = distinct.indices.to_numpy() + np.int32(known)
+            found.append(distinct.dictionary.to_numpy().view(np.uint64))
+            known += len(found[-1])
+            shift = np.repeat((ends - lengths)[encoded] - first, sizes)
+            shift += np.arange(len(places))
+            entries.append(key_of[shift])
+        return cls(np.concatenate(found), entries)
 
     def counts(self, which: np.ndarray) -> np.ndarray:
         """How often each key occurs at the places for which `which` is 1."""
@@ -196,18 +226,19 @@ class Part:
     b: int
     pairs: np.ndarray
     first: np.ndarray
+    tails: np.ndarray
     asked: Asked
 
 
 def _parts(data: np.ndarray, offsets: np.ndarray, bits: int) -> Iterator[Part]:
     for a, b in slices(data, offsets, PART_BYTES):
         buffer, places, first = laid_out(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        yield Part(a, b, pairs_at(buffer, places), first, Asked.of(buffer, places, bits))
+        yield Part(a, b, pairs_at(buffer, places), first, tails(buffer, places), Asked.of(buffer, places, bits))
 
 
 def _stretched(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     """Counts of bit 0 and bit 1 as a stretched probability in steps."""
-    return np.clip(np.rint(STEPS * np.log((one + 0.4) / (zero + 0.4))), -127, 127).astype(np.int8)
+    return np.clip(np.rint(STEPS * np.log((one + PRIOR) / (zero + PRIOR))), -127, 127).astype(np.int8)
 
 
 def said(code: Code, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,30 +259,43 @@ def said(code: Code, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
     return starts, values
 
 
+def table_counts(code: Code, pairs: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """(order, slot, bit): how often each way was taken at the places."""
+    _, of, step = code.steps(pairs)
+    node, bit = code.nodes[step].astype(np.uint32), code.bits[step]
+    return np.stack([np.bincount(slots(t, of, node) << np.uint32(1) | bit, minlength=2 << TABLE_BITS) for t in tail]).reshape(len(ORDERS), -1, 2)
+
+
 class Mixer:
-    """Codes texts; keeps nothing between them."""
+    """Codes texts; keeps nothing between them.  tables: for each order what its slots say."""
 
-    def __init__(self, code: Code):
-        self.code = code
+    def __init__(self, code: Code, tables: np.ndarray):
+        self.code, self.tables = code, tables
 
-    def log2(self, pairs: np.ndarray, first: np.ndarray, entries: list[np.ndarray], starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    def log2(self, pairs: np.ndarray, first: np.ndarray, tail: np.ndarray, entries: list[np.ndarray], starts: np.ndarray, values: np.ndarray) -> np.ndarray:
         """log2 of the probability of each text, whose places begin at `first`.
 
-        entries: for each input the key of each place; starts: first of a key's values.
+        tail: the places' hashes by order; entries: for each context of words the
+        key of each place; starts: first of a key's values.
         """
         decided, of, step = self.code.steps(pairs)
         inside = step - self.code.first[pairs].astype(np.int32)[of]
-        inputs = np.zeros((len(of) + BLOCKS[-1][1], 4), np.int8)  # of a decision: what each input says, and its bit
-        for k in range(INPUTS):
+        node = self.code.nodes[step].astype(np.uint32)
+        inputs = np.zeros((len(of) + BLOCKS[-1][1], 8), np.int8)  # of a decision: what each input says, its gate and its bit
+        for k in range(len(ORDERS)):
+            inputs[: len(of), k] = self.tables[k][slots(tail[k], of, node)]
+        for k in range(2):
             at = starts[entries[k]].astype(np.int32)[of]
             at += inside
-            inputs[: len(of), k] = values[at]
-        inputs[: len(of), 3] = self.code.bits[step]
-        packed = inputs.view(np.int32)[:, 0]
+            inputs[: len(of), len(ORDERS) + k] = values[at]
+        word, after = inputs[:, INPUTS - 2], np.abs(inputs[:, INPUTS - 1])
+        inputs[:, 6] = np.where(after > SURE, 3, np.where(after > 0, 2, word != 0))
+        inputs[: len(of), 7] = self.code.bits[step]
+        packed = inputs.view(np.int64)[:, 0]
         begin, size = decided[first[:-1]], np.diff(decided[first])
         order = np.argsort(-size, kind="stable")
         begin, size = begin[order], size[order]
-        weights = np.full((len(size), INPUTS, GATES), START, np.float32)
+        weights = np.tile(np.array(START, np.float32).T, (len(size), 1, 1))
         knots = np.linspace(-8, 8, CURVE, dtype=np.float32)
         curve = np.tile(1 / (1 + np.exp(-knots)), len(size)).astype(np.float32)
         bits_of = np.zeros(len(size))
@@ -259,13 +303,12 @@ class Mixer:
         while at < longest:
             block = next(b for end, b in BLOCKS if at < end)
             n = int(np.searchsorted(-size, -at))  # texts that are longer
-            told = np.lib.stride_tricks.sliding_window_view(packed, block)[begin[:n] + at].view(np.int8).reshape(n, block, 4)
+            told = np.lib.stride_tricks.sliding_window_view(packed, block)[begin[:n] + at].view(np.int8).reshape(n, block, 8)
             live = np.arange(at, at + block) < size[:n, None]
-            bit = told[:, :, 3].astype(np.float32)
-            sure = np.abs(told[:, :, INPUTS - 1]) >= SURE
+            bit = told[:, :, 7].astype(np.float32)
+            gate = told[:, :, 6]
             x = told[:, :, :INPUTS] * np.float32(1 / STEPS)
-            both = x @ weights[:n]  # for each gate
-            z = np.where(sure, both[:, :, 1], both[:, :, 0])
+            z = np.take_along_axis(x @ weights[:n], gate[:, :, None].astype(np.int64), 2)[:, :, 0]
             np.clip(z, -7.99, 7.99, out=z)
             point = np.rint((z + 8) * np.float32((CURVE - 1) / 16)).astype(np.int32)
             point += np.arange(0, n * CURVE, CURVE, dtype=np.int32)[:, None]
@@ -280,9 +323,7 @@ class Mixer:
             error = bit - p
             error *= np.float32(RATE * STEPS)
             error *= live
-            gated = np.empty((n, block, GATES), np.float32)
-            np.multiply(error, sure, out=gated[:, :, 1])
-            np.subtract(error, gated[:, :, 1], out=gated[:, :, 0])
+            gated = error[:, :, None] * (gate[:, :, None] == np.arange(GATES, dtype=np.int8))
             weights[:n] += x.transpose(0, 2, 1) @ gated
             bit -= seen
             bit *= live
@@ -361,8 +402,31 @@ def _read(unit: pa.Buffer) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     return table, *text_bytes(table.column("text"))
 
 
-def _asked(bits: int, shard_bits: int):
+def _table_rows(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(shard, counts) of the blocks of the tables in which a task has counted something; their shards are negative."""
+    salt = TaskContext.get().partitionId() % SALTS
+    for block, own in enumerate(counts.reshape(-1, TABLE_BLOCK, 2)):
+        if own.any():
+            yield -1 - (block * SALTS + salt), _squeezed(own.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _summed(blobs: list[bytes], kind: str, width: int) -> np.ndarray:
+    """Sum of counts that lie as planes of bytes."""
+    total = np.zeros(2 * TABLE_BLOCK, np.int64)
+    for blob in blobs:
+        total += np.ascontiguousarray(np.frombuffer(_spread(blob), np.uint8).reshape(width, -1).T).view(kind)[:, 0]
+    return total
+
+
+def _table_block(group: pa.Table) -> pa.Table:
+    total = _summed(group.column("said").to_pylist(), "<i8", 8).reshape(-1, 2)
+    return pa.table({"block": group.column("block").slice(0, 1), "said": pa.array([_stretched(total[:, 0], total[:, 1]).tobytes()], pa.binary())})
+
+
+def _asked(bits: int, shard_bits: int, code: Code):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = np.zeros((len(ORDERS), 1 << TABLE_BITS, 2), np.uint32)
+        kinds = (pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
             for number, unit in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 table, data, offsets = _read(unit.as_buffer())
@@ -370,7 +434,9 @@ def _asked(bits: int, shard_bits: int):
                 runs, counts = [], []
                 for part in _parts(data, offsets, bits):
                     runs.append(part.asked.keys)
-                    counts.append(part.asked.counts(np.repeat(taught[part.a : part.b], np.diff(part.first))))
+                    learn = np.repeat(taught[part.a : part.b], np.diff(part.first))
+                    counts.append(part.asked.counts(learn))
+                    tables += table_counts(code, part.pairs[learn], part.tails[:, learn]).astype(np.uint32)
                 keys, place = _merged(runs)
                 counts = np.bincount(place, np.concatenate(counts), len(keys))
                 context = keys >> np.uint64(16)
@@ -379,13 +445,19 @@ def _asked(bits: int, shard_bits: int):
                 rows = []
                 for s, a, b in zip(shard[starts].tolist(), starts, [*starts[1:], len(shard)], strict=True):
                     rows.append((s, number, _packed(context[a:b] & inner, keys[a:b] & np.uint64(0xFFFF), counts[a:b])))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "slice", "entries"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "slice", "entries"])
+        for shard, entries in _table_rows(tables):
+            yield pa.RecordBatch.from_arrays([pa.array([shard], kinds[0]), pa.array([-1], kinds[1]), pa.array([entries], kinds[2])], ["shard", "slice", "entries"])
 
     return ask
 
 
 def _told(code: Code):
     def tell(group: pa.Table) -> pa.Table:
+        if group.column("shard")[0].as_py() < 0:
+            total = _summed(group.column("entries").to_pylist(), "<u4", 4)
+            planes = _squeezed(total.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+            return pa.table({"slice": group.column("slice").slice(0, 1), "shard": group.column("shard").slice(0, 1), "said": pa.array([planes], pa.binary())})
         parts = [_unpacked(e.as_py()) for e in group.column("entries")]
         ends = np.cumsum([len(k) for k, _ in parts])
         keys, of = _merged([k for k, _ in parts])
@@ -401,13 +473,13 @@ def _told(code: Code):
     return tell
 
 
-def _scored(code: Code, bits: int, keys: np.ndarray, counts: np.ndarray, end_count: int):
+def _scored(code: Code, tables: Broadcast, bits: int, keys: np.ndarray, counts: np.ndarray, end_count: int):
     """keys, counts: frequent tokens in ascending order of key; the keys of other words go along for the join."""
     worth = np.log10(counts + 0.5)
     end_worth = float(np.log10(end_count + 0.5))
-    mixer = Mixer(code)
 
     def score(units: pa.Table, told: pa.Table) -> pa.Table:
+        mixer = Mixer(code, np.frombuffer(tables.value, np.int8).reshape(len(ORDERS), -1))
         number = units.column("slice")[0].as_py()
         table, data, offsets = _read(units.column("texts")[0].as_buffer())
         parts = list(_parts(data, offsets, bits))
@@ -420,7 +492,7 @@ def _scored(code: Code, bits: int, keys: np.ndarray, counts: np.ndarray, end_cou
             a, b = part.a, part.b
             own = starts[places[seen : seen + len(part.asked.keys)]]
             seen += len(part.asked.keys)
-            log2 = mixer.log2(part.pairs, part.first, part.asked.entries, own, values)
+            log2 = mixer.log2(part.pairs, part.first, part.tails, part.asked.entries, own, values)
             at = offsets[a : b + 1] - offsets[a]
             found, words = _tokens(data[offsets[a] : offsets[b]], at)
             text = np.repeat(np.arange(b - a), np.diff(words))
@@ -472,9 +544,13 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     bits = SPARE_BITS + (rows + size + SHARD_BYTES).bit_length()
     shard_bits = max(0, bits - SPARE_BITS - SHARD_BYTES.bit_length())
     units = stage(chosen.mapInArrow(_units, UNITS), "slices")
-    told = stage(units.df.mapInArrow(_asked(bits, shard_bits), ASKED).groupBy("shard").applyInArrow(_told(code), TOLD), "told")
-    score = _scored(code, bits, common.column("key").to_numpy(), common.column("n").to_numpy(), ends.n if ends else 0)
-    held = stage(units.df.groupBy("slice").cogroup(told.df.groupBy("slice")).applyInArrow(score, SCORED), "scored")
+    told = stage(units.df.mapInArrow(_asked(bits, shard_bits, code), ASKED).groupBy("shard").applyInArrow(_told(code), TOLD), "told")
+    blocks = told.df.filter("slice < 0").select(F.floor((-1 - F.col("shard")) / SALTS).alias("block"), "said").groupBy("block").applyInArrow(_table_block, "block long, said binary")
+    tables = np.zeros((len(ORDERS) << TABLE_BITS) // TABLE_BLOCK * TABLE_BLOCK, np.int8).reshape(-1, TABLE_BLOCK)
+    for r in blocks.toLocalIterator():  # as many rows as the tables have blocks
+        tables[r.block] = np.frombuffer(r.said, np.int8)
+    score = _scored(code, docs.sparkSession.sparkContext.broadcast(tables.tobytes()), bits, common.column("key").to_numpy(), common.column("n").to_numpy(), ends.n if ends else 0)
+    held = stage(units.df.groupBy("slice").cogroup(told.df.filter("slice >= 0").groupBy("slice")).applyInArrow(score, SCORED), "scored")
     units.drop()
     told.drop()
     rare = held.df.select("row", F.explode("rare").alias("key")).join(tokens, "key", "left")

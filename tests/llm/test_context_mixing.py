@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from colloquy.llm import context_mixing as cm
-from colloquy.llm.context_mixing import Asked, Code, Mixer, laid_out, pairs_at, said, score_texts
+from colloquy.llm.context_mixing import Asked, Code, Mixer, laid_out, pairs_at, said, score_texts, table_counts, tails
 from colloquy.llm.lexing import text_bytes
 
 
@@ -21,6 +21,8 @@ class Trained:
         self.code = Code.of(np.bincount(pairs_at(buffer, places), minlength=1 << 16).reshape(256, 256))
         self.bits, self.asked = bits, Asked.of(buffer, places, bits)
         self.counts = self.asked.counts(np.ones(len(places), bool))
+        found = table_counts(self.code, pairs_at(buffer, places), tails(buffer, places))
+        self.tables = cm._stretched(found[..., 0], found[..., 1])
 
     def log2(self, data, offsets):
         buffer, places, first = laid_out(data, offsets)
@@ -29,7 +31,7 @@ class Trained:
         counts = np.zeros(len(keys), np.int64)
         counts[np.searchsorted(keys, self.asked.keys)] = self.counts
         starts, values = said(self.code, keys, counts)
-        return Mixer(self.code).log2(pairs_at(buffer, places), first, asked.entries, starts[np.searchsorted(keys, asked.keys)], values)
+        return Mixer(self.code, self.tables).log2(pairs_at(buffer, places), first, tails(buffer, places), asked.entries, starts[np.searchsorted(keys, asked.keys)], values)
 
 
 trained = Trained
@@ -47,8 +49,7 @@ def twin_places(text):
             while before > 0 and not blank(before - 1):
                 before -= 1
         word = b[start:i]
-        deep = ("after", b[before:last], word) if i == start else ("six", b[i - 6 : i])
-        yield [("four", b[i - 4 : i]), ("word", word), deep], b[i - 1], b[i]
+        yield [*((n, b[i - n : i]) for n in (2, 3, 4, 5)), ("word", word), ("after", b[before:last], word)], b[i - 1], b[i]
 
 
 def twin_log2(code, texts, text):
@@ -58,16 +59,16 @@ def twin_log2(code, texts, text):
     for t in texts:
         for contexts, before, byte in twin_places(t):
             counts.update((c, before, node, bit) for c in contexts for node, bit in path(before, byte))
-    stretch = lambda c, before, node: max(-127, min(127, round(16 * math.log((counts[c, before, node, 1] + 0.4) / (counts[c, before, node, 0] + 0.4))))) / 16
+    stretch = lambda c, before, node: max(-127, min(127, round(16 * math.log((counts[c, before, node, 1] + 0.15) / (counts[c, before, node, 0] + 0.15))))) / 16
     decided = [([stretch(c, before, node) for c in contexts], bit) for contexts, before, byte in twin_places(text) for node, bit in path(before, byte)]
-    weights = [[cm.START] * 3 for _ in range(2)]
+    weights = [list(w) for w in cm.START]
     curve = [1 / (1 + math.exp(-(k / 2 - 8))) for k in range(33)]
     total, at = 0.0, 0
     while at < len(decided):
         block = 16 if at < 256 else 64 if at < 4096 else 256
         changes = []
         for x, bit in decided[at : at + block]:
-            gate = int(abs(x[2]) >= 24 / 16)
+            gate = 3 if abs(x[5]) > 40 / 16 else 2 if x[5] else int(x[4] != 0)
             z = max(-7.99, min(7.99, sum(a * b for a, b in zip(x, weights[gate], strict=True))))
             p, k = 1 / (1 + math.exp(-z)), round((z + 8) * 2)
             total += math.log2(abs(1 - bit - (p + curve[k]) / 2))
@@ -131,14 +132,15 @@ def test_nothing_to_learn_from(spark):
     assert score_texts(frame.limit(0), F.lit(False)).count() == 0
 
 
-def test_against_one_decision_after_another():
+def test_against_one_decision_after_another(monkeypatch):
+    monkeypatch.setattr(cm, "TABLE_BITS", 25)  # so many slots that hardly two contexts share one
     rng = random.Random(6)
     texts = corpus(25, seed=6)[:26] + ["a b a b\tc", "éa éb"]
     model = trained(texts)
     for text in [texts[3], texts[7], "", "abc  abc\n\nd", "unseen ~~~ words 12", " ".join(rng.choices("ab abc é d".split(), k=4000))]:  # the last has over 2**14 decisions
         expected = twin_log2(model.code, texts, text)
         got = model.log2(*text_bytes(pa.array([text])))[0]
-        assert abs(got - expected) < 1e-3 * abs(expected) + 1e-3, (text[:30], got, expected)
+        assert abs(got - expected) < 2e-3 * abs(expected) + 1e-3, (text[:30], got, expected)
 
 
 def test_tables_give_what_one_process_gives(spark, monkeypatch):
