@@ -138,21 +138,37 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dims)
 
 
-def _asking(index: MultiIndex, sizes: np.ndarray, blocks_of: list[list[int]], least: float):
-    """A pack of queries as a row for each block of entries that one of them visits."""
+def _laid_out(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, number of blocks) of each cell: small cells in a row share a block, a large one has several to itself."""
+    first, parts = np.zeros(len(sizes), np.int64), -(-sizes // block)
+    number, room = -1, 0
+    for cell, n in enumerate(sizes.tolist()):
+        if n > block:
+            first[cell] = number + 1
+            number, room = number + int(parts[cell]), 0
+        elif n:
+            if n > room:
+                number, room = number + 1, block
+            first[cell] = number
+            room -= n
+    return first, parts
+
+
+def _asking(index: MultiIndex, sizes: np.ndarray, first: np.ndarray, parts: np.ndarray, least: float):
+    """A pack of queries as a row for each block of entries that one of them visits; cell c has the blocks from first[c] on, parts[c] of them."""
 
     def ask(group: pa.Table) -> pa.Table:
         ids, vectors = group.column("id").to_numpy(), _matrix(group.column("vector"), index.dims)
         visited = index.visits(unit(vectors), sizes, least)
         rows: dict[int, np.ndarray] = {}
         for cell in np.flatnonzero(visited.any(0)):
-            for block in blocks_of[cell]:
+            for block in range(first[cell], first[cell] + parts[cell]):
                 rows[block] = rows.get(block, False) | visited[:, cell]
         out = []
         for block, who in rows.items():
             out.append((block, ids[who].tobytes(), vectors[who].tobytes(), np.packbits(visited[who], axis=1).tobytes()))
         names = ["block", "q_ids", "q_vectors", "visited"]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names) if out else pa.table({"block": pa.array([], pa.int32()), **{n: pa.array([], pa.binary()) for n in names[1:]}})
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], names) if out else pa.table({"block": pa.array([], pa.int64()), **{n: pa.array([], pa.binary()) for n in names[1:]}})
 
     return ask
 
@@ -218,24 +234,15 @@ def nearest(
     for r in held.df.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("query").alias("q")).collect():  # a row for each cell
         sizes[r.cell], asking[r.cell] = r.n, r.q
     least = max(index.share * sizes.sum(), k + 1)
-    blocks_of, number, room = [], -1, 0
-    for n in sizes.tolist():
-        parts = -(-n // block)
-        if parts > 1:
-            blocks_of.append(list(range(number + 1, number + 1 + parts)))
-            number, room = number + parts, 0
-        else:
-            if n > room:
-                number, room = number + 1, block
-            blocks_of.append([number] if n else [])
-            room -= n
+    first, parts = _laid_out(sizes, block)  # numbers for each cell, of which there are as many as four times the root of the rows
+    cells = np.flatnonzero(sizes)
     layout = vectors.sparkSession.createDataFrame(
-        [(c, b[0], len(b), max(1, -(-int(asking[c]) // pack))) for c, b in enumerate(blocks_of) if b], "cell int, first int, parts int, packs int"
+        [(int(c), int(first[c]), int(parts[c]), max(1, -(-int(asking[c]) // pack))) for c in cells], "cell int, first long, parts int, packs int"
     )
     placed = held.df.join(F.broadcast(layout), "cell")  # a row for each cell, centroids ** 2 at most
-    entries = placed.withColumn("block", (F.col("first") + F.pmod(F.xxhash64("id"), "parts")).cast("int")).groupBy("block").applyInArrow(_entries, "block int, ids binary, cells binary, vectors binary")
+    entries = placed.withColumn("block", (F.col("first") + F.pmod(F.xxhash64("id"), "parts"))).groupBy("block").applyInArrow(_entries, "block long, ids binary, cells binary, vectors binary")
     packed = placed.filter("query").withColumn("pack", F.struct("first", F.pmod(F.xxhash64("id", F.lit(1)), "packs").alias("part")))
-    asked = packed.groupBy("pack").applyInArrow(_asking(index, sizes, blocks_of, least), "block int, q_ids binary, q_vectors binary, visited binary")
+    asked = packed.groupBy("pack").applyInArrow(_asking(index, sizes, first, parts, least), "block long, q_ids binary, q_vectors binary, visited binary")
     found = asked.join(entries, "block").mapInArrow(_ranked(dims, k), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

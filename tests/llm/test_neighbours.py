@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from colloquy.llm.neighbours import MultiIndex, nearest
+from colloquy.llm.neighbours import MultiIndex, _laid_out, nearest
 
 
 def brute_force(rows, k=5):
@@ -73,3 +73,9 @@ def test_few_and_no_vectors(spark):
     assert [(r.rank, r.vec_id) for r in got] == [(1, 1), (2, 2)]
     assert nearest(frame.limit(0), F.col("vec_id") == 0).count() == 0
     assert nearest(spark.createDataFrame([(0, None)], frame.schema), F.col("vec_id") == 0).count() == 0
+
+
+def test_cells_in_blocks():
+    first, parts = _laid_out(np.array([3, 0, 4, 4, 25, 2, 10, 1]), 10)
+    assert parts.tolist() == [1, 0, 1, 1, 3, 1, 1, 1]
+    assert [first[c] for c in (0, 2, 3, 4, 5, 6, 7)] == [0, 0, 1, 2, 5, 6, 7]
