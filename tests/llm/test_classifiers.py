@@ -134,3 +134,14 @@ def test_probabilities_against_brute_force(spark):
             assert abs(r.score - by_text[r.text].max()) < 1e-4 and (r.lang_pred == model.languages[by_text[r.text].argmax()] or np.ptp(np.sort(by_text[r.text])[-2:]) < 1e-4)
         else:
             assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
+def test_repeated_rows_of_languages(spark, labelled):
+    """A repeated row teaches again and is predicted alike."""
+    twice = labelled.unionByName(labelled)
+    rows = langid.predict(twice, langid.train(twice)).collect()
+    by_text = {}
+    for r in rows:
+        by_text.setdefault(r.text, set()).add((r.lang_pred, r.score, r.rejected))
+    assert len(rows) == 2 * labelled.count() and all(len(v) == 1 for v in by_text.values())
+    assert {v for k, own in by_text.items() if k and k.startswith("le ") for v, _, _ in own} == {"fr"}

@@ -60,3 +60,23 @@ def test_runs_decide_who_owns_a_key(spark):
 
 def test_empty_table(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_very_long_texts(spark):
+    long = "\n".join(f"line number {i} of a very long text" for i in range(60_000))
+    docs = [(1, long), (2, long), (3, "line number 7 of a very long text\nalone"), (4, "x" * 2_000_000), (5, "x" * 2_000_000 + "\nb"), (6, "X" * 2_000_000)]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    without = "\n".join(line for line in long.split("\n") if line != docs[2][1].split("\n")[0])
+    assert got[1] == (without, 60_000, 1) == got[2] and got[3] == (docs[2][1], 2, 0)
+    assert got[4] == ("", 1, 1) and got[5] == ("b", 2, 1) and got[6][1:] == (1, 0)
+
+
+def test_runs_are_joined_without_a_shuffle(spark):
+    runs = LineRuns(spark, fanout=9, files=4)
+    frame = spark.createDataFrame([(bytes([i]), i) for i in range(40)], "key binary, doc_id long")
+    for _ in range(3):
+        runs.add(frame)
+    held = [r.df for r in runs.held()]
+    joined = held[0].hint("merge").join(held[1], "key").join(held[2].hint("merge"), "key")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan and joined.count() == 40

@@ -72,3 +72,12 @@ def test_a_common_window_is_one_entry_of_a_slice(spark):
     assert sum(len(r["hashes"]) // 4 for r in rows) == 1 + 34
     got = [(r.doc_id, r.n_removed) for r in dedup_passages(docs).collect()]
     assert sorted(got) == [(0, 0), (1, 0)] + [(d, 40) for d in range(2, 51)]
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(3000)}" for _ in range(60_000)]
+    part = words[20_000:20_060]
+    docs = [(1, " ".join(words)), (2, " ".join(["own"] * 5 + part + ["more"] * 20)), (3, " ".join(f"u{i}" for i in range(40_000)) + " " + " ".join(words[59_000:]))]
+    got = [(r.doc_id, r.text, r.n_words, r.n_removed) for r in dedup_passages(spark.createDataFrame(docs, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == brute_force(docs) and [r[3] for r in got] == [0, 60, 1000]

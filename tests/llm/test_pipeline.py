@@ -64,3 +64,9 @@ def test_stages_against_brute_force(spark, sf_dir):
         docs, held = spark.createDataFrame([tuple(r) for r in rows], docs.schema), got
     run = corpus_pipeline.run(spark, sf_dir)
     assert sorted(map(tuple, run.collect())) == sorted(map(tuple, pieces))
+
+
+def test_empty_tables(spark, sf_dir, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

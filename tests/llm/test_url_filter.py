@@ -50,3 +50,11 @@ def test_empty_tables(spark):
     captures, entries = framed(spark, [(1, "http://a.com", 5, None)], [("spam", "a.com", "add", 1)])
     assert filter_urls(captures.limit(0), entries).count() == 0
     assert [r.blocked for r in filter_urls(captures, entries.limit(0)).collect()] == [False]
+
+
+def test_repeated_captures_and_long_urls(spark):
+    long = "http://x.net/" + "/".join("p" * 40 for _ in range(2000))
+    rows = [(1, "http://a.com", 5, None), (1, "http://a.com", 5, None), (1, "http://b.org", 5, None), (2, long, 5, "kept"), (3, "http://" + "s." * 500 + "a.com/", 5, None)]
+    captures, entries = framed(spark, rows, [("spam", "a.com", "add", 1), ("adult", "x.net", "add", 2), ("spam", "a.com", "add", 1)])
+    got = sorted((r.page_id, r.blocked, r.n_active) for r in filter_urls(captures, entries).collect())
+    assert got == [(1, True, 1), (2, True, 1), (3, True, 1)]  # captures that share an id are one row
