@@ -20,16 +20,12 @@ from ..operators import segmentation as W
 from ..operators import tools as T
 from ..sources import search_index, streams, topics
 from ..sources import tables as S
-from ..sources.shared import shared_folder
+from ..sources.shared import temporary_folder
 from ..streaming import answer_events, compression, instances
 from ..streaming.hot_context import LatestTable
 from .queries import AGENT, CALLS, COUNTED, DELTAS, EVENTS, MESSAGES, MODELS, ORACLES, QUERIES, REDACTED, TOKENS, query, search_asked
 
 
-def _own_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 # The loop over steps.  A user of `events` is a step; seven of them in a row are a turn.
 
 GOING = "step % 5 <> 1"
@@ -143,7 +139,7 @@ WHERE list_has_any({TOKENS}, terms) AND (a IS NULL OR created_at >= a) AND (b IS
 def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests answered from an index that two appends have made; every fifth request is over all sessions."""
     rows = S.messages(spark, sf_dir).withColumn("terms", X.search_tokens(F.col("content")))
-    index = search_index.SearchIndex(spark, _own_path(spark, "index"))
+    index = search_index.SearchIndex(spark, temporary_folder(spark, "index"))
     index.append(rows.filter("seq % 3 <> 0"), 0)
     index.append(rows.filter("seq % 3 = 0"), 1)
     n = F.col("conv_id")
@@ -159,7 +155,7 @@ def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indexed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """search_answers out of an index."""
     rows = S.messages(spark, sf_dir)
-    index = search_index.SearchIndex(spark, _own_path(spark, "index"))
+    index = search_index.SearchIndex(spark, temporary_folder(spark, "index"))
     index.append(rows.withColumn("terms", X.search_tokens(F.col("content"))), 0)
     requests = search_asked(spark, sf_dir)
     return R.answered(R.indexed_requests(index, rows, requests, n=2), requests, 2, 400)
@@ -213,7 +209,7 @@ def _letters(texts: list[str]) -> list[list[float]]:
 def stored_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memories with embeddings, added in two batches, the second of them twice."""
     rows = S.messages(spark, sf_dir).withColumn("user_id", F.col("session_id").cast("long") % 7)
-    path = _own_path(spark, "memories")
+    path = temporary_folder(spark, "memories")
     Z.remembered(Z.memory_rows(rows.filter("seq < 3"), _letters), path, 0)
     for _ in range(2):
         Z.remembered(Z.memory_rows(rows.filter("seq >= 3"), _letters), path, 1)
@@ -276,7 +272,7 @@ SELECT session_id, summary AS current_summary, made AS summary_updated_at, CASE
 def compression_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches, the second done again after its marker was lost; the summaries and the number of recent rows that are left."""
     rows = S.messages(spark, sf_dir)
-    step = compression.Compression(spark, _own_path(spark, "compression"), _short, 80)
+    step = compression.Compression(spark, temporary_folder(spark, "compression"), _short, 80)
     first = rows.filter("seq < 6")
     step.step(first, 0)
     second = H.replaced(first, step.recent().select(first.columns)).unionByName(rows.filter("seq >= 6"))
@@ -295,7 +291,7 @@ def billing_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Billed turns sent to topics and read again."""
     billed = QUERIES["billing_usage"](spark, sf_dir)
     value = F.to_json(F.struct(F.col("session_id").alias("session"), F.col("usage_tokens").alias("tokens"), F.concat(F.lit("é"), F.coalesce("model_name", F.lit(""))).alias("name")))
-    sink = topics.Topics(spark, _own_path(spark, "topics"))
+    sink = topics.Topics(spark, temporary_folder(spark, "topics"))
     sink.send(billed.select(F.concat(F.lit("billing"), F.col("session_id").cast("long") % 3).alias("topic"), value.alias("value")))
     return sink.read()
 
@@ -303,7 +299,7 @@ def billing_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {MESSAGES} SELECT session_id, seq, role, content FROM messages""")
 def stored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages appended turn by turn; an append of no rows writes nothing."""
-    rows, path = S.messages(spark, sf_dir), _own_path(spark, "messages")
+    rows, path = S.messages(spark, sf_dir), temporary_folder(spark, "messages")
     for part in ("seq < 2", "seq < 0", "seq >= 2"):
         Z.appended(rows.filter(part), path)
     return spark.read.parquet(path).select("session_id", "seq", "role", "content")
@@ -357,7 +353,7 @@ def asset_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assets of suppliers, written as files of bundles or kept in a store, and read by their keys."""
     n = F.col("s_suppkey")
     rows = S.read(spark, sf_dir, "supplier").select(n.alias("request_id"), X.object_key(F.concat(F.lit("s"), n % 7), F.lit("1.0"), F.concat(F.lit("references/"), n, F.lit(".md"))).alias("object_key"), F.col("s_name").alias("name"))
-    root = _own_path(spark, "bundles")
+    root = temporary_folder(spark, "bundles")
     S.write_assets(rows.filter("request_id % 5 IN (0, 3, 4)").select("object_key", F.to_binary("name", F.lit("utf-8")).alias("data")), root)
     stored = rows.filter("request_id % 5 IN (2, 3)").select("object_key", F.to_binary(F.concat(F.lit("far "), "name"), F.lit("utf-8")).alias("data"))
     asked = F.when(F.col("request_id") % 5 == 0, F.replace("object_key", F.lit("references/"), F.lit("references/../"))).otherwise(F.col("object_key"))
@@ -369,7 +365,7 @@ def asset_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bundle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("s_suppkey")
     rows = S.read(spark, sf_dir, "supplier").select(X.object_key(F.concat(F.lit("s"), n % 7), F.lit("1.0"), F.concat(F.lit("references/"), n, F.lit(".md"))).alias("object_key"), F.to_binary("s_name", F.lit("utf-8")).alias("data"))
-    root = _own_path(spark, "bundles")
+    root = temporary_folder(spark, "bundles")
     S.write_assets(rows, root)
     return S.read_bundles(spark, root)
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
+from contextlib import suppress
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _own_folder: str | None = None
+_temporary: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,3 +52,17 @@ def names(spark: SparkSession, path: str) -> list[str]:
     """Names of the entries of a folder."""
     files, at = _file_system(spark, path)
     return [f.getPath().getName() for f in files.listStatus(at)]
+
+
+def temporary_folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses; it is deleted when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _temporary.append((spark, path))
+    return path
+
+
+@atexit.register
+def _remove_the_rest() -> None:
+    for spark, path in _temporary:
+        with suppress(Exception):  # the session may have ended
+            remove(spark, path)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming.hot_context import OUTPUT, hot_context, live_context
-from .shared import remove, shared_folder
+from .shared import remove, temporary_folder
 
 NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -36,7 +35,7 @@ def _run(stream: DataFrame, folder: str, run: int, mode: str, no_data: bool, tim
 
 
 def _own_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return temporary_folder(spark, "stream")
 
 
 def _rows(spark: SparkSession, folder: str, schema: str) -> DataFrame:
