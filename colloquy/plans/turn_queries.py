@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timezone
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from ..operators import retrieval as R
 from ..operators import routing as G
 from ..operators import segmentation as W
 from ..operators import tools as T
-from ..sources import search_index, streams, topics
+from ..sources import asset_cache, search_index, streams, topics
 from ..sources import tables as S
 from ..sources.shared import temporary_folder
 from ..streaming import answer_events, compression, instances
@@ -370,6 +371,32 @@ def bundle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_bundles(spark, root)
 
 
+def _fetched(key: str) -> bytes | None:
+    """Stands for an object store."""
+    n = int(key.rsplit("/", 1)[1].removesuffix(".md"))
+    if n % 7 == 0:
+        raise TimeoutError(str(n))
+    return None if n % 5 == 0 else f"of {n}".encode()
+
+
+@query("""WITH k AS (SELECT s_suppkey AS n FROM supplier), b AS (SELECT 1 AS batch, n FROM k WHERE n % 2 = 0 UNION ALL SELECT 2, n FROM k UNION ALL SELECT 3, n FROM k)
+SELECT batch, n AS request_id, CASE WHEN n % 11 = 0 THEN 'bad_key' WHEN n % 7 = 0 THEN 'failed' WHEN n % 5 = 0 THEN 'not_found' WHEN batch = 1 OR (batch = 2 AND n % 2 = 1) OR (batch = 3 AND n % 2 = 0) THEN 'fetched' ELSE 'cached' END AS outcome,
+ CASE WHEN n % 11 <> 0 AND n % 7 <> 0 AND n % 5 <> 0 THEN 'of ' || n END AS text, CASE WHEN n % 11 <> 0 AND n % 7 = 0 THEN 'TimeoutError: ' || n END AS message FROM b""")
+def cached_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of reads: of even suppliers, of all, and of all after the even ones' files had gone unused."""
+    n = F.col("s_suppkey")
+    keys = S.read(spark, sf_dir, "supplier").select(n.alias("request_id"), F.when(n % 11 != 0, X.object_key(F.concat(F.lit("s"), n % 7), F.lit("1.0"), F.concat(n, F.lit(".md")))).alias("object_key"))
+    cache = asset_cache.AssetCache(spark, temporary_folder(spark, "assets"), _fetched)
+    at = lambda hour: datetime(2024, 1, 1, hour, tzinfo=timezone.utc)
+    first = cache.read(keys.filter("request_id % 2 = 0"), 1, at(1))
+    second = cache.read(keys, 2, at(2))
+    cache.read(keys.filter("request_id % 2 = 1"), 9, at(5))
+    cache.drop_unused(at(6), 2 * 3600)
+    third = cache.read(keys, 3, at(7))
+    out = [r.select(F.lit(k).alias("batch"), "request_id", "outcome", F.decode("data", "utf-8").alias("text"), "message") for k, r in enumerate((first, second, third), 1)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("SELECT 'p7' AS skill_id, p_name AS display_name FROM part WHERE p_partkey = 7")
 def skill_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     skills = S.read(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("skill_id"), F.col("p_name").alias("display_name"))

@@ -91,7 +91,7 @@ def read_assets(spark: SparkSession, root: str, requests: DataFrame, stored: Dat
     return rows.select("request_id", outcome.alias("outcome"), data.alias("data"))
 
 
-def _opened(uri: str) -> tuple[pa.fs.FileSystem, str]:
+def opened(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if re.match("file:/[^/]", uri) else uri if "://" in uri else "file://" + uri)
 
 
@@ -105,7 +105,7 @@ def write_assets(assets: DataFrame, root: str) -> int:
         n = 0
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                store, at = _opened(path)
+                store, at = opened(path)
                 store.create_dir(at.rsplit("/", 1)[0], recursive=True)
                 with store.open_output_stream(at) as stream:
                     stream.write(data or b"")
@@ -120,7 +120,7 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             try:
-                files, at = _opened(path)
+                files, at = opened(path)
                 with files.open_input_stream(at) as stream:
                     data = stream.readall()
             except FileNotFoundError:

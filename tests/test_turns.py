@@ -411,3 +411,32 @@ def test_answers_out_of_an_index_with_a_dictionary(spark, tmp_path):
     found = retrieval.indexed_requests(index, rows, asked, dictionary)
     assert sorted((r.request_id, r.session_id, r.seq) for r in found.collect()) == [(1, "s", 1), (1, "s", 3), (2, "s", 1), (2, "t", 1)]
     assert [(r.request_id, r.session_id, r.seq) for r in retrieval.indexed_requests(index, rows, asked, dictionary, 1).filter("request_id = 1").collect()] == [(1, "s", 3)]
+
+
+def test_assets_behind_a_cache(spark, tmp_path):
+    from datetime import datetime, timedelta, timezone
+
+    from colloquy.sources.asset_cache import AssetCache
+
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def fetch(key):
+        (log / f"{key}-{len(list(log.glob(key + '-*')))}").touch()
+        if key == "bad":
+            raise OSError("away")
+        return None if key == "none" else key.encode() * 3
+
+    now = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    cache = AssetCache(spark, str(tmp_path / "cache"), fetch)
+    assert cache.drop_unused(now, 0) == 0
+    asked = spark.createDataFrame([(1, "a"), (2, "a"), (3, "bad"), (4, "none"), (5, ""), (6, None), (7, "é")], "request_id int, object_key string")
+    read = lambda batch, at: {r.request_id: (r.outcome, r.data and bytes(r.data).decode()) for r in cache.read(asked, batch, at).collect()}
+    first = read(0, now)
+    assert first == {1: ("fetched", "aaa"), 2: ("fetched", "aaa"), 3: ("failed", None), 4: ("not_found", None), 5: ("bad_key", None), 6: ("bad_key", None), 7: ("fetched", "ééé")}
+    assert read(1, now + timedelta(hours=1)) == {**first, 1: ("cached", "aaa"), 2: ("cached", "aaa"), 7: ("cached", "ééé")}
+    assert len(list(log.glob("a-*"))) == 1 and len(list(log.glob("bad-*"))) == 2
+    cache.read(asked.filter("request_id = 1"), 2, now + timedelta(hours=3)).count()
+    assert cache.drop_unused(now + timedelta(hours=4), 7200) == 1  # what was used an hour ago stays
+    assert {k: v[0] for k, v in read(3, now + timedelta(hours=4)).items() if k in (1, 7)} == {1: "cached", 7: "fetched"}
+    assert cache.read(asked.limit(0), 4, now).count() == 0
