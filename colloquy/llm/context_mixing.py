@@ -59,7 +59,7 @@ GATES = len(START)
 PRIOR = 0.15  #: added to the counts of either way
 CURVE = 33  #: points of the refinement
 END_KEY = 1  #: in the counts of tokens, the end of a text; words have other keys
-SLICE_BYTES, PART_BYTES = 10 << 20, 1 << 20  #: of text that asks together, and that is coded together
+SLICE_BYTES, PART_BYTES = 6 << 20, 1 << 20  #: of text that asks together, and that is coded together
 SLICE_ROWS = 1 << 14  #: rows of a slice at most
 SHARD_BYTES = 8 << 20  #: of text that a shard has the contexts of
 SPARE_BITS = 6  #: of hash for each byte of the corpus
@@ -226,14 +226,15 @@ class Part:
     b: int
     pairs: np.ndarray
     first: np.ndarray
-    tails: np.ndarray
+    buffer: np.ndarray
+    places: np.ndarray
     asked: Asked
 
 
 def _parts(data: np.ndarray, offsets: np.ndarray, bits: int) -> Iterator[Part]:
     for a, b in slices(data, offsets, PART_BYTES):
         buffer, places, first = laid_out(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        yield Part(a, b, pairs_at(buffer, places), first, tails(buffer, places), Asked.of(buffer, places, bits))
+        yield Part(a, b, pairs_at(buffer, places), first, buffer, places, Asked.of(buffer, places, bits))
 
 
 def _stretched(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -259,11 +260,20 @@ def said(code: Code, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
     return starts, values
 
 
-def table_counts(code: Code, pairs: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """(order, slot, bit): how often each way was taken at the places."""
-    _, of, step = code.steps(pairs)
-    node, bit = code.nodes[step].astype(np.uint32), code.bits[step]
-    return np.stack([np.bincount(slots(t, of, node) << np.uint32(1) | bit, minlength=2 << TABLE_BITS) for t in tail]).reshape(len(ORDERS), -1, 2)
+def add_to_tables(tables: np.ndarray, code: Code, data: np.ndarray, places: np.ndarray, which: np.ndarray) -> None:
+    """Counts in tables (order, slot, bit) how often each way was taken at the places for which `which` is 1.
+
+    Places that share their bytes and the five before them are looked at once.
+    """
+    before = np.ndarray((len(data) - GAP + 1,), "<u8", data, strides=(1,))[places - GAP + 1]  # with the byte itself
+    encoded = pa.array((before[which] >> np.uint64(8 * (7 - max(ORDERS)))).view(np.int64)).dictionary_encode()
+    n = np.bincount(encoded.indices.to_numpy()).astype(np.uint32)
+    first = np.empty(len(n), np.int64)
+    first[encoded.indices.to_numpy()[::-1]] = np.flatnonzero(which)[::-1]
+    _, of, step = code.steps(pairs_at(data, places[first]))
+    node, bit, n = code.nodes[step].astype(np.uint32), code.bits[step], n[of]
+    for k, tail in enumerate(tails(data, places[first])):
+        np.add.at(tables[k].reshape(-1), slots(tail, of, node) << np.uint32(1) | bit, n)
 
 
 class Mixer:
@@ -432,11 +442,12 @@ def _asked(bits: int, shard_bits: int, code: Code):
                 table, data, offsets = _read(unit.as_buffer())
                 taught = ~np.array(table.column("held_out"))
                 runs, counts = [], []
+                del table
                 for part in _parts(data, offsets, bits):
                     runs.append(part.asked.keys)
                     learn = np.repeat(taught[part.a : part.b], np.diff(part.first))
                     counts.append(part.asked.counts(learn))
-                    tables += table_counts(code, part.pairs[learn], part.tails[:, learn]).astype(np.uint32)
+                    add_to_tables(tables, code, part.buffer, part.places, learn)
                 keys, place = _merged(runs)
                 counts = np.bincount(place, np.concatenate(counts), len(keys))
                 context = keys >> np.uint64(16)
@@ -492,7 +503,7 @@ def _scored(code: Code, tables: Broadcast, bits: int, keys: np.ndarray, counts:
             a, b = part.a, part.b
             own = starts[places[seen : seen + len(part.asked.keys)]]
             seen += len(part.asked.keys)
-            log2 = mixer.log2(part.pairs, part.first, part.tails, part.asked.entries, own, values)
+            log2 = mixer.log2(part.pairs, part.first, tails(part.buffer, part.places), part.asked.entries, own, values)
             at = offsets[a : b + 1] - offsets[a]
             found, words = _tokens(data[offsets[a] : offsets[b]], at)
             text = np.repeat(np.arange(b - a), np.diff(words))

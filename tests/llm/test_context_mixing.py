@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from colloquy.llm import context_mixing as cm
-from colloquy.llm.context_mixing import Asked, Code, Mixer, laid_out, pairs_at, said, score_texts, table_counts, tails
+from colloquy.llm.context_mixing import Asked, Code, Mixer, laid_out, pairs_at, said, score_texts, tails
 from colloquy.llm.lexing import text_bytes
 
 
@@ -21,7 +21,8 @@ class Trained:
         self.code = Code.of(np.bincount(pairs_at(buffer, places), minlength=1 << 16).reshape(256, 256))
         self.bits, self.asked = bits, Asked.of(buffer, places, bits)
         self.counts = self.asked.counts(np.ones(len(places), bool))
-        found = table_counts(self.code, pairs_at(buffer, places), tails(buffer, places))
+        found = np.zeros((len(cm.ORDERS), 1 << cm.TABLE_BITS, 2), np.uint32)
+        cm.add_to_tables(found, self.code, buffer, places, np.ones(len(places), bool))
         self.tables = cm._stretched(found[..., 0], found[..., 1])
 
     def log2(self, data, offsets):
