@@ -162,9 +162,13 @@ class Asked:
     made for one of each only.
     """
 
-    keys: np.ndarray
+    keys: np.ndarray  #: those of the first context in order, then those of the second
+    cut: int
     entries: list[np.ndarray]
 
+    def runs(self) -> list[np.ndarray]:
+        return [self.keys[: self.cut], self.keys[self.cut :]]
+
     @classmethod
     def of(cls, data: np.ndarray, places: np.ndarray, bits: int) -> Asked:
         spans = SpanHashes(data)
@@ -192,14 +196,14 @@ class Asked:
             if seed is not None:
                 context = mixed(context + np.uint64(SEEDS[1]) + np.uint64(3) * np.repeat(seed[model], lengths))
             keys = (context >> np.uint64(64 - bits)) << np.uint64(16) | low[at].astype(np.uint64)
-            distinct = pa.array(keys.view(np.int64)).dictionary_encode()
-            key_of = distinct.indices.to_numpy() + np.int32(known)
-            found.append(distinct.dictionary.to_numpy().view(np.uint64))
-            known += len(found[-1])
+            distinct, key_of = _merged([keys])
+            key_of += np.int32(known)
+            found.append(distinct)
+            known += len(distinct)
             shift = np.repeat((ends - lengths)[encoded] - first, sizes)
             shift += np.arange(len(places))
             entries.append(key_of[shift])
-        return cls(np.concatenate(found), entries)
+        return cls(np.concatenate(found), len(found[0]), entries)
 
     def counts(self, which: np.ndarray) -> np.ndarray:
         """How often each key occurs at the places for which `which` is 1."""
@@ -209,7 +213,7 @@ class Asked:
 def _merged(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(distinct values in ascending order, the place there of each value)."""
     every = np.concatenate(runs)
-    order = np.argsort(every)
+    order = np.argsort(every, kind="stable" if len(runs) > 1 else None)  # what is in order already is merged
     every = every[order]
     fresh = np.ones(len(every), bool)
     fresh[1:] = every[1:] != every[:-1]
@@ -444,7 +448,7 @@ def _asked(bits: int, shard_bits: int, code: Code):
                 runs, counts = [], []
                 del table
                 for part in _parts(data, offsets, bits):
-                    runs.append(part.asked.keys)
+                    runs += part.asked.runs()
                     learn = np.repeat(taught[part.a : part.b], np.diff(part.first))
                     counts.append(part.asked.counts(learn))
                     add_to_tables(tables, code, part.buffer, part.places, learn)
@@ -494,7 +498,7 @@ def _scored(code: Code, tables: Broadcast, bits: int, keys: np.ndarray, counts:
         number = units.column("slice")[0].as_py()
         table, data, offsets = _read(units.column("texts")[0].as_buffer())
         parts = list(_parts(data, offsets, bits))
-        asked, places = _merged([part.asked.keys for part in parts])
+        asked, places = _merged([run for part in parts for run in part.asked.runs()])
         starts = np.zeros(len(asked) + 1, np.int64)
         np.cumsum(code.lengths[(asked & np.uint64(0xFFFF)).astype(np.int32)], out=starts[1:])
         values = np.concatenate([np.frombuffer(_spread(v.as_py()), np.int8) for v in told.sort_by("shard").column("said")])
