@@ -7,7 +7,6 @@ import re
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +122,8 @@ def run_tokens(runs: DataFrame, dictionary: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<string>")
     def cut(run, words, counts):
+        import pandas as pd
+
         none = lambda x: [] if x is None else x
         return pd.Series([Words(zip(none(w), none(c), strict=True), total).tokens(r) for r, w, c in zip(run, words, counts, strict=True)], dtype=object)
 

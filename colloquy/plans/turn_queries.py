@@ -19,11 +19,9 @@ from ..operators import retrieval as R
 from ..operators import routing as G
 from ..operators import segmentation as W
 from ..operators import tools as T
-from ..sources import asset_cache, search_index, streams, topics
+from ..sources import asset_cache, search_index
 from ..sources import tables as S
 from ..sources.shared import temporary_folder
-from ..streaming import answer_events, compression, instances
-from ..streaming.hot_context import LatestTable
 from .queries import AGENT, CALLS, COUNTED, DELTAS, EVENTS, MESSAGES, MODELS, ORACLES, QUERIES, REDACTED, TOKENS, query, search_asked
 
 
@@ -93,6 +91,9 @@ def delta_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream form of delta_events, in three runs from one checkpoint; a step's last fragment is marked."""
     from pyspark.sql import Window
 
+    from ..sources import streams  # brings pandas, which a driver without streams does without
+    from ..streaming import answer_events
+
     deltas = S.deltas(spark, sf_dir)
     marked = deltas.select("step", "seq", "content", "reasoning_content", (F.col("seq") == F.max("seq").over(Window.partitionBy("step"))).alias("last"))
     return streams.run_in_parts(marked, "seq", answer_events.answer_events, answer_events.OUTPUT)
@@ -233,6 +234,8 @@ held AS (SELECT * FROM own UNION ALL SELECT user_id, event_id, ts FROM before WH
 SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS seq, least(total, 50) AS n FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age FROM held) WHERE age <= 50""")
 def live_context_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recent messages of the sessions that had one in the last 24 hours; those that were silent as long began again from their stored history."""
+    from ..sources import streams
+
     return streams.live_messages(spark, sf_dir, CUT)
 
 
@@ -243,6 +246,9 @@ SELECT r.service, r.event_id AS request_id, known[1 + r.event_id % len(known)] A
 FROM requests r ASOF LEFT JOIN pushes p ON p.service = r.service AND p.event_id <= r.event_id""")
 def pushed_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth event is a push, every third of those is empty or holds nothing usable; the others are requests."""
+    from ..sources import streams
+    from ..streaming import instances
+
     k = F.get_json_object("props", "$.k").cast("long")
     e = S.read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 5).alias("service"), k.alias("k"), F.timestamp_seconds(F.col("event_id")).alias("at"))
     host = lambda n, healthy: F.struct(F.concat(F.lit("h"), F.col("k") % n).alias("address"), healthy.alias("healthy"), F.lit(None).cast("boolean").alias("enabled"))
@@ -272,6 +278,8 @@ latest AS (SELECT session_id, 1 AS batch, made, summary FROM s1 UNION ALL SELECT
 SELECT session_id, summary AS current_summary, made AS summary_updated_at, CASE batch WHEN 1 THEN (SELECT count(*) FROM k1 WHERE k1.session_id = b.session_id) ELSE (SELECT count(*) FROM k0 WHERE k0.session_id = b.session_id) END AS n_recent FROM latest b""")
 def compression_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches, the second done again after its marker was lost; the summaries and the number of recent rows that are left."""
+    from ..streaming import compression
+
     rows = S.messages(spark, sf_dir)
     step = compression.Compression(spark, temporary_folder(spark, "compression"), _short, 80)
     first = rows.filter("seq < 6")
@@ -290,6 +298,8 @@ BILLED = f"""{AGENT}, {REDACTED}, {COUNTED}, {MODELS}, u AS (SELECT session_id,
 @query(f"""WITH {BILLED} SELECT 'billing' || (CAST(session_id AS BIGINT) % 3) AS topic, '{{"session":"' || session_id || '","tokens":' || usage_tokens || ',"name":"é' || coalesce(model_name, '') || '"}}' AS value FROM u LEFT JOIN models m ON m.model_id = u.model_id""")
 def billing_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Billed turns sent to topics and read again."""
+    from ..sources import topics
+
     billed = QUERIES["billing_usage"](spark, sf_dir)
     value = F.to_json(F.struct(F.col("session_id").alias("session"), F.col("usage_tokens").alias("tokens"), F.concat(F.lit("é"), F.coalesce("model_name", F.lit(""))).alias("name")))
     sink = topics.Topics(spark, temporary_folder(spark, "topics"))
@@ -309,6 +319,8 @@ def stored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey AS id, p_name AS name, p_size % 10 = 0 AS is_large FROM part WHERE p_partkey % 2 = 1")
 def refreshed_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A view refreshed four times: with other rows, with none, with a failure, and with these."""
+    from ..streaming.hot_context import LatestTable
+
     part = S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") % 10 == 0).alias("is_large"))
     loads = iter([part, part.filter("id % 2 = 1"), part.limit(0), None])
     view = LatestTable(f"refreshed_{uuid.uuid4().hex}", lambda: next(loads))
