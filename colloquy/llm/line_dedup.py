@@ -27,7 +27,7 @@ from .storage import Bucketed, free_name, stage
 
 RUN_SCHEMA = "key binary, owner long, n_docs long"
 BATCH_KEYS, LEAST_BATCHES = 500_000_000, 4  #: line keys of a batch at most
-FILE_KEYS, LEAST_FILES = 4_000_000, 8  #: line keys for each file of a run
+FILE_KEYS, LEAST_FILES = 4_000_000, 4  #: line keys for each file of a run
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:

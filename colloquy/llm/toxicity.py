@@ -195,6 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ends = np.cumsum(pc.binary_length(table.column("terms")).to_numpy()) // 4
     buckets = np.concatenate([np.frombuffer(t.as_buffer(), "<i4") for t in table.column("terms")]) if len(ends) else np.zeros(0, np.int32)
     del table
+    pa.default_memory_pool().release_unused()  # the driver's memory is bounded too
     return fit(Sample(labels_of, np.concatenate([[0], ends]).astype(np.int64), buckets), factors)
 
 
