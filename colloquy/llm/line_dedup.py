@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lexing import BLANKS, slices, text_bytes
-from .storage import Bucketed, free_name, stage
+from .storage import Bucketed, finished, free_name, stage
 
 RUN_SCHEMA = "key binary, owner long, n_docs long"
 BATCH_KEYS, LEAST_BATCHES = 500_000_000, 4  #: line keys of a batch at most
@@ -177,6 +177,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = stage(marks.join(common, "key", "left_semi").groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("key").alias(drop)), "line-drops")
     for s in (*marked, *runs.held()):
         s.drop()
+    finished(spark)
     joined = docs.join(drops.df.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col(own), "left").select(*docs.columns, drop)
     schema = T.StructType([*docs.withColumn(text_col, F.col(text_col).cast("string")).schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return joined.mapInArrow(_rewritten(docs.columns.index(text_col), len(docs.columns), min_chars, schema.names), schema)

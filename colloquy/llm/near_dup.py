@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .lexing import SEEDS, SpanHashes, lower_ascii, mixed, slices, span_hash, split_words, text_bytes, windows
-from .storage import Staged, free_name, stage
+from .storage import Staged, finished, free_name, stage
 
 SHINGLE = 5
 BINS, BANDS = 120, 24
@@ -379,6 +379,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = components(links.unionByName(rest.df).unionByName(_shared_ids(copies.df)))
     for s in (shared, texts, pivots, to_pivots, first, hubs, to_hubs, second, rest):
         s.drop()
+    finished(docs.sparkSession)
     alone = signed.df.filter("doc_id IS NULL OR k1 IS NULL").select("doc_id", F.col("doc_id").alias("rep"))
     every = copies.df.unionByName(alone)
     return every.join(final.df.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))

@@ -87,6 +87,11 @@ def stage(df: DataFrame, label: str) -> Staged:
     return Staged(df, label)
 
 
+def finished(spark: SparkSession) -> None:
+    """After a step of many jobs: its plans and generated code leave the driver at once, not when its heap is full."""
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch() -> Iterator[Callable[[Staged], Staged]]:
     """Tables that are staged inside and not passed to the yielded function are dropped at the end."""
