@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import listed, skill_document
@@ -69,12 +69,23 @@ def weighted_shares(instances: DataFrame) -> DataFrame:
 def pick_weighted(instances: DataFrame, requests: DataFrame) -> DataFrame:
     """requests (request_id, service, draw in [0, 1)): the instance whose share holds the draw.
 
-    A service's shares are one row with an array, so a request is one row throughout.
+    A service's shares are one row with an array, so a request is one row
+    throughout; it is halved until one share is left, so that a request's work
+    is the logarithm of the number of instances.
     """
-    share = F.struct("low", "high", "address")
-    shares = weighted_shares(instances).groupBy("service").agg(F.collect_list(share).alias("shares"))
-    hit = F.filter("shares", lambda s: (F.col("draw") >= s["low"]) & (F.col("draw") < s["high"]))
-    return requests.join(shares, "service").select("request_id", "service", F.get(hit, F.lit(0))["address"].alias("address")).filter("address IS NOT NULL")
+    share = F.struct("high", "address")  # a share begins where the one before it ends
+    shares = weighted_shares(instances).filter("high > low").groupBy("service").agg(F.array_sort(F.collect_list(share)).alias("shares"))
+    n = F.size("shares")
+    steps = F.sequence(F.lit(1), F.length(F.bin(n)))
+    span = F.struct(F.lit(0).alias("low"), (n - 1).alias("high"))  # places that the first share with high > draw can have
+
+    def halved(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        left = F.get("shares", middle)["high"] > F.col("draw")
+        return F.struct(F.when(left, s["low"]).otherwise(F.least(middle + 1, s["high"])).alias("low"), F.when(left, middle).otherwise(s["high"]).alias("high"))
+
+    held = requests.join(shares, "service").filter((F.col("draw") >= 0) & (F.col("draw") < F.get("shares", n - 1)["high"]))
+    return held.select("request_id", "service", F.get("shares", F.reduce(steps, span, halved)["low"])["address"].alias("address"))
 
 
 def pick_in_turn(instances: DataFrame, requests: DataFrame) -> DataFrame:

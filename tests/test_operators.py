@@ -214,6 +214,15 @@ def test_weights_that_are_not_positive_count_alike(spark):
     assert [(r.low, r.high) for r in routing.weighted_shares(rows).orderBy("address").collect()] == [(0.0, 0.5), (0.5, 1.0)]
 
 
+def test_weighted_pick_meets_a_share_for_every_draw(spark):
+    rows = spark.range(3000).select(F.lit(1).alias("service"), F.format_string("%05d", "id").alias("address"), F.when(F.col("id") % 10 != 3, (F.col("id") % 7 + 1) / 10).otherwise(0).alias("weight"))
+    shares = [r for r in routing.weighted_shares(rows).orderBy("address").collect() if r.high > r.low]
+    draws = [(k, 1, r.high) for k, r in enumerate(shares[:-1])] + [(-1, 1, 0.0), (-2, 1, 1.5), (-3, 1, -0.1), (-4, 1, None), (-5, 2, 0.5)]
+    picked = {r.request_id: r.address for r in routing.pick_weighted(rows, spark.createDataFrame(draws, "request_id long, service int, draw double")).collect()}
+    assert picked == {k: r.address for k, r in enumerate(shares[1:])} | {-1: shares[0].address}
+
+
+
 def value(spark, column):
     return spark.range(1).select(column.alias("v")).first().v
 
