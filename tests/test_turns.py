@@ -5,7 +5,9 @@ import math
 import os
 import random
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -86,6 +88,27 @@ def test_places_come_back(places):
     assert [a.tolist() for a in again] == [at.tolist(), seq.tolist()]
 
 
+def test_blocks_are_coded_and_decoded_together(monkeypatch):
+    monkeypatch.setattr(search_index, "BLOCK", 5)
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.integers(0, 300, 2000))
+    at, seq = rng.integers(-(2**60), 2**60, 2000), rng.integers(0, 2**40, 2000)
+    order = np.lexsort((seq, at, keys))
+    at, seq = at[order], seq[order]
+    columns = [pa.array(keys % 7), pa.array([f"t{k}" for k in keys]), pa.array(["s"] * 2000), pa.array(at), pa.array(seq)]
+    blocks = next(search_index._postings(iter([pa.RecordBatch.from_arrays(columns, ["part", "term", "session_id", "at", "seq"])])))
+    for row, start in zip(blocks.to_pylist(), np.cumsum(blocks.column(4).to_numpy()) - blocks.column(4).to_numpy(), strict=True):
+        own = slice(start, start + row["n"])
+        assert row["places"] == search_index.coded_places(at[own], seq[own]) and row["n"] <= 5
+        assert (row["term"], row["first_at"], row["last_at"]) == (f"t{keys[start]}", at[own][0], at[own][-1])
+    asked = pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks)).astype(str)), blocks.column(1), pa.array([None] * len(blocks), pa.int64()), pa.array([0] * len(blocks)), blocks.column(4), blocks.column(5)], list("abcdef"))
+    found = list(search_index._places(iter([asked, asked.slice(0, 0)])))
+    assert len(found) == 1  # not one for each block
+    assert found[0].column(2).to_pylist() == seq[at <= 0].tolist() and found[0].column(3).to_pylist() == at[at <= 0].tolist()
+    monkeypatch.setattr(search_index, "DECODED", 100)
+    assert sum((b.column(2).to_pylist() for b in search_index._places(iter([asked]))), []) == seq[at <= 0].tolist()
+
+
 def test_the_index_equals_the_scan(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(search_index, "BLOCK", 3)
     rng = random.Random(4)
