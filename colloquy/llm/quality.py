@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lexing import IS_BLANK, IS_MARK, SpanHashes, mixed, slices, text_bytes
-from .sampling import first_by_hash
 from .wordids import named_pairs, numbered
 
 BUCKET_BITS = 16
@@ -55,18 +54,46 @@ def hashed_ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return rows[order], (hashes[order] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's n-grams by bucket: of all its documents, and of its trusted ones."""
-    totals = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, the buckets of its n-grams, two bytes each), a slice of texts at a time."""
     for batch in batches:
-        data, offsets = text_bytes(batch.column(0))
-        trusted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        data, offsets = text_bytes(batch.column(1))
         for a, b in slices(data, offsets):
             rows, buckets = hashed_ngrams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            totals[0] += np.bincount(buckets, minlength=1 << BUCKET_BITS)
-            totals[1] += np.bincount(buckets[trusted[a + rows]], minlength=1 << BUCKET_BITS)
-    some = np.flatnonzero(totals[0])
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(totals[0, some]), pa.array(totals[1, some])], ["bucket", "raw", "trusted"])
+            ends = 2 * np.cumsum(np.bincount(rows, minlength=b - a))
+            held = [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(buckets.astype(np.uint16))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.Array.from_buffers(pa.binary(), b - a, held)], ["id", "grams"])
+
+
+def _counted_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's n-grams by bucket."""
+    total = np.zeros(1 << BUCKET_BITS, np.int64)
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(0))
+        for a, b in slices(data, offsets):
+            total += np.bincount(hashed_ngrams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[1], minlength=1 << BUCKET_BITS)
+    yield _buckets(total)
+
+
+def _counted_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same from what `_coded` gives."""
+    total = np.zeros(1 << BUCKET_BITS, np.int64)
+    for batch in batches:
+        for k in range(0, batch.num_rows, 512):
+            some = b"".join(batch.column(0).slice(k, 512).to_pylist())
+            total += np.bincount(np.frombuffer(some, np.uint16), minlength=1 << BUCKET_BITS)
+    yield _buckets(total)
+
+
+def _buckets(total: np.ndarray) -> pa.RecordBatch:
+    some = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+
+
+def _summed(counts: DataFrame) -> np.ndarray:
+    held, out = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow(), np.zeros(1 << BUCKET_BITS)  # 2**16 rows at most
+    out[held.column("bucket").to_numpy()] = held.column("n").to_numpy()
+    return out
 
 
 @dataclass
@@ -143,11 +170,11 @@ def _threshold(bins: np.ndarray, trusted: np.ndarray, others: np.ndarray) -> flo
     return float((bins[best - 1] + 1 + (bins[best] if best < len(bins) else bins[best - 1] + 1)) / 2 * BIN)
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", min_words: int = 10, repeated_percent: int = 20, sample: int = 20_000) -> Model:
-    """Counts the raw multinomial over all documents, the trusted one over labelled ones, and sets the threshold.
+def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", min_words: int = 10, repeated_percent: int = 20) -> Model:
+    """Counts the raw multinomial over all documents, the trusted one over all labelled ones, and sets the threshold by all that are held out.
 
-    At most `sample` labelled documents are used, those with the smallest id
-    hashes; the bound holds at any size, so that no text is shuffled.
+    No text is shuffled: a label meets its document's n-grams, two bytes each,
+    or its score.
 
     labels: (id_col, label_col 0 or 1), 1 being trusted; of several labels of a
     document the least counts, null labels and ids say nothing.  `held_out`, a
@@ -156,20 +183,17 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
     trusted documents, or held-out ones of both labels, every text passes.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col)).agg(F.min(label_col).alias("label")).withColumn("held_out", held_out)
-    known = F.broadcast(first_by_hash(known.select(F.col(id_col).cast("long").alias("id"), "label", "held_out"), "id", sample))  # at most `sample` rows of three numbers
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    marked = texts.join(known, "id", "left")
-    trusted = F.coalesce((F.col("label") == 1) & ~F.col("held_out"), F.lit(False))
-    counts = marked.select("text", trusted.alias("trusted")).mapInArrow(_counted, "bucket long, raw long, trusted long")
-    counts = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toArrow()  # 2**16 rows at most
-    raw, own = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
-    raw[counts.column("bucket").to_numpy()] = counts.column("raw").to_numpy()
-    own[counts.column("bucket").to_numpy()] = counts.column("trusted").to_numpy()
+    known = known.select(F.col(id_col).cast("long").alias("id"), "label", "held_out").hint("merge")  # at any size, as labels grow with the documents
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    raw = _summed(texts.select("text").mapInArrow(_counted_texts, "bucket long, n long"))
+    grams = texts.filter("NOT held_out AND id IS NOT NULL").select("id", "text").mapInArrow(_coded, "id long, grams binary")
+    own = _summed(grams.join(known.filter("label = 1 AND NOT held_out").select("id"), "id").select("grams").mapInArrow(_counted_grams, "bucket long, n long"))
     if not own.sum():
         return Model(np.zeros(1 << BUCKET_BITS))
     model = Model(np.log(own + PRIOR) - np.log(raw * (own.sum() / raw.sum()) + PRIOR))
 
-    judged = judge(texts.join(known, "id").filter("held_out").select("text", "label"), model, "text", min_words, repeated_percent).filter("NOT base_failed")
+    judged = judge(texts.filter("held_out AND id IS NOT NULL").select("id", "text"), model, "text", min_words, repeated_percent)
+    judged = judged.filter("NOT base_failed").select("id", "score").join(known.filter("held_out").select("id", "label"), "id")
     bins = judged.groupBy(F.floor(F.col("score") / BIN).alias("bin")).agg(F.count_if(F.col("label") == 1).alias("trusted"), F.count_if(F.col("label") != 1).alias("others"))
     bins = bins.orderBy("bin").toArrow()  # scores are within 20 of 0
     model.threshold = _threshold(*(bins.column(k).to_numpy() for k in ("bin", "trusted", "others")))

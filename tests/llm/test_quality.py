@@ -86,6 +86,14 @@ def test_the_counts_are_those_of_two_multinomials(spark):
     assert judge(docs.filter("doc_id = 7"), model).first().score == pytest.approx(expected[buckets].sum() / (len(buckets) + quality.NEUTRAL))
 
 
+def test_every_trusted_document_counts_and_no_text_is_shuffled(spark):
+    n = 21_000  # more labels than were used of old
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("aa bb cc dd ee ff gg hh ii jj w"), F.col("id")).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    model = train(docs, labels, F.lit(False))
+    assert np.allclose(model.ratios, 0)  # all are trusted, so that both multinomials are one
+
+
 def test_without_labels_every_text_passes(spark):
     docs, labels = corpus(spark, 40)
     for some in (labels.limit(0), labels.filter("quality = 0"), labels.filter("quality = 1")):
