@@ -11,6 +11,7 @@ with the model in the closure; nothing is shuffled.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,7 @@ from .storage import free_name
 BUCKET_BITS = 18
 BEGINNINGS = (4, 5, 6)  #: bytes
 STEP_DOCS = 128  #: documents of a training step
+TERMS = "label double, terms binary"
 
 
 def hashed_terms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -177,26 +179,33 @@ def _indexed(buckets: np.ndarray) -> np.ndarray:
     return index
 
 
+def _sample(batches: list[pa.RecordBatch]) -> Sample:
+    """Rows (label, terms) in an order that doesn't depend on the batches."""
+    table = pa.Table.from_batches(batches, pa.schema([("label", pa.float64()), ("terms", pa.binary())])).sort_by([("label", "ascending"), ("terms", "ascending")]).combine_chunks()
+    ends = np.cumsum(pc.binary_length(table.column("terms")).to_numpy()) // 4
+    buckets = np.concatenate([np.frombuffer(t.as_buffer(), "<i4") for t in table.column("terms")]) if len(ends) else np.zeros(0, np.int32)
+    return Sample(table.column("label").to_numpy(), np.concatenate([[0], ends]).astype(np.int64), buckets)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 10_000, factors: int = 8) -> Model:
     """Fits on at most `sample` labelled documents, those with the smallest id hashes; the bound holds at any size.
 
     Null labels and ids teach nothing; of several labels of a document the
     largest counts; each row of a repeated doc_id teaches, up to twice the
     sample.  With labels of one class only, every score is their share; without
-    any, it is 0.02.
+    any, it is 0.02.  One task learns, so that the driver holds the model only.
     """
     own, known = free_name("__id", docs), free_name("__label", docs)
     labelled = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(own)).agg(F.max(label_col).cast("double").alias(known))
     bounded = F.broadcast(first_by_hash(labelled, own, sample))  # at most `sample` rows of two numbers
     rows = docs.join(bounded, docs[id_col] == F.col(own)).select(F.col(text_col).cast("string"), known)
-    table = rows.mapInArrow(_distinct_terms, "label double, terms binary").limit(2 * sample).toArrow()
-    table = table.sort_by([("label", "ascending"), ("terms", "ascending")]).combine_chunks()
-    labels_of = table.column("label").to_numpy()
-    ends = np.cumsum(pc.binary_length(table.column("terms")).to_numpy()) // 4
-    buckets = np.concatenate([np.frombuffer(t.as_buffer(), "<i4") for t in table.column("terms")]) if len(ends) else np.zeros(0, np.int32)
-    del table
-    pa.default_memory_pool().release_unused()  # the driver's memory is bounded too
-    return fit(Sample(labels_of, np.concatenate([[0], ends]).astype(np.int64), buckets), factors)
+
+    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(_sample(list(batches)), factors))], pa.binary())], ["model"])
+
+    chosen = rows.mapInArrow(_distinct_terms, TERMS).limit(2 * sample)  # one partition
+    models = chosen.mapInArrow(learnt, "model binary").toArrow().column("model")
+    return pickle.loads(models[0].as_py()) if len(models) else fit(_sample([]), factors)  # no rows, no task
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:

@@ -72,6 +72,15 @@ def sample_of(rows):
     return toxicity.Sample(np.array([float(y) for _, y in rows]), sizes, np.array([b for t, _ in rows for b in sorted(t)], np.int32))
 
 
+def test_a_task_learns_and_not_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "fine words here" if k % 2 else "vile words here") for k in range(200)], "doc_id long, text string")
+    labels = docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("toxic"))
+    monkeypatch.setattr(toxicity, "Sample", None)  # in the driver only
+    model = toxicity.train(docs, labels)
+    assert {r.predicted for r in toxicity.score(docs.filter("doc_id % 2 = 0"), model).collect()} == {1}
+    assert {r.predicted for r in toxicity.score(docs.filter("doc_id % 2 = 1"), model).collect()} == {0}
+
+
 @pytest.mark.parametrize("label", [lambda a, b: a != b, lambda a, b: a == b])
 def test_terms_that_tell_nothing_alone(label):
     """Exactly one of two terms, or both or none: neither term is associated with the label by itself."""
