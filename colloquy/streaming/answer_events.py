@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.deltas import EVENTS
@@ -23,10 +22,11 @@ class AnswerEvents(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.flags = handle.getValueState("flags", "thinking boolean, talking boolean, ended boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        thinking, talking, ended = self.flags.get() if self.flags.exists() else (False, False, False)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.flags.get()  # each call of a state is a message to the JVM and back
+        thinking, talking, ended = before = tuple(held) if held else (False, False, False)
         out: list[tuple] = []
-        fragments = sorted((r for frame in rows for r in frame.itertuples()), key=lambda r: r.seq)
+        fragments = sorted(rows, key=lambda r: r.seq)
         for r in fragments:
             if ended:
                 break
@@ -44,10 +44,10 @@ class AnswerEvents(StatefulProcessor):
             if r.last:
                 out += [(None, 5, None)] * thinking + [(None, 6, None)] * talking
                 thinking, talking, ended = False, False, True
-        self.flags.update((thinking, talking, ended))
-        if out:
-            seqs, ords, deltas = zip(*out, strict=True)
-            yield pd.DataFrame({"step": key[0], "seq": pd.array(seqs, "Int64"), "ord": pd.array(ords, "int32"), "type": [EVENTS[n] for n in ords], "delta": pd.array(deltas, object)})
+        if not held or before != (thinking, talking, ended):
+            self.flags.update((thinking, talking, ended))
+        for seq, ord_, delta in out:
+            yield Row(step=key[0], seq=seq, ord=ord_, type=EVENTS[ord_], delta=delta)
 
     def close(self) -> None:
         pass
@@ -60,4 +60,4 @@ def answer_events(stream: DataFrame) -> DataFrame:
     `deltas.events`.  Needs the RocksDB state store; an ended step keeps three
     flags, so that a late fragment opens nothing.
     """
-    return stream.groupBy("step").transformWithStateInPandas(AnswerEvents(), OUTPUT, "Append", "None")
+    return stream.groupBy("step").transformWithState(AnswerEvents(), OUTPUT, "Append", "None")

@@ -62,13 +62,13 @@ class LiveContext(StatefulProcessor):
         return sorted(rows, key=lambda r: (r[1], r[0]))[: self.limit]
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        old = [(int(s), t, c) for s, t, c in self.stored.get()] if self.stored.exists() else []
+        old = [(int(s), t, c) for s, t, c in self.stored.get()]
         self.stored.put(self._first(old + [(int(r.seq), r.created_at.to_pydatetime(), r.content) for r in initialState.itertuples()]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [(int(s), t, c) for s, t, c in self.recent.get()] if self.recent.exists() else []
-        stored = [(int(s), t, c) for s, t, c in self.stored.get()] if self.stored.exists() else []
-        last = self.last.get()[0] if self.last.exists() else None
+        held, stored = ([(int(s), t, c) for s, t, c in state.get()] for state in (self.recent, self.stored))
+        known, before = len(stored), self.last.get()
+        last = before = before[0] if before else None
         fresh = sorted(((int(r.seq), r.created_at.to_pydatetime(), r.content) for frame in rows for r in frame.itertuples()), key=lambda r: (r[1], r[0]))
         for row in fresh:
             at = int(pd.Timestamp(row[1]).value // 1_000_000)
@@ -77,12 +77,13 @@ class LiveContext(StatefulProcessor):
             held = [*held, row][-self.size :]
             stored = self._first([*stored, row]) if len(stored) < self.limit else stored
             last = at if last is None else max(last, at)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if before is not None:  # each call of a state is a message to the JVM and back
+            self.handle.deleteTimer(before + self.ttl_ms)  # if it has fired there is none
         self.handle.registerTimer(last + self.ttl_ms)
-        self.recent.put(held)
-        self.stored.put(stored)
         self.last.update((last,))
+        self.recent.put(held)
+        if len(stored) != known:
+            self.stored.put(stored)
         yield pd.DataFrame({"session_id": key[0], "seq": [r[0] for r in held], "created_at": [r[1] for r in held], "content": [r[2] for r in held], "n": len(held)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

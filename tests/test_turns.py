@@ -109,6 +109,29 @@ def test_blocks_are_coded_and_decoded_together(monkeypatch):
     assert sum((b.column(2).to_pylist() for b in search_index._places(iter([asked]))), []) == seq[at <= 0].tolist()
 
 
+class Told:
+    """A state, or a handle of timers, that holds one value and notes its calls."""
+
+    def __init__(self, calls, value):
+        self.calls, self.value = calls, value
+
+    def __getattr__(self, name):
+        return lambda *given: self.calls.append(name) or (self.value if name == "get" else None)
+
+
+def test_a_session_asks_its_states_for_little(spark):
+    at = pd.Timestamp("2024-01-01")
+    old = [(k, at, "x") for k in range(2)]
+    calls, context = [], hot_context.LiveContext(5, limit=2)
+    context.recent, context.stored, context.last, context.handle = Told(calls, old), Told(calls, old), Told(calls, (int(at.value // 1_000_000),)), Told(calls, None)
+    rows = next(context.handleInputRows(("s",), iter([pd.DataFrame({"seq": [7], "created_at": [at], "content": ["y"]})]), None))
+    assert rows["seq"].tolist() == [0, 1, 7] and sorted(calls) == ["deleteTimer", "get", "get", "get", "put", "registerTimer", "update"]
+    calls, events = [], answer_events.AnswerEvents()
+    events.flags = Told(calls, (True, False, False))
+    fragment = answer_events.Row(seq=3, reasoning_content="r", content=None, last=False)
+    assert [(r.seq, r.ord, r.delta) for r in events.handleInputRows((1,), iter([fragment]), None)] == [(3, 1, "r")] and calls == ["get"]
+
+
 def test_the_index_equals_the_scan(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(search_index, "BLOCK", 3)
     rng = random.Random(4)
