@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,67 +20,121 @@ from ..functions.text import search_tokens
 UNSPACED = "㐀-䶿一-鿿豈-﫿"
 #: Bytes of a dictionary that each task gets whole; a larger one meets the substrings of the runs in a join.
 DICTIONARY_BYTES = 64 << 20
+CHARACTER_BITS = 21
+AT_ONCE = 1 << 16  #: characters whose words are found at once
 SHORTER = (2, 3)  #: lengths of the words that are emitted from inside a longer one
 
 _tries: dict[str, Words] = {}
 
 
 class Words:
-    """A dictionary as a prefix trie: a node maps characters to nodes, and None to the logarithm of the word's share."""
+    """A dictionary as a prefix trie in two sorted arrays, 16 bytes a node.
 
-    def __init__(self, words: Iterator[tuple[str, float]], total: float):
-        self.root: dict = {}
-        self.unknown = -math.log(max(total, 1))  # a character that is no word counts as seen once
-        for word, count in words:
-            node = self.root
-            for c in word:
-                node = node.setdefault(c, {})
-            node[None] = math.log(max(count, 1)) + self.unknown
-
-    def from_place(self, run: str, start: int) -> Iterator[tuple[int, float]]:
-        """(end, weight) of the words that begin at `start`, shorter ones first."""
-        node = self.root
-        for end in range(start, len(run)):
-            node = node.get(run[end])
-            if node is None:
-                return
-            if None in node:
-                yield end + 1, node[None]
-
-    def holds(self, word: str) -> bool:
-        node = self.root
-        for c in word:
-            node = node.get(c)
-            if node is None:
-                return False
-        return None in node
+    A node but the root has one edge that leads to it: edge k leads to node
+    k + 1, and edges are in order of (node, character), which is one number.
+    """
 
-    def path(self, run: str) -> list[str]:
-        """The words of the heaviest path through all words in the run; of paths that weigh the same the one whose first word is longer."""
-        n = len(run)
-        best, step = [0.0] * (n + 1), [0] * n
+    def __init__(self, words: Iterable[tuple[str, float]], total: float):
+        pairs = list(words)
+        self._build(pa.array([w for w, _ in pairs], pa.large_string()), np.array([c for _, c in pairs], float), total)
+
+    @classmethod
+    def of(cls, words: pa.Array, counts: np.ndarray) -> Words:
+        """The same from columns, which holds no word as an object."""
+        made = cls.__new__(cls)
+        made._build(words.cast(pa.large_string()), counts, counts.sum())
+        return made
+
+    def _build(self, texts: pa.Array, counts: np.ndarray, total: float) -> None:
+        self.unknown = -math.log(max(total, 1))  # a character that is no word counts as seen once
+        sizes = pc.utf8_length(texts).to_numpy().astype(np.int64)
+        at = np.cumsum(sizes) - sizes
+        letters = np.concatenate([_letters(texts.slice(k, 1 << 16)) for k in range(0, len(texts), 1 << 16)] or [np.zeros(0, np.int32)])
+        weights = np.fromiter(map(math.log, np.maximum(counts, 1)), float, len(counts)) + self.unknown
+        node, own, levels, ends, first = np.zeros(len(sizes), np.int64), np.arange(len(sizes)), [], [], 0
+        for depth in range(int(sizes.max(initial=0))):  # nodes of a level are numbered in order of their edges
+            longer = sizes[own] > depth
+            node, own = node[longer], own[longer]
+            edges, place = np.unique((node << CHARACTER_BITS) | letters[at[own] + depth], return_inverse=True)
+            node = first + 1 + place
+            first += len(edges)
+            weight, last = np.full(len(edges), np.nan), sizes[own] == depth + 1
+            weight[place[last]] = weights[own[last]]
+            levels.append(edges)
+            ends.append(weight)
+        self.edges, self.weights = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((levels, np.int64), (ends, float)))
+
+    def found(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, weight) of all words in characters, by start, shorter ones first; no word goes over a -1."""
+        starts, node, out = np.arange(len(letters)), np.zeros(len(letters), np.int64), []
+        for depth in range(len(letters)):
+            inside = starts + depth < len(letters)
+            starts, node = starts[inside], node[inside]
+            wanted = (node << CHARACTER_BITS) | letters[starts + depth]
+            place = np.searchsorted(self.edges, wanted)
+            held = place < len(self.edges)
+            held[held] = self.edges[place[held]] == wanted[held]
+            starts, node = starts[held], place[held] + 1
+            if not len(starts):
+                break
+            word = ~np.isnan(self.weights[node - 1])
+            out.append((starts[word], starts[word] + depth + 1, self.weights[node[word] - 1]))
+        if not out:
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        start, end, weight = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(start, kind="stable")
+        return start[order], end[order], weight[order]
+
+    def _steps(self, n: int, starts: list[int], ends: list[int], weights: list[float]) -> tuple[list[tuple[int, int]], set[tuple[int, int]]]:
+        """(start, end) of the words of the heaviest path, and of all words in the run; of paths that weigh the same the one whose first word is longer."""
+        best, step, k = [0.0] * (n + 1), [0] * n, len(starts) - 1
         for start in range(n - 1, -1, -1):
-            weight, to = self.unknown + best[start + 1], start + 1
-            for end, own in self.from_place(run, start):
-                if own + best[end] >= weight:
-                    weight, to = own + best[end], end
-            best[start], step[start] = weight, to
+            own, far = -math.inf, 0
+            while k >= 0 and starts[k] == start:  # longer ones first
+                if (weight := weights[k] + best[ends[k]]) > own:
+                    own, far = weight, ends[k]
+                k -= 1
+            alone = self.unknown + best[start + 1]
+            best[start], step[start] = (own, far) if own >= alone else (alone, start + 1)
         out, at = [], 0
         while at < n:
-            out.append(run[at : step[at]])
+            out.append((at, step[at]))
             at = step[at]
-        return out
+        return out, set(zip(starts, ends, strict=True))
+
+    def _walked(self, runs: list[str]) -> Iterator[tuple[list[tuple[int, int]], set[tuple[int, int]]]]:
+        """`_steps` of each run; all words of about AT_ONCE characters are found at once."""
+        sizes = np.array([len(r) + 1 for r in runs], np.int64)
+        ends = np.cumsum(sizes)
+        groups = np.searchsorted(ends, np.arange(AT_ONCE, ends[-1], AT_ONCE)) + 1 if len(runs) else []
+        for a, b in itertools.pairwise(np.unique([0, *groups, len(runs)]).tolist()):
+            letters, bases = _letters(pa.array([r + "\0" for r in runs[a:b]], pa.large_string())).copy(), ends[a:b] - sizes[a:b] - (ends[a] - sizes[a])
+            letters[bases + sizes[a:b] - 1] = -1
+            own = self.found(letters)
+            cuts = np.append(np.searchsorted(own[0], bases), len(own[0])).tolist()
+            for k, base in enumerate(bases.tolist()):
+                part = slice(cuts[k], cuts[k + 1])
+                yield self._steps(len(runs[a + k]), (own[0][part] - base).tolist(), (own[1][part] - base).tolist(), own[2][part].tolist())
+
+    def path(self, run: str) -> list[str]:
+        """The words of the heaviest path."""
+        return [run[a:b] for a, b in next(self._walked([run]))[0]]
+
+    def tokens(self, runs: list[str]) -> Iterator[list[str]]:
+        """Of each run the words of two characters or more, each after the shorter words inside it."""
+        for run, (steps, held) in zip(runs, self._walked(runs), strict=True):
+            out = []
+            for a, b in steps:
+                for size in SHORTER:
+                    if b - a > size:
+                        out += [run[k : k + size] for k in range(a, b - size + 1) if (k, k + size) in held]
+                if b - a > 1:
+                    out.append(run[a:b])
+            yield out
+
 
-    def tokens(self, run: str) -> list[str]:
-        """Words of two characters or more, each after the shorter words inside it."""
-        out = []
-        for word in self.path(run):
-            for size in SHORTER:
-                if len(word) > size:
-                    out += [part for k in range(len(word) - size + 1) if self.holds(part := word[k : k + size])]
-            if len(word) > 1:
-                out.append(word)
-        return out
+def _letters(texts: pa.Array) -> np.ndarray:
+    return np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.int32)
 
 
 def _pieces(text: Column) -> Column:
@@ -100,11 +157,11 @@ def _by_trie(messages: DataFrame, dictionary: DataFrame, text: Column, out_col:
     def cut(pieces):  # of pandas series; rows without a run are null and cost nothing
         if name not in _tries:
             known = pa.ipc.open_stream(held.value).read_all()
-            counts = known.column("freq").to_pylist()
             _tries.clear()
-            _tries[name] = Words(zip(known.column("word").to_pylist(), counts, strict=True), sum(counts))
+            _tries[name] = Words.of(known.column("word").combine_chunks(), known.column("freq").to_numpy())
         words = _tries[name]
-        tokens = lambda own: [t for p in own for t in (words.tokens(p) if run.match(p) else [p] if len(p) > 1 else [])]
+        found = words.tokens([p for own in pieces if own is not None for p in own if run.match(p)])
+        tokens = lambda own: [t for p in own for t in (next(found) if run.match(p) else [p] if len(p) > 1 else [])]
         return pieces.map(tokens, na_action="ignore")
 
     found = cut(F.when(F.rlike(text, F.lit(f"[{UNSPACED}]")), _pieces(text)))
@@ -125,7 +182,7 @@ def run_tokens(runs: DataFrame, dictionary: DataFrame) -> DataFrame:
         import pandas as pd
 
         none = lambda x: [] if x is None else x
-        return pd.Series([Words(zip(none(w), none(c), strict=True), total).tokens(r) for r, w, c in zip(run, words, counts, strict=True)], dtype=object)
+        return pd.Series([next(Words(zip(none(w), none(c), strict=True), total).tokens([r])) for r, w, c in zip(run, words, counts, strict=True)], dtype=object)
 
     return runs.join(found, "run", "left").select("run", cut("run", "words", "counts").alias("tokens"))
 

@@ -77,6 +77,21 @@ def test_both_ways_agree_on_random_texts(spark, monkeypatch, sizes):
     assert read() == whole
 
 
+def test_a_trie_takes_16_bytes_a_node(monkeypatch):
+    rng = random.Random(8)
+    words = {"".join(chr(0x4E00 + rng.randrange(300)) for _ in range(rng.randint(1, 5))): rng.randint(1, 9) for _ in range(3000)} | {"\U0002a6d6乙": 4}
+    trie = segmentation.Words.of(pa.array(list(words)), np.array(list(words.values()), float))
+    prefixes = {w[:k] for w in words for k in range(1, len(w) + 1)}
+    assert trie.edges.nbytes + trie.weights.nbytes == 16 * len(prefixes)
+    runs = ["".join(rng.choices(list(words), k=9)) for _ in range(9)]
+    monkeypatch.setattr(segmentation, "AT_ONCE", 50)
+    assert list(trie.tokens(runs)) == [next(trie.tokens([r])) for r in runs] and list(trie.tokens([])) == []
+    for run in ("".join(rng.choices(list(words), k=20)), "\U0002a6d6乙", "a", ""):
+        letters = np.array([ord(c) for c in run], np.int32)
+        every = [(a, b) for a in range(len(run)) for b in range(a + 1, len(run) + 1) if run[a:b] in words]
+        assert list(zip(*trie.found(letters)[:2], strict=True)) == every and "".join(trie.path(run)) == run
+
+
 # The index.
 
 
