@@ -36,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,11 +59,13 @@ START = ((0.25, 0.35, 0.3, 0.25, 0.25, 0.25), (0.1, 0.2, 0.25, 0.25, 0.15, 0.25)
 GATES = len(START)
 PRIOR = 0.15  #: added to the counts of either way
 CURVE = 33  #: points of the refinement
+FILLED, TOGETHER = 1 << 14, 1 << 14  #: places whose inputs are gathered together, and decisions that are mixed together
 END_KEY = 1  #: in the counts of tokens, the end of a text; words have other keys
 SLICE_BYTES, PART_BYTES = 6 << 20, 1 << 20  #: of text that asks together, and that is coded together
 SLICE_ROWS = 1 << 14  #: rows of a slice at most
 SHARD_BYTES = 8 << 20  #: of text that a shard has the contexts of
 SPARE_BITS = 6  #: of hash for each byte of the corpus
+RANGE_KEYS = 1 << 17  #: keys that are merged together
 UNITS = "slice long, texts binary"
 ASKED = "shard long, slice long, entries binary"
 TOLD = "slice long, shard long, said binary"
@@ -145,11 +148,9 @@ def tails(data: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def slots(tail: np.ndarray, of: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """The slot of each decision in its order's table."""
-    out = tail[of]
-    out += node * np.uint32(0x9E3779B1)
-    out *= np.uint32(0x85EBCA6B)
-    out >>= np.uint32(32 - TABLE_BITS)
+    """The slot of each decision in its order's table: those of one context lie side by side, as they are looked up one after another."""
+    out = (tail >> np.uint32(32 - TABLE_BITS)).astype(np.int64)[of]
+    out ^= node
     return out
 
 
@@ -213,7 +214,7 @@ class Asked:
 def _merged(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(distinct values in ascending order, the place there of each value)."""
     every = np.concatenate(runs)
-    order = np.argsort(every, kind="stable" if len(runs) > 1 else None)  # what is in order already is merged
+    order = np.argsort(every)
     every = every[order]
     fresh = np.ones(len(every), bool)
     fresh[1:] = every[1:] != every[:-1]
@@ -222,6 +223,33 @@ def _merged(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return every[fresh], place
 
 
+def _ranges(runs: list[np.ndarray]) -> Iterator[list[slice]]:
+    """Runs of ascending keys cut at the same contexts, into pieces of about RANGE_KEYS keys together: what is done by keys needs no more memory than that."""
+    pieces = sum(map(len, runs)) // RANGE_KEYS + 1
+    top = max((int(r[-1]) >> 16 for r in runs if len(r)), default=0) + 1
+    edges = np.array([top * i // pieces << 16 for i in range(1, pieces)], np.uint64)
+    cuts = [[0, *np.searchsorted(r, edges).tolist(), len(r)] for r in runs]
+    for i in range(pieces):
+        yield [slice(c[i], c[i + 1]) for c in cuts]
+
+
+def _merged_runs(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """As `_merged`, of runs that are in ascending order each."""
+    firsts = np.cumsum([0, *map(len, runs)])
+    place, found, known = np.empty(firsts[-1], np.int32), [], 0
+    for pieces in _ranges(runs):
+        keys, of = _merged([r[p] for r, p in zip(runs, pieces, strict=True)])
+        of += np.int32(known)
+        at = 0
+        for first, p in zip(firsts.tolist(), pieces, strict=False):
+            n = p.stop - p.start
+            place[first + p.start : first + p.stop] = of[at : at + n]
+            at += n
+        found.append(keys)
+        known += len(keys)
+    return np.concatenate(found), place
+
+
 @dataclass
 class Part:
     """Texts a to b of a slice, laid out, and what they ask."""
@@ -252,32 +280,44 @@ def said(code: Code, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
     keys: distinct, ascending, all that are known of each context; counts: in the training texts.
     """
     starts, of, step = code.steps((keys & np.uint64(0xFFFF)).astype(np.int32))
-    context = np.cumsum(np.diff(keys >> np.uint64(8), prepend=np.uint64(0)) != 0)[of]  # with the byte before, whose code it is
-    place = context << 8 | code.nodes[step]
-    taken = counts[of]
-    order = np.argsort(place, kind="stable")
-    firsts = np.flatnonzero(np.diff(place[order], prepend=-1))
-    bit = code.bits[step][order].astype(bool)
-    sums = [np.add.reduceat(np.where(bit == b, taken[order], 0), firsts) if len(firsts) else np.zeros(0) for b in (False, True)]
-    values = np.empty(len(place), np.int8)
-    values[order] = np.repeat(_stretched(*sums), np.diff(np.append(firsts, len(place))))
+    fresh = np.ones(len(keys) + 1, bool)  # of each context with the byte before, whose code it is
+    fresh[1:-1] = (keys[1:] ^ keys[:-1]) >> np.uint64(8) != 0
+    bit = code.bits[step].view(bool)
+    values = _stretched(0, counts)[of]  # where a context leads to one byte only
+    np.negative(values, out=values, where=~bit)
+    shared = np.flatnonzero(~(fresh[:-1] & fresh[1:])[of])
+    at, step = of[shared], step[shared]
+    place = np.cumsum(fresh[:-1])[at] << 8 | code.nodes[step]
+    packed = place.view(np.uint64) << np.uint64(32) | np.arange(len(place), dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64(0xFFFFFFFF)).view(np.int64)
+    firsts = np.flatnonzero(np.diff(packed >> np.uint64(32), prepend=np.uint64(0)))  # no context is 0
+    taken, bit = counts[at[order]], code.bits[step[order]].view(bool)
+    sums = [np.add.reduceat(np.where(bit == b, taken, 0), firsts) if len(firsts) else np.zeros(0) for b in (False, True)]
+    values[shared[order]] = np.repeat(_stretched(*sums), np.diff(np.append(firsts, len(place))))
     return starts, values
 
 
 def add_to_tables(tables: np.ndarray, code: Code, data: np.ndarray, places: np.ndarray, which: np.ndarray) -> None:
     """Counts in tables (order, slot, bit) how often each way was taken at the places for which `which` is 1.
 
-    Places that share their bytes and the five before them are looked at once.
+    In ascending order the bytes before a place, nearest first after its own, are
+    next to each other for every order: each is looked at once, and the shorter ones
+    are summed from the longer.
     """
-    before = np.ndarray((len(data) - GAP + 1,), "<u8", data, strides=(1,))[places - GAP + 1]  # with the byte itself
-    encoded = pa.array((before[which] >> np.uint64(8 * (7 - max(ORDERS)))).view(np.int64)).dictionary_encode()
-    n = np.bincount(encoded.indices.to_numpy()).astype(np.uint32)
-    first = np.empty(len(n), np.int64)
-    first[encoded.indices.to_numpy()[::-1]] = np.flatnonzero(which)[::-1]
-    _, of, step = code.steps(pairs_at(data, places[first]))
-    node, bit, n = code.nodes[step].astype(np.uint32), code.bits[step], n[of]
-    for k, tail in enumerate(tails(data, places[first])):
-        np.add.at(tables[k].reshape(-1), slots(tail, of, node) << np.uint32(1) | bit, n)
+    before = np.ndarray((len(data) - GAP + 1,), "<u8", data, strides=(1,))[(places - GAP + 1)[which]]  # with the byte itself, the highest
+    before.sort()
+    n = np.ones(len(before), np.uint32)
+    for k, order in sorted(enumerate(ORDERS), key=lambda x: -x[1]):
+        before >>= np.uint64(8 * (7 - order))
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(before)), bool), before[1:] != before[:-1]]))
+        n = np.add.reduceat(n, first, dtype=np.uint32) if len(first) else n
+        before = before[first]
+        tail = (((before & np.uint64((1 << 8 * order) - 1)) * np.uint64(SEEDS[0])) >> np.uint64(32)).astype(np.uint32)
+        byte, last = before >> np.uint64(8 * order), before >> np.uint64(8 * (order - 1)) & np.uint64(0xFF)
+        _, of, step = code.steps((last << np.uint64(8) | byte).astype(np.int32))
+        np.add.at(tables[k].reshape(-1), slots(tail, of, code.nodes[step]) << 1 | code.bits[step], n[of])
+        before <<= np.uint64(8 * (7 - order))
 
 
 class Mixer:
@@ -292,62 +332,92 @@ class Mixer:
         tail: the places' hashes by order; entries: for each context of words the
         key of each place; starts: first of a key's values.
         """
-        decided, of, step = self.code.steps(pairs)
-        inside = step - self.code.first[pairs].astype(np.int32)[of]
-        node = self.code.nodes[step].astype(np.uint32)
-        inputs = np.zeros((len(of) + BLOCKS[-1][1], 8), np.int8)  # of a decision: what each input says, its gate and its bit
-        for k in range(len(ORDERS)):
-            inputs[: len(of), k] = self.tables[k][slots(tail[k], of, node)]
-        for k in range(2):
-            at = starts[entries[k]].astype(np.int32)[of]
-            at += inside
-            inputs[: len(of), len(ORDERS) + k] = values[at]
-        word, after = inputs[:, INPUTS - 2], np.abs(inputs[:, INPUTS - 1])
-        inputs[:, 6] = np.where(after > SURE, 3, np.where(after > 0, 2, word != 0))
-        inputs[: len(of), 7] = self.code.bits[step]
+        decided = np.zeros(len(pairs) + 1, np.int64)
+        np.cumsum(self.code.lengths[pairs], out=decided[1:])
+        inputs = np.zeros((decided[-1] + BLOCKS[-1][1], 8), np.int8)  # of a decision: what each input says, its gate and its bit
+        for a in range(0, len(pairs), FILLED):
+            own = slice(a, min(a + FILLED, len(pairs)))
+            self._fill(inputs[decided[own.start] : decided[own.stop]], pairs[own], tail[:, own], [e[own] for e in entries], starts, values)
         packed = inputs.view(np.int64)[:, 0]
         begin, size = decided[first[:-1]], np.diff(decided[first])
         order = np.argsort(-size, kind="stable")
         begin, size = begin[order], size[order]
-        weights = np.tile(np.array(START, np.float32).T, (len(size), 1, 1))
+        weights = np.zeros((len(size), 8, GATES), np.float32)  # for inputs in steps; gate and bit weigh nothing
+        weights[:, :INPUTS] = np.array(START, np.float32).T / np.float32(STEPS)
         knots = np.linspace(-8, 8, CURVE, dtype=np.float32)
         curve = np.tile(1 / (1 + np.exp(-knots)), len(size)).astype(np.float32)
         bits_of = np.zeros(len(size))
+        windows = {block: np.lib.stride_tricks.sliding_window_view(packed, block) for _, block in BLOCKS}
         at, longest = 0, int(size[0]) if len(size) else 0
         while at < longest:
             block = next(b for end, b in BLOCKS if at < end)
             n = int(np.searchsorted(-size, -at))  # texts that are longer
-            told = np.lib.stride_tricks.sliding_window_view(packed, block)[begin[:n] + at].view(np.int8).reshape(n, block, 8)
-            live = np.arange(at, at + block) < size[:n, None]
-            bit = told[:, :, 7].astype(np.float32)
-            gate = told[:, :, 6]
-            x = told[:, :, :INPUTS] * np.float32(1 / STEPS)
-            z = np.take_along_axis(x @ weights[:n], gate[:, :, None].astype(np.int64), 2)[:, :, 0]
-            np.clip(z, -7.99, 7.99, out=z)
-            point = np.rint((z + 8) * np.float32((CURVE - 1) / 16)).astype(np.int32)
-            point += np.arange(0, n * CURVE, CURVE, dtype=np.int32)[:, None]
-            np.negative(z, out=z)
-            np.exp(z, out=z)
-            z += 1
-            p = np.reciprocal(z, out=z)
-            seen = curve[point]
-            final = (p + seen) * np.float32(0.5)
-            np.abs(1 - bit - final, out=final)
-            bits_of[:n] += np.log2(final, out=final).sum(1, dtype=np.float64, where=live)
-            error = bit - p
-            error *= np.float32(RATE * STEPS)
-            error *= live
-            gated = error[:, :, None] * (gate[:, :, None] == np.arange(GATES, dtype=np.int8))
-            weights[:n] += x.transpose(0, 2, 1) @ gated
-            bit -= seen
-            bit *= live
-            curve[: n * CURVE] += np.float32(REFINE_RATE) * np.bincount(point.ravel(), bit.ravel(), n * CURVE).astype(np.float32)
-            np.clip(curve[: n * CURVE], 1e-4, 1 - 1e-4, out=curve[: n * CURVE])
+            for a in range(0, n, TOGETHER // block):
+                own = slice(a, min(a + TOGETHER // block, n))
+                told = windows[block][begin[own] + at].view(np.int8).reshape(-1, block, 8)
+                left = size[own] - at
+                bits_of[own] += self._block(told, None if left[-1] >= block else np.arange(block) < left[:, None], weights[own], curve[own.start * CURVE : own.stop * CURVE])
             at += block
         out = np.zeros(len(size))
         out[order] = bits_of
         return out
 
+    @staticmethod
+    def _block(told: np.ndarray, live: np.ndarray | None, weights: np.ndarray, curve: np.ndarray) -> np.ndarray:
+        """log2 of a block of decisions of each text, whose weights and curve then follow it."""
+        n, block, _ = told.shape
+        x = told.astype(np.float32)
+        bit = x[:, :, 7]
+        gate = np.arange(0, n * block * GATES, GATES).reshape(n, block)
+        gate += told[:, :, 6]
+        z = (x @ weights).reshape(-1)[gate]
+        np.minimum(z, np.float32(7.99), out=z)
+        np.maximum(z, np.float32(-7.99), out=z)
+        scaled = z + np.float32(8)
+        scaled *= np.float32((CURVE - 1) / 16)
+        point = np.rint(scaled, out=scaled).astype(np.int64)
+        point += np.arange(0, n * CURVE, CURVE)[:, None]
+        np.negative(z, out=z)
+        np.exp(z, out=z)
+        z += 1
+        p = np.reciprocal(z, out=z)
+        seen = curve[point]
+        final = p + seen
+        final *= np.float32(0.5)
+        final += bit
+        final -= 1
+        np.abs(final, out=final)
+        np.log2(final, out=final)
+        error, move = np.subtract(bit, p, out=p), np.subtract(bit, seen, out=seen)
+        if live is not None:
+            for own in (final, error, move):
+                own *= live
+        error *= np.float32(RATE / STEPS)
+        gated = np.zeros((n, block, GATES), np.float32)
+        gated.reshape(-1)[gate] = error
+        weights += x.transpose(0, 2, 1) @ gated
+        weights[:, INPUTS:] = 0
+        curve += np.float32(REFINE_RATE) * np.bincount(point.ravel(), move.ravel(), n * CURVE).astype(np.float32)
+        np.clip(curve, 1e-4, 1 - 1e-4, out=curve)
+        return final.sum(1, dtype=np.float64)
+
+    def _fill(self, inputs: np.ndarray, pairs: np.ndarray, tail: np.ndarray, entries: list[np.ndarray], starts: np.ndarray, values: np.ndarray) -> None:
+        lengths = self.code.lengths[pairs]
+        of = np.repeat(np.arange(len(pairs)), lengths)
+        own = self.code.first[pairs]
+        step = (own - (np.cumsum(lengths) - lengths))[of]
+        step += np.arange(len(of))
+        node = self.code.nodes[step]
+        for k in range(len(ORDERS)):
+            inputs[:, k] = self.tables[k][slots(tail[k], of, node)]
+        word, after = (values[(starts[e] - own)[of] + step] for e in entries)
+        inputs[:, INPUTS - 2], inputs[:, INPUTS - 1] = word, after
+        gate = (word != 0).view(np.int8)
+        np.copyto(gate, np.int8(2), where=after != 0)
+        np.copyto(gate, np.int8(3), where=np.abs(after) > SURE)
+        inputs[:, INPUTS] = gate
+        inputs[:, INPUTS + 1] = self.code.bits[step]
+
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(keys of the words, first word of each text)."""
@@ -401,6 +471,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of rows (doc_id, text, held_out), each as one compressed value."""
     number = TaskContext.get().partitionId() << 20
     for batch in batches:
+        batch = batch.take(pc.sort_indices(pc.fill_null(pc.binary_length(batch.column(1)), 0)))  # texts of one size are coded best side by side
         cuts = [(i, min(i + SLICE_ROWS, b)) for a, b in slices(*text_bytes(batch.column(1)), SLICE_BYTES) for i in range(a, b, SLICE_ROWS)]
         for a, b in cuts:
             sink = pa.BufferOutputStream()
@@ -452,7 +523,7 @@ def _asked(bits: int, shard_bits: int, code: Code):
                     learn = np.repeat(taught[part.a : part.b], np.diff(part.first))
                     counts.append(part.asked.counts(learn))
                     add_to_tables(tables, code, part.buffer, part.places, learn)
-                keys, place = _merged(runs)
+                keys, place = _merged_runs(runs)
                 counts = np.bincount(place, np.concatenate(counts), len(keys))
                 context = keys >> np.uint64(16)
                 shard, inner = context >> np.uint64(bits - shard_bits), np.uint64((1 << (bits - shard_bits)) - 1)
@@ -474,16 +545,17 @@ def _told(code: Code):
             planes = _squeezed(total.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
             return pa.table({"slice": group.column("slice").slice(0, 1), "shard": group.column("shard").slice(0, 1), "said": pa.array([planes], pa.binary())})
         parts = [_unpacked(e.as_py()) for e in group.column("entries")]
-        ends = np.cumsum([len(k) for k, _ in parts])
-        keys, of = _merged([k for k, _ in parts])
-        starts, values = said(code, keys, np.bincount(of, np.concatenate([c for _, c in parts])))
-        lengths = np.diff(starts)
-        out = []
-        for own in np.split(of, ends[:-1]):
-            n = lengths[own]
-            at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append(_squeezed(values[at].tobytes()))
-        return pa.table({"slice": group.column("slice"), "shard": group.column("shard"), "said": pa.array(out, pa.binary())})
+        out: list[list[bytes]] = [[] for _ in parts]
+        for pieces in _ranges([k for k, _ in parts]):
+            keys, of = _merged([k[p] for (k, _), p in zip(parts, pieces, strict=True)])
+            starts, values = said(code, keys, np.bincount(of, np.concatenate([c[p] for (_, c), p in zip(parts, pieces, strict=True)]), len(keys)))
+            lengths, at = np.diff(starts), 0
+            for own, p in zip(out, pieces, strict=True):
+                mine = of[at : at + p.stop - p.start]
+                at += len(mine)
+                n = lengths[mine]
+                own.append(values[np.repeat(starts[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes())
+        return pa.table({"slice": group.column("slice"), "shard": group.column("shard"), "said": pa.array([_squeezed(b"".join(own)) for own in out], pa.binary())})
 
     return tell
 
@@ -498,7 +570,7 @@ def _scored(code: Code, tables: Broadcast, bits: int, keys: np.ndarray, counts:
         number = units.column("slice")[0].as_py()
         table, data, offsets = _read(units.column("texts")[0].as_buffer())
         parts = list(_parts(data, offsets, bits))
-        asked, places = _merged([run for part in parts for run in part.asked.runs()])
+        asked, places = _merged_runs([run for part in parts for run in part.asked.runs()])
         starts = np.zeros(len(asked) + 1, np.int64)
         np.cumsum(code.lengths[(asked & np.uint64(0xFFFF)).astype(np.int32)], out=starts[1:])
         values = np.concatenate([np.frombuffer(_spread(v.as_py()), np.int8) for v in told.sort_by("shard").column("said")])

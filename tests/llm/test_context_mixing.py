@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -155,3 +156,28 @@ def test_tables_give_what_one_process_gives(spark, monkeypatch):
     got = {r.doc_id: r.score for r in score_texts(frame, F.col("doc_id") % 5 == 1).collect()}
     expected = trained([t for i, t in enumerate(texts) if i % 5 != 1]).log2(*text_bytes(pa.array(texts, pa.string()))) * math.log10(2)
     assert len(got) == len(texts) and np.allclose([got[i] for i in range(len(texts))], expected, rtol=1e-4, atol=1e-3)
+
+
+def test_a_shard_needs_memory_for_its_keys_only():
+    """Several slices ask for a million keys together; what is worked out from them by decision may not lie there all at once."""
+    rng = np.random.default_rng(3)
+    code = Code.of(rng.integers(0, 50, (256, 256)))
+    asked, counts = [], []
+    for _ in range(4):
+        keys = np.unique(rng.integers(0, 1 << 16, 250_000) << 24 | rng.integers(97, 123, 250_000) << 8 | rng.integers(97, 123, 250_000)).astype(np.uint64)
+        asked.append(keys)
+        counts.append(rng.integers(0, 3, len(keys)))
+    blobs = [cm._packed(k >> np.uint64(16), k & np.uint64(0xFFFF), c) for k, c in zip(asked, counts, strict=True)]
+    group = pa.table({"shard": pa.array([0] * 4, pa.int64()), "slice": pa.array(range(4), pa.int64()), "entries": pa.array(blobs, pa.binary())})
+    tracemalloc.start()
+    got = cm._told(code)(group)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    every = np.unique(np.concatenate(asked))
+    total = sum(np.bincount(np.searchsorted(every, k), c, len(every)) for k, c in zip(asked, counts, strict=True))
+    starts, values = said(code, every, total)
+    for k, blob in zip(asked, got.column("said"), strict=True):
+        own = np.searchsorted(every, k)
+        expected = np.concatenate([values[a:b] for a, b in zip(starts[own].tolist(), starts[own + 1].tolist(), strict=True)])
+        assert np.array_equal(np.frombuffer(cm._spread(blob.as_py()), np.int8), expected)
+    assert peak < 100 * sum(map(len, asked)), peak
