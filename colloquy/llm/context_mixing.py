@@ -14,12 +14,14 @@ bits.
 
 The contexts of words grow with the corpus: each has counts of its own, found by
 a hash whose bits follow the size of the corpus.  Texts go in slices.  In a
-slice a word, and a word after a word, is looked at once however often it comes;
-what differs is asked: a slice sends the shards its pairs of context and byte,
-once each, with how often the texts to learn from have them; a shard sums the
-counts of its range of hashes and tells each slice what the contexts say of the
-decisions that lead to its bytes.  No task holds all counts, and none of them
-pass the driver.  The contexts of a few bytes, which any corpus fills, are
+slice a word, and a word after a word, is looked at once however often it comes,
+and asked for once, with how often the texts to learn from have it.  Of the word
+so far a slice asks by pairs of context and byte, as it does of the first byte
+of a word after a word.  For the rest of that it sends the word itself, to the
+shard of the word before and the first byte, where all contexts from there on
+are.  A shard sums the counts of its range of hashes and tells each slice what
+the contexts say of the decisions that lead to its bytes.  No task holds all
+counts, and none of them pass the driver.  The contexts of a few bytes, which any corpus fills, are
 counted in tables of one size that go to every task.
 
 Texts of a slice are coded side by side, a block of decisions at a time: a block
@@ -30,6 +32,7 @@ neighbours.
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,7 +50,7 @@ from .storage import stage
 ORDERS = (2, 3, 4, 5)  #: bytes of the contexts that are counted in tables
 INPUTS = len(ORDERS) + 2
 TABLE_BITS = 21  #: of the slots of an order's table
-TABLE_BLOCK, SALTS = 4096, 64  #: slots that are summed together, in so many groups first
+TABLE_BLOCK, SALTS = 4096, 64  #: slots that are summed together, those of so many tasks first
 END = 0xFF  #: a byte that no UTF-8 text has ends every text
 GAP = 8
 BLOCKS = ((1 << 8, 16), (1 << 12, 64), (1 << 62, 256))  #: decisions of a block, up to a place in the text
@@ -66,6 +69,7 @@ SLICE_ROWS = 1 << 14  #: rows of a slice at most
 SHARD_BYTES = 8 << 20  #: of text that a shard has the contexts of
 SPARE_BITS = 6  #: of hash for each byte of the corpus
 RANGE_KEYS = 1 << 17  #: keys that are merged together
+ZSTD = pa.Codec("zstd", 3)
 UNITS = "slice long, texts binary"
 ASKED = "shard long, slice long, entries binary"
 TOLD = "slice long, shard long, said binary"
@@ -155,56 +159,87 @@ def slots(tail: np.ndarray, of: np.ndarray, node: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Asked:
-    """Distinct keys of the contexts of words, and for both of these the entry of each place.
+class Segments:
+    """Words with the blank that ends them, or the end of the text: equal ones have equal contexts at each byte, as have equal ones after equal words."""
 
-    A word with the blanks around it is a segment.  Equal segments have equal
-    contexts at each byte, as have equal segments after equal words, so keys are
-    made for one of each only.
-    """
-
-    keys: np.ndarray  #: those of the first context in order, then those of the second
-    cut: int
-    entries: list[np.ndarray]
-
-    def runs(self) -> list[np.ndarray]:
-        return [self.keys[: self.cut], self.keys[self.cut :]]
+    first: np.ndarray  #: of each segment, among the places
+    sizes: np.ndarray
+    starts: np.ndarray
+    before: np.ndarray  #: hash of the word before; of no bytes at the beginning of a text
+    spans: SpanHashes
 
     @classmethod
-    def of(cls, data: np.ndarray, places: np.ndarray, bits: int) -> Asked:
+    def of(cls, data: np.ndarray, places: np.ndarray) -> Segments:
         spans = SpanHashes(data)
         opens = IS_BLANK[data] | (data == 0)
-        first = np.flatnonzero(opens[places - 1])  # of each segment, among the places
+        first = np.flatnonzero(opens[places - 1])
         sizes = np.diff(np.append(first, len(places)))
         starts = places[first]
         word = spans(starts, starts + sizes - 1)
-        whole = spans(starts - 1, starts + sizes)
-        fresh = np.diff(places, prepend=-1)[first] != 1  # the first of a text, where no word is before
-        before = np.concatenate([word[:1], word[:-1]]) if len(word) else word
-        before = np.where(fresh, spans(starts[:1], starts[:1]) if len(starts) else before, before)
-        low = pairs_at(data, places)
-        found, entries, known = [], [], 0
-        for unit, seed in ((whole, None), (mixed(whole + np.uint64(SEEDS[1]) + np.uint64(3) * before), before)):
-            encoded = pa.array(unit.view(np.int64)).dictionary_encode().indices.to_numpy()
-            units = int(encoded.max(initial=-1)) + 1
-            model = np.empty(units, np.int64)
-            model[encoded[::-1]] = np.arange(len(encoded) - 1, -1, -1)  # the first segment of each
-            lengths = sizes[model]
-            ends = np.cumsum(lengths)
-            inside = np.arange(int(ends[-1]) if units else 0) - np.repeat(ends - lengths, lengths)
-            at = np.repeat(first[model], lengths) + inside
-            context = spans(np.repeat(starts[model], lengths), places[at])
-            if seed is not None:
-                context = mixed(context + np.uint64(SEEDS[1]) + np.uint64(3) * np.repeat(seed[model], lengths))
-            keys = (context >> np.uint64(64 - bits)) << np.uint64(16) | low[at].astype(np.uint64)
-            distinct, key_of = _merged([keys])
-            key_of += np.int32(known)
-            found.append(distinct)
-            known += len(distinct)
-            shift = np.repeat((ends - lengths)[encoded] - first, sizes)
-            shift += np.arange(len(places))
-            entries.append(key_of[shift])
-        return cls(np.concatenate(found), len(found[0]), entries)
+        fresh = np.diff(places, prepend=-1)[first] != 1
+        before = np.where(fresh, spans(starts[:1], starts[:1]) if len(starts) else word, np.concatenate([word[:1], word[:-1]]))
+        return cls(first, sizes, starts, before, spans)
+
+    def whole(self) -> np.ndarray:
+        """Hashes, with the byte before."""
+        return self.spans(self.starts - 1, self.starts + self.sizes)
+
+    def after(self, size: np.ndarray | int) -> np.ndarray:
+        """Hashes of the first bytes after the word before."""
+        return _after(self.spans(self.starts, self.starts + size), self.before)
+
+    def keys(self, unit: np.ndarray, seed: np.ndarray | None, places: np.ndarray, low: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct keys in ascending order, the key of each place) of the bytes so far, after what `seed` says; they are made for one of equal units only."""
+        encoded, model = _named(unit)
+        lengths = self.sizes[model]
+        ends = np.cumsum(lengths)
+        at = _stretches(self.first[model], lengths)
+        context = self.spans(np.repeat(self.starts[model], lengths), places[at])
+        if seed is not None:
+            context = _after(context, np.repeat(seed[model], lengths))
+        distinct, key_of = _merged([_keyed(context, low[at], bits)])
+        shift = np.repeat((ends - lengths)[encoded] - self.first, self.sizes)
+        shift += np.arange(len(places))
+        return distinct, key_of[shift]
+
+
+def _after(context: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return mixed(context + np.uint64(SEEDS[1]) + np.uint64(3) * before)
+
+
+def _keyed(context: np.ndarray, low: np.ndarray, bits: int) -> np.ndarray:
+    return (context >> np.uint64(64 - bits)) << np.uint64(16) | low.astype(np.uint64)
+
+
+def _named(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each value, from 0 in the order in which they come; place of the first of each)."""
+    encoded = pa.array(values.view(np.int64)).dictionary_encode().indices.to_numpy()
+    model = np.empty(int(encoded.max(initial=-1)) + 1, np.int64)
+    model[encoded[::-1]] = np.arange(len(encoded) - 1, -1, -1)
+    return encoded, model
+
+
+def _stretches(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... as many as lengths[0], and so on."""
+    out = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    out += np.arange(len(out))
+    return out
+
+
+@dataclass
+class Asked:
+    """Distinct keys of the contexts of words, and for both of these the entry of each place: of texts that one process holds."""
+
+    keys: np.ndarray  #: those of the first context in order, then those of the second
+    cut: int
+    entries: list[np.ndarray]
+
+    @classmethod
+    def of(cls, data: np.ndarray, places: np.ndarray, bits: int) -> Asked:
+        own, low = Segments.of(data, places), pairs_at(data, places)
+        word, entries = own.keys(own.whole(), None, places, low, bits)
+        after, more = own.keys(_after(own.whole(), own.before), own.before, places, low, bits)
+        return cls(np.concatenate([word, after]), len(word), [entries, more + np.int32(len(word))])
 
     def counts(self, which: np.ndarray) -> np.ndarray:
         """How often each key occurs at the places for which `which` is 1."""
@@ -223,9 +258,9 @@ def _merged(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return every[fresh], place
 
 
-def _ranges(runs: list[np.ndarray]) -> Iterator[list[slice]]:
-    """Runs of ascending keys cut at the same contexts, into pieces of about RANGE_KEYS keys together: what is done by keys needs no more memory than that."""
-    pieces = sum(map(len, runs)) // RANGE_KEYS + 1
+def _ranges(runs: list[np.ndarray], each: int) -> Iterator[list[slice]]:
+    """Runs of ascending keys cut at the same contexts, into pieces of about `each` keys together: what is done by keys needs no more memory than that."""
+    pieces = sum(map(len, runs)) // each + 1
     top = max((int(r[-1]) >> 16 for r in runs if len(r)), default=0) + 1
     edges = np.array([top * i // pieces << 16 for i in range(1, pieces)], np.uint64)
     cuts = [[0, *np.searchsorted(r, edges).tolist(), len(r)] for r in runs]
@@ -237,7 +272,7 @@ def _merged_runs(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """As `_merged`, of runs that are in ascending order each."""
     firsts = np.cumsum([0, *map(len, runs)])
     place, found, known = np.empty(firsts[-1], np.int32), [], 0
-    for pieces in _ranges(runs):
+    for pieces in _ranges(runs, RANGE_KEYS):
         keys, of = _merged([r[p] for r, p in zip(runs, pieces, strict=True)])
         of += np.int32(known)
         at = 0
@@ -252,21 +287,79 @@ def _merged_runs(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Part:
-    """Texts a to b of a slice, laid out, and what they ask."""
+    """Texts a to b of a slice; keys: of the word so far, and of the first byte after the word before."""
 
     a: int
     b: int
-    pairs: np.ndarray
     first: np.ndarray
-    buffer: np.ndarray
-    places: np.ndarray
-    asked: Asked
+    opens: np.ndarray  #: first place of each segment
+    sizes: np.ndarray
+    keys: list[np.ndarray]
+    entries: list[np.ndarray]  #: of each place among the first keys, of each segment among the second
+
+    def __post_init__(self) -> None:
+        self.asked = [len(k) for k in self.keys]
+
+
+@dataclass
+class Slice:
+    """What a slice asks.  Units: distinct segments of two bytes or more after a word, in ascending order of their group, the hash of that word and their first byte."""
+
+    parts: list[Part]
+    pairs: np.ndarray
+    groups: np.ndarray
+    at: np.ndarray  #: of each unit's first byte among the pairs
+    sizes: np.ndarray
+    unit_of: np.ndarray  #: of each segment; of those of one byte any
 
+    @classmethod
+    def of(cls, data: np.ndarray, offsets: np.ndarray, bits: int) -> Slice:
+        parts, pairs, names, groups, firsts, known = [], [], [], [], [], 0
+        for a, b in slices(data, offsets, PART_BYTES):
+            buffer, places, first = laid_out(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            low, own = pairs_at(buffer, places), Segments.of(buffer, places)
+            word, entries = own.keys(own.whole(), None, places, low, bits)
+            opening, of = _merged([_keyed(own.after(0), low[own.first], bits)])
+            parts.append(Part(a, b, first, own.first.astype(np.int32), own.sizes.astype(np.int32), [word, opening], [entries, of]))
+            pairs.append(low.astype(np.uint16))
+            names.append(own.after(own.sizes))
+            groups.append(own.after(1) >> np.uint64(64 - bits))
+            firsts.append(own.first + known)
+            known += len(places)
+        sizes, name, group, first = (np.concatenate(x) for x in ([p.sizes for p in parts], names, groups, firsts))
+        del buffer, places, own, low
+        longer = np.flatnonzero(sizes > 1)
+        encoded, model = _named(name[longer])
+        model = longer[model]
+        order = np.argsort(group[model], kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        unit_of = np.zeros(len(sizes), np.int32)
+        unit_of[longer] = rank[encoded]
+        model = model[order]
+        return cls(parts, np.concatenate(pairs), group[model], first[model], sizes[model].astype(np.int64), unit_of)
 
-def _parts(data: np.ndarray, offsets: np.ndarray, bits: int) -> Iterator[Part]:
-    for a, b in slices(data, offsets, PART_BYTES):
-        buffer, places, first = laid_out(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        yield Part(a, b, pairs_at(buffer, places), first, buffer, places, Asked.of(buffer, places, bits))
+    def runs(self) -> list[np.ndarray]:
+        return [run for part in self.parts for run in part.keys]
+
+    def letters(self, a: int, b: int) -> np.ndarray:
+        """Bytes of units a to b."""
+        return self.pairs[_stretches(self.at[a:b], self.sizes[a:b])].astype(np.uint8)
+
+    def entries(self, place: np.ndarray, keys: int) -> Iterator[list[np.ndarray]]:
+        """For each part and both contexts the entry of each place: keys that are asked, whose places `place` has for all runs, then the further bytes of all units."""
+        rests = self.sizes - 1
+        base = (keys + np.cumsum(rests) - rests - 1).astype(np.int32)
+        seen, segments = 0, 0
+        for part in self.parts:
+            word, opening = part.entries
+            own = np.zeros(len(part.sizes), np.int32) if len(base) == 0 else base[self.unit_of[segments : segments + len(part.sizes)]]
+            after = np.repeat(own - part.opens, part.sizes)
+            after += np.arange(len(after), dtype=np.int32)
+            mid = seen + part.asked[0]
+            after[part.opens] = place[mid:][opening]
+            yield [place[seen:][word], after]
+            seen, segments = mid + part.asked[1], segments + len(part.sizes)
 
 
 def _stretched(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -298,6 +391,17 @@ def said(code: Code, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
     return starts, values
 
 
+def turned(code: Code, pairs: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """What is said for bit 1 of the decisions that lead to bytes, as what is said for the bit that they take; and back.  Nearly all of it is alike then."""
+    out, at = values.copy(), 0
+    for a in range(0, len(pairs), FILLED):
+        step = code.steps(pairs[a : a + FILLED])[2]
+        own = out[at : at + len(step)]
+        np.negative(own, out=own, where=code.bits[step] == 0)
+        at += len(step)
+    return out
+
+
 def add_to_tables(tables: np.ndarray, code: Code, data: np.ndarray, places: np.ndarray, which: np.ndarray) -> None:
     """Counts in tables (order, slot, bit) how often each way was taken at the places for which `which` is 1.
 
@@ -441,9 +545,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.array(c.astype(np.int64)) for c in columns)], ["kind", "key", "n"])
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system; the C library would keep pieces of up to 32 MB, beside the other workers of an executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def _squeezed(data: bytes) -> bytes:
     """Compressed, after its size."""
-    return len(data).to_bytes(4, "little") + pa.compress(data, "zstd", asbytes=True)
+    return len(data).to_bytes(4, "little") + ZSTD.compress(data, asbytes=True)
 
 
 def _spread(data: bytes) -> bytes:
@@ -467,6 +578,20 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, number(planes[6:], "<u4")
 
 
+def _packed_units(groups: np.ndarray, sizes: np.ndarray, counts: np.ndarray, letters: np.ndarray) -> bytes:
+    planes = [x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in (np.diff(groups, prepend=np.uint64(0)), sizes, counts)]
+    return _squeezed(b"".join([len(sizes).to_bytes(4, "little"), *planes, letters.tobytes()]))
+
+
+def _unpacked_units(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(groups within the shard, sizes, counts, bytes)."""
+    data = _spread(blob)
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(data, np.uint8, 12 * n, 4).reshape(3, 4, n)
+    groups, sizes, counts = (np.ascontiguousarray(x.T).view("<u4")[:, 0] for x in planes)
+    return np.cumsum(groups, dtype=np.uint64), sizes.astype(np.int64), counts, np.frombuffer(data, np.uint8, offset=4 + 12 * n)
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of rows (doc_id, text, held_out), each as one compressed value."""
     number = TaskContext.get().partitionId() << 20
@@ -475,7 +600,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = [(i, min(i + SLICE_ROWS, b)) for a, b in slices(*text_bytes(batch.column(1)), SLICE_BYTES) for i in range(a, b, SLICE_ROWS)]
         for a, b in cuts:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=ZSTD)) as stream:
                 stream.write_batch(batch.slice(a, b - a))
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["slice", "texts"])
             number += 1
@@ -489,7 +614,7 @@ def _read(unit: pa.Buffer) -> tuple[pa.Table, np.ndarray, np.ndarray]:
 
 def _table_rows(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(shard, counts) of the blocks of the tables in which a task has counted something; their shards are negative."""
-    salt = TaskContext.get().partitionId() % SALTS
+    salt = TaskContext.get().partitionId() // SALTS % SALTS  # neighbours are summed first
     for block, own in enumerate(counts.reshape(-1, TABLE_BLOCK, 2)):
         if own.any():
             yield -1 - (block * SALTS + salt), _squeezed(own.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
@@ -508,6 +633,13 @@ def _table_block(group: pa.Table) -> pa.Table:
     return pa.table({"block": group.column("block").slice(0, 1), "said": pa.array([_stretched(total[:, 0], total[:, 1]).tobytes()], pa.binary())})
 
 
+def _by_shard(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, first, end) of ascending hashes, of which the shard tells all bits but the lowest."""
+    shard = hashes >> np.uint64(bits)
+    starts = np.flatnonzero(np.diff(shard, prepend=np.uint64(1 << 63)))
+    yield from zip(shard[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(shard)], strict=False)
+
+
 def _asked(bits: int, shard_bits: int, code: Code):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = np.zeros((len(ORDERS), 1 << TABLE_BITS, 2), np.uint32)
@@ -516,21 +648,25 @@ def _asked(bits: int, shard_bits: int, code: Code):
             for number, unit in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 table, data, offsets = _read(unit.as_buffer())
                 taught = ~np.array(table.column("held_out"))
-                runs, counts = [], []
                 del table
-                for part in _parts(data, offsets, bits):
-                    runs += part.asked.runs()
+                asks, counts, teaches = Slice.of(data, offsets, bits), [], []
+                for part in asks.parts:
                     learn = np.repeat(taught[part.a : part.b], np.diff(part.first))
-                    counts.append(part.asked.counts(learn))
-                    add_to_tables(tables, code, part.buffer, part.places, learn)
-                keys, place = _merged_runs(runs)
+                    teaches.append(learn[part.opens])
+                    for run, of in zip(part.keys, (part.entries[0][learn], part.entries[1][teaches[-1]]), strict=True):
+                        counts.append(np.bincount(of, minlength=len(run)))
+                    add_to_tables(tables, code, *laid_out(data[offsets[part.a] : offsets[part.b]], offsets[part.a : part.b + 1] - offsets[part.a])[:2], learn)
+                keys, place = _merged_runs(asks.runs())
                 counts = np.bincount(place, np.concatenate(counts), len(keys))
+                own = np.bincount(asks.unit_of, np.concatenate(teaches) & (np.concatenate([p.sizes for p in asks.parts]) > 1), len(asks.groups))
+                inner, rows = np.uint64((1 << (bits - shard_bits)) - 1), []
                 context = keys >> np.uint64(16)
-                shard, inner = context >> np.uint64(bits - shard_bits), np.uint64((1 << (bits - shard_bits)) - 1)
-                starts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1])
-                rows = []
-                for s, a, b in zip(shard[starts].tolist(), starts, [*starts[1:], len(shard)], strict=True):
+                for s, a, b in _by_shard(context, bits - shard_bits):
                     rows.append((s, number, _packed(context[a:b] & inner, keys[a:b] & np.uint64(0xFFFF), counts[a:b])))
+                for s, a, b in _by_shard(asks.groups, bits - shard_bits):
+                    rows.append((s | 1 << shard_bits, number, _packed_units(asks.groups[a:b] & inner, asks.sizes[a:b], own[a:b], asks.letters(a, b))))
+                del asks, keys, place, counts, own, context, data, offsets
+                _give_back()
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "slice", "entries"])
         for shard, entries in _table_rows(tables):
             yield pa.RecordBatch.from_arrays([pa.array([shard], kinds[0]), pa.array([-1], kinds[1]), pa.array([entries], kinds[2])], ["shard", "slice", "entries"])
@@ -538,24 +674,60 @@ def _asked(bits: int, shard_bits: int, code: Code):
     return ask
 
 
-def _told(code: Code):
+def _dealt(pieces: list[slice], of: np.ndarray, starts: np.ndarray, lengths: np.ndarray, values: np.ndarray, out: list[list[bytes]]) -> None:
+    """To each slice the values of what it has asked, in its order."""
+    at = 0
+    for own, p in zip(out, pieces, strict=True):
+        mine = of[at : at + p.stop - p.start]
+        at += len(mine)
+        own.append(values[_stretches(starts[mine], lengths[mine])].tobytes())
+
+
+def _keys_told(code: Code, parts: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
+    out: list[list[bytes]] = [[] for _ in parts]
+    for pieces in _ranges([k for k, _ in parts], RANGE_KEYS):
+        keys, of = _merged([k[p] for (k, _), p in zip(parts, pieces, strict=True)])
+        starts, values = said(code, keys, np.bincount(of, np.concatenate([c[p] for (_, c), p in zip(parts, pieces, strict=True)]), len(keys)))
+        values = turned(code, (keys & np.uint64(0xFFFF)).astype(np.int32), values)
+        _dealt(pieces, of, starts, np.diff(starts), values, out)
+    return [_squeezed(b"".join(own)) for own in out]
+
+
+def _units_told(code: Code, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> list[bytes]:
+    """What is said of all bytes of units but the first.  Equal units of all slices are one before their contexts are made."""
+    out: list[list[bytes]] = [[] for _ in parts]
+    ends = [np.concatenate([[0], np.cumsum(sizes)]) for _, sizes, _, _ in parts]
+    for pieces in _ranges([g << np.uint64(16) for g, *_ in parts], RANGE_KEYS >> 3):
+        groups, sizes, counts = (np.concatenate([part[k][p] for part, p in zip(parts, pieces, strict=True)]) for k in range(3))
+        if not len(groups):
+            continue
+        letters = np.concatenate([part[3][e[p.start] : e[p.stop]] for part, e, p in zip(parts, ends, pieces, strict=True)])
+        begin, group = np.cumsum(sizes) - sizes, mixed(groups + np.uint64(1))
+        spans = SpanHashes(letters)
+        of, model = _named(_after(spans(begin, begin + sizes), group))
+        rests = sizes[model] - 1
+        at = _stretches(begin[model] + 1, rests)
+        low = letters[at - 1].astype(np.int32) << 8 | letters[at]
+        context = _after(spans(np.repeat(begin[model], rests), at), np.repeat(group[model], rests))
+        keys, key_of = _merged([_keyed(context, low, 48)])
+        starts, values = said(code, keys, np.bincount(key_of, np.repeat(np.bincount(of, counts, len(model)), rests), len(keys)))
+        lengths = np.diff(starts)[key_of]
+        values = turned(code, low, values[_stretches(starts[key_of], lengths)])
+        firsts = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(rests)])]
+        _dealt(pieces, of, firsts[:-1], np.diff(firsts), values, out)
+    return [_squeezed(b"".join(own)) for own in out]
+
+
+def _told(code: Code, shard_bits: int = 0):
     def tell(group: pa.Table) -> pa.Table:
         if group.column("shard")[0].as_py() < 0:
             total = _summed(group.column("entries").to_pylist(), "<u4", 4)
             planes = _squeezed(total.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
             return pa.table({"slice": group.column("slice").slice(0, 1), "shard": group.column("shard").slice(0, 1), "said": pa.array([planes], pa.binary())})
-        parts = [_unpacked(e.as_py()) for e in group.column("entries")]
-        out: list[list[bytes]] = [[] for _ in parts]
-        for pieces in _ranges([k for k, _ in parts]):
-            keys, of = _merged([k[p] for (k, _), p in zip(parts, pieces, strict=True)])
-            starts, values = said(code, keys, np.bincount(of, np.concatenate([c[p] for (_, c), p in zip(parts, pieces, strict=True)]), len(keys)))
-            lengths, at = np.diff(starts), 0
-            for own, p in zip(out, pieces, strict=True):
-                mine = of[at : at + p.stop - p.start]
-                at += len(mine)
-                n = lengths[mine]
-                own.append(values[np.repeat(starts[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes())
-        return pa.table({"slice": group.column("slice"), "shard": group.column("shard"), "said": pa.array([_squeezed(b"".join(own)) for own in out], pa.binary())})
+        blobs = [e.as_py() for e in group.column("entries")]
+        out = _keys_told(code, [_unpacked(x) for x in blobs]) if group.column("shard")[0].as_py() >> shard_bits == 0 else _units_told(code, [_unpacked_units(x) for x in blobs])
+        _give_back()
+        return pa.table({"slice": group.column("slice"), "shard": group.column("shard"), "said": pa.array(out, pa.binary())})
 
     return tell
 
@@ -569,17 +741,21 @@ def _scored(code: Code, tables: Broadcast, bits: int, keys: np.ndarray, counts:
         mixer = Mixer(code, np.frombuffer(tables.value, np.int8).reshape(len(ORDERS), -1))
         number = units.column("slice")[0].as_py()
         table, data, offsets = _read(units.column("texts")[0].as_buffer())
-        parts = list(_parts(data, offsets, bits))
-        asked, places = _merged_runs([run for part in parts for run in part.asked.runs()])
-        starts = np.zeros(len(asked) + 1, np.int64)
-        np.cumsum(code.lengths[(asked & np.uint64(0xFFFF)).astype(np.int32)], out=starts[1:])
-        values = np.concatenate([np.frombuffer(_spread(v.as_py()), np.int8) for v in told.sort_by("shard").column("said")])
-        out, seen = [], 0
-        for part in parts:
+        asks = Slice.of(data, offsets, bits)
+        asked, places = _merged_runs(asks.runs())
+        low = np.concatenate([(asked & np.uint64(0xFFFF)).astype(np.uint16), asks.pairs[_stretches(asks.at + 1, asks.sizes - 1)]])
+        starts = np.zeros(len(low) + 1, np.int64)
+        np.cumsum(code.lengths[low], out=starts[1:])
+        values = turned(code, low, np.concatenate([np.frombuffer(_spread(v.as_py()), np.int8) for v in told.sort_by("shard").column("said")]))
+        del low
+        for part in asks.parts:
+            part.keys.clear()
+        _give_back()
+        out = []
+        for part, entries in zip(asks.parts, asks.entries(places, len(asked)), strict=True):
             a, b = part.a, part.b
-            own = starts[places[seen : seen + len(part.asked.keys)]]
-            seen += len(part.asked.keys)
-            log2 = mixer.log2(part.pairs, part.first, tails(part.buffer, part.places), part.asked.entries, own, values)
+            buffer, spots, _ = laid_out(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            log2 = mixer.log2(pairs_at(buffer, spots), part.first, tails(buffer, spots), entries, starts, values)
             at = offsets[a : b + 1] - offsets[a]
             found, words = _tokens(data[offsets[a] : offsets[b]], at)
             text = np.repeat(np.arange(b - a), np.diff(words))
@@ -595,6 +771,8 @@ def _scored(code: Code, tables: Broadcast, bits: int, keys: np.ndarray, counts:
                 ],
                 SCORED_NAMES,
             ))
+        del asks, starts, values, places, entries, buffer, spots
+        _give_back()
         return pa.concat_tables(out)
 
     return score
@@ -631,7 +809,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     bits = SPARE_BITS + (rows + size + SHARD_BYTES).bit_length()
     shard_bits = max(0, bits - SPARE_BITS - SHARD_BYTES.bit_length())
     units = stage(chosen.mapInArrow(_units, UNITS), "slices")
-    told = stage(units.df.mapInArrow(_asked(bits, shard_bits, code), ASKED).groupBy("shard").applyInArrow(_told(code), TOLD), "told")
+    told = stage(units.df.mapInArrow(_asked(bits, shard_bits, code), ASKED).groupBy("shard").applyInArrow(_told(code, shard_bits), TOLD), "told")
     blocks = told.df.filter("slice < 0").select(F.floor((-1 - F.col("shard")) / SALTS).alias("block"), "said").groupBy("block").applyInArrow(_table_block, "block long, said binary")
     tables = np.zeros((len(ORDERS) << TABLE_BITS) // TABLE_BLOCK * TABLE_BLOCK, np.int8).reshape(-1, TABLE_BLOCK)
     for r in blocks.toLocalIterator():  # as many rows as the tables have blocks
