@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -304,6 +305,27 @@ def test_an_expired_session_starts_from_its_stored_history(spark):
     assert {k: sorted(v, key=lambda x: (x is None, x)) for k, v in got.items()} == {"a": [1, 2, 13, 16], "c": [None], "d": [15]}
 
 
+def test_live_rows_ask_one_state_once(spark):
+    at = 1_700_000_000_000_000
+    calls, context = [], hot_context.LiveRows(5, limit=2)
+    context.held, context.handle = Told(calls, ([4], [at], ["x"], [1, 2], [at, at], ["a", "b"], at // 1000)), Told(calls, None)
+    row = next(context.handleInputRows(("s",), iter([hot_context.Row(seq=7, at=at + 86_400_000_000, content="y")]), None))
+    assert (row.seq, row.content) == ([1, 2, 7], ["a", "b", "y"]) and sorted(calls) == ["deleteTimer", "get", "registerTimer", "update"]
+
+
+def test_live_messages_have_no_time_limit_and_take_folders(spark, tmp_path, monkeypatch):
+    from pyspark.sql.streaming.query import StreamingQuery
+
+    waits, wait = [], StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: waits.append(timeout) or wait(self, timeout))
+    day = 1_705_276_800 + 86_400  # the second day after the cut
+    events = spark.range(40).select(F.col("id").alias("event_id"), (F.col("id") % 4).alias("user_id"), F.timestamp_seconds(F.lit(day) + (F.col("id") - 20) * 36_000).alias("ts"), F.lit("view").alias("event_type"))
+    events.repartition(3).write.parquet(str(tmp_path / "folder/events.parquet"))
+    pq.write_table(events.toArrow(), (tmp_path / "events.parquet"))
+    got = [sorted(map(tuple, streams.live_messages(spark, str(d), "2024-01-15 00:00:00", size=3, limit=2).collect())) for d in (tmp_path, tmp_path / "folder")]
+    assert got[0] == got[1] and len(got[0]) > 0 and waits == [None, None]
+
+
 # Compression.
 
 
