@@ -10,7 +10,8 @@ are reranked by exact cosine on the original vectors.
 
 Cells are laid into blocks of about `block` vectors and a large cell is dealt to
 several; queries are packed by their nearest cell and sent only to blocks that
-one of them visits, where a matrix product ranks them.
+one of them visits, where a matrix product ranks them: a block meets its packs
+in a group, in several groups where there are very many queries.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from .storage import stage
 
 ENTRY = "id long, cell int, query boolean, vector binary"
 FOUND = "query_id long, vec_id long, score double"
+TURN = 1 << 16  #: queries that meet a block of entries in one task
 
 
 def usable(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,53 +156,61 @@ def _laid_out(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     return first, parts
 
 
-def _asking(index: MultiIndex, sizes: np.ndarray, first: np.ndarray, parts: np.ndarray, least: float):
-    """A pack of queries as a row for each block of entries that one of them visits; cell c has the blocks from first[c] on, parts[c] of them."""
+def _cells_of(sizes: np.ndarray, first: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """(block, 2): the first cell that a block has entries of, and the end of its cells, which lie in a row."""
+    out = np.zeros((int((first + parts)[sizes > 0].max(initial=0)), 2), np.int64)
+    for cell in np.flatnonzero(sizes)[::-1].tolist():
+        own = out[first[cell] : first[cell] + parts[cell]]
+        own[:, 0] = cell
+        own[:, 1] = np.maximum(own[:, 1], cell + 1)
+    return out
+
+
+def _asking(index: MultiIndex, sizes: np.ndarray, first: np.ndarray, parts: np.ndarray, least: float, turns: int):
+    """A pack of queries as a row for each block of entries that one of them visits, with which of the block's cells; cell c has the blocks from first[c] on, parts[c] of them."""
+    cells = _cells_of(sizes, first, parts)
 
     def ask(group: pa.Table) -> pa.Table:
         ids, vectors = group.column("id").to_numpy(), _matrix(group.column("vector"), index.dims)
         visited = index.visits(unit(vectors), sizes, least)
-        rows: dict[int, np.ndarray] = {}
-        for cell in np.flatnonzero(visited.any(0)):
-            for block in range(first[cell], first[cell] + parts[cell]):
-                rows[block] = rows.get(block, False) | visited[:, cell]
-        out = []
-        for block, who in rows.items():
-            out.append((block, ids[who].tobytes(), vectors[who].tobytes(), np.packbits(visited[who], axis=1).tobytes()))
-        names = ["block", "q_ids", "q_vectors", "visited"]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], names) if out else pa.table({"block": pa.array([], pa.int64()), **{n: pa.array([], pa.binary()) for n in names[1:]}})
+        turn, out = sum(group.column("pack")[0].as_py().values()) % turns, []
+        for block, (a, b) in enumerate(cells.tolist()):
+            if (who := visited[:, a:b].any(1)).any():
+                out.append((block, turn, ids[who].tobytes(), vectors[who].tobytes(), np.packbits(visited[who, a:b], axis=1).tobytes()))
+        columns = zip(*out, strict=True) if out else [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["block", "turn", "q_ids", "q_vectors", "visited"])
 
     return ask
 
 
-def _entries(group: pa.Table) -> pa.Table:
-    ids, cells = group.column("id").to_numpy(), group.column("cell").to_numpy()
-    return pa.table({"block": group.column("block")[:1], "ids": [ids.tobytes()], "cells": [cells.astype(np.int32).tobytes()], "vectors": [b"".join(group.column("vector").to_pylist())]})
-
-
-def _ranked(dims: int, k: int):
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, cells, vectors = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["cells"], np.int32), np.frombuffer(row["vectors"], np.float64).reshape(-1, dims)
-                asked, queries = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"], np.float64).reshape(-1, dims)
-                seen = np.unpackbits(np.frombuffer(row["visited"], np.uint8).reshape(len(asked), -1), axis=1)[:, cells].astype(bool)
-                score = np.where(seen & (asked[:, None] != ids[None]), unit(queries) @ unit(vectors).T, -np.inf)
-                bound = np.partition(score, -k, 1)[:, -k] if len(ids) > k else np.full(len(asked), -np.inf)
-                q, v = np.nonzero((score >= bound[:, None] - 1e-9) & np.isfinite(score))
-                exact = (queries[q] * vectors[v]).sum(1) / (np.sqrt((queries[q] ** 2).sum(1)) * np.sqrt((vectors[v] ** 2).sum(1)))
-                order = np.lexsort((ids[v], -exact, q))
-                q, v, exact = q[order], v[order], exact[order]
-                place = np.arange(len(q)) - np.searchsorted(q, q)
-                best = place < k
-                yield pa.RecordBatch.from_arrays([pa.array(asked[q[best]]), pa.array(ids[v[best]]), pa.array(exact[best])], ["query_id", "vec_id", "score"])
+def _ranked(dims: int, k: int, cells: np.ndarray):
+    def rank(packs: pa.Table, entries: pa.Table) -> pa.Table:
+        """The k nearest of a block's entries to each query of all packs that visit it."""
+        names, found = ["query_id", "vec_id", "score"], []
+        if packs.num_rows and entries.num_rows:
+            ids, own, vectors = entries.column("id").to_numpy(), entries.column("cell").to_numpy() - cells[entries.column("block")[0].as_py(), 0], _matrix(entries.column("vector"), dims)
+            units = unit(vectors).T
+        for row in packs.to_batches(max_chunksize=1) if entries.num_rows else []:
+            q_ids, q_vectors, visited = (row.column(n)[0].as_buffer() for n in ("q_ids", "q_vectors", "visited"))
+            asked, queries = np.frombuffer(q_ids, np.int64), np.frombuffer(q_vectors, np.float64).reshape(-1, dims)
+            seen = np.unpackbits(np.frombuffer(visited, np.uint8).reshape(len(asked), -1), axis=1)[:, own].view(bool)
+            score = unit(queries) @ units
+            score[~seen | (asked[:, None] == ids[None])] = -np.inf
+            bound = np.partition(score, -k, 1)[:, -k] if len(ids) > k else np.full(len(asked), -np.inf)
+            q, v = np.nonzero((score >= bound[:, None] - 1e-9) & np.isfinite(score))
+            exact = (queries[q] * vectors[v]).sum(1) / (np.sqrt((queries[q] ** 2).sum(1)) * np.sqrt((vectors[v] ** 2).sum(1)))
+            order = np.lexsort((ids[v], -exact, q))
+            q, v, exact = q[order], v[order], exact[order]
+            best = np.arange(len(q)) - np.searchsorted(q, q) < k
+            found.append(pa.table([pa.array(asked[q[best]]), pa.array(ids[v[best]]), pa.array(exact[best])], names))
+        return pa.concat_tables(found) if found else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names)
 
     return rank
 
 
 def nearest(
     vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, recall: float = 0.97,
-    centroids: int | None = None, sample: int = 8192, block: int = 2048, pack: int = 256,
+    centroids: int | None = None, sample: int = 8192, block: int | None = None, pack: int = 256,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by cosine of every row for which `queries` holds.
 
@@ -209,14 +219,16 @@ def nearest(
     are candidates of their own, so an id can take several ranks; queries that
     share one are ranked together.  Each half has `centroids`, by default 32 or,
     for many rows, twice their fourth root, so that the vectors of a cell grow
-    with the square root of the rows only.  The codebooks and the share to visit
+    with the square root of the rows only; so does a `block`, as a query goes to
+    every block that it visits.  The codebooks and the share to visit
     come from the `sample` vectors (64 a centroid at least) with the smallest id
     hashes; every vector is indexed.  Rows with a null id, and vectors that are null,
     zero, hold a null or non-finite component or have another number of
     components than most of the sample, take no part.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.coalesce(queries, F.lit(False)).alias("query"), F.col(vector_col).alias("vector")).filter("id IS NOT NULL")
-    centroids = centroids or max(32, round(2 * vectors.count() ** 0.25))
+    n = vectors.count()
+    centroids, block = centroids or max(32, round(2 * n**0.25)), block or max(2048, round(16 * n**0.5))
     sample = max(sample, 64 * centroids)
     taken = first_by_hash(rows.filter("vector IS NOT NULL"), "id", sample).select("vector").toArrow().column("vector").combine_chunks()
     none = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -240,9 +252,11 @@ def nearest(
         [(int(c), int(first[c]), int(parts[c]), max(1, -(-int(asking[c]) // pack))) for c in cells], "cell int, first long, parts int, packs int"
     )
     placed = held.df.join(F.broadcast(layout), "cell")  # a row for each cell, centroids ** 2 at most
-    entries = placed.withColumn("block", (F.col("first") + F.pmod(F.xxhash64("id"), "parts"))).groupBy("block").applyInArrow(_entries, "block long, ids binary, cells binary, vectors binary")
+    turns = max(1, -(-int(asking.sum()) // TURN))
+    entries = placed.select((F.col("first") + F.pmod(F.xxhash64("id"), "parts")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))).alias("turn"), "id", "cell", "vector")
     packed = placed.filter("query").withColumn("pack", F.struct("first", F.pmod(F.xxhash64("id", F.lit(1)), "packs").alias("part")))
-    asked = packed.groupBy("pack").applyInArrow(_asking(index, sizes, first, parts, least), "block long, q_ids binary, q_vectors binary, visited binary")
-    found = asked.join(entries, "block").mapInArrow(_ranked(dims, k), FOUND)
+    asked = packed.groupBy("pack").applyInArrow(_asking(index, sizes, first, parts, least, turns), "block long, turn long, q_ids binary, q_vectors binary, visited binary")
+    # not a join: Spark takes what the queries become for as small as the queries, and would broadcast it through the driver
+    found = asked.groupBy("block", "turn").cogroup(entries.groupBy("block", "turn")).applyInArrow(_ranked(dims, k, _cells_of(sizes, first, parts)), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

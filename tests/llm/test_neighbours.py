@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from colloquy.llm import neighbours
 from colloquy.llm.neighbours import MultiIndex, _laid_out, nearest
 
 
@@ -67,6 +68,18 @@ def test_codebooks_grow_with_the_rows(spark):
     assert len(few & many) > 0.9 * len(few)
 
 
+def test_queries_are_not_broadcast_and_take_turns(spark, monkeypatch):
+    """What a pack becomes is many times as large as the pack, which Spark doesn't know."""
+    rng = np.random.default_rng(6)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1500, 4)))], "vec_id long, embedding array<double>")
+    plain = nearest(frame, F.col("vec_id") % 5 == 0, block=100)
+    expected = sorted(map(tuple, plain.collect()))
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "FlatMapCoGroupsInArrow" in plan
+    monkeypatch.setattr(neighbours, "TURN", 40)
+    assert sorted(map(tuple, nearest(frame, F.col("vec_id") % 5 == 0, block=700, pack=9).collect())) == expected
+
+
 def test_few_and_no_vectors(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = nearest(frame, F.col("vec_id") == 0).collect()
