@@ -173,6 +173,23 @@ def test_the_index_equals_the_scan(spark, tmp_path, monkeypatch):
     assert index.search(requests.limit(0)).count() == 0 and index.search(requests).count() == len(expected)
 
 
+def test_rows_of_one_ask_are_dealt_out(spark, tmp_path, monkeypatch):
+    """Where the requests are too many to be broadcast, one ask of all sessions isn't one task's."""
+    monkeypatch.setattr(search_index, "TURN", 7)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        messages = spark.range(200).select((F.col("id") % 9).cast("string").alias("session_id"), F.col("id").alias("seq"), F.timestamp_seconds("id").alias("created_at"), F.array(F.lit("aa")).alias("terms"))
+        index = search_index.SearchIndex(spark, str(tmp_path / "index"))
+        index.append(messages, 0)
+        requests = spark.range(20).select(F.col("id").alias("request_id"), F.when(F.col("id") == 3, "4").alias("session_id"), F.array(F.lit("aa")).alias("terms"), *(F.lit(None).cast("timestamp").alias(c) for c in ("start", "end")))
+        got = index.search(requests).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.request_id, r.seq) for r in got) == sorted((q, k) for q in range(20) for k in range(200) if q != 3 or k % 9 == 4)
+    assert len({r.task for r in got if r.request_id == 0}) > 1
+
+
 # The loop.
 
 
