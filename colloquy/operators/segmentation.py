@@ -11,15 +11,20 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions.text import search_tokens
+from ..sources.shared import temporary_folder
 
 #: Characters that are written without blanks; a run of them is cut by the dictionary.
 UNSPACED = "㐀-䶿一-鿿豈-﫿"
-#: Bytes of a dictionary that each task gets whole; a larger one meets the substrings of the runs in a join.
+#: Bytes of a dictionary that each task gets whole; a larger one is asked for what a block of messages may hold.
 DICTIONARY_BYTES = 64 << 20
+BLOCK_BYTES = 16 << 20  #: of messages that ask together
+MARKS, STRETCH = 1 << 28, 1 << 16  #: bits of the table of hashes at most, and those that are marked together
 CHARACTER_BITS = 21
 AT_ONCE = 1 << 16  #: characters whose words are found at once
 SHORTER = (2, 3)  #: lengths of the words that are emitted from inside a longer one
@@ -39,10 +44,10 @@ class Words:
         self._build(pa.array([w for w, _ in pairs], pa.large_string()), np.array([c for _, c in pairs], float), total)
 
     @classmethod
-    def of(cls, words: pa.Array, counts: np.ndarray) -> Words:
-        """The same from columns, which holds no word as an object."""
+    def of(cls, words: pa.Array, counts: np.ndarray, total: float | None = None) -> Words:
+        """The same from columns, which holds no word as an object; total: of all counts, if these are a part."""
         made = cls.__new__(cls)
-        made._build(words.cast(pa.large_string()), counts, counts.sum())
+        made._build(words.cast(pa.large_string()), counts, counts.sum() if total is None else total)
         return made
 
     def _build(self, texts: pa.Array, counts: np.ndarray, total: float) -> None:
@@ -142,10 +147,6 @@ def _pieces(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), f"([{UNSPACED}]+)", " $1 "), r"[^\p{L}\p{N}]+"), lambda p: p != "")
 
 
-def _is_run(piece: Column) -> Column:
-    return F.rlike(piece, F.lit(f"^[{UNSPACED}]"))
-
-
 def _by_trie(messages: DataFrame, dictionary: DataFrame, text: Column, out_col: str) -> DataFrame:
     table = dictionary.toArrow()
     sink = pa.BufferOutputStream()
@@ -168,33 +169,137 @@ def _by_trie(messages: DataFrame, dictionary: DataFrame, text: Column, out_col:
     return messages.withColumn(out_col, F.coalesce(found, search_tokens(text)))
 
 
-def run_tokens(runs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(run, tokens) of distinct runs (run): every substring that may be a word meets the dictionary in a join, and each run is cut by the words found in it."""
-    known = dictionary.agg(F.max(F.length("word")).alias("longest"), F.sum("freq").alias("total")).first()
-    longest, total = known["longest"] or 1, known["total"] or 0
-    sizes = F.sequence(F.lit(1), F.lit(longest))
-    starts = runs.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("at"))
-    parts = starts.select("run", F.explode(F.transform(sizes, lambda n: F.substr("run", F.col("at"), n))).alias("word")).distinct()
-    found = parts.join(dictionary, "word").groupBy("run").agg(F.collect_list("word").alias("words"), F.collect_list("freq").alias("counts"))
+def _hashes(sums: np.ndarray, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
+    """64-bit hashes of stretches of characters, wherever they stand; sums: `_sums` of all characters."""
+    out = (sums[ends] - sums[starts]) * _POWERS[1][starts]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(29)
+    return out
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_BASE = 0xD1342543DE82EF95
+_POWERS = np.ones((2, 1), np.uint64)  #: of the base, and of its inverse
+
+
+def _sums(letters: np.ndarray) -> np.ndarray:
+    global _POWERS
+    if _POWERS.shape[1] <= len(letters):
+        _POWERS = np.stack([_powers(b, len(letters) + AT_ONCE) for b in (_BASE, pow(_BASE, -1, 1 << 64))])
+    out = np.zeros(len(letters) + 1, np.uint64)
+    np.cumsum(letters.astype(np.uint64) * _POWERS[0][: len(letters)], out=out[1:])
+    return out
 
-    @F.pandas_udf("array<string>")
-    def cut(run, words, counts):
-        import pandas as pd
 
-        none = lambda x: [] if x is None else x
-        return pd.Series([next(Words(zip(none(w), none(c), strict=True), total).tokens([r])) for r, w, c in zip(run, words, counts, strict=True)], dtype=object)
+def _hashed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, freq) to (hash, word, freq)."""
+    for batch in batches:
+        ends = np.cumsum(pc.utf8_length(batch.column(0)).to_numpy().astype(np.int64))
+        hashes = _hashes(_sums(_letters(batch.column(0))), np.append(0, ends[:-1]) if len(ends) else ends, ends)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), *batch.columns], ["hash", "word", "freq"])
 
-    return runs.join(found, "run", "left").select("run", cut("run", "words", "counts").alias("tokens"))
 
+def _marked(bits: int):
+    """The hashes of a group as bits: a row for each of the stretches of STRETCH bits."""
 
-def _by_join(messages: DataFrame, dictionary: DataFrame, keys: list[str], text: Column, out_col: str) -> DataFrame:
-    pieces = messages.select(*keys, F.posexplode(_pieces(text)).alias("at", "piece"))
-    cut = run_tokens(pieces.filter(_is_run(F.col("piece"))).select(F.col("piece").alias("run")).distinct(), dictionary)
-    own = F.when(F.length("piece") > 1, F.array("piece")).otherwise(F.array().cast("array<string>"))
-    parts = pieces.join(cut, F.col("piece") == F.col("run"), "left").select(*keys, "at", F.coalesce("tokens", own).alias("tokens"))
-    joined = parts.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "tokens"))), lambda s: s["tokens"])).alias(out_col))
-    empty = F.when(text.isNotNull(), F.array().cast("array<string>"))
-    return messages.join(joined, keys, "left").withColumn(out_col, F.coalesce(out_col, empty))
+    def mark(group: pa.Table) -> pa.Table:
+        held = np.zeros(STRETCH, bool)
+        held[(group.column("hash").to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) % STRETCH] = True
+        return pa.table({"stretch": group.column("stretch").slice(0, 1), "marks": pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())})
+
+    return mark
+
+
+def _runs(pieces: pa.Array) -> list[str]:
+    run = re.compile(f"[{UNSPACED}]")
+    return [p for own in pieces.to_pylist() if own is not None for p in own if run.match(p)]
+
+
+def _asked(marks: Broadcast, bits: int, lengths: list[int]):
+    """(block, pieces) to (block, hash): of all stretches of runs that may be words, once a batch."""
+
+    def candidates(runs: list[str]) -> Iterator[np.ndarray]:
+        held = np.frombuffer(marks.value, np.uint8)
+        sizes = np.array([len(r) + 1 for r in runs], np.int64)
+        ends = np.cumsum(sizes)
+        cuts = np.searchsorted(ends, np.arange(AT_ONCE, ends[-1], AT_ONCE)) + 1 if len(runs) else []
+        for a, b in itertools.pairwise(np.unique([0, *cuts, len(runs)]).tolist()):
+            sums = _sums(_letters(pa.array([r + "\0" for r in runs[a:b]], pa.large_string())))
+            left = np.repeat(ends[a:b], sizes[a:b]) - 1 - (ends[a] - sizes[a]) - np.arange(len(sums) - 1)  # characters to the end of the run
+            for n in lengths:
+                if n >= len(sums):
+                    break
+                found = _hashes(sums, slice(0, len(sums) - n), slice(n, len(sums)))
+                place = found >> np.uint64(64 - bits)
+                hit = held[(place >> np.uint64(3)).view(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1
+                yield np.unique(found[hit.view(bool) & (left[: len(found)] >= n)])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            firsts = np.flatnonzero(np.diff(blocks, prepend=-1))
+            for a, b in itertools.pairwise([*firsts.tolist(), batch.num_rows]):
+                found = list(candidates(_runs(batch.column(1).slice(a, b - a))))
+                hashes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), blocks[a])), pa.array(hashes.view(np.int64))], ["block", "hash"])
+
+    return ask
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a number that BLOCK_BYTES of them share, before them."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        sizes = np.cumsum(np.full(batch.num_rows, batch.nbytes / max(1, batch.num_rows)))
+        yield pa.RecordBatch.from_arrays([pa.array(number + (sizes // BLOCK_BYTES).astype(np.int64)), *batch.columns], ["__block", *batch.schema.names])
+        number += int(sizes[-1] // BLOCK_BYTES) + 1 if len(sizes) else 0
+
+
+def _cut(total: float):
+    """The rows of a block, and the dictionary's words that are in them, to the rows with their tokens."""
+
+    def cut(rows: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.group_by("word").aggregate([("freq", "max")])  # a block that is read in several batches asks in each
+        words = Words.of(known.column("word").combine_chunks(), known.column("freq_max").to_numpy(), total)
+        pieces = rows.column("__pieces").combine_chunks()
+        found, run = words.tokens(_runs(pieces)), re.compile(f"[{UNSPACED}]")
+        tokens = [None if own is None else [t for p in own for t in (next(found) if run.match(p) else [p] if len(p) > 1 else [])] for own in pieces.to_pylist()]
+        return rows.drop_columns(["__block", "__pieces"]).append_column("__tokens", pa.array(tokens, pa.list_(pa.string())))
+
+    return cut
+
+
+def _by_block(messages: DataFrame, dictionary: DataFrame, text: Column, out_col: str) -> DataFrame:
+    """A block of messages asks for the words that may be in it, by their hashes, and is cut by those that it is told: no task holds the dictionary.
+
+    Which stretches of characters may be words is seen in a table of bits, of
+    MARKS bits at most however large the dictionary; those that are none find
+    nothing in the join.
+    """
+    spark, kept = messages.sparkSession, messages.columns
+    n, total = dictionary.agg(F.count("*"), F.coalesce(F.sum("freq"), F.lit(0.0))).first()
+    lengths = sorted(r.n for r in dictionary.select(F.length("word").alias("n")).distinct().collect())  # of which there are few
+    bits = min(MARKS, max(2 * STRETCH, 64 * n)).bit_length() - 1
+    hashed = dictionary.mapInArrow(_hashed_words, "hash long, word string, freq double")
+    marks = np.zeros(1 << bits - 3, np.uint8).reshape(-1, STRETCH >> 3)
+    stretches = hashed.select("hash", F.shiftrightunsigned("hash", 64 - bits + STRETCH.bit_length() - 1).alias("stretch")).groupBy("stretch")
+    for r in stretches.applyInArrow(_marked(bits), "stretch long, marks binary").toLocalIterator():
+        marks[r.stretch] = np.frombuffer(r.marks, np.uint8)
+    at = temporary_folder(spark, "blocks")
+    messages.mapInArrow(_blocks, StructType([StructField("__block", LongType()), *messages.schema.fields])).write.option("compression", "zstd").parquet(at)
+    held = spark.read.schema(StructType([StructField("__block", LongType()), *messages.schema.fields])).parquet(at)
+    pieces = F.when(F.rlike(text, F.lit(f"[{UNSPACED}]")), _pieces(text)).alias("__pieces")
+    asked = held.select("__block", pieces).mapInArrow(_asked(spark.sparkContext.broadcast(marks.tobytes()), bits, lengths), "block long, hash long")
+    told = asked.join(hashed, "hash").select("block", "word", "freq")
+    rows = held.select("*", pieces).groupBy("__block").cogroup(told.groupBy("block"))
+    cut = rows.applyInArrow(_cut(total), StructType([*messages.schema.fields, StructField("__tokens", ArrayType(StringType()))]))
+    return cut.select(*kept, F.coalesce("__tokens", search_tokens(text)).alias(out_col))
 
 
 def with_terms(messages: DataFrame, dictionary: DataFrame, *keys: str, text_col: str = "content", out_col: str = "terms") -> DataFrame:
@@ -213,4 +318,4 @@ def with_terms(messages: DataFrame, dictionary: DataFrame, *keys: str, text_col:
     messages, text = messages.drop(out_col), F.col(text_col)
     if size <= DICTIONARY_BYTES:
         return _by_trie(messages, known.orderBy("word"), text, out_col)
-    return _by_join(messages, known, list(keys), text, out_col)
+    return _by_block(messages, known, text, out_col)

@@ -78,6 +78,30 @@ def test_both_ways_agree_on_random_texts(spark, monkeypatch, sizes):
     assert read() == whole
 
 
+def test_a_large_dictionary_is_asked_for_words_only(spark, monkeypatch):
+    """Of some 8,000 stretches of characters few go out; texts of many blocks have the tokens of the trie."""
+    rng = random.Random(5)
+    words = {"".join(chr(0x4E00 + rng.randrange(300)) for _ in range(rng.choice([1, 2, 3, 9]))): rng.randint(1, 50) for _ in range(500)}
+    runs = ["".join(rng.choice(list(words) + ["\u4e00\u4e8c\u9fa5"]) for _ in range(20)) for _ in range(30)]
+    hashed = segmentation._hashed_words(iter([pa.record_batch({"word": pa.array(list(words)), "freq": pa.array(list(words.values()), pa.float64())})]))
+    hashes = next(hashed).column(0).to_numpy().view(np.uint64)
+    bits = 17
+    stretch = (hashes >> np.uint64(64 - bits) >> np.uint64(16)).view(np.int64)
+    marks = b"".join(segmentation._marked(bits)(pa.table({"hash": hashes[stretch == k].view(np.int64), "stretch": stretch[stretch == k]})).column("marks")[0].as_py() for k in range(2))
+    held = type("Held", (), {"value": marks})
+    asked = list(segmentation._asked(held, bits, [1, 2, 3, 9])(iter([pa.record_batch({"block": pa.array([7] * 30), "pieces": pa.array([[r] for r in runs])})])))
+    inside = {h for w, h in zip(words, hashes.view(np.int64).tolist(), strict=True) if any(w in r for r in runs)}
+    got = asked[0].column("hash").to_pylist()
+    assert len(asked) == 1 and inside <= set(got) and len(got) == len(set(got)) < 1.2 * len(inside)
+    rows = spark.createDataFrame([(k, r) for k, r in enumerate(runs)], "seq long, content string").repartition(3)
+    dictionary = spark.createDataFrame(list(words.items()), "word string, freq long")
+    read = lambda: sorted(map(tuple, segmentation.with_terms(rows, dictionary, "seq").select("seq", "terms").collect()))
+    whole = read()
+    monkeypatch.setattr(segmentation, "DICTIONARY_BYTES", 0)
+    monkeypatch.setattr(segmentation, "BLOCK_BYTES", 500)
+    assert read() == whole
+
+
 def test_a_trie_takes_16_bytes_a_node(monkeypatch):
     rng = random.Random(8)
     words = {"".join(chr(0x4E00 + rng.randrange(300)) for _ in range(rng.randint(1, 5))): rng.randint(1, 9) for _ in range(3000)} | {"\U0002a6d6乙": 4}
